@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,8 @@ class Staged:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        gc.collect()
+        self.spark._jvm.System.gc()  # what the table replaces leaves its shuffle files to the cleaner
         out = self.spark.read.schema(df.schema).parquet(path)
         out.staged_path = path
         return out

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from loomflow.llm import media, mixing, packing, shards
+from loomflow.llm import embeddings, media, mixing, packing, shards, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_media": media.op2_media,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_substrings": substrings.op4_substrings,
+    "op5_simhash": simhash.op5_simhash,
+    "op8_embeddings": embeddings.op8_embeddings,
     "op9_sharding": shards.op9_sharding,
     "op10_mixing": mixing.op10_mixing,
 }

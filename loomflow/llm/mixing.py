@@ -22,7 +22,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomflow.llm.common import column
+from loomflow.llm.common import Staged, column, free_name
 
 BLOCK_ROWS = 16
 #: Slots in a cycle for each 25 sources.
@@ -63,7 +63,7 @@ def schedule(slots: dict[str | None, int]) -> dict[str | None, list[int]]:
 
 
 def _rank(rows: DataFrame) -> DataFrame:
-    """rows (id, source, mark) with the place of each in its source, from 0, in the order of mark and id."""
+    """rows (id, source, row, mark) with the place of each in its source, from 0, in the order of mark and id."""
     rows = rows.withColumn("part", F.substring("mark", 1, 3))
     sizes = rows.groupBy("source", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,7 +72,7 @@ def _rank(rows: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "part").orderBy("mark", "id")
     numbered = rows.withColumn("place", F.row_number().over(inside) - 1)
     joined = numbered.join(starts, numbered["source"].eqNullSafe(starts["of"]) & (numbered["part"] == starts["at"]))
-    return joined.select("id", "source", (F.col("first") + F.col("place")).cast("long").alias("rank"))
+    return joined.select("id", "source", "row", (F.col("first") + F.col("place")).cast("long").alias("rank"))
 
 
 def mix(
@@ -91,7 +91,23 @@ def mix(
     any order among themselves. Sources without a weight are refused, as are
     more than MAX_SOURCES. An empty table gives no rows.
     """
-    rows = docs.select(column(docs, id_col).alias("id"), column(docs, source_col).cast("string").alias("source"))
+    rows = docs.select(column(docs, id_col).alias("id"), column(docs, source_col).cast("string").alias("source"), F.lit(0).alias("row"))
+    out = _positions(rows, weights, block_rows, cycle)
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", "slot", "position", "balanced")
+
+
+def ordered(docs: DataFrame, into: str, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, cycle: int | None = None) -> DataFrame:
+    """docs with each row's position in the mixed order, as mix() has it, in the column into."""
+    stage = Staged(docs.sparkSession, "mixing")
+    row = free_name(docs, "row")
+    docs = stage.save(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = docs.select(column(docs, id_col).alias("id"), column(docs, source_col).cast("string").alias("source"), F.col(row).alias("row"))
+    places = stage.save(_positions(rows, weights, block_rows, cycle).select(F.col("row").alias(row), F.col("position").alias(into)))
+    return docs.join(places, row).drop(row)
+
+
+def _positions(rows: DataFrame, weights: dict[str | None, float] | None, block_rows: int, cycle: int | None) -> DataFrame:
+    """rows (id, source, row) with block, slot, position and balanced."""
     rows = rows.withColumn("mark", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
@@ -106,7 +122,7 @@ def mix(
     kind = "struct<quota:int,places:array<int>>"
     plan = F.create_map(*[x for s, (k, places) in of_source.items() for x in (F.lit("-" if s is None else "+" + s), F.struct(F.lit(k).alias("quota"), F.array(*map(F.lit, places)).alias("places")))]) if slots else F.lit(None).cast(f"map<string,{kind}>")
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
-    ranked = _rank(rows).select("id", "source", "rank", F.floor(F.col("rank") / block_rows).cast("long").alias("block"))
+    ranked = _rank(rows).select("id", "source", "row", "rank", F.floor(F.col("rank") / block_rows).cast("long").alias("block"))
     blocks = ranked.groupBy("source", "block").agg(F.count("*").alias("n"))
     own = F.element_at(plan, key)
     blocks = blocks.withColumn("own", own).select(
@@ -130,8 +146,9 @@ def mix(
     )
     out = ranked.join(placed, ranked["source"].eqNullSafe(placed["of"]) & (ranked["block"] == placed["at"]))
     return out.select(
-        F.col("id").alias(id_col),
-        F.col("source").alias(source_col),
+        "id",
+        "source",
+        "row",
         "block",
         "slot",
         (F.col("first") + F.col("rank") % block_rows).cast("long").alias("position"),

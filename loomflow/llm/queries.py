@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomflow.llm import embeddings, media, mixing, packing, shards, simhash, substrings, toxicity
+from loomflow.llm import embeddings, lines, media, mixing, packing, shards, simhash, substrings, tokencounts, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_substrings": substrings.op4_substrings,
     "op5_simhash": simhash.op5_simhash,
+    "op6_lines": lines.op6_lines,
+    "op7_tokencounts": tokencounts.op7_tokencounts,
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_sharding": shards.op9_sharding,
     "op10_mixing": mixing.op10_mixing,

@@ -63,10 +63,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """A machine for rows of buckets, by AdaGrad on the logistic loss.
 
     Without a row of each class it has no weights, and its bias gives the share
-    of label 1, a half where there is no row.
+    of label 1, one third where there is no row, so that nothing is rejected.
     """
     n, ones = len(rows), int(labels.sum())
-    share = (ones + 1) / (n + 2)
+    share = (ones + 1) / (n + 3)
     empty = Machine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
     if not ones or ones == n:
         return empty

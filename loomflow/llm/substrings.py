@@ -3,31 +3,33 @@
 A window of WINDOW words is a repeat if the same words start earlier: in a
 document of smaller id, or before it in the same one. Each window has an anchor,
 the least hash among its runs of ANCHOR words, so that equal windows have equal
-anchors at the same place. Only windows whose anchor occurs twice in the corpus
-can repeat; consecutive windows with one anchor form a region, and equal regions
-become one reference that knows its earliest place.
-
-Regions go to shards by their anchor, so a shard sees every copy of its windows.
-A shard streams its references, earliest first, through a suffix automaton of
-those before, whose matching statistics tell which windows have been seen, and
-then adds them to it. An automaton holds a bounded number of references. The
-windows of an anchor that is very frequent go to shards each on its own, so that
-no passage, however common, gathers in one task.
-
-Words are compared as they are; hashes choose candidates and pair up equal
-regions (128 bits).
+anchors at the same place. Consecutive windows with one anchor form a region of
+at most 15. A region that equals an earlier one repeats as a whole. Of equal
+regions the earliest is the reference, whose windows may still occur in other
+references of its anchor, and only there.
+
+The references of anchors that have several go to shards by anchor. A shard
+streams them, earliest first, through a suffix automaton of those before, whose
+matching statistics tell which windows have been seen, and adds them to it. An
+automaton holds a bounded number of references. References of an anchor that is
+very frequent are compared window by window under 128-bit digests instead, as
+partial sums, so that no passage, however common, gathers in one task.
+
+Only numbers are shuffled for regions (a 64-bit anchor, a 64-bit digest and a
+place); words follow for the references that an automaton compares.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomflow.llm.common import Staged, column, text_of
@@ -38,7 +40,10 @@ ANCHOR = 6
 FREQUENT = 256
 #: References in an automaton, about.
 SHARD_REFERENCES = 2000
-_MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Bits of a word's place in its document.
+PLACE_BITS = 28
+_MULTIPLY, _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+_POWERS = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 def split_words(text: str) -> list[bytes]:
@@ -46,11 +51,21 @@ def split_words(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def anchors(words: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each run of anchor words, place of the anchor of each window); fewer words than a window: none."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE to the powers 0 to n-1, and to their negatives, modulo 2**64."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        inverse = pow(int(_BASE), -1, 1 << 64)
+        _POWERS = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_BASE, inverse))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def regions(words: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, digest, first window, windows) of each region; fewer words than a window: none."""
     n = len(words)
     if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     runs = n - anchor + 1
     mixed = np.zeros(runs, np.uint64)
@@ -60,7 +75,13 @@ def anchors(words: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, n
     mixed *= _MIX
     mixed ^= mixed >> np.uint64(29)
     at = sliding_window_view(mixed, window - anchor + 1).argmin(axis=1) + np.arange(n - window + 1)
-    return mixed.view(np.int64), at
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    count = np.diff(np.append(first, len(at)))
+    up, down = _powers(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n])])
+    digest = (total[first + count + window - 1] - total[first]) * down[first]
+    digest ^= digest >> np.uint64(31)
+    return mixed[at[first]].view(np.int64), digest.view(np.int64), first, count
 
 
 class Automaton:
@@ -120,85 +141,90 @@ class Automaton:
             yield length
 
 
-def _regions(words: list[bytes], repeated: np.ndarray, frequent: np.ndarray, window: int, anchor: int) -> Iterator[tuple[int, int, int]]:
-    """(anchor's hash, first window, windows) of the regions with a repeated anchor; a frequent anchor's windows singly."""
-    hashes, at = anchors(words, window, anchor)
-    if not len(at):
-        return
-    mine = hashes[at]
-    live = np.isin(mine, repeated)
-    single = np.isin(mine, frequent)
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | single[1:]
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(at)))
-    for i, n in zip(first[live[first]].tolist(), size[live[first]].tolist(), strict=True):
-        yield int(mine[i]), i, n
-
-
-def repeats(docs: DataFrame, stage: Staged, id_col: str, text_col: str, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(id, hash, key, spans) of the documents that hold repeats: spans (first window, windows, bits of the repeated ones)."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, doc): doc orders documents by id, null last, and by a hash of the text."""
     base = docs.select(column(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"))
-    base = base.withColumn("hash", F.xxhash64("text")).withColumn("key", F.xxhash64("id", "hash"))
+    if base.schema["id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("ids must be whole numbers")
+    number = F.coalesce(F.col("id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63)).cast("decimal(20,0)"), F.lit(Decimal(1 << 64)).cast("decimal(20,0)"))
+    hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 32)).cast("decimal(10,0)")
+    return base.withColumn("doc", (number * F.lit(1 << 32).cast("decimal(10,0)") + hashed).cast("decimal(38,0)"))
+
+
+def _place(first: Column) -> Column:
+    return (F.col("doc") * F.lit(1 << PLACE_BITS).cast("decimal(10,0)") + first).cast("decimal(38,0)")
+
+
+def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc, spans) of the documents (id, text, doc) that hold repeats; a span is first window * 2**16 + bits of the repeated ones."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found = []
-                for x in part.column("text"):
-                    hashes, at = anchors(split_words(x.as_py()), window, anchor)
-                    found.append(hashes[np.unique(at)] if len(at) else hashes)
-                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row)), pa.array(np.concatenate(found), pa.int64())], names=["key", "anchor"])
-
-    all_anchors = base.select("key", "text").mapInArrow(find, "key bigint, anchor bigint")
-    counts = all_anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    mine = all_anchors.join(counts, "anchor").groupBy("key", "anchor").agg(F.max("n").alias("n")).groupBy("key")
-    frequent = F.collect_list(F.when(F.col("n") >= FREQUENT, F.col("anchor")))
-    mine = mine.agg(F.collect_list("anchor").alias("anchors"), frequent.alias("frequent"))
-    id_type = base.schema["id"].dataType.simpleString()
+                found = [regions(split_words(x.as_py()), window, anchor) for x in part.column("text")]
+                row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                anchors, digests, first, count = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc").take(pa.array(row)), pa.array(anchors), pa.array(digests), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int8))],
+                    names=["doc", "anchor", "digest", "first", "count"],
+                )
+
+    shape = "doc decimal(38,0), anchor bigint, digest bigint, first int, count tinyint"
+    every = stage.save(docs.select("doc", "text").mapInArrow(find, shape))
+    counts = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    live = stage.save(every.join(counts, "anchor"))
+    stage.drop(every)
+    contents = live.withColumn("place", _place(F.col("first"))).groupBy("anchor", "digest", "count", "n").agg(F.min("place").alias("place"))
+    contents = stage.save(contents)
+    several = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    first = F.pmod("place", F.lit(1 << PLACE_BITS).cast("decimal(10,0)")).cast("decimal(10,0)")
+    compared = contents.join(several, "anchor").select("anchor", "digest", "n", "count", first.cast("int").alias("first"), ((F.col("place") - first) / F.lit(1 << PLACE_BITS).cast("decimal(10,0)")).cast("decimal(38,0)").alias("of"))
+    by_doc = compared.groupBy("of").agg(F.collect_list(F.struct("anchor", "digest", "n", "count", "first")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                row, first, count, shard, same, same2, texts = ([] for _ in range(7))
-                for n, (x, known, often) in enumerate(zip(part.column("text"), part.column("anchors"), part.column("frequent"), strict=True)):
-                    words = split_words(x.as_py())
-                    frequent_here = often.values.to_numpy()
-                    rare = set(known.values.to_pylist()).difference(frequent_here.tolist())
-                    for hashed, i, k in _regions(words, known.values.to_numpy(), frequent_here, window, anchor):
-                        text = b" ".join(words[i : i + k + window - 1])
-                        a, b = struct.unpack("<qq", xxhash.xxh3_128_digest(text))
-                        row.append(n)
-                        first.append(i)
-                        count.append(k)
-                        shard.append(hashed if hashed in rare else a)
-                        same.append(a)
-                        same2.append(b)
-                        texts.append(text.decode())
-                at = pa.array(row, pa.int64())
+                lists = part.column("parts")
+                flat, ends = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(part.num_rows), ends)
+                at, n_windows = flat.field("first").to_numpy(), flat.field("count").to_numpy()
+                often = flat.field("n").to_numpy() >= FREQUENT
+                rows, offsets, texts, low, high = [], [], [], [], []
+                split, now = [], -1
+                for k, (r, i, n, single) in enumerate(zip(row.tolist(), at.tolist(), n_windows.tolist(), often.tolist(), strict=True)):
+                    if r != now:
+                        split, now = split_words(part.column("text")[r].as_py()), r
+                    for j in range(n if single else 1):
+                        text = b" ".join(split[i + j : i + j + window] if single else split[i : i + n + window - 1])
+                        a, b = struct.unpack("<qq", xxhash.xxh3_128_digest(text)) if single else (None, None)
+                        rows.append(k)
+                        offsets.append(j)
+                        low.append(a)
+                        high.append(b)
+                        texts.append(None if single else text.decode())
+                take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c).take(at) for c in ("id", "hash", "key")]
-                    + [pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(shard, pa.int64()), pa.array(same, pa.int64()), pa.array(same2, pa.int64()), pa.array(texts, pa.string())],
-                    names=["id", "hash", "key", "first", "count", "shard", "same", "same2", "words"],
+                    [part.column("doc").take(pa.array(row[rows] if rows else row[:0])), flat.field("anchor").take(take), flat.field("digest").take(take), flat.field("first").take(take)]
+                    + [pa.array(offsets, pa.int8()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(texts, pa.string())],
+                    names=["doc", "anchor", "digest", "first", "offset", "low", "high", "words"],
                 )
 
-    where = f"id {id_type}, hash bigint, key bigint, first int, count int, shard bigint, same bigint, same2 bigint, words string"
-    regions = stage.save(base.join(mine, "key").select("id", "hash", "key", "text", "anchors", "frequent").mapInArrow(cut, where))
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "first")
-    references = regions.groupBy("shard", "same", "same2", "words").agg(F.min(place).alias("at"))
-    references = references.select("shard", "same", "same2", "words", "at.no_id", "at.id", "at.hash", "at.first").repartition("shard")
+    shape = "doc decimal(38,0), anchor bigint, digest bigint, first int, offset tinyint, low bigint, high bigint, words string"
+    read = docs.join(by_doc, docs["doc"] == by_doc["of"]).select("doc", "text", "parts").mapInArrow(cut, shape)
+    read = stage.save(read.select("anchor", "digest", _place(F.col("first") + F.col("offset")).alias("place"), "offset", "low", "high", "words"))
+    references = read.where("words is not null").select("anchor", "digest", "place", "words").repartition("anchor")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
             return
+        table = pa.Table.from_batches(batches)
         shards = -(-table.num_rows // SHARD_REFERENCES)
-        mixed = table.column("shard").to_numpy().view(np.uint64) * _MULTIPLY
+        mixed = table.column("anchor").to_numpy().view(np.uint64) * _MULTIPLY
         own = pa.array(((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64))
-        table = table.append_column("own", own).sort_by([(c, "ascending") for c in ("own", "no_id", "id", "hash", "first")])
+        table = table.append_column("own", own).sort_by([("own", "ascending"), ("place", "ascending")])
         seen, bits, now = Automaton(), [], None
         for number, text in zip(table.column("own").to_pylist(), table.column("words"), strict=True):
             if number != now:
@@ -210,47 +236,43 @@ def repeats(docs: DataFrame, stage: Staged, id_col: str, text_col: str, window:
                     mask |= 1 << (n - window + 1)
             bits.append(mask)
             seen.add(words)
-        out = table.select(["same", "same2", "no_id", "id", "hash", "first"]).append_column("bits", pa.array(bits, pa.int32()))
-        yield from out.to_batches()
-
-    told = references.mapInArrow(stream, f"same bigint, same2 bigint, no_id boolean, id {id_type}, hash bigint, first int, bits int")
-    told = stage.save(told.select("same", "same2", F.struct("id", "hash", "first").alias("at"), "bits"))
-    every = F.expr("shiftleft(1, `count`) - 1")
-    spans = regions.join(told, ["same", "same2"]).select(
-        "id", "hash", "key", "first", "count", F.when(F.struct("id", "hash", "first") == F.col("at"), F.col("bits")).otherwise(every).alias("bits")
+        yield from table.select(["anchor", "digest"]).append_column("bits", pa.array(bits, pa.int32())).to_batches()
+
+    told = references.mapInArrow(stream, "anchor bigint, digest bigint, bits int")
+    single = read.where("words is null").select("anchor", "digest", "place", "offset", "low", "high")
+    earliest = single.groupBy("low", "high").agg(F.min("place").alias("least"))
+    later = single.join(earliest, ["low", "high"]).where("place > least").groupBy("anchor", "digest").agg(F.expr("bit_or(shiftleft(1, `offset`))").alias("bits"))
+    told = stage.save(told.where("bits <> 0").unionByName(later))
+    contents = contents.join(told, ["anchor", "digest"], "left").select("anchor", "digest", "place", "bits")
+    spans = live.join(contents, ["anchor", "digest"]).select(
+        "doc", "first", F.when(_place(F.col("first")) == F.col("place"), F.coalesce("bits", F.lit(0))).otherwise(F.expr("shiftleft(1, `count`) - 1")).alias("bits")
     )
-    # one list for each document, no longer than it has windows; equal rows tell the same spans
-    spans = spans.where("bits <> 0").groupBy("key", "id", "hash").agg(F.collect_set(F.struct("first", "count", "bits")).alias("spans"))
-    return spans
+    # one list for each document, no longer than it has windows; rows equal in id and text tell the same spans
+    return spans.where("bits <> 0").groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 16).bitwiseOR(F.col("bits").cast("long"))).alias("spans"))
 
 
-def covered(n: int, spans: list[dict], window: int) -> np.ndarray:
+def covered(n: int, spans: np.ndarray, window: int) -> np.ndarray:
     """Which of n words lie in a repeated window."""
-    edge = np.zeros(n + 1, np.int64)
-    for s in spans:
-        for k in range(s["count"]):
-            if s["bits"] >> k & 1:
-                edge[s["first"] + k] += 1
-                edge[s["first"] + k + window] -= 1
-    return np.cumsum(edge[:-1]) > 0
+    first, bits = spans >> 16, spans & 0xFFFF
+    starts = np.concatenate([first[bits >> k & 1 == 1] + k for k in range(16)])
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(starts + window, minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row: id_col, n_words, n_removed and text_col, the kept words joined by one space.
 
-    Null text has no words. Null ids count as larger than all others; rows of
-    one id are in the order of a hash of their texts, and rows equal in id and
-    text have one outcome. An empty table gives no rows. Other columns are not
-    read.
+    Ids are whole numbers. Null text has no words. Null ids count as larger than
+    all others; rows of one id are in the order of a hash of their texts, and
+    rows equal in id and text have one outcome. An empty table gives no rows.
+    Other columns are not read.
     """
-    if not ANCHOR < window <= ANCHOR + 24:
+    if not ANCHOR < window <= ANCHOR + 14:
         raise ValueError("the window does not suit the anchors")
     stage = Staged(docs.sparkSession, "substrings")
-    spans = stage.save(repeats(docs, stage, id_col, text_col, window))
-    base = docs.select(column(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"))
-    base = base.withColumn("hash", F.xxhash64("text")).withColumn("key", F.xxhash64("id", "hash"))
-    spans = spans.select(F.col("key").alias("of"), F.col("id").alias("of_id"), "spans")
-    rows = base.join(spans, (base["key"] == spans["of"]) & base["id"].eqNullSafe(spans["of_id"]), "left").select("id", "text", "spans")
+    base = _numbered(docs, id_col, text_col)
+    spans = stage.save(repeats(base, stage, window)).withColumnRenamed("doc", "of")
+    rows = base.join(spans, base["doc"] == spans["of"], "left").select("id", "text", "spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +281,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 words = split_words(x.as_py())
                 total.append(len(words))
                 if found.is_valid:
-                    out = covered(len(words), found.as_py(), window)
+                    out = covered(len(words), found.values.to_numpy(), window)
                     words = [w for w, o in zip(words, out.tolist(), strict=True) if not o]
                 gone.append(total[-1] - len(words))
                 kept.append(b" ".join(words).decode())

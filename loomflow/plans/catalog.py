@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loomflow.session import table
+from loomflow.plans import frame_queries, graph_queries, program_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for part in (graph_queries, program_queries, frame_queries):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return program_queries.triple_sum(spark, sf_dir)

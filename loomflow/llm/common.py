@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
@@ -19,11 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="loomflow-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="loomflow-"))
 
 
 class Staged:
@@ -70,3 +73,27 @@ def column(df: DataFrame, name: str) -> Column:
 def text_of(df: DataFrame, name: str) -> Column:
     """The text column, null as empty."""
     return F.coalesce(column(df, name).cast("string"), F.lit(""))
+
+
+#: Bits of a word's or line's place in its document.
+PLACE_BITS = 28
+
+
+def doc_number(id_col: Column, text: Column) -> Column:
+    """A decimal that orders documents by id, null last, and then by a hash of the text."""
+    number = F.coalesce(id_col.cast("decimal(20,0)") + F.lit(Decimal(1 << 63)).cast("decimal(20,0)"), F.lit(Decimal(1 << 64)).cast("decimal(20,0)"))
+    hashed = F.pmod(F.xxhash64(text), F.lit(1 << 32)).cast("decimal(10,0)")
+    return (number * F.lit(1 << 32).cast("decimal(10,0)") + hashed).cast("decimal(38,0)")
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, doc) with doc_number() as doc. Ids must be whole numbers."""
+    base = docs.select(column(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"))
+    if base.schema["id"].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError("ids must be whole numbers")
+    return base.withColumn("doc", doc_number(F.col("id"), F.col("text")))
+
+
+def place(at: Column) -> Column:
+    """A decimal that orders places in documents, from the column doc and a place in it."""
+    return (F.col("doc") * F.lit(1 << PLACE_BITS).cast("decimal(10,0)") + at).cast("decimal(38,0)")

@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomflow.llm.common import Staged, column, free_name, text_of
+from loomflow.llm.common import PLACE_BITS, Staged, column, doc_number, free_name, numbered, place, text_of
 
 THRESHOLD = 2
 MIN_CHARS = 24
 #: Low bits of a line's name: parities of its letters in so many classes.
-PARITIES = 24
+PARITIES = 40
 _PAIRS = 1 << 20
+_CLASS = np.uint64(1) << (np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(PARITIES)
 
 
 def segments(length: int, parts: int) -> list[tuple[int, int]]:
@@ -56,14 +57,24 @@ def probes(length: int, threshold: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def name(line: str) -> int:
-    """A line's number: 40 bits of a hash, then the parities; equal lines are equal, others hardly ever."""
-    parity = 0
-    for c in set(line):
-        if line.count(c) & 1:
-            parity ^= 1 << (ord(c) * 0x9E3779B1 >> 7) % PARITIES
-    x = xxhash.xxh3_64_intdigest(line) >> PARITIES << PARITIES | parity
-    return x - (1 << 64) if x >> 63 else x
+def named_lines(text: str, min_chars: int) -> tuple[list[int], list[str], np.ndarray]:
+    """(number, line, name) of the lines that are long enough.
+
+    A name is 24 bits of a hash and then the parities of the letters; equal
+    lines have equal names, others hardly ever.
+    """
+    lines = text.split("\n")
+    at = [n for n, line in enumerate(lines) if len(line) >= min_chars]
+    if not at:
+        return at, [], np.zeros(0, np.int64)
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    parity = np.zeros(len(letters) + 1, np.uint64)
+    np.bitwise_xor.accumulate(_CLASS[letters & np.uint32(0xFFFF)], out=parity[1:])
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    start = (np.cumsum(size + 1) - size - 1)[at]
+    kept = [lines[n] for n in at]
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, kept), np.uint64, len(kept))
+    return at, kept, (h << np.uint64(PARITIES) | parity[start + size[at]] ^ parity[start]).view(np.int64)
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -117,29 +128,24 @@ def edits(a: str, b: str, most: int) -> int:
     return min(score, most + 1)
 
 
-def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    base = docs.select(column(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"))
-    return base.withColumn("hash", F.xxhash64("text"))
-
-
-def _eligible(text: str, min_chars: int) -> Iterator[tuple[int, str]]:
-    for n, line in enumerate(text.split("\n")):
-        if len(line) >= min_chars:
-            yield n, line
-
-
 def _keys(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """(key, line, asks): what lines hold and, with asks, what they look for."""
+    """(key, line): hashes of what lines hold (low bits 0), and of what they look for in shorter (1) and equally long ones (2)."""
+
+    def plan(n: int) -> tuple[list, np.ndarray]:
+        own = [(n << 3 | k, p, p + size, 0) for k, (p, size) in enumerate(segments(n, threshold + 1))]
+        own += [(m << 3 | k, p, p + size, 1 + (m == n)) for m, k, p, size in probes(n, threshold) if m >= min_chars]
+        return [x[:3] for x in own], np.array([x[3] for x in own], np.uint64)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[int, tuple[list, list]] = {}
+        digest = xxhash.xxh3_64_intdigest
+        plans: dict[int, tuple[list, np.ndarray]] = {}
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 seen: set[int] = set()
-                keys, lines, asks = [], [], []
+                keys, roles, names, sizes = [], [np.zeros(0, np.uint64)], [], []
                 for x in batch.column("text").slice(lo, 512):
-                    for _, line in _eligible(x.as_py(), min_chars):
-                        me = name(line)
+                    _, kept, called = named_lines(x.as_py(), min_chars)
+                    for line, me in zip(kept, called.tolist(), strict=True):
                         if me in seen:
                             continue
                         seen.add(me)
@@ -147,96 +153,93 @@ def _keys(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
                         if n not in plans:
                             if len(plans) > 20_000:
                                 plans.clear()
-                            own = [(n << 3 | k, p, p + size) for k, (p, size) in enumerate(segments(n, threshold + 1))]
-                            plans[n] = own, [(m << 3 | k, p, p + size) for m, k, p, size in probes(n, threshold) if m >= min_chars]
-                        own, other = plans[n]
-                        keys.extend(xxhash.xxh3_64_intdigest(line[p:q], s) for s, p, q in own)
-                        keys.extend(xxhash.xxh3_64_intdigest(line[p:q], s) for s, p, q in other)
-                        lines.extend([me] * (len(own) + len(other)))
-                        asks.extend([False] * len(own))
-                        asks.extend([True] * len(other))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(lines, pa.int64()), pa.array(asks, pa.bool_())], names=["key", "line", "asks"])
+                            plans[n] = plan(n)
+                        cuts, role = plans[n]
+                        keys += [digest(line[p:q], s) for s, p, q in cuts]
+                        roles.append(role)
+                        names.append(me)
+                        sizes.append(len(cuts))
+                key = np.array(keys, np.uint64) << np.uint64(2) | np.concatenate(roles)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), sizes))], names=["key", "line"])
 
-    return docs.select("text").mapInArrow(each, "key bigint, line bigint, asks boolean")
+    return docs.select("text").mapInArrow(each, "key bigint, line bigint")
 
 
 def candidates(keys: DataFrame, threshold: int) -> DataFrame:
-    """Distinct (a, b) of lines that meet under a key and whose parities allow a link, a the one that asks."""
+    """Distinct (a, b) of lines that meet under a key and whose parities allow a link, a less than b."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "asks")) for b in batches]
+        got = [(b.column("key").to_numpy(), b.column("line").to_numpy()) for b in batches]
         if not got:
             return
-        key, line, asks = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((line, asks, key))
-        key, line, asks = key[order], line[order], asks[order]
+        key, line = (np.concatenate(x) for x in zip(*got, strict=True))
+        key = key.view(np.uint64)
+        order = np.lexsort((line, key))
+        key, line = key[order], line[order]
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1]) | (asks[1:] != asks[:-1])
-        key, line, asks = key[new], line[new], asks[new]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        key, line = key[new], line[new]
+        group, role = key >> np.uint64(2), key & np.uint64(3)
+        start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         size = np.diff(np.append(start, len(key)))
-        holders = np.add.reduceat(~asks, start)
+        holders = np.add.reduceat((role == 0).astype(np.int64), start)
         both = (holders > 0) & (holders < size)
-        start, size, holders = start[both], size[both], holders[both]
+        start, holders, asking = start[both], holders[both], (size - holders)[both]
         # row by row of those that ask, so that memory does not follow the largest group
-        asker = np.repeat(start + holders, size - holders) + (np.arange((size - holders).sum()) - np.repeat(np.cumsum(size - holders) - (size - holders), size - holders))
-        first, n = np.repeat(start, size - holders), np.repeat(holders, size - holders)
+        asker = np.repeat(start + holders - np.cumsum(asking) + asking, asking) + np.arange(asking.sum())
+        first, n = np.repeat(start, asking), np.repeat(holders, asking)
         low = np.int64((1 << PARITIES) - 1)
         at = 0
         while at < len(asker):
             upto = max(at + 1, at + int(np.searchsorted(np.cumsum(n[at : at + _PAIRS]), _PAIRS, side="right")))
             k = n[at:upto]
             a = np.repeat(line[asker[at:upto]], k)
-            b = line[np.repeat(first[at:upto], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
-            near = (a != b) & (np.bitwise_count((a ^ b) & low) <= 2 * threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["a", "b"])
+            b = line[np.repeat(first[at:upto] - np.cumsum(k) + k, k) + np.arange(k.sum())]
+            # equally long lines find each other both ways
+            near = np.where(np.repeat(role[asker[at:upto]] == 2, k), a > b, a != b) & (np.bitwise_count((a ^ b) & low) <= 2 * threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[near]), pa.array(np.maximum(a, b)[near])], names=["a", "b"])
             at = upto
 
-    pairs = keys.repartition("key").mapInArrow(meet, "a bigint, b bigint")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = keys.repartition(F.shiftrightunsigned("key", 2)).mapInArrow(meet, "a bigint, b bigint")
+    return pairs.distinct()
 
 
 def removals(docs: DataFrame, stage: Staged, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(id, hash, lines): the numbers of the lines to remove from the rows of docs (id, text, hash) that have some."""
-    id_type = docs.schema["id"].dataType.simpleString()
+    """(doc, lines): the numbers of the lines to remove from the documents (text, doc) that have some."""
 
     def each(with_text: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 512):
                     part = batch.slice(lo, 512)
-                    row, at, names, mark, texts = [], [], [], [], []
-                    wanted = part.column("wanted") if with_text else None
+                    row, at, names, mark, texts = [], [], [np.zeros(0, np.int64)], [], []
                     for n, x in enumerate(part.column("text")):
-                        want = set(wanted[n].as_py()) if with_text else None
-                        for k, line in _eligible(x.as_py(), min_chars):
-                            if want is not None and k not in want:
-                                continue
-                            row.append(n)
-                            at.append(k)
-                            names.append(name(line))
-                            mark.append(xxhash.xxh3_64_intdigest(line, 1))
-                            if with_text:
-                                texts.append(line)
-                    arrays = [part.column(c).take(pa.array(row, pa.int64())) for c in ("id", "hash")]
-                    arrays += [pa.array(at, pa.int32()), pa.array(names, pa.int64()), pa.array(np.array(mark, np.uint64).view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(arrays + ([pa.array(texts, pa.string())] if with_text else []), names=["id", "hash", "at", "line", "mark"] + ["words"] * with_text)
+                        numbers, kept, called = named_lines(x.as_py(), min_chars)
+                        if with_text:
+                            want = set(part.column("wanted")[n].as_py())
+                            some = [k for k, number in enumerate(numbers) if number in want]
+                            numbers, kept, called = [numbers[k] for k in some], [kept[k] for k in some], called[some]
+                            texts += kept
+                        row += [n] * len(numbers)
+                        at += numbers
+                        names.append(called)
+                        mark += [xxhash.xxh3_64_intdigest(line, 1) for line in kept]
+                    arrays = [part.column("doc").take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(np.concatenate(names)), pa.array(np.array(mark, np.uint64).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays + ([pa.array(texts, pa.string())] if with_text else []), names=["doc", "at", "line", "mark"] + ["words"] * with_text)
 
         return run
 
-    shape = f"id {id_type}, hash bigint, at int, line bigint, mark bigint"
-    lines = docs.select("id", "hash", "text").mapInArrow(each(False), shape)
-    lines = stage.save(lines)
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "hash", "at")
-    # a text's first place; the two hashes name a text by 104 bits
-    texts = stage.save(lines.groupBy("line", "mark").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    shape = "doc decimal(38,0), at int, line bigint, mark bigint"
+    lines = stage.save(docs.select("doc", "text").mapInArrow(each(False), shape))
+    # a text's first place; name and mark tell a text by 88 bits of hashes and its parities
+    texts = stage.save(lines.withColumn("first", place(F.col("at"))).groupBy("line", "mark").agg(F.min("first").alias("first"), F.count("*").alias("n")))
     pairs = stage.save(candidates(_keys(docs, threshold, min_chars), threshold))
     members = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    some = texts.join(members, "line").select("first.id", "first.hash", "first.at").groupBy("id", "hash").agg(F.collect_set("at").alias("wanted"))
-    some = some.withColumnRenamed("id", "of").withColumnRenamed("hash", "of_hash")
-    asked = docs.join(some, docs["id"].eqNullSafe(some["of"]) & (docs["hash"] == some["of_hash"])).select("id", "hash", "text", "wanted")
-    asked = asked.mapInArrow(each(True), shape + ", words string")
-    words = stage.save(asked.groupBy("line", "mark").agg(F.min("words").alias("words")).join(texts.select("line", "mark", "first"), ["line", "mark"]))
+    at = F.pmod("first", F.lit(1 << PLACE_BITS).cast("decimal(10,0)")).cast("decimal(10,0)")
+    some = texts.join(members, "line").select(at.cast("int").alias("at"), ((F.col("first") - at) / F.lit(1 << PLACE_BITS).cast("decimal(10,0)")).cast("decimal(38,0)").alias("of"))
+    some = some.groupBy("of").agg(F.collect_set("at").alias("wanted"))
+    asked = docs.join(some, docs["doc"] == some["of"]).select("doc", "text", "wanted").mapInArrow(each(True), shape + ", words string")
+    words = stage.save(asked.withColumn("first", place(F.col("at"))).groupBy("line", "mark", "first").agg(F.min("words").alias("words")))
     left = words.select(F.col("line").alias("a"), F.col("mark").alias("a_mark"), F.col("words").alias("a_words"), F.col("first").alias("a_first"))
     right = words.select(F.col("line").alias("b"), F.col("mark").alias("b_mark"), F.col("words").alias("b_words"), F.col("first").alias("b_first"))
     met = pairs.join(left, "a").join(right, "b")
@@ -246,11 +249,11 @@ def removals(docs: DataFrame, stage: Staged, threshold: int = THRESHOLD, min_cha
         return pa.array([edits(x, y, threshold) <= threshold for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
     met = met.where(linked("a_words", "b_words"))
-    later = met.select(F.explode(F.when(F.col("a_first") > F.col("b_first"), F.array(F.struct(F.col("a").alias("line"), F.col("a_mark").alias("mark")))).when(F.col("a_first") < F.col("b_first"), F.array(F.struct(F.col("b").alias("line"), F.col("b_mark").alias("mark"))))).alias("x"))
-    later = later.select("x.line", "x.mark", F.lit(True).alias("linked")).distinct()
-    judged = texts.where("n > 1").select("line", "mark", "first").join(later, ["line", "mark"], "full").select("line", "mark", "first", F.coalesce("linked", F.lit(False)).alias("linked"))
-    gone = lines.join(judged, ["line", "mark"]).where(F.col("linked") | (F.struct("id", "hash", "at") != F.struct("first.id", "first.hash", "first.at")))
-    return gone.groupBy("id", "hash").agg(F.collect_set("at").alias("lines"))
+    a_later = F.col("a_first") > F.col("b_first")
+    later = met.select(F.when(a_later, F.col("a")).otherwise(F.col("b")).alias("line"), F.when(a_later, F.col("a_mark")).otherwise(F.col("b_mark")).alias("mark"), F.lit(True).alias("linked")).distinct()
+    judged = stage.save(texts.where("n > 1").select("line", "mark", "first").join(later, ["line", "mark"], "full").select("line", "mark", "first", F.coalesce("linked", F.lit(False)).alias("linked")))
+    gone = lines.join(judged, ["line", "mark"]).where(F.col("linked") | (place(F.col("at")) != F.col("first")))
+    return gone.groupBy("doc").agg(F.collect_set("at").alias("lines"))
 
 
 @F.arrow_udf(T.StringType())
@@ -269,17 +272,16 @@ def mark(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD
     if not 0 <= threshold <= 6 or min_chars <= threshold:
         raise ValueError("threshold must be from 0 to 6, and min_chars above it")
     stage = Staged(docs.sparkSession, "lines")
-    gone = stage.save(removals(_named(docs, id_col, text_col), stage, threshold, min_chars))
-    names = {c: free_name(docs, c) for c in ("of", "of_hash", "lines")}
-    gone = gone.select(F.col("id").alias(names["of"]), F.col("hash").alias(names["of_hash"]), F.col("lines").alias(names["lines"]))
-    same = column(docs, id_col).eqNullSafe(gone[names["of"]]) & (F.xxhash64(text_of(docs, text_col)) == gone[names["of_hash"]])
-    return docs.join(gone, same, "left").drop(names["of"], names["of_hash"]), names["lines"]
+    gone = stage.save(removals(numbered(docs, id_col, text_col), stage, threshold, min_chars))
+    of, lines = free_name(docs, "of"), free_name(docs, "lines")
+    gone = gone.select(F.col("doc").alias(of), F.col("lines").alias(lines))
+    return docs.join(gone, doc_number(column(docs, id_col), text_of(docs, text_col)) == gone[of], "left").drop(of), lines
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per row: id_col, n_lines, n_removed and text_col, the kept lines joined by line feeds.
 
-    Lines end at line feeds only. Null text is one empty line. Null ids count as
+    Ids are whole numbers. Lines end at line feeds only. Null text is one empty line. Null ids count as
     larger than all others; rows of one id are in the order of a hash of their
     texts, and rows equal in id and text have one outcome. An empty table gives
     no rows. Other columns are not read.

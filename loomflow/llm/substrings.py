@@ -23,16 +23,15 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomflow.llm.common import Staged, column, text_of
+from loomflow.llm.common import PLACE_BITS, Staged, numbered, place
 
 WINDOW = 20
 ANCHOR = 6
@@ -40,8 +39,6 @@ ANCHOR = 6
 FREQUENT = 256
 #: References in an automaton, about.
 SHARD_REFERENCES = 2000
-#: Bits of a word's place in its document.
-PLACE_BITS = 28
 _MULTIPLY, _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
@@ -141,20 +138,6 @@ class Automaton:
             yield length
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, doc): doc orders documents by id, null last, and by a hash of the text."""
-    base = docs.select(column(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"))
-    if base.schema["id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
-        raise TypeError("ids must be whole numbers")
-    number = F.coalesce(F.col("id").cast("decimal(20,0)") + F.lit(Decimal(1 << 63)).cast("decimal(20,0)"), F.lit(Decimal(1 << 64)).cast("decimal(20,0)"))
-    hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 32)).cast("decimal(10,0)")
-    return base.withColumn("doc", (number * F.lit(1 << 32).cast("decimal(10,0)") + hashed).cast("decimal(38,0)"))
-
-
-def _place(first: Column) -> Column:
-    return (F.col("doc") * F.lit(1 << PLACE_BITS).cast("decimal(10,0)") + first).cast("decimal(38,0)")
-
-
 def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc, spans) of the documents (id, text, doc) that hold repeats; a span is first window * 2**16 + bits of the repeated ones."""
 
@@ -173,9 +156,11 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
     shape = "doc decimal(38,0), anchor bigint, digest bigint, first int, count tinyint"
     every = stage.save(docs.select("doc", "text").mapInArrow(find, shape))
     counts = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # sums are staged before a join, so that Spark can split the other side where a key is frequent
+    counts = stage.save(counts)
     live = stage.save(every.join(counts, "anchor"))
-    stage.drop(every)
-    contents = live.withColumn("place", _place(F.col("first"))).groupBy("anchor", "digest", "count", "n").agg(F.min("place").alias("place"))
+    stage.drop(every, counts)
+    contents = live.withColumn("place", place(F.col("first"))).groupBy("anchor", "digest", "count", "n").agg(F.min("place").alias("place"))
     contents = stage.save(contents)
     several = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     first = F.pmod("place", F.lit(1 << PLACE_BITS).cast("decimal(10,0)")).cast("decimal(10,0)")
@@ -213,7 +198,7 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
 
     shape = "doc decimal(38,0), anchor bigint, digest bigint, first int, offset tinyint, low bigint, high bigint, words string"
     read = docs.join(by_doc, docs["doc"] == by_doc["of"]).select("doc", "text", "parts").mapInArrow(cut, shape)
-    read = stage.save(read.select("anchor", "digest", _place(F.col("first") + F.col("offset")).alias("place"), "offset", "low", "high", "words"))
+    read = stage.save(read.select("anchor", "digest", place(F.col("first") + F.col("offset")).alias("place"), "offset", "low", "high", "words"))
     references = read.where("words is not null").select("anchor", "digest", "place", "words").repartition("anchor")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,12 +225,12 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
 
     told = references.mapInArrow(stream, "anchor bigint, digest bigint, bits int")
     single = read.where("words is null").select("anchor", "digest", "place", "offset", "low", "high")
-    earliest = single.groupBy("low", "high").agg(F.min("place").alias("least"))
+    earliest = stage.save(single.groupBy("low", "high").agg(F.min("place").alias("least")))
     later = single.join(earliest, ["low", "high"]).where("place > least").groupBy("anchor", "digest").agg(F.expr("bit_or(shiftleft(1, `offset`))").alias("bits"))
     told = stage.save(told.where("bits <> 0").unionByName(later))
-    contents = contents.join(told, ["anchor", "digest"], "left").select("anchor", "digest", "place", "bits")
+    contents = stage.save(contents.join(told, ["anchor", "digest"], "left").select("anchor", "digest", "place", "bits"))
     spans = live.join(contents, ["anchor", "digest"]).select(
-        "doc", "first", F.when(_place(F.col("first")) == F.col("place"), F.coalesce("bits", F.lit(0))).otherwise(F.expr("shiftleft(1, `count`) - 1")).alias("bits")
+        "doc", "first", F.when(place(F.col("first")) == F.col("place"), F.coalesce("bits", F.lit(0))).otherwise(F.expr("shiftleft(1, `count`) - 1")).alias("bits")
     )
     # one list for each document, no longer than it has windows; rows equal in id and text tell the same spans
     return spans.where("bits <> 0").groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 16).bitwiseOR(F.col("bits").cast("long"))).alias("spans"))
@@ -270,7 +255,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     if not ANCHOR < window <= ANCHOR + 14:
         raise ValueError("the window does not suit the anchors")
     stage = Staged(docs.sparkSession, "substrings")
-    base = _numbered(docs, id_col, text_col)
+    base = numbered(docs, id_col, text_col)
     spans = stage.save(repeats(base, stage, window)).withColumnRenamed("doc", "of")
     rows = base.join(spans, base["doc"] == spans["of"], "left").select("id", "text", "spans")
 

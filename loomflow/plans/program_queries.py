@@ -31,13 +31,13 @@ def _input(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _row(name: str, source: str, sql: str, *args: str, function: str | None = None) -> None:
-    """A program over each line, its results counted by value (and summed, where numeric, by the value itself)."""
+def _row(name: str, source: str, sql: str, *args: str, function: str | None = None, missing: int | None = None) -> None:
+    """A program over each line, its value in out; missing stands for None."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _input(spark, sf_dir)
-        out = rows.select("k", "n", plan.column(rows, source, *args, name=function).alias("out"))
-        return out
+        out = plan.column(rows, source, *args, name=function)
+        return rows.select("k", "n", (out if missing is None else F.coalesce(out, F.lit(missing))).alias("out"))
 
     QUERIES[name] = run
     ORACLE_SQL[name] = f"WITH i AS ({_INPUT}) SELECT k, n, {sql} AS out FROM i"
@@ -80,7 +80,7 @@ _row("f03_binarycount", "def g(a, b, n):\n    count = 0\n    for i, bit in enume
 _row("f03_filter_list", "def g(a, b, n):\n    kept = []\n    for x in [a, b, n]:\n        if x >= 0:\n            kept.append(x)\n    return len(kept)\n", "CAST((a >= 0)::INT + (b >= 0)::INT + (n >= 0)::INT AS BIGINT)", "a", "b", "n")
 _row("f03_nested_loops", "def g(n):\n    total = 0\n    for i in range(n):\n        row = 0\n        for j in range(i):\n            row += j\n        total += row\n    return total\n", "CAST(n * (n - 1) * (n - 2) / 6 AS BIGINT)", "n")
 _row("f06_loop_carried", "def g(n):\n    a, b = 0, 1\n    for i in range(n):\n        a, b = b, a + b\n    return a\n", "CAST(list_extract([0, 1, 1, 2, 3, 5, 8, 13, 21, 34, 55], n + 1) AS BIGINT)", "n")
-_row("f07_early_return", "def g(a):\n    if a < 0:\n        return None\n    if a == 0:\n        return 0\n    return a * 2\n", "CASE WHEN a < 0 THEN NULL ELSE a * 2 END", "a")
+_row("f07_early_return", "def g(a):\n    if a < 0:\n        return None\n    if a == 0:\n        return 0\n    return a * 2\n", "CASE WHEN a < 0 THEN -999 ELSE a * 2 END", "a", missing=-999)
 _row("f09_inlining", "def add(a, b):\n    return a + b\ndef g(a, b, n):\n    return add(a, add(b, n))\n", "a + b + n", "a", "b", "n", function="g")
 _row("f15_arguments", "def h(a, *rest, **named):\n    return a + len(rest) + named['z']\ndef g(a, b, n):\n    return h(a, b, n, z=b)\n", "a + 2 + b", "a", "b", "n", function="g")
 

@@ -46,7 +46,7 @@ def parse(text: str) -> list[tuple[int, str, str]]:
 def instructions(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(file, ord, inst, value) of build files given as whole texts, by column functions only."""
     clean = F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*#.*(\r?\n|$)", ""), r"\\[ \t]*\r?\n\s*", " ")
-    lines = F.filter(F.transform(F.split(clean, r"\r?\n"), F.trim), lambda x: F.rlike(x, F.lit(r"(?i)^(" + "|".join(INSTRUCTIONS) + r")(\s|$)")))
+    lines = F.filter(F.transform(F.split(clean, r"\r?\n"), lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit(r"(?i)^(" + "|".join(INSTRUCTIONS) + r")(\s|$)")))
     rows = files.select(F.col(path).alias("file"), F.posexplode(lines).alias("ord", "line"))
     value = F.trim(F.regexp_replace("line", r"^\S+\s*", ""))
     return rows.select("file", "ord", F.upper(F.regexp_extract("line", r"^\S+", 0)).alias("inst"), F.regexp_replace(value, r"\s+", " ").alias("value"))

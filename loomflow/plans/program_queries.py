@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.plans import compile as plan
+from loomflow.plans import graphplan
 from loomflow.session import table
+from loomflow.sources import describe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -118,3 +120,24 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["f03_list_column"] = _lists
 ORACLE_SQL["f03_list_column"] = "SELECT l_orderkey, CAST(count(*) FILTER (l_partkey % 2 = 0) * 1000000 + max(l_partkey) AS BIGINT) AS out FROM lineitem GROUP BY 1"
+
+
+def _graph(name: str, source: str, args: str, sql: str, function: str) -> None:
+    """A described graph, compiled from its calls and edges, over every line."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _input(spark, sf_dir)
+        graph = describe.describe(source, names=[function]).graph(spark)
+        return rows.select("k", "n", graphplan.column(rows, graph, function, *args.split()).alias("out"))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"WITH i AS ({_INPUT}) SELECT k, n, {sql} AS out FROM i"
+
+
+_graph("f10_graph_triple_sum", TRIPLE_SUM, "a b n", "a + b + n", "triple_sum")
+_graph("f11_graph_reuse", "def f(a, b):\n    c = a + b\n    return c * c - a\n", "a b", "(a + b) * (a + b) - a", "f")
+_graph("f12_graph_n_sum", "def n_sum(n):\n    total = 0\n    for i in range(n):\n        total += i\n    return total\n", "n", "n * (n - 1) // 2", "n_sum")
+_graph("f13_graph_strategies", "def f(a, b, n):\n    return [a, b, n][1] + len([a, b])\n", "a b n", "b + 2", "f")
+_graph("f14_graph_branch", "def f(a, b):\n    if a > b:\n        return a - b\n    return b * 2\n", "a b", "CASE WHEN a > b THEN a - b ELSE b * 2 END", "f")
+_graph("f14_graph_loop_branch", "def f(a, b, n):\n    best = a\n    for x in [b, n]:\n        if x > best:\n            best = x + 0\n    return best\n", "a b n", "greatest(a, b, n)", "f")
+_graph("f18_graph_nested", "def f(a, n):\n    total = 0\n    for i in range(n):\n        for j in range(i):\n            total += j * a\n    return total\n", "a n", "CAST(a * (n * (n - 1) * (n - 2) / 6) AS BIGINT)", "f")

@@ -187,6 +187,28 @@ def _t03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.to_end(windows.chunks(stream, ["event_type"], "ts", "30 minutes", "1 hour"), checkpoint, "complete").groupBy("event_type").agg(F.count("*").alias("chunks"), F.sum("n").alias("n"))
 
 
+
+def _t01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every batch of a stream by itself: its rows by kind, summed at the end."""
+    stream, checkpoint = _stream(spark, sf_dir)
+    path = _folder(spark, "batches")
+    windows.each_batch(stream, lambda batch, n: batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={n}"), checkpoint)
+    return spark.read.parquet(path).groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+def _t04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of one state for each user, carried between batches; what is still open is not told."""
+    stream, checkpoint = _stream(spark, sf_dir)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = windows.to_end(windows.state_intervals(stream, "user_id", "ts", "event_type"), checkpoint)
+    return out.groupBy("key").agg(F.count("*").alias("intervals"), F.sum("n").alias("rows"))
+
+
+_q("t01_batches", _t01, "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+_q("t04_stream_intervals", _t04, """
+WITH c AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY ts, event_id) run FROM (SELECT *, coalesce((event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT, 1) ch FROM events)),
+g AS (SELECT user_id, run, count(*) n, lead(run) OVER (PARTITION BY user_id ORDER BY run) later FROM c GROUP BY 1, 2)
+SELECT user_id AS key, count(*) AS intervals, CAST(sum(n) AS BIGINT) AS rows FROM g WHERE later IS NOT NULL GROUP BY 1""")
 _q("t02_stream_windows", _t02, "SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY 1, 2")
 _q("t03_stream_sessions", _t03, """
 SELECT event_type, count(*) FILTER (new = 1) AS chunks, count(*) AS n FROM (SELECT event_type, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTES THEN 0 ELSE 1 END new FROM events) GROUP BY 1""")

@@ -132,3 +132,37 @@ def test_csv_and_arrow(spark, tmp_path):
     assert back.columns == ["x", "y"] and back.count() == 1
     readers.write_arrow(df, str(tmp_path / "t.arrow"))
     assert sorted(map(tuple, readers.read_arrow(spark, str(tmp_path / "t.arrow"), "k int, v string").collect())) == [(1, "a"), (2, "b")]
+
+
+GRAPH_PROGRAMS = [
+    ("simple_sum", SOURCES["simple_sum"], lambda a, b, n: (a, b), "a b"),
+    ("triple_sum", SOURCES["triple_sum"], lambda a, b, n: (a, b, n), "a b n"),
+    ("n_sum", SOURCES["n_sum"], lambda a, b, n: (n,), "n"),
+    ("f", "def f(a, b, n):\n    c = a * b\n    if c > n:\n        return c - n\n    return c // b + n\n", lambda a, b, n: (a, b, n), "a b n"),
+    ("f", "def f(a, b, n):\n    best = a\n    for x in [b, n, a * b]:\n        if x > best:\n            best = x + 0\n    return best\n", lambda a, b, n: (a, b, n), "a b n"),
+    ("f", "def f(a, n):\n    kept = []\n    for i in range(n % 6):\n        if i % 2 == 0:\n            kept.append(i * a)\n    return sum(kept) + len(kept)\n", lambda a, b, n: (a, n), "a n"),
+    ("f", "def f(a, n):\n    total = 0\n    for i in range(n % 5):\n        for j in range(i):\n            total += j * a\n    return total\n", lambda a, b, n: (a, n), "a n"),
+    ("f", "def f(a, b):\n    return f'{a}-{b}' + str(a if a > b else b)\n", lambda a, b, n: (a, b), "a b"),
+]
+
+
+@pytest.mark.parametrize(("name", "source", "pick", "columns"), GRAPH_PROGRAMS)
+def test_graphs_run_as_their_programs(spark, name, source, pick, columns):
+    from loomflow.plans import graphplan
+
+    space: dict = {}
+    exec(source, space)
+    rows = [(a, b, n) for a in (-3, 0, 4, 7) for b in (-2, 1, 5) for n in (-1, 0, 3, 11)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, n bigint")
+    graph = describe.describe(source, names=[name]).graph(spark)
+    got = df.select("a", "b", "n", graphplan.column(df, graph, name, *columns.split()).alias("out")).collect()
+    assert [r["out"] for r in got] == [space[name](*pick(*r)) for r in rows]
+
+
+def test_a_graph_read_from_turtle_runs(spark, tmp_path):
+    from loomflow.plans import graphplan
+
+    turtle.write(describe.describe(SOURCES["binarycount"], names=["binarycount"]).graph(spark), str(tmp_path / "g"))
+    df = spark.createDataFrame([([1, 0, 1],), ([],), ([1, 1, 1, 1],)], "bits array<bigint>")
+    got = df.select(graphplan.column(df, turtle.read(spark, str(tmp_path / "g")), "binarycount", "bits").alias("out")).collect()
+    assert [r["out"] for r in got] == [5, 0, 15]

@@ -170,6 +170,20 @@ def links(fps: DataFrame, differing: int = DIFFERING, blocks: tuple[int, ...] =
     return dealt.select("fp", "choice").mapInArrow(each, "a bigint, b bigint")
 
 
+def _members(docs: DataFrame, id_col: str, text_col: str, words: int, differing: int) -> DataFrame:
+    """(id, hash, fp, component, component_id) of each row; a component is named by a fingerprint."""
+    stage = Staged(docs.sparkSession, "simhash")
+    text = text_of(docs, text_col)
+    rows = stage.save(fingerprints(docs, text, [column(docs, id_col).alias("id"), F.xxhash64(text).alias("hash")], words))
+    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    forest = links(rows.select("fp").distinct(), differing)
+    member = connected(forest, stage)
+    named = classes.join(member, classes["fp"] == member["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_fp = stage.save(named.join(first, "component").select(F.col("fp").alias("of"), "component", "component_id"))
+    return rows.join(of_fp, rows["fp"] == of_fp["of"]).drop("of")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, differing: int = DIFFERING) -> DataFrame:
     """One row per row: id_col, fp and component_id, the smallest id that links reach.
 
@@ -177,25 +191,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     but name no group that has another id. Repeated rows are in one group. An
     empty table gives no rows. Other columns are not read.
     """
-    stage = Staged(docs.sparkSession, "simhash")
-    rows = stage.save(fingerprints(docs, text_of(docs, text_col), [column(docs, id_col).alias("id")], words))
-    classes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    forest = links(rows.select("fp").distinct(), differing)
-    member = connected(forest, stage)
-    named = classes.join(member, classes["fp"] == member["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(first, "component").select(F.col("fp").alias("of"), "component_id")
-    return rows.join(of_fp, rows["fp"] == of_fp["of"]).select(F.col("id").alias(id_col), "fp", "component_id")
+    found = _members(docs, id_col, text_col, words, differing)
+    return found.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, differing: int = DIFFERING) -> DataFrame:
-    """docs with one row of each group: of the smallest id; of repeated ids the smallest text hash, of equal rows any one."""
-    found = groups(docs, id_col, text_col, words, differing)
-    first = found.groupBy("component_id").agg(F.min(id_col).alias("of")).select("of").distinct()
+    """docs with one row of each group: of the smallest id, null last; of repeated ids the smallest text hash, of equal rows any one."""
+    found = _members(docs, id_col, text_col, words, differing)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("best"))
+    best = best.select(F.col("best.id").alias("of"), F.col("best.hash").alias("of_hash"))
     rank, text = free_name(docs, "rank"), free_name(docs, "hash")
-    # groups that have no id at all keep one row together
-    kept = docs.join(first, column(docs, id_col).eqNullSafe(first["of"])).drop("of").withColumn(text, F.xxhash64(text_of(docs, text_col)))
-    one = Window.partitionBy(column(docs, id_col)).orderBy(text)
+    docs = docs.withColumn(text, F.xxhash64(text_of(docs, text_col)))
+    # a text is in one group, so a row's id and text tell whether it is the one
+    kept = docs.join(best, column(docs, id_col).eqNullSafe(best["of"]) & (docs[text] == best["of_hash"]), "left_semi")
+    one = Window.partitionBy(column(kept, id_col), text).orderBy(text)
     return kept.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).drop(rank, text)
 
 

@@ -62,6 +62,10 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert simhash.groups(df.limit(0)).collect() == []
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and kept.where("doc_id = 1").count() == 1
+    # rows without an id stay where their group has no other: none is dropped for the lack of an id
+    assert kept.count() == 3
+    alone = spark.createDataFrame([(None, "a b c d", ""), (None, "q r s t u", ""), (None, "q r s t u", "")], DOCS)
+    assert sorted(r["text"] for r in simhash.keep_one(alone).collect()) == ["a b c d", "q r s t u"]
     assert simhash.keep_one(df.limit(0)).collect() == []
 
 

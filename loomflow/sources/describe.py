@@ -13,7 +13,7 @@ import inspect
 import textwrap
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +41,7 @@ class Source:
     terminal: str | None = None
     output: bool = True
     item: object = None
+    others: tuple["Source", ...] = ()  # what it is where another branch was taken
 
 
 @dataclass
@@ -161,7 +162,8 @@ class _Body:
         return Source(call=name, terminal=f"{f}Output")
 
     def link(self, source: Source, target: tuple, variable: str | None = None, priority: str | None = None) -> None:
-        self.flow.append((source, target, priority))
+        for one in (replace(source, others=()), *source.others):
+            self.flow.append((one, target, priority))
         if variable:
             self.uses.append((variable, target, len(self.loops)))
 
@@ -210,7 +212,10 @@ class _Body:
             self.exits, self.names = [(branch, kind)], dict(before)
             self.block(body)
             ends += self.exits
-            merged |= {k: v for k, v in self.names.items() if before.get(k) != v}
+            for k, v in self.names.items():
+                if before.get(k) != v:
+                    first = merged.get(k)
+                    merged[k] = v if first is None else replace(first, others=(*first.others, replace(v, others=()), *v.others))
         self.exits, self.names = ends, before | merged
 
     def _do_for(self, stmt: ast.For) -> None:

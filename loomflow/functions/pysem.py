@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Unsupported(TypeError):
@@ -35,31 +36,45 @@ def ddl(kind: object) -> str:
             return f"array<{ddl(kind[1])}>"
         if kind[0] == "dict":
             return f"map<{ddl(kind[1])},{ddl(kind[2])}>"
+        if kind[0] == "record":
+            return "struct<" + ",".join(f"`{n}`:{ddl(k)}" for n, k in kind[1]) + ">"
         return "struct<" + ",".join(f"_{n}:{ddl(k)}" for n, k in enumerate(kind[1])) + ">"
     return _DDL[kind]
 
 
-def kind_of(spark_type: str) -> object:
-    """The kind of a Spark type."""
-    if spark_type in ("bigint", "int", "smallint", "tinyint"):
+def kind_of(kind: T.DataType) -> object:
+    """The kind of a Spark type; structs are records with attributes."""
+    if isinstance(kind, T.IntegralType):
         return "int"
-    if spark_type in ("double", "float") or spark_type.startswith("decimal"):
+    if isinstance(kind, (T.FractionalType, T.DecimalType)):
         return "float"
-    if spark_type in ("boolean", "string"):
-        return {"boolean": "bool", "string": "str"}[spark_type]
-    if spark_type.startswith("array<"):
-        return ("list", kind_of(spark_type[6:-1]))
-    if spark_type.startswith("map<"):
-        key, value = spark_type[4:-1].split(",", 1)
-        return ("dict", kind_of(key), kind_of(value))
-    raise Unsupported(spark_type)
+    if isinstance(kind, T.BooleanType):
+        return "bool"
+    if isinstance(kind, T.StringType):
+        return "str"
+    if isinstance(kind, T.ArrayType):
+        return ("list", kind_of(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return ("dict", kind_of(kind.keyType), kind_of(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return ("record", tuple((f.name, kind_of(f.dataType)) for f in kind.fields))
+    raise Unsupported(kind.simpleString())
 
 
-def of_column(col: Column, spark_type: str) -> Value:
+def of_column(col: Column, spark_type: T.DataType) -> Value:
     kind = kind_of(spark_type)
     return Value(col.cast(ddl(kind)), kind)
 
 
+def attribute(v: Value, name: str) -> Value:
+    """v.name of a record."""
+    if isinstance(v.kind, tuple) and v.kind[0] == "record":
+        for n, kind in v.kind[1]:
+            if n == name:
+                return Value(v.col.getField(n), kind)
+    raise Unsupported(f"attribute {name} of {v.kind}")
+
+
 def constant(x: object) -> Value:
     if x is None:
         return Value(F.lit(None), NONE)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomflow.functions.terms import NAMESPACES, expand, file_path, local_name
-from loomflow.operators.graph import Graph, Group
+from loomflow.operators.graph import Graph, Group, closure
 
 CONTROL = ("next", "iterate", "true", "false")
 # Kinds of implementations.
@@ -157,6 +157,10 @@ class FlowGraph(Graph):
             "?composition", "?call", "?on",
         )
 
+    def depends_closure(self) -> DataFrame:
+        """(composition, call, on, steps): also through other calls."""
+        return closure(self.depends(), "call", "on", ("composition",))
+
     # implementations and mappings
 
     def implemented(self) -> DataFrame:

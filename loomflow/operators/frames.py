@@ -6,8 +6,10 @@ always partitioned by a series key, so series are handled in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,16 @@ def at_least(rows: DataFrame, by: list[str], n: int) -> DataFrame:
     return rows.join(big, by, "left_semi")
 
 
+def aggregate_of(function: Callable[[list], object], returns: str):
+    """A Python callable on the list of a group's values as an aggregate; a group's values are in one task."""
+
+    @F.arrow_udf(returns)
+    def each(values: pa.Array) -> float:
+        return function(values.to_pylist())
+
+    return each
+
+
 # ordered analytics
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomflow.functions.terms import expand
+from loomflow.stage import Staged
 
 TRIPLE = T.StructType([T.StructField(c, T.StringType()) for c in ("s", "p", "o", "o_kind", "o_dt")])
 
@@ -173,6 +174,28 @@ class Graph:
         return not self.triples.where((F.col("s") == u) | (F.col("p") == u) | (F.col("o") == u)).isEmpty()
 
 
+def closure(edges: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, a, b, steps): the pairs that edges (by, a, b) link, by the fewest steps.
+
+    Each round joins what is known with itself, so paths double, and keeps the
+    shortest of each pair; cycles end, as nothing is new. Rounds are staged.
+    """
+    stage = Staged(edges.sparkSession, "closure")
+    known, size = stage.save(edges.select(*by, a, b, F.lit(1).alias("steps")).distinct()), None
+    for _ in range(62):
+        mark = known.agg(F.count("*"), F.sum("steps")).first()
+        if mark == size:
+            return known
+        size = mark
+        left = known.select(*by, a, F.col(b).alias("_via"), F.col("steps").alias("_n"))
+        right = known.select(*by, F.col(a).alias("_via"), b, "steps")
+        longer = left.join(right, [*by, "_via"]).select(*by, a, b, (F.col("_n") + F.col("steps")).alias("steps"))
+        then = stage.save(known.unionByName(longer).groupBy(*by, a, b).agg(F.min("steps").alias("steps")))
+        stage.drop(known)
+        known = then
+    raise RuntimeError("the closure did not settle")
+
+
 def triples(rows: DataFrame, s: Column, *edges: tuple[str, Column, str] | tuple[str, Column, str, str]) -> DataFrame:
     """Triples of each row: (predicate, object, kind[, datatype]) around one subject; null objects give none."""
     parts = []

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomflow.functions.terms import NAMESPACES
-from loomflow.operators.graph import Graph, triples
+from loomflow.operators.graph import Graph, closure, triples
 
 PROV = NAMESPACES["prov"]
 
@@ -36,17 +36,7 @@ def default_input(rows: DataFrame, image: Column, value: Column) -> Graph:
     return Graph(triples(rows, image, ("do:defaultInput", value, "literal")))
 
 
-def lineage(graph: Graph, depth: int = 16) -> DataFrame:
-    """(entity, source, steps): what each entity was derived from, directly or through others, at most depth steps; cycles end.
-
-    Every round joins the last steps with the direct ones and keeps pairs that are new.
-    """
+def lineage(graph: Graph) -> DataFrame:
+    """(entity, source, steps): what each entity was derived from, directly or through others, by the fewest steps; cycles end."""
     one = graph.match([("?entity", ("prov:wasDerivedFrom", "prov:alternateOf"), "?source")])
-    out = last = one.withColumn("steps", F.lit(1))
-    for n in range(2, depth + 1):
-        step = last.alias("a").join(one.alias("b"), F.col("a.source") == F.col("b.entity")).select(F.col("a.entity"), F.col("b.source"), F.lit(n).alias("steps"))
-        last = step.where("entity <> source").distinct().join(out.select("entity", "source"), ["entity", "source"], "left_anti")
-        out = out.unionByName(last)
-        if n % 4 == 0 and last.isEmpty():
-            break
-    return out
+    return closure(one, "entity", "source").where("entity <> source")

@@ -272,8 +272,7 @@ class _Run:
         return Value(F.flatten(col), kinds[-1]) if rest else Value(col, ("list", kinds[-1]))
 
     def _attribute(self, e: ast.Attribute) -> Value:
-        box = self.expr(e.value)
-        raise Unsupported(f"attribute {e.attr} of {box.kind}")
+        return pysem.attribute(self.expr(e.value), e.attr)
 
     def _call(self, e: ast.Call) -> Value:
         if isinstance(e.func, ast.Attribute):
@@ -374,7 +373,7 @@ def column(df: DataFrame, source: str | Callable, *args: str | Column, name: str
 
     def value(x: str | Column) -> Value:
         col = df[x] if isinstance(x, str) else x
-        return pysem.of_column(col, df.select(col).schema[0].dataType.simpleString())
+        return pysem.of_column(col, df.select(col).schema[0].dataType)
 
     return call(functions, name, [value(a) for a in args], {k: value(v) for k, v in keywords.items()}).col
 

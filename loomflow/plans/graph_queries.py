@@ -111,6 +111,7 @@ _f("q40_get_param_mapping", lambda g: g.parameter_mappings(), "funs params", f"S
 _f("q41_get_default_mapping", lambda g: g.defaults().select("f", "parameter", F.round(F.col("value").cast("double"), 4).alias("value")), "funs", f"SELECT {PART} AS f, 'part' || k || 'Parameter' || last AS parameter, round(p_retailprice, 4) AS value FROM funs WHERE z % 2 = 0")
 _c("q42_get_used_functions", lambda g: g.used_functions(), "calls", "SELECT DISTINCT 'order' || o || 'Composition' AS composition, 'call' || o || '_' || n AS call FROM calls")
 _c("q43_depends_on", lambda g: g.depends(), "calls", "SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_' || (n + 1) AS call, 'call' || o || '_' || n AS \"on\" FROM calls WHERE nxt IS NOT NULL")
+_c("q43_closure", lambda g: g.depends_closure(), "calls", "SELECT 'order' || a.o || 'Composition' AS composition, 'call' || b.o || '_' || b.n AS call, 'call' || a.o || '_' || a.n AS \"on\", CAST(b.n - a.n AS INTEGER) AS steps FROM calls a JOIN calls b ON a.o = b.o AND a.n < b.n")
 _f("q44_describe", lambda g: g.description().groupBy("f").agg(F.count("*").alias("n")), "funs brands", f"""
 SELECT {PART} AS f, CAST(5 + 2 * (last + 1) + 1 + (last + 1) + (z % 5 = 0)::INT + (z % 5 = 0)::INT * 2 + 1 + 1 + (z % 7 = 0)::INT + 2 + (z % 2 = 0)::INT + (z % 7 = 0)::INT * 2
 + 4 + 5 + (kind = 'PythonMethod')::INT + (last + 1) + 1 + (last + 1) * 2 + (last + 1) * 6 + (z % 2 = 0)::INT * 4 + (z % 11 = 0)::INT * 3 + (z % 13 = 0)::INT * 3 AS BIGINT) AS n FROM funs JOIN brands USING (brand)""")

@@ -290,6 +290,9 @@ class _Walk:
             if isinstance(args[0].kind, tuple) and args[0].kind[0] == "tuple":
                 raise Unsupported("item of a tuple")
             return pysem.item(*args), None
+        if name == "getattr":
+            name_edge = self.comp.inputs[node, self.program.params[f][1]][0]
+            return pysem.attribute(args[0], name_edge.literal), None
         if name == "op_setitem":
             return pysem.put(*args), None
         if name == "ifexpr":
@@ -348,6 +351,6 @@ def column(df: DataFrame, graph: Graph | Program, name: str, *args: str | Column
 
     def value(x: str | Column) -> Value:
         col = df[x] if isinstance(x, str) else x
-        return pysem.of_column(col, df.select(col).schema[0].dataType.simpleString())
+        return pysem.of_column(col, df.select(col).schema[0].dataType)
 
     return value_of(program, program.find(name), [value(a) for a in args]).col

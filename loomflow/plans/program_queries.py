@@ -122,6 +122,16 @@ QUERIES["f03_list_column"] = _lists
 ORACLE_SQL["f03_list_column"] = "SELECT l_orderkey, CAST(count(*) FILTER (l_partkey % 2 = 0) * 1000000 + max(l_partkey) AS BIGINT) AS out FROM lineitem GROUP BY 1"
 
 
+def _attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A struct column as an object with attributes."""
+    rows = _input(spark, sf_dir).select("k", "n", F.struct("a", F.struct("b", "s").alias("inner")).alias("row"))
+    return rows.select("k", "n", plan.column(rows, "def g(row):\n    return row.a * row.inner.b + len(row.inner.s)\n", "row").alias("out"))
+
+
+QUERIES["x20_attribute"] = _attributes
+ORACLE_SQL["x20_attribute"] = f"WITH i AS ({_INPUT}) SELECT k, n, a * b + length(s) AS out FROM i"
+
+
 def _graph(name: str, source: str, args: str, sql: str, function: str) -> None:
     """A described graph, compiled from its calls and edges, over every line."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.functions import terms as t
-from loomflow.operators import learn, provenance
+from loomflow.operators import frames, learn, provenance
 from loomflow.operators.access import FlowGraph
 from loomflow.operators.graph import Graph, Lit
 from loomflow.plans import visual
@@ -95,7 +95,7 @@ def _executions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _q("b13_prov_counts", lambda s, d: provenance.executions(_executions(s, d)).triples.select(t.local_name(F.col("p")).alias("p")).groupBy("p").agg(F.count("*").alias("n")), """
 WITH o AS (SELECT * FROM orders), k AS (SELECT count(*) n, count(DISTINCT o_orderstatus) f, count(DISTINCT o_orderpriority) i, count(DISTINCT o_custkey) c FROM o)
 SELECT 'type' AS p, 3 * n + f + i + c AS n FROM k UNION ALL SELECT unnest(['wasAssociatedWith', 'qualifiedAssociation', 'startedAtTime', 'agent', 'hadRole', 'hadPlan', 'wasGeneratedBy']), n FROM k UNION ALL SELECT 'used', 2 * n FROM k""")
-_q("b13_lineage", lambda s, d: local(provenance.lineage(Graph.of(s, [(f"ex:v{k}", "prov:wasDerivedFrom", f"ex:v{k + 1}") for k in range(5)] + [("ex:v5", "prov:wasDerivedFrom", "ex:v3")]), 6)).select("entity", "source", "steps"), """
+_q("b13_lineage", lambda s, d: local(provenance.lineage(Graph.of(s, [(f"ex:v{k}", "prov:wasDerivedFrom", f"ex:v{k + 1}") for k in range(5)] + [("ex:v5", "prov:wasDerivedFrom", "ex:v3")]))).select("entity", "source", "steps"), """
 WITH RECURSIVE e AS (SELECT 'v' || k AS a, 'v' || (k + 1) AS b FROM range(5) t(k) UNION ALL SELECT 'v5', 'v3'),
 w AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT w.a, e.b, n + 1 FROM w JOIN e ON w.b = e.a WHERE n < 12)
 SELECT a AS entity, b AS source, min(n)::INT AS steps FROM w WHERE a <> b GROUP BY 1, 2""")
@@ -161,6 +161,33 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _q("src13_csv", _csv, "SELECT s_suppkey AS key, s_name AS name, s_nationkey AS nation, s_acctbal AS balance FROM supplier")
 
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of programs and a build file, described in parallel."""
+    path = _folder(spark, "tree")
+    texts = [("a/n_sum.py", "def n_sum(n):\n    t = 0\n    for i in range(n):\n        t += i\n    return t\n"), ("b/triple.py", TRIPLE_SUM), ("b/Dockerfile", "FROM x\nRUN y\n"), ("bad.py", "def (:\n")]
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for name, text in texts:
+        to = hadoop.Path(f"{path}/{name}")
+        out = to.getFileSystem(conf).create(to)
+        out.write(bytearray(text.encode()))
+        out.close()
+    rows = describe.describe_tree(spark, path)
+    return rows.where(F.col("p").isin(t.expand("fnoc:applies"), "error")).groupBy(t.base_name(F.col("file")).alias("file"), t.local_name(F.col("p")).alias("p")).agg(F.count("*").alias("n"))
+
+
+_q("src03_folder", _tree, "SELECT file, p, CAST(n AS BIGINT) AS n FROM (VALUES ('n_sum.py', 'applies', 4), ('triple.py', 'applies', 3), ('Dockerfile', 'applies', 2), ('bad.py', 'error', 1)) v(file, p, n)")
+
+
+def _own_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python callable as an aggregate, on the values of each group as one Arrow array."""
+    spread = frames.aggregate_of(lambda values: float(max(values) - min(values)), "double")
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(spread("l_quantity").alias("spread"))
+
+
+_q("p02_own_aggregate", _own_aggregate, "SELECT l_suppkey, max(l_quantity) - min(l_quantity) AS spread FROM lineitem GROUP BY 1")
+
 # streams
 
 

@@ -1,8 +1,7 @@
 """Hierarchies, ports and links of a flow graph, for viewers.
 
-Paths along control edges are found by rounds of joins from the starts; a path
-never visits a call twice, so loops end. Only what a viewer shows is gathered
-into one value, and that for each composition by itself.
+A path along control edges never visits a call twice, so loops end. Only what a
+viewer shows is gathered into one value, and that for each composition by itself.
 """
 
 from __future__ import annotations
@@ -18,18 +17,22 @@ LONGEST = 64
 
 
 def hierarchy(graph: FlowGraph, longest: int = LONGEST) -> DataFrame:
-    """(composition, depth, call) along next edges from each start, until there is none or a call comes again."""
+    """(composition, depth, call) along next edges from each start, until there is none, a call comes again, or longest calls.
+
+    A composition's edges become one map, walked in one expression; compositions
+    are function bodies, and a call with two successors follows the first by name.
+    """
     start = graph.match([("?composition", "fnoc:start", "?call")])
-    edges = graph.match([("?from", "fnoc:next", "?to")])
-    step = start.select("composition", F.lit(0).alias("depth"), "call", F.array("call").alias("path"))
-    out = step.select("composition", "depth", "call")
-    for n in range(1, longest):
-        step = step.join(edges, F.col("call") == F.col("from")).where(~F.array_contains("path", F.col("to")))
-        step = step.select("composition", F.lit(n).alias("depth"), F.col("to").alias("call"), F.concat("path", F.array("to")).alias("path"))
-        out = out.unionByName(step.select("composition", "depth", "call"))
-        if n % 8 == 0 and step.isEmpty():
-            break
-    return out
+    successor = graph.match([("?call", "fnoc:next", "?to")]).groupBy("call").agg(F.min("to").alias("to"))
+    maps = graph.used_functions().join(successor, "call").groupBy("composition").agg(F.map_from_entries(F.collect_list(F.struct("call", "to"))).alias("after"))
+
+    def step(path, _):
+        to = F.try_element_at(F.col("after"), F.element_at(path, -1))
+        return F.when(to.isNull() | F.array_contains(path, to), path).otherwise(F.array_append(path, to))
+
+    rounds = F.sequence(F.lit(1), F.least(F.coalesce(F.size("after"), F.lit(0)), F.lit(longest - 1)))
+    walked = start.join(maps, "composition", "left").withColumn("path", F.when(F.coalesce(F.size("after"), F.lit(0)) > 0, F.aggregate(rounds, F.array("call"), step)).otherwise(F.array("call")))
+    return walked.select("composition", F.posexplode("path").alias("depth", "call"))
 
 
 def layers(graph: FlowGraph) -> DataFrame:

@@ -2,58 +2,14 @@
 
 from __future__ import annotations
 
-import gc
-import re
-import tempfile
-import uuid
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomflow.stage import Staged, shared_dir
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset (tests, a laptop) a local master gets a temporary folder;
-    any other master must name one, as executors do not share local disks.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="loomflow-"))
-
-
-class Staged:
-    """Tables written to the shared folder, to cut lineage and to be read again.
-
-    A lost executor loses nothing of a written table. drop() removes a table
-    that no later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        gc.collect()
-        self.spark._jvm.System.gc()  # what the table replaces leaves its shuffle files to the cleaner
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.staged_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["PLACE_BITS", "Staged", "column", "doc_number", "free_name", "numbered", "place", "shared_dir", "text_of"]
 
 
 def free_name(df: DataFrame, stem: str) -> str:

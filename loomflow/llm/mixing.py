@@ -12,7 +12,7 @@ no row is dropped. ``balanced`` marks the rows before the first such slot.
 
 Only DataFrame functions run on the rows: two narrow shuffles number the rows
 of each source in hash parts, so that a source of any size is dealt over many
-tasks; windows over all rows are never used.
+tasks; no window but that over runs of a thousand cycles spans all sources.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from loomflow.llm.common import Staged, column, free_name
 BLOCK_ROWS = 16
 #: Slots in a cycle for each 25 sources.
 CYCLE = 100
+#: Cycles that are added up together.
+RUN = 1024
 #: More sources than this are refused: their schedule is held on the driver.
 MAX_SOURCES = 10_000
 
@@ -132,10 +134,12 @@ def _positions(rows: DataFrame, weights: dict[str | None, float] | None, block_r
         F.floor(F.col("block") / F.col("own.quota")).cast("long").alias("cycle"),
         F.get(F.col("own.places"), (F.col("block") % F.col("own.quota")).cast("int")).alias("within"),
     )
-    # one row for each cycle, of some thousand rows
-    turns = blocks.groupBy("cycle").agg(F.sum("n").alias("n"))
-    earlier = Window.orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.select("cycle", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # rows before each cycle: inside a run of cycles, and before the run, of some million rows
+    turns = blocks.groupBy("cycle").agg(F.sum("n").alias("n")).withColumn("run", F.floor(F.col("cycle") / RUN).cast("long"))
+    upto = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = turns.groupBy("run").agg(F.sum("n").alias("n")).select("run", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
+    earlier = Window.partitionBy("run").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("own", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(runs, "run").select("cycle", (F.col("start") + F.col("own")).alias("before"))
     inside = Window.partitionBy("cycle").orderBy("within").rowsBetween(Window.unboundedPreceding, -1)
     full = min(((n // block_rows) // slots[s] * length + of_source[s][1][(n // block_rows) % slots[s]] for s, n in counts.items()), default=0)
     placed = blocks.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(turns, "cycle").select(

@@ -26,7 +26,9 @@ def test_schedule_stays_within_one_block():
                 assert abs(sum(x < t for x in ran[s]) - t * k / cycle) < 1
 
 
-def test_positions_follow_the_schedule(spark):
+@pytest.mark.parametrize("run", [2, 1024])
+def test_positions_follow_the_schedule(spark, monkeypatch, run):
+    monkeypatch.setattr(mixing, "RUN", run)
     weights = {"a": 0.5, "b": 0.25, "c": 0.125, None: 0.1, "-": 0.025}
     rows = mixing.mix(table(spark), weights, block_rows=4, cycle=40).collect()
     assert sorted(r["position"] for r in rows) == list(range(903))

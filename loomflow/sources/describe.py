@@ -84,15 +84,26 @@ class Described:
             u = ex + m
             yield from ((u, "a", "fno:Mapping"), (u, "fno:function", ex + row["f"]), (u, "fno:implementation", row["imp"]), (u, "fnom:mappingMethod", Lit(row.get("method", "default"))))
             node = f"_:{m}method"
-            yield from ((u, "fno:methodMapping", node), (node, "a", "fnom:StringMethodMapping"), (node, "fnom:method-name", Lit(row["name"])))
+            yield (u, "fno:methodMapping", node)
+            if row.get("command"):
+                yield from ((node, "a", "fnom:CommandMethodMapping"), (node, "fnom:command", Lit(row["command"])))
+            else:
+                yield from ((node, "a", "fnom:StringMethodMapping"), (node, "fnom:method-name", Lit(row["name"])))
+            for term, required in row.get("required", {}).items():
+                yield (ex + term, "fno:required", Lit(required))
             for n, out in enumerate(row["outputs"]):
                 node = f"_:{m}return{n}"
                 yield from ((u, "fno:returnMapping", node), (node, "a", "fnom:DefaultReturnMapping" if n == 0 else "fnom:ValueReturnMapping"), (node, "fnom:functionOutput", ex + out))
             for n, (kind, term, value) in enumerate(row["parameters"]):
                 node = f"_:{m}parameter{n}"
-                yield from ((u, "fno:parameterMapping", node), (node, "a", f"fnom:{kind}ParameterMapping"), (node, "fnom:functionParameter", ex + term))
-                predicate = {"Position": "implementationParameterPosition", "Property": "implementationProperty", "Default": "defaultValue", "Argument": "implementationProperty"}.get(kind)
-                if predicate:
+                yield from ((u, "fno:parameterMapping", node), (node, "a", f"fnom:{kind}Mapping" if kind == "Argument" else f"fnom:{kind}ParameterMapping"), (node, "fnom:functionParameter", ex + term))
+                predicate = {"Position": "implementationParameterPosition", "Property": "implementationProperty", "Default": "defaultValue"}.get(kind)
+                if kind == "Argument":
+                    at, nargs = value
+                    yield (node, "fnom:implementationProperty" if isinstance(at, str) else "fnom:implementationParameterPosition", Lit(at))
+                    if nargs is not None:
+                        yield (node, "fnom:nargs", Lit(nargs))
+                elif predicate:
                     yield (node, f"fnom:{predicate}", Lit(value))
         for call, f in self.calls:
             yield (ex + call, "fnoc:applies", ex + f)
@@ -397,7 +408,19 @@ class _Program:
         rows += [("VarProperty", term[spec.kwarg.arg], None)] if spec.kwarg else []
         defaults = [*zip(given[::-1], spec.defaults[::-1], strict=False), *((a, d) for a, d in zip(spec.kwonlyargs, spec.kw_defaults, strict=True) if d is not None)]
         rows += [("Default", term[a.arg], ast.literal_eval(d) if isinstance(d, (ast.Constant, ast.UnaryOp)) else ast.unparse(d)) for a, d in defaults]
-        self.out.mappings[f"{name}Mapping"] = {"f": name, "imp": uri, "name": name, "outputs": [f"{name}Output"], "parameters": rows}
+        optional = {term[a.arg] for a, _ in defaults}
+        required = {term[a.arg]: term[a.arg] not in optional for a in (*given, *spec.kwonlyargs)}
+        mapping = {"f": name, "imp": uri, "name": name, "outputs": [f"{name}Output"], "parameters": rows, "required": required}
+        if arguments := getattr(fn, "arguments", None):
+            # parameters that come from the command line, by flag or place
+            mapping |= {"method": "argparse", "command": "python", "required": {}, "parameters": []}
+            for n, (flag, a) in enumerate(arguments):
+                own = term[flag.lstrip("-").replace("-", "_")]
+                mapping["parameters"].append(("Argument", own, (flag if flag.startswith("-") else n, a.get("nargs"))))
+                mapping["required"][own] = "default" not in a
+                if "default" in a:
+                    mapping["parameters"].append(("Default", own, a["default"]))
+        self.out.mappings[f"{name}Mapping"] = mapping
         if depth <= 0:
             return
         body = _Body(self, name, depth)
@@ -410,13 +433,16 @@ def _main(tree: ast.Module) -> ast.FunctionDef | None:
     """The body of the main guard as a function, its argparse arguments as parameters."""
     for stmt in tree.body:
         if isinstance(stmt, ast.If) and ast.unparse(stmt.test) in ("__name__ == '__main__'", "'__main__' == __name__"):
-            body, args, parsers = [], [], set()
+            body, args, given, parsers = [], [], [], set()
             for s in stmt.body:
                 text = ast.unparse(s)
                 if isinstance(s, ast.Assign) and "ArgumentParser(" in text:
                     parsers.add(s.targets[0].id)
                 elif isinstance(s, ast.Expr) and isinstance(s.value, ast.Call) and text.partition(".add_argument")[0] in parsers:
-                    args.append(ast.literal_eval(s.value.args[0]).lstrip("-").replace("-", "_"))
+                    flag = ast.literal_eval(s.value.args[-1])
+                    known = {k.arg: ast.literal_eval(k.value) for k in s.value.keywords if isinstance(k.value, ast.Constant)}
+                    args.append(flag.lstrip("-").replace("-", "_"))
+                    given.append((flag, known))
                 elif isinstance(s, ast.Assign) and text.endswith(".parse_args()"):
                     space = s.targets[0].id
                 else:
@@ -429,6 +455,7 @@ def _main(tree: ast.Module) -> ast.FunctionDef | None:
 
             made = ast.parse(f"def _({', '.join(args)}):\n pass").body[0]
             made.body = [Direct().visit(s) for s in body] or made.body
+            made.arguments = given
             return ast.fix_missing_locations(made)
     return None
 

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -27,14 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Staged:
-    """Tables written to the shared folder, to cut lineage and to be read again.
+    """Tables that an operator reads more than once.
 
-    A lost executor loses nothing of a written table. drop() removes a table
-    that no later plan reads.
+    save() writes a table to the shared folder and so cuts its lineage; a lost
+    executor loses nothing of it. drop() removes a table that no later plan
+    reads. keep() holds a smaller table on the executors until release(), and
+    what a lost executor held is computed again from saved tables.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.kept: list[DataFrame] = []
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -46,6 +50,16 @@ class Staged:
         out.staged_path = path
         return out
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def release(self, *tables: DataFrame) -> None:
+        """Let go of the given tables, or of all."""
+        for df in tables or self.kept:
+            df.unpersist()
+        self.kept = [k for k in self.kept if tables and all(k is not df for df in tables)]
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in tables:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomflow.functions.pysem import Unsupported
 from loomflow.functions.terms import mint
 from loomflow.operators.access import FlowGraph
+from loomflow.operators.graph import Lit
 from loomflow.plans import compile as plan
 from loomflow.sources import containers, describe, readers, turtle
 
@@ -88,9 +89,19 @@ def test_main_bodies_and_trees_are_described(spark, tmp_path):
     assert [r["file"].rpartition("/")[2] for r in rows.where("p = 'error'").collect()] == ["bad.py"]
     graph = FlowGraph(describe.graph_of(rows).triples)
     assert {r["f"].rpartition("#")[2] for r in graph.compositions().collect()} >= {"n_sum", "_"}
+    assert graph.ask([("?m", "fnom:mappingMethod", Lit("argparse")), ("?m", "fno:parameterMapping", "?p"), ("?p", "a", "fnom:ArgumentMapping"), ("?p", "fnom:implementationProperty", Lit("--n"))])
     assert len(readers.files(spark, str(tmp_path)).collect()) == 3
 
 
+def test_defaults_and_required_parameters(spark):
+    g = FlowGraph(describe.describe("def f(a, b=2, *rest, c, d=None, **more):\n    return a\n", "m").graph(spark).triples)
+    last = lambda x: x.rpartition("Parameter")[2]
+    assert [(last(r["parameter"]), r["value"]) for r in g.defaults().orderBy("parameter").collect()] == [("1", "2"), ("4", "None")]
+    assert [last(r["parameter"]) for r in g.var_positional().union(g.var_keyword()).collect()] == ["2", "5"]
+    required = g.match([("?p", "fno:required", Lit(True))])
+    assert sorted(last(r["p"]) for r in required.collect()) == ["0", "3"]
+
+
 def test_queries_on_a_described_graph(spark):
     g = FlowGraph(describe.describe(SOURCES["divide"], "m", "/src/m.py").graph(spark).triples)
     assert [(r["n"], r["predicate"].rpartition("#")[2]) for r in g.parameters().where(F.endswith("f", F.lit("#divide"))).orderBy("n").collect()] == [(0, "n"), (1, "d")]

@@ -156,10 +156,11 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
     shape = "doc decimal(38,0), anchor bigint, digest bigint, first int, count tinyint"
     every = stage.save(docs.select("doc", "text").mapInArrow(find, shape))
     counts = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    # sums are staged before a join, so that Spark can split the other side where a key is frequent
-    counts = stage.save(counts)
+    # sums are kept before a join, so that Spark can split the other side where a key is frequent
+    counts = stage.keep(counts)
     live = stage.save(every.join(counts, "anchor"))
-    stage.drop(every, counts)
+    stage.drop(every)
+    stage.release(counts)
     contents = live.withColumn("place", place(F.col("first"))).groupBy("anchor", "digest", "count", "n").agg(F.min("place").alias("place"))
     contents = stage.save(contents)
     several = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -225,10 +226,10 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
 
     told = references.mapInArrow(stream, "anchor bigint, digest bigint, bits int")
     single = read.where("words is null").select("anchor", "digest", "place", "offset", "low", "high")
-    earliest = stage.save(single.groupBy("low", "high").agg(F.min("place").alias("least")))
+    earliest = stage.keep(single.groupBy("low", "high").agg(F.min("place").alias("least")))
     later = single.join(earliest, ["low", "high"]).where("place > least").groupBy("anchor", "digest").agg(F.expr("bit_or(shiftleft(1, `offset`))").alias("bits"))
-    told = stage.save(told.where("bits <> 0").unionByName(later))
-    contents = stage.save(contents.join(told, ["anchor", "digest"], "left").select("anchor", "digest", "place", "bits"))
+    told = told.where("bits <> 0").unionByName(later)
+    contents = stage.keep(contents.join(told, ["anchor", "digest"], "left").select("anchor", "digest", "place", "bits"))
     spans = live.join(contents, ["anchor", "digest"]).select(
         "doc", "first", F.when(place(F.col("first")) == F.col("place"), F.coalesce("bits", F.lit(0))).otherwise(F.expr("shiftleft(1, `count`) - 1")).alias("bits")
     )
@@ -257,6 +258,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     stage = Staged(docs.sparkSession, "substrings")
     base = numbered(docs, id_col, text_col)
     spans = stage.save(repeats(base, stage, window)).withColumnRenamed("doc", "of")
+    stage.release()
     rows = base.join(spans, base["doc"] == spans["of"], "left").select("id", "text", "spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

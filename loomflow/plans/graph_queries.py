@@ -67,7 +67,8 @@ _f("q06_get_name", lambda g: g.labels(), "funs", f"SELECT {PART} AS term, p_name
 _f("q07_is_kind", lambda g: g.of_type("fno:Function").withColumn("kind", F.lit("function")).union(g.of_type("fno:Parameter").withColumn("kind", F.lit("parameter"))).union(g.of_type("fno:Output").withColumn("kind", F.lit("output"))).groupBy("kind").agg(F.count("*").alias("n")), "funs params", """
 SELECT 'function' AS kind, count(*) AS n FROM funs UNION ALL SELECT 'parameter', (SELECT count(*) FROM params) + count(*) FROM funs WHERE z % 5 = 0
 UNION ALL SELECT 'output', (SELECT count(*) FROM funs) + count(*) FROM funs WHERE z % 7 = 0""")
-_f("q08_has_function", lambda g: g.triples.sparkSession.createDataFrame([(t.expand(f"ex:part{k}"),) for k in (1, 2, 0)], "f string").join(g.functions(), "f", "left_semi"), "funs", f"SELECT {PART} AS f FROM funs WHERE k IN (0, 1, 2)")
+QUERIES["q08_has_function"] = lambda spark, sf_dir: local(table(spark, sf_dir, "customer").select(F.concat(F.lit(t.expand("ex:part")), (F.col("c_custkey") * 2).cast("string")).alias("f")).join(FlowGraph(functions_graph(spark, sf_dir).triples).functions(), "f", "left_semi"))
+ORACLE_SQL["q08_has_function"] = "SELECT 'part' || (c_custkey * 2) AS f FROM customer WHERE c_custkey * 2 IN (SELECT p_partkey FROM part)"
 _f("q09_get_function", lambda g: g.functions_named("part7"), "funs", f"SELECT {PART} AS f FROM funs WHERE k = 7")
 _f("q10_get_parameters", lambda g: g.parameters().select("f", F.col("n").cast("long").alias("n"), "parameter"), "funs params", f"SELECT {PART} AS f, CAST(i AS BIGINT) AS n, {PARAM} AS parameter FROM params")
 _f("q11_get_parameter_at", lambda g: g.parameter_at().where("position = 1"), "funs params", f"SELECT {PART} AS f, CAST(i AS INTEGER) AS position, {PARAM} AS parameter FROM params WHERE i = 1")
@@ -97,7 +98,7 @@ UNION ALL SELECT '_:to' || o || '_' || n, CASE WHEN nxt IS NULL THEN 'call' || o
 _c("q29_get_strategy", lambda g: g.strategies(), "calls", "SELECT '_:to' || o || '_' || n AS endpoint, 'toList' AS strategy, CAST(n AS VARCHAR) AS key FROM calls WHERE flag = 'R'")
 _f("q30_fun_to_imp", lambda g: g.implemented(), "funs", f"SELECT {PART} AS f, 'part' || k || 'Mapping' AS mapping, brand AS implementation FROM funs")
 _f("q31_imp_to_fun", lambda g: g.implemented().where(t.local_name(F.col("implementation")) == "Brand_11").select("mapping", "f"), "funs", f"SELECT 'part' || k || 'Mapping' AS mapping, {PART} AS f FROM funs WHERE brand = 'Brand_11'")
-_f("q32_mappings", lambda g: g.implemented().where((t.local_name(F.col("implementation")) == "Brand_12") & t.local_name(F.col("f")).isin("part1", "part2", "part3", "part4", "part5", "part6", "part7", "part8", "part9")).select("mapping"), "funs", "SELECT 'part' || k || 'Mapping' AS mapping FROM funs WHERE brand = 'Brand_12' AND k BETWEEN 1 AND 9")
+_f("q32_mappings", lambda g: g.implemented().where(t.local_name(F.col("implementation")) == "Brand_12").select("f", "mapping"), "funs", f"SELECT {PART} AS f, 'part' || k || 'Mapping' AS mapping FROM funs WHERE brand = 'Brand_12'")
 _f("q33_imp_from_file", lambda g: g.by_file(), "funs", f"SELECT 'file:///src/' || brand || '.py' AS file, {PART} AS f, 'part' || k || 'Mapping' AS mapping, brand AS implementation FROM funs")
 _f("q34_get_imp_metadata", lambda g: g.metadata().select("implementation", F.explode("metadata").alias("predicate", "objects")).select("implementation", "predicate", F.concat_ws(",", F.transform("objects", t.local_name)).alias("objects")), "funs brands", """
 SELECT brand AS implementation, 'type' AS predicate, 'Implementation,' || kind AS objects FROM brands UNION ALL SELECT brand, 'name', brand FROM brands UNION ALL SELECT brand, 'module', 'm.' || brand FROM brands

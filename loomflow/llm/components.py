@@ -10,6 +10,8 @@ from loomflow.llm.common import Staged
 
 #: Twice the rounds that the longest path of 2**62 nodes takes.
 MOST_ROUNDS = 130
+#: So many shuffle partitions are written by one task, at most.
+SHARE = 8
 
 
 def connected(edges: DataFrame, stage: Staged) -> DataFrame:
@@ -20,7 +22,9 @@ def connected(edges: DataFrame, stage: Staged) -> DataFrame:
     itself. Nodes are joined with one minimum for each, never gathered, so a
     node of any degree is dealt over many tasks.
     """
-    now = stage.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    # rounds are two numbers a row and little work: few tasks write them, in few files
+    tasks = max(1, int(stage.spark.conf.get("spark.sql.shuffle.partitions")) // SHARE)
+    now = stage.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(tasks))
     seen = None
     for _ in range(MOST_ROUNDS):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -32,7 +36,7 @@ def connected(edges: DataFrame, stage: Staged) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        then = stage.save(small.select("e.a", "e.b").where("a <> b").distinct())
+        then = stage.save(small.select("e.a", "e.b").where("a <> b").distinct().coalesce(tasks))
         stage.drop(now)
         now = then
     raise RuntimeError("the components did not settle")

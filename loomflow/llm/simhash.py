@@ -180,7 +180,8 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, differing:
     member = connected(forest, stage)
     named = classes.join(member, classes["fp"] == member["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = (named.join(first, "component").select(F.col("fp").alias("of"), "component", "component_id"))
+    # saved before the join, so that Spark can split the rows of a fingerprint that many share
+    of_fp = stage.save(named.join(first, "component").select(F.col("fp").alias("of"), "component", "component_id"))
     return rows.join(of_fp, rows["fp"] == of_fp["of"]).drop("of")
 
 

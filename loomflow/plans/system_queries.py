@@ -117,7 +117,7 @@ _q("a09_layers", lambda s, d: visual.layers(FlowGraph(calls_graph(s, d).triples)
 
 # described programs
 
-_q("src06_described_shape", lambda s, d: describe.describe(TRIPLE_SUM, "demo").graph(s).triples.groupBy("p").agg(F.count("*").alias("n")).select(t.local_name(F.col("p")).alias("p"), "n").where("p in ('applies', 'mapTo', 'composedOf', 'start', 'represents', 'next', 'required')"), "SELECT p, CAST(n AS BIGINT) AS n FROM (VALUES ('applies', 3), ('mapTo', 8), ('composedOf', 8), ('start', 2), ('represents', 2), ('next', 1)) v(p, n)")
+_q("src06_described_shape", lambda s, d: describe.describe(TRIPLE_SUM, "demo").graph(s).triples.groupBy("p").agg(F.count("*").alias("n")).select(t.local_name(F.col("p")).alias("p"), "n").where("p in ('applies', 'mapTo', 'composedOf', 'start', 'represents', 'next', 'required')"), "SELECT p, CAST(n AS BIGINT) AS n FROM (VALUES ('applies', 3), ('mapTo', 8), ('composedOf', 8), ('start', 2), ('represents', 2), ('next', 1), ('required', 5)) v(p, n)")
 _q("src06_flow", lambda s, d: local(FlowGraph(describe.describe("def n_sum(n: int):\n    total = 0\n    for i in range(n):\n        total += i\n    return total\n").graph(s).triples).depends()).select("call", "on"), "SELECT * FROM (VALUES ('range_1', 'n_sum'), ('iter_1', 'range_1'), ('next_1', 'iter_1'), ('op_add_1', 'next_1'), ('op_add_1', 'op_add_1'), ('n_sum', 'op_add_1')) v(call, \"on\")")
 _q("f04_control", lambda s, d: local(FlowGraph(describe.describe("def n_sum(n: int):\n    total = 0\n    for i in range(n):\n        total += i\n    return total\n").graph(s).triples).order().select("call", "next", "iterate")), "SELECT * FROM (VALUES ('range_1', 'iter_1', NULL), ('iter_1', 'next_1', NULL), ('next_1', NULL, 'op_add_1'), ('op_add_1', 'next_1', NULL)) v(call, \"next\", iterate)")
 

@@ -198,7 +198,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, differing: int = DIFFERING) -> DataFrame:
     """docs with one row of each group: of the smallest id, null last; of repeated ids the smallest text hash, of equal rows any one."""
-    found = _members(docs, id_col, text_col, words, differing)
+    return one_of_each(docs, _members(docs, id_col, text_col, words, differing), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each component, as keep_one() chooses it; found has the id, hash of the text and component of each row."""
     best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("best"))
     best = best.select(F.col("best.id").alias("of"), F.col("best.hash").alias("of_hash"))
     rank, text = free_name(docs, "rank"), free_name(docs, "hash")

@@ -9,7 +9,9 @@ is a candidate unless parities of its letters rule it out; candidates are
 verified by a bit-parallel edit distance within a band of the threshold.
 
 A line is removed if an equal or linked line stands earlier: in a row of smaller
-id, or above it in the same row. Lines shorter than MIN_CHARS stay.
+id, or above it in the same row. Lines shorter than MIN_CHARS have no links of
+edits; equal ones are removed from EXACT_CHARS on where the caller says so.
+Shorter blank lines stay.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from loomflow.llm.common import PLACE_BITS, Staged, column, doc_number, free_nam
 
 THRESHOLD = 2
 MIN_CHARS = 24
+#: Least length of equal lines that the query and the pipeline remove.
+EXACT_CHARS = 1
 #: Low bits of a line's name: parities of its letters in so many classes.
 PARITIES = 40
 _PAIRS = 1 << 20
@@ -57,14 +61,14 @@ def probes(length: int, threshold: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def named_lines(text: str, min_chars: int) -> tuple[list[int], list[str], np.ndarray]:
-    """(number, line, name) of the lines that are long enough.
+def named_lines(text: str, min_chars: int, exact_chars: int | None = None) -> tuple[list[int], list[str], np.ndarray]:
+    """(number, line, name) of the lines that are long enough, for exact_chars if not blank.
 
     A name is 24 bits of a hash and then the parities of the letters; equal
     lines have equal names, others hardly ever.
     """
     lines = text.split("\n")
-    at = [n for n, line in enumerate(lines) if len(line) >= min_chars]
+    at = [n for n, line in enumerate(lines) if len(line) >= min_chars or (exact_chars is not None and len(line) >= exact_chars and line.strip())]
     if not at:
         return at, [], np.zeros(0, np.int64)
     letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -204,7 +208,7 @@ def candidates(keys: DataFrame, threshold: int) -> DataFrame:
     return pairs.distinct()
 
 
-def removals(docs: DataFrame, stage: Staged, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, stage: Staged, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(doc, lines): the numbers of the lines to remove from the documents (text, doc) that have some."""
 
     def each(with_text: bool):
@@ -214,7 +218,7 @@ def removals(docs: DataFrame, stage: Staged, threshold: int = THRESHOLD, min_cha
                     part = batch.slice(lo, 512)
                     row, at, names, mark, texts = [], [], [np.zeros(0, np.int64)], [], []
                     for n, x in enumerate(part.column("text")):
-                        numbers, kept, called = named_lines(x.as_py(), min_chars)
+                        numbers, kept, called = named_lines(x.as_py(), min_chars, exact_chars)
                         if with_text:
                             want = set(part.column("wanted")[n].as_py())
                             some = [k for k, number in enumerate(numbers) if number in want]
@@ -267,26 +271,27 @@ def _without(texts: pa.Array, lines: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def mark(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> tuple[DataFrame, str]:
+def mark(docs: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> tuple[DataFrame, str]:
     """docs and a column more, whose name is told: the numbers of the lines to remove, null where there are none."""
     if not 0 <= threshold <= 6 or min_chars <= threshold:
         raise ValueError("threshold must be from 0 to 6, and min_chars above it")
     stage = Staged(docs.sparkSession, "lines")
-    gone = stage.save(removals(numbered(docs, id_col, text_col), stage, threshold, min_chars))
+    gone = stage.save(removals(numbered(docs, id_col, text_col), stage, threshold, min_chars, exact_chars))
     of, lines = free_name(docs, "of"), free_name(docs, "lines")
     gone = gone.select(F.col("doc").alias(of), F.col("lines").alias(lines))
     return docs.join(gone, doc_number(column(docs, id_col), text_of(docs, text_col)) == gone[of], "left").drop(of), lines
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """One row per row: id_col, n_lines, n_removed and text_col, the kept lines joined by line feeds.
 
     Ids are whole numbers. Lines end at line feeds only. Null text is one empty line. Null ids count as
     larger than all others; rows of one id are in the order of a hash of their
     texts, and rows equal in id and text have one outcome. An empty table gives
-    no rows. Other columns are not read.
+    no rows. Other columns are not read. With exact_chars, equal lines of so many
+    characters are removed too, unless blank.
     """
-    marked, lines = mark(docs.select(column(docs, id_col).alias("id"), text_of(docs, text_col).alias("text")), "id", "text", threshold, min_chars)
+    marked, lines = mark(docs.select(column(docs, id_col).alias("id"), text_of(docs, text_col).alias("text")), "id", "text", threshold, min_chars, exact_chars)
     return marked.select(
         F.col("id").alias(id_col),
         (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
@@ -295,12 +300,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """docs with the repeated lines removed from text_col, and length_col, if given, the new number of characters.
 
     Rows and other columns stay as they are; a text of which no line goes is untouched, null included.
     """
-    marked, lines = mark(docs, id_col, text_col, threshold, min_chars)
+    marked, lines = mark(docs, id_col, text_col, threshold, min_chars, exact_chars)
     hit = F.col(lines).isNotNull()
     text = F.when(hit, _without(text_of(marked, text_col), lines)).otherwise(column(marked, text_col))
     out = marked.withColumn(text_col, text)
@@ -313,4 +318,4 @@ def op6_lines(spark, sf_dir: str) -> DataFrame:
     """What is left of every document."""
     from loomflow.session import table
 
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup(table(spark, sf_dir, "documents"), exact_chars=EXACT_CHARS).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -88,3 +88,15 @@ def test_keeps_columns_and_takes_nulls(spark):
 def test_limits_are_checked(spark):
     with pytest.raises(ValueError):
         lines.dedup(spark.createDataFrame([], DOCS), threshold=9)
+
+
+def test_short_repeats_go_too(spark, tmp_path):
+    from corpus_pipeline import drop_repeated_lines
+
+    rows = [(1, "All rights reserved.\nOk\n\n  \nSee it", None, 0), (2, "Ok\n\n  \nOk!\nAll rights reserved.", None, 0), (3, "Ok", None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = {1: "All rights reserved.\nOk\n\n  \nSee it", 2: "\n  \nOk!", 3: ""}
+    assert {r["doc_id"]: r["text"] for r in drop_repeated_lines(spark, df, "").collect()} == want
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in lines.op6_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 2, 3: 1}

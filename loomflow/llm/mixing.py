@@ -4,8 +4,10 @@ Documents of a source stand in the order of a hash and form blocks of a fixed
 number of rows. Block j of a source of weight w may not run before slot
 floor(j / w) and must run before slot ceil((j + 1) / w); earliest deadline first
 among the released blocks then keeps each source within one block of its share
-at every slot. Weights are whole numbers of slots in a cycle, so the schedule of
-one cycle, a table of the number of sources and not of the rows, repeats.
+at every slot. Weights are exact, and the driver makes the schedule of all blocks
+in runs, holding no more than one run and a block of each source. The query takes
+weights rounded to slots of a cycle, as its SQL does: the schedule of one cycle,
+a table of the number of sources and not of the rows, repeats.
 
 When a source has no more blocks its slots stay empty and the others go on, so
 no row is dropped. ``balanced`` marks the rows before the first such slot.
@@ -17,8 +19,12 @@ tasks; no window but that over runs of a thousand cycles spans all sources.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +35,8 @@ BLOCK_ROWS = 16
 CYCLE = 100
 #: Cycles that are added up together.
 RUN = 1024
+#: Blocks of an exact schedule that are written together.
+RUN_BLOCKS = 1 << 20
 #: More sources than this are refused: their schedule is held on the driver.
 MAX_SOURCES = 10_000
 
@@ -64,6 +72,63 @@ def schedule(slots: dict[str | None, int]) -> dict[str | None, list[int]]:
     return out
 
 
+def exact_schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int]]:
+    """(slot, source, block) of all blocks: earliest deadline first among released blocks, ties by the order of sources."""
+    shares = [Fraction(w) for w in weights]
+    scale = lcm(*(x.denominator for x in shares))
+    whole = [int(x * scale) for x in shares]
+    total = sum(whole)
+    waiting = [(0, s) for s, n in enumerate(blocks) if n]
+    ready: list[tuple[int, int]] = []
+    done, slot = [0] * len(blocks), 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // whole[s]), s))
+        s = heapq.heappop(ready)[1]
+        yield slot, s, done[s]
+        slot += 1
+        done[s] += 1
+        if done[s] < blocks[s]:
+            heapq.heappush(waiting, (done[s] * total // whole[s], s))
+
+
+def _exact(stage: Staged, counts: dict[str | None, int], weights: dict[str | None, float], block_rows: int) -> tuple[DataFrame, int]:
+    """(of, at, slot, first) of each source's blocks, and the first slot in which a source has no full block."""
+    if any(not weights[s] > 0 for s in counts):
+        raise ValueError("weights must be positive")
+    names = sorted(counts, key=lambda s: (s is not None, s or ""))
+    sizes = [counts[s] for s in names]
+    full = [n // block_rows for n in sizes]
+    total = sum(Fraction(weights[s]) for s in names)
+    # where a source has no rest, its next block would be released here
+    least = min((k * total // Fraction(weights[s]) for s, k, n in zip(names, full, sizes, strict=True) if n == k * block_rows), default=1 << 62)
+    called = pa.array(names, pa.string())
+    plan = exact_schedule([-(-n // block_rows) for n in sizes], [weights[s] for s in names])
+    parts, first, more = [], 0, True
+    while more:
+        rows: list[tuple[int, int, int, int]] = []
+        for slot, s, block in plan:
+            rows.append((s, block, slot, first))
+            if block == full[s]:
+                least = min(least, slot)
+            first += min(block_rows, sizes[s] - block * block_rows)
+            if len(rows) == RUN_BLOCKS:
+                break
+        else:
+            more = False
+        of, *rest = zip(*rows, strict=True) if rows else ((), (), (), ())
+        run = pa.table([called.take(pa.array(of, pa.int64())), *(pa.array(x, pa.int64()) for x in rest)], names=["of", "at", "slot", "first"])
+        if rows or not parts:
+            parts.append(stage.save(stage.spark.createDataFrame(run, "of string, at bigint, slot bigint, first bigint")))
+    placed = parts[0]
+    for part in parts[1:]:
+        placed = placed.union(part)
+    return placed, least
+
+
 def _rank(rows: DataFrame) -> DataFrame:
     """rows (id, source, row, mark) with the place of each in its source, from 0, in the order of mark and id."""
     rows = rows.withColumn("part", F.substring("mark", 1, 3))
@@ -84,6 +149,7 @@ def mix(
     source_col: str = "source",
     block_rows: int = BLOCK_ROWS,
     cycle: int | None = None,
+    exact: bool = True,
 ) -> DataFrame:
     """One row per row: id_col, source_col, block, slot, position, balanced.
 
@@ -91,10 +157,11 @@ def mix(
     source weighs the square root of its rows. Rows of null source are a source;
     null ids stand first in theirs; repeated rows get places of their own, in
     any order among themselves. Sources without a weight are refused, as are
-    more than MAX_SOURCES. An empty table gives no rows.
+    more than MAX_SOURCES. An empty table gives no rows. With a cycle, or where
+    exact is False, weights are rounded to the slots of a cycle.
     """
     rows = docs.select(column(docs, id_col).alias("id"), column(docs, source_col).cast("string").alias("source"), F.lit(0).alias("row"))
-    out = _positions(rows, weights, block_rows, cycle)
+    out = _positions(rows, weights, block_rows, cycle, exact and cycle is None)
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", "slot", "position", "balanced")
 
 
@@ -104,11 +171,11 @@ def ordered(docs: DataFrame, into: str, weights: dict[str | None, float] | None
     row = free_name(docs, "row")
     docs = stage.save(docs.withColumn(row, F.monotonically_increasing_id()))
     rows = docs.select(column(docs, id_col).alias("id"), column(docs, source_col).cast("string").alias("source"), F.col(row).alias("row"))
-    places = stage.save(_positions(rows, weights, block_rows, cycle).select(F.col("row").alias(row), F.col("position").alias(into)))
+    places = stage.save(_positions(rows, weights, block_rows, cycle, cycle is None).select(F.col("row").alias(row), F.col("position").alias(into)))
     return docs.join(places, row).drop(row)
 
 
-def _positions(rows: DataFrame, weights: dict[str | None, float] | None, block_rows: int, cycle: int | None) -> DataFrame:
+def _positions(rows: DataFrame, weights: dict[str | None, float] | None, block_rows: int, cycle: int | None, exact: bool) -> DataFrame:
     """rows (id, source, row) with block, slot, position and balanced."""
     rows = rows.withColumn("mark", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
@@ -118,6 +185,10 @@ def _positions(rows: DataFrame, weights: dict[str | None, float] | None, block_r
         weights = {s: float(n) ** 0.5 for s, n in counts.items()}
     elif missing := counts.keys() - weights.keys():
         raise ValueError(f"no weight for {sorted(map(str, missing))}")
+    if exact:
+        ranked = _rank(rows).withColumn("block", F.floor(F.col("rank") / block_rows).cast("long"))
+        placed, full = _exact(Staged(rows.sparkSession, "schedule"), counts, weights, block_rows)
+        return _joined(ranked, placed, full, block_rows)
     slots = quotas({s: weights[s] for s in counts}, cycle) if counts else {}
     length = max(1, sum(slots.values()))
     of_source = {s: (slots[s], places) for s, places in schedule(slots).items()}
@@ -148,6 +219,11 @@ def _positions(rows: DataFrame, weights: dict[str | None, float] | None, block_r
         (F.col("cycle") * length + F.col("within")).cast("long").alias("slot"),
         (F.col("before") + F.col("inside")).alias("first"),
     )
+    return _joined(ranked, placed, full, block_rows)
+
+
+def _joined(ranked: DataFrame, placed: DataFrame, full: int, block_rows: int) -> DataFrame:
+    """ranked with the slots and places of its blocks."""
     out = ranked.join(placed, ranked["source"].eqNullSafe(placed["of"]) & (ranked["block"] == placed["at"]))
     return out.select(
         "id",
@@ -164,7 +240,7 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """The place of every document when sources weigh the square root of their size."""
     from loomflow.session import table
 
-    return mix(table(spark, sf_dir, "documents")).drop("balanced")
+    return mix(table(spark, sf_dir, "documents"), exact=False).drop("balanced")
 
 
 _MARKED = """

@@ -65,3 +65,36 @@ def test_matches_sql(spark, sf_dir):
     want = duckdb.sql(mixing.ORACLE_SQL.replace("FROM documents", f"FROM '{sf_dir}/documents.parquet'")).fetchall()
     got = mixing.op10_mixing(spark, sf_dir).select("doc_id", "source", "block", "slot", "position").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_exact_schedule_follows_the_true_weights():
+    rng = random.Random(4)
+    for k in (2, 20, 25, 60):
+        weights = [rng.random() ** 3 + 1e-3 for _ in range(k)]
+        blocks = [int(6000 * w / sum(weights)) + 1 for w in weights]
+        done, last = [0] * k, -1
+        for slot, s, block in mixing.exact_schedule(blocks, weights):
+            if any(n == full for n, full in zip(done, blocks, strict=True)):
+                break
+            assert slot == last + 1 and block == done[s]
+            last = slot
+            done[s] += 1
+            assert all(abs(n - (slot + 1) * w / sum(weights)) < 1 + 1e-9 for n, w in zip(done, weights, strict=True))
+        assert last > 900
+
+
+@pytest.mark.parametrize("run", [7, 1 << 20])
+def test_mixed_shares_follow_the_true_weights(spark, monkeypatch, run):
+    monkeypatch.setattr(mixing, "RUN_BLOCKS", run)
+    # one source of a half among 20, of which a cycle of 100 slots gives 41
+    weights = {"big": 0.5} | {f"s{k}": 0.5 / 19 for k in range(19)}
+    rows = [(k, "big") for k in range(800)] + [(1000 + k, f"s{k % 19}") for k in range(19 * 45)]
+    rows = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), weights, block_rows=2).collect()
+    assert sorted(r["position"] for r in rows) == list(range(len(rows)))
+    balanced = sorted((r for r in rows if r["balanced"]), key=lambda r: r["position"])
+    counts: Counter = Counter()
+    for n, r in enumerate(balanced, 1):
+        counts[r["source"]] += 1
+        if n % 2 == 0:
+            assert all(abs(counts[s] / 2 - n / 2 * w) < 1 + 1e-9 for s, w in weights.items())
+    assert len(balanced) > 1000

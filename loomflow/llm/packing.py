@@ -9,6 +9,9 @@ gap exchange documents: their bins that are not full are dealt anew, whole, to
 mixed partitions, which rerun best-fit decreasing and keep the result where it
 saves bins. The number of sequences never rises in an exchange.
 
+With positions, consecutive ones share a packing partition, bins are exchanged
+among neighbours only, and sequences are numbered by their first document.
+
 Rows carry lengths, not texts, so a packing partition takes some hundred KB.
 """
 
@@ -22,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomflow.llm.common import Staged, column, text_of
@@ -33,6 +36,10 @@ PARTITION_ROWS = 4096
 #: Exchanges between partitions with gaps.
 EXCHANGES = 3
 _BIN_BITS, _ROUND_BITS = 20, 36
+#: Bits of a piece's number in its document, below the document's position.
+_PIECE_BITS = 24
+#: Packing partitions among which bins of ordered documents are exchanged, at most.
+NEIGHBOURS = 8
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -73,10 +80,11 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, rest)] if rest else []) + [(s, capacity) for s in range(rest, n, capacity)]
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str, carry: str) -> DataFrame:
-    """One row per piece: id_col, piece, start, length and ids (array) or ids_crc32, as carry says."""
+def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str, carry: str, position_col: str | None = None) -> DataFrame:
+    """One row per piece: id_col, piece, start, length and ids (array) or ids_crc32, as carry says; and position, if there is a column for it."""
     kind = {"ids": "ids array<int>", "ids_crc32": "ids_crc32 bigint"}[carry]
-    base = docs.select(column(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"))
+    base = docs.select(column(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"), *([column(docs, position_col).cast("bigint").alias("position")] if position_col else []))
+    kept = [c for c in base.columns if c != "text"]
     id_type = base.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,16 +101,16 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str
                     held.append(part.astype(np.int32) if carry == "ids" else zlib.crc32(part.tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").take(pa.array(at, pa.int64())),
+                    *(batch.column(c).take(pa.array(at, pa.int64())) for c in kept),
                     pa.array(piece, pa.int32()),
                     pa.array(start, pa.int64()),
                     pa.array(length, pa.int64()),
                     pa.array(held, pa.list_(pa.int32()) if carry == "ids" else pa.int64()),
                 ],
-                names=["id", "piece", "start", "length", carry],
+                names=[*kept, "piece", "start", "length", carry],
             )
 
-    return base.mapInArrow(cut, f"id {id_type}, piece int, start bigint, length bigint, {kind}")
+    return base.mapInArrow(cut, f"id {id_type}, " + "position bigint, " * (position_col is not None) + f"piece int, start bigint, length bigint, {kind}")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -160,7 +168,7 @@ def _place(pdf: pd.DataFrame, bins: np.ndarray, base: int) -> pd.DataFrame:
     return pdf.assign(offset=by.cumsum() - pdf["length"], fill=by.transform("sum"))
 
 
-def _pack_part(capacity: int, round_no: int, columns: list[str]):
+def _pack_part(capacity: int, round_no: int, columns: list[str], in_order: bool = False):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pid", kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy()
@@ -170,6 +178,8 @@ def _pack_part(capacity: int, round_no: int, columns: list[str]):
         if before is None or now < before:
             base = ((round_no << _ROUND_BITS) + int(pdf["part"].iloc[0])) << _BIN_BITS
             pdf = _place(pdf, bins, base)
+            if in_order:
+                pdf = pdf.assign(sequence_id=pdf.groupby("sequence_id")["pid"].transform("min"))
         else:
             now = before
         return pdf.assign(part_bins=now, part_bound=bound)[columns]
@@ -186,6 +196,7 @@ def pack(
     carry: str = "ids",
     partition_rows: int = PARTITION_ROWS,
     exchanges: int = EXCHANGES,
+    position_col: str | None = None,
 ) -> DataFrame:
     """One row per piece: id_col, piece, start, length, carry, sequence_id, offset, part_bins, part_bound.
 
@@ -194,13 +205,16 @@ def pack(
     others. An empty table gives no rows. Other columns are not read. part_bins
     and part_bound are the bins of the packing partition that the piece was
     dealt to last, and the proven least number for its documents.
+    With position_col, which numbers the rows from 0, sequences follow its order.
     """
     spark = docs.sparkSession
     stage = Staged(spark, "packing")
-    cut = pieces(docs, id_col, text_col, capacity, path or vocabulary_path(), carry)
-    cut = stage.save(cut.withColumn("pid", F.monotonically_increasing_id()))
+    cut = pieces(docs, id_col, text_col, capacity, path or vocabulary_path(), carry, position_col)
+    in_order = position_col is not None
+    pid = F.shiftleft("position", _PIECE_BITS) + F.col("piece") if in_order else F.monotonically_increasing_id()
+    cut = stage.save(cut.withColumn("pid", pid.cast("bigint")).drop("position"))
     none = F.lit(None).cast("bigint")
-    whole = cut.where(F.col("length") == capacity).select("*", (-1 - F.col("pid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(1).cast("bigint").alias("part_bins"), F.lit(1).cast("bigint").alias("part_bound"))
+    whole = cut.where(F.col("length") == capacity).select("*", (F.col("pid") if in_order else -1 - F.col("pid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(1).cast("bigint").alias("part_bins"), F.lit(1).cast("bigint").alias("part_bound"))
     # the ids stay in the staged table; what is dealt are lengths
     wide = carry == "ids"
     items = cut.where(F.col("length") < capacity)
@@ -209,9 +223,18 @@ def pack(
     given = items.columns
     columns = [*given, "part", "sequence_id", "offset", "fill", "part_bins", "part_bound"]
     n = items.count()
-    items = items.select("*", F.pmod(F.xxhash64("pid"), F.lit(max(1, -(-n // partition_rows)))).alias("part"), *(none.alias(c) for c in columns[len(given) + 1 :]))
+    parts = max(1, -(-n // partition_rows))
+    n_docs = (cut.agg(F.max(F.shiftright("pid", _PIECE_BITS))).first()[0] or 0) + 1 if in_order else 0
+
+    def nearby(key: str, parts: int, k: int) -> Column:
+        """A packing partition of consecutive positions; those of odd rounds lie across the others' borders."""
+        shift = n_docs // (2 * parts) if k % 2 else 0
+        return F.floor((F.shiftright(key, _PIECE_BITS) + shift) / F.lit(n_docs) * parts).cast("bigint")
+
+    part = nearby("pid", parts, 0) if in_order else F.pmod(F.xxhash64("pid"), F.lit(parts))
+    items = items.select("*", part.alias("part"), *(none.alias(c) for c in columns[len(given) + 1 :]))
     schema = items.schema
-    loose = stage.save(items.groupBy("part").applyInPandas(_pack_part(capacity, 0, columns), schema))
+    loose = stage.save(items.groupBy("part").applyInPandas(_pack_part(capacity, 0, columns, in_order), schema))
     done = []
     for k in range(1, exchanges + 1):
         gap = (F.col("part_bins") > F.col("part_bound")) & (F.col("fill") < capacity)
@@ -221,8 +244,10 @@ def pack(
             loose = None
             break
         # a bin moves whole, so that a partition knows how many bins its documents had
-        moved = rows.withColumn("part", F.pmod(F.xxhash64("sequence_id", F.lit(k)), F.lit(-(-n // partition_rows))))
-        loose = stage.save(moved.groupBy("part").applyInPandas(_pack_part(capacity, k, columns), schema))
+        fewer = -(-n // partition_rows)
+        part = nearby("sequence_id", max(fewer, -(-parts // NEIGHBOURS)), k) if in_order else F.pmod(F.xxhash64("sequence_id", F.lit(k)), F.lit(fewer))
+        moved = rows.withColumn("part", part)
+        loose = stage.save(moved.groupBy("part").applyInPandas(_pack_part(capacity, k, columns, in_order), schema))
     if loose is not None:
         done.append(loose)
     packed = done[0]

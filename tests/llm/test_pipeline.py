@@ -1,7 +1,7 @@
 """Every stage against a plain version, on what the stage before it kept."""
 
 import corpus_pipeline
-from loomflow.llm import packing, toxicity
+from loomflow.llm import mixing, packing, toxicity
 from tests.llm import brute
 from tests.llm.test_lines import brute_dedup
 
@@ -48,3 +48,26 @@ def test_nulls_empty_tables_and_extra_columns(spark, tmp_path):
             assert docs.columns == [f.split("`")[1] if "`" in f else f.split()[0] for f in schema.split(", ")]
         out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
         assert bool(out) == bool(data)
+
+
+def test_packed_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
+    import random
+    from functools import partial
+
+    monkeypatch.setattr(packing, "pack", partial(packing.pack, partition_rows=64))
+    rng = random.Random(6)
+    # a is a fifth of the mix until it runs out; then b is alone
+    rows = [(k, "w " * rng.randint(100, 900), "en", "a" if k % 17 == 0 else "b", 0) for k in range(1700)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int").repartition(7)
+    source = {k: s for k, _, _, s, _ in rows}
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    place = {r["doc_id"]: r["at"] for r in corpus_pipeline.in_written_order(mixed, "at").collect()}
+    want = {r["doc_id"]: r["position"] for r in mixing.mix(docs).collect()}
+    assert place == want
+    packed = corpus_pipeline.pack_sequences(spark, mixed, "").collect()
+    order = [r["doc_id"] for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"]))]
+    for k in range(0, 500, 125):
+        assert 0.1 < sum(source[d] == "a" for d in order[k : k + 125]) / 125 < 0.3
+    assert sum(source[d] == "a" for d in order[-850:]) == 0
+    assert sorted(order) == list(range(1700))

@@ -1,20 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Documents of a source stand in the order of a hash and form blocks of a fixed
-number of rows. Block j of a source of weight w may not run before slot
-floor(j / w) and must run before slot ceil((j + 1) / w); earliest deadline first
-among the released blocks then keeps each source within one block of its share
-at every slot. Weights are exact, and the driver makes the schedule of all blocks
-in runs, holding no more than one run and a block of each source. The query takes
-weights rounded to slots of a cycle, as its SQL does: the schedule of one cycle,
-a table of the number of sources and not of the rows, repeats.
+number of rows. Block j of a source that weighs the share w of all may not run
+before slot floor(j / w) and must run before slot ceil((j + 1) / w); earliest
+deadline first among the released blocks then keeps each source within one block
+of its share at every slot, over the whole table: weights are exact fractions,
+nothing is rounded to slots of a cycle.
+
+The schedule is a table of blocks, not of rows. Blocks are as large as it takes
+for there to be MOST_BLOCKS full ones at most, so the table has a bound that does
+not grow with the rows, and it is joined.
 
 When a source has no more blocks its slots stay empty and the others go on, so
 no row is dropped. ``balanced`` marks the rows before the first such slot.
 
 Only DataFrame functions run on the rows: two narrow shuffles number the rows
 of each source in hash parts, so that a source of any size is dealt over many
-tasks; no window but that over runs of a thousand cycles spans all sources.
+tasks.
 """
 
 from __future__ import annotations
@@ -22,62 +24,43 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from fractions import Fraction
-from math import lcm
+from math import isqrt, lcm
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomflow.llm.common import Staged, column, free_name
 
+#: Rows of a block, at least.
 BLOCK_ROWS = 16
-#: Slots in a cycle for each 25 sources.
-CYCLE = 100
-#: Cycles that are added up together.
-RUN = 1024
-#: Blocks of an exact schedule that are written together.
-RUN_BLOCKS = 1 << 20
-#: More sources than this are refused: their schedule is held on the driver.
-MAX_SOURCES = 10_000
-
-
-def quotas(weights: dict[str | None, float], cycle: int | None = None) -> dict[str | None, int]:
-    """Slots of each source in a cycle: one each, the others by largest remainder; ties by name, null first."""
-    names = sorted(weights, key=lambda s: (s is not None, s or ""))
-    if any(not w > 0 for w in weights.values()):
+#: Full blocks of a table, at most: blocks double until no more remain.
+MOST_BLOCKS = 1 << 20
+#: More sources than this are refused: a number for each is held on the driver.
+MAX_SOURCES = 100_000
+#: Binary places of a weight that is a square root.
+ROOT_PLACES = 20
+
+
+def rows_of_a_block(n: int, least: int = BLOCK_ROWS, most: int = MOST_BLOCKS) -> int:
+    """least, doubled until n rows make at most so many full blocks."""
+    while n > least * most:
+        least *= 2
+    return least
+
+
+def shares(weights: list[float | Fraction]) -> tuple[list[int], int]:
+    """Whole numbers in the ratio of the weights, taken as the decimals they are written as, and their sum."""
+    exact = [w if isinstance(w, Fraction) else Fraction(str(w)) for w in weights]
+    if any(not w > 0 for w in exact):
         raise ValueError("weights must be positive")
-    cycle = cycle or CYCLE * max(1, -(-len(names) // 25))
-    if len(names) > cycle:
-        raise ValueError("a cycle needs a slot for each source")
-    total = sum(Fraction(w) for w in weights.values())
-    shares = {s: Fraction(weights[s]) * (cycle - len(names)) / total for s in names}
-    out = {s: 1 + shares[s].__floor__() for s in names}
-    order = sorted(names, key=lambda s: -(shares[s] - shares[s].__floor__()))
-    for s in order[: cycle - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def schedule(slots: dict[str | None, int]) -> dict[str | None, list[int]]:
-    """Slot of each block of a cycle: earliest deadline first among released blocks, ties by the order of slots."""
-    cycle = sum(slots.values())
-    out: dict[str | None, list[int]] = {s: [] for s in slots}
-    for t in range(cycle):
-        ready = []
-        for n, (s, k) in enumerate(slots.items()):
-            j = len(out[s])
-            if j < k and j * cycle // k <= t:
-                ready.append((-(-(j + 1) * cycle // k), n, s))
-        out[min(ready)[2]].append(t)
-    return out
-
-
-def exact_schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int]]:
+    scale = lcm(*(w.denominator for w in exact))
+    whole = [int(w * scale) for w in exact]
+    return whole, sum(whole)
+
+
+def exact_schedule(blocks: list[int], weights: list[float | Fraction]) -> Iterator[tuple[int, int, int]]:
     """(slot, source, block) of all blocks: earliest deadline first among released blocks, ties by the order of sources."""
-    shares = [Fraction(w) for w in weights]
-    scale = lcm(*(x.denominator for x in shares))
-    whole = [int(x * scale) for x in shares]
-    total = sum(whole)
+    whole, total = shares(weights)
     waiting = [(0, s) for s, n in enumerate(blocks) if n]
     ready: list[tuple[int, int]] = []
     done, slot = [0] * len(blocks), 0
@@ -95,38 +78,22 @@ def exact_schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[in
             heapq.heappush(waiting, (done[s] * total // whole[s], s))
 
 
-def _exact(stage: Staged, counts: dict[str | None, int], weights: dict[str | None, float], block_rows: int) -> tuple[DataFrame, int]:
+def _placed(stage: Staged, counts: dict[str | None, int], weights: dict[str | None, float | Fraction], block_rows: int) -> tuple[DataFrame, int]:
     """(of, at, slot, first) of each source's blocks, and the first slot in which a source has no full block."""
-    if any(not weights[s] > 0 for s in counts):
-        raise ValueError("weights must be positive")
     names = sorted(counts, key=lambda s: (s is not None, s or ""))
     sizes = [counts[s] for s in names]
+    whole, total = shares([weights[s] for s in names])
     full = [n // block_rows for n in sizes]
-    total = sum(Fraction(weights[s]) for s in names)
     # where a source has no rest, its next block would be released here
-    least = min((k * total // Fraction(weights[s]) for s, k, n in zip(names, full, sizes, strict=True) if n == k * block_rows), default=1 << 62)
-    called = pa.array(names, pa.string())
-    plan = exact_schedule([-(-n // block_rows) for n in sizes], [weights[s] for s in names])
-    parts, first, more = [], 0, True
-    while more:
-        rows: list[tuple[int, int, int, int]] = []
-        for slot, s, block in plan:
-            rows.append((s, block, slot, first))
-            if block == full[s]:
-                least = min(least, slot)
-            first += min(block_rows, sizes[s] - block * block_rows)
-            if len(rows) == RUN_BLOCKS:
-                break
-        else:
-            more = False
-        of, *rest = zip(*rows, strict=True) if rows else ((), (), (), ())
-        run = pa.table([called.take(pa.array(of, pa.int64())), *(pa.array(x, pa.int64()) for x in rest)], names=["of", "at", "slot", "first"])
-        if rows or not parts:
-            parts.append(stage.save(stage.spark.createDataFrame(run, "of string, at bigint, slot bigint, first bigint")))
-    placed = parts[0]
-    for part in parts[1:]:
-        placed = placed.union(part)
-    return placed, least
+    least = min((k * total // w for w, k, n in zip(whole, full, sizes, strict=True) if n == k * block_rows), default=1 << 62)
+    rows, first = [], 0
+    for slot, s, block in exact_schedule([-(-n // block_rows) for n in sizes], [Fraction(w) for w in whole]):
+        rows.append((names[s], block, slot, first))
+        if block == full[s]:
+            least = min(least, slot)
+        first += min(block_rows, sizes[s] - block * block_rows)
+    shape = "of string, at bigint, slot bigint, first bigint"
+    return stage.save(stage.spark.createDataFrame(rows, shape, verifySchema=False).coalesce(1)), least
 
 
 def _rank(rows: DataFrame) -> DataFrame:
@@ -144,81 +111,53 @@ def _rank(rows: DataFrame) -> DataFrame:
 
 def mix(
     docs: DataFrame,
-    weights: dict[str | None, float] | None = None,
+    weights: dict[str | None, float | Fraction] | None = None,
     id_col: str = "doc_id",
     source_col: str = "source",
-    block_rows: int = BLOCK_ROWS,
-    cycle: int | None = None,
-    exact: bool = True,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """One row per row: id_col, source_col, block, slot, position, balanced.
 
     position numbers all rows from 0 in the mixed order. Without weights a
-    source weighs the square root of its rows. Rows of null source are a source;
-    null ids stand first in theirs; repeated rows get places of their own, in
-    any order among themselves. Sources without a weight are refused, as are
-    more than MAX_SOURCES. An empty table gives no rows. With a cycle, or where
-    exact is False, weights are rounded to the slots of a cycle.
+    source weighs the square root of its rows, to ROOT_PLACES binary places.
+    Without block_rows a block has BLOCK_ROWS rows, or more where there would be
+    over MOST_BLOCKS. Rows of null source are a source; null ids stand first in
+    theirs; repeated rows get places of their own, in any order among
+    themselves. Sources without a weight are refused, as are more than
+    MAX_SOURCES. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(column(docs, id_col).alias("id"), column(docs, source_col).cast("string").alias("source"), F.lit(0).alias("row"))
-    out = _positions(rows, weights, block_rows, cycle, exact and cycle is None)
+    out = _positions(rows, weights, block_rows)
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "block", "slot", "position", "balanced")
 
 
-def ordered(docs: DataFrame, into: str, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, cycle: int | None = None) -> DataFrame:
-    """docs with each row's position in the mixed order, as mix() has it, in the column into."""
+def ordered(docs: DataFrame, into: str, weights: dict[str | None, float | Fraction] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int | None = None) -> DataFrame:
+    """docs with each row's position in the mixed order, as mix() has it, in the column into.
+
+    Every row stays, with all its columns, texts of any length, nulls and
+    repeated rows included; an empty table stays empty.
+    """
     stage = Staged(docs.sparkSession, "mixing")
     row = free_name(docs, "row")
     docs = stage.save(docs.withColumn(row, F.monotonically_increasing_id()))
     rows = docs.select(column(docs, id_col).alias("id"), column(docs, source_col).cast("string").alias("source"), F.col(row).alias("row"))
-    places = stage.save(_positions(rows, weights, block_rows, cycle, cycle is None).select(F.col("row").alias(row), F.col("position").alias(into)))
+    places = stage.save(_positions(rows, weights, block_rows).select(F.col("row").alias(row), F.col("position").alias(into)))
     return docs.join(places, row).drop(row)
 
 
-def _positions(rows: DataFrame, weights: dict[str | None, float] | None, block_rows: int, cycle: int | None, exact: bool) -> DataFrame:
+def _positions(rows: DataFrame, weights: dict[str | None, float | Fraction] | None, block_rows: int | None) -> DataFrame:
     """rows (id, source, row) with block, slot, position and balanced."""
     rows = rows.withColumn("mark", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")))
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     if weights is None:
-        weights = {s: float(n) ** 0.5 for s, n in counts.items()}
+        weights = {s: Fraction(isqrt(n << 2 * ROOT_PLACES), 1 << ROOT_PLACES) for s, n in counts.items()}
     elif missing := counts.keys() - weights.keys():
         raise ValueError(f"no weight for {sorted(map(str, missing))}")
-    if exact:
-        ranked = _rank(rows).withColumn("block", F.floor(F.col("rank") / block_rows).cast("long"))
-        placed, full = _exact(Staged(rows.sparkSession, "schedule"), counts, weights, block_rows)
-        return _joined(ranked, placed, full, block_rows)
-    slots = quotas({s: weights[s] for s in counts}, cycle) if counts else {}
-    length = max(1, sum(slots.values()))
-    of_source = {s: (slots[s], places) for s, places in schedule(slots).items()}
-    kind = "struct<quota:int,places:array<int>>"
-    plan = F.create_map(*[x for s, (k, places) in of_source.items() for x in (F.lit("-" if s is None else "+" + s), F.struct(F.lit(k).alias("quota"), F.array(*map(F.lit, places)).alias("places")))]) if slots else F.lit(None).cast(f"map<string,{kind}>")
-    key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
-    ranked = _rank(rows).select("id", "source", "row", "rank", F.floor(F.col("rank") / block_rows).cast("long").alias("block"))
-    blocks = ranked.groupBy("source", "block").agg(F.count("*").alias("n"))
-    own = F.element_at(plan, key)
-    blocks = blocks.withColumn("own", own).select(
-        "source",
-        "block",
-        "n",
-        F.floor(F.col("block") / F.col("own.quota")).cast("long").alias("cycle"),
-        F.get(F.col("own.places"), (F.col("block") % F.col("own.quota")).cast("int")).alias("within"),
-    )
-    # rows before each cycle: inside a run of cycles, and before the run, of some million rows
-    turns = blocks.groupBy("cycle").agg(F.sum("n").alias("n")).withColumn("run", F.floor(F.col("cycle") / RUN).cast("long"))
-    upto = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = turns.groupBy("run").agg(F.sum("n").alias("n")).select("run", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("start"))
-    earlier = Window.partitionBy("run").orderBy("cycle").rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumn("own", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(runs, "run").select("cycle", (F.col("start") + F.col("own")).alias("before"))
-    inside = Window.partitionBy("cycle").orderBy("within").rowsBetween(Window.unboundedPreceding, -1)
-    full = min(((n // block_rows) // slots[s] * length + of_source[s][1][(n // block_rows) % slots[s]] for s, n in counts.items()), default=0)
-    placed = blocks.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(turns, "cycle").select(
-        F.col("source").alias("of"),
-        F.col("block").alias("at"),
-        (F.col("cycle") * length + F.col("within")).cast("long").alias("slot"),
-        (F.col("before") + F.col("inside")).alias("first"),
-    )
+    block_rows = block_rows or rows_of_a_block(sum(counts.values()))
+    ranked = _rank(rows).withColumn("block", F.floor(F.col("rank") / block_rows).cast("long"))
+    placed, full = _placed(Staged(rows.sparkSession, "schedule"), counts, weights, block_rows)
     return _joined(ranked, placed, full, block_rows)
 
 
@@ -240,39 +179,30 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
     """The place of every document when sources weigh the square root of their size."""
     from loomflow.session import table
 
-    return mix(table(spark, sf_dir, "documents"), exact=False).drop("balanced")
+    return mix(table(spark, sf_dir, "documents")).drop("balanced")
 
 
-_MARKED = """
-rows AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
+#: The weight of a source is the square root of its rows to 20 binary places; one block runs a step, earliest deadline first.
+ORACLE_SQL = """
+WITH RECURSIVE rows AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),
 ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY mark, doc_id) - 1 AS rank FROM rows),
-counts AS (SELECT source, sqrt(count(*)) AS w FROM rows GROUP BY source),
-sized AS (SELECT *, sum(w) OVER () AS total, CAST(100 * ceil(count(*) OVER () / 25.0) AS BIGINT) AS cycle,
-    count(*) OVER () AS k FROM counts),
-shares AS (SELECT source, cycle, w * (cycle - k) / total AS share, k FROM sized),
-rest AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, source NULLS FIRST) AS nth,
-    cycle - k - sum(CAST(floor(share) AS BIGINT)) OVER () AS spare FROM shares),
-quotas AS (SELECT source, cycle, 1 + CAST(floor(share) AS BIGINT) + CASE WHEN nth <= spare THEN 1 ELSE 0 END AS quota,
-    row_number() OVER (ORDER BY source NULLS FIRST) AS nth FROM rest),
-"""
-
-ORACLE_SQL = f"""
-WITH RECURSIVE {_MARKED}
+size AS (SELECT CAST(16 * pow(2, greatest(0, ceil(log2(greatest(1, count(*)) / 16777216.0)))) AS BIGINT) AS per_block FROM rows),
+counts AS (SELECT source, count(*) AS n, CAST(floor(sqrt(count(*)) * 1048576) AS HUGEINT) AS w FROM rows GROUP BY source),
+sources AS (SELECT source, (n + per_block - 1) // per_block AS blocks, w, sum(w) OVER () AS total,
+    row_number() OVER (ORDER BY source NULLS FIRST) AS nth FROM counts, size),
 edf AS (
-    SELECT CAST(-1 AS BIGINT) AS t, nth, quota, cycle, CAST(0 AS BIGINT) AS done, CAST(NULL AS BIGINT) AS ran FROM quotas
+    SELECT CAST(-1 AS HUGEINT) AS t, nth, blocks, w, CAST(total AS HUGEINT) AS total, CAST(0 AS HUGEINT) AS done, CAST(NULL AS HUGEINT) AS ran FROM sources
     UNION ALL
-    SELECT t + 1, nth, quota, cycle,
+    SELECT now, nth, blocks, w, total,
         done + CASE WHEN first_value(nth) OVER urgent = nth THEN 1 ELSE 0 END,
         CASE WHEN first_value(nth) OVER urgent = nth THEN done END
-    FROM edf WHERE t + 1 < cycle
-    WINDOW urgent AS (ORDER BY CASE WHEN done < quota AND (done * cycle) // quota <= t + 1 THEN 0 ELSE 1 END,
-        ((done + 1) * cycle + quota - 1) // quota, nth)
+    FROM (SELECT *, greatest(t + 1, min(CASE WHEN done < blocks THEN done * total // w END) OVER ()) AS now FROM edf)
+    WHERE now IS NOT NULL AND EXISTS (SELECT 1 FROM edf WHERE done < blocks)
+    WINDOW urgent AS (ORDER BY CASE WHEN done < blocks AND done * total // w <= now THEN 0 ELSE 1 END,
+        ((done + 1) * total + w - 1) // w, nth)
 ),
-places AS (SELECT q.source, e.ran, e.t, e.quota, e.cycle FROM edf e JOIN quotas q USING (nth) WHERE e.ran IS NOT NULL),
-slotted AS (
-    SELECT r.doc_id, r.source, r.rank, r.rank // 16 AS block, ((r.rank // 16) // p.quota) * p.cycle + p.t AS slot
-    FROM ranked r JOIN quotas q ON r.source IS NOT DISTINCT FROM q.source
-    JOIN places p ON p.source IS NOT DISTINCT FROM r.source AND p.ran = (r.rank // 16) % q.quota
-)
-SELECT doc_id, source, block, slot, CAST(row_number() OVER (ORDER BY slot, rank) - 1 AS BIGINT) AS position FROM slotted
+placed AS (SELECT s.source, e.ran, e.t FROM edf e JOIN sources s USING (nth) WHERE e.ran IS NOT NULL)
+SELECT r.doc_id, r.source, CAST(r.rank // per_block AS BIGINT) AS block, CAST(p.t AS BIGINT) AS slot,
+    CAST(row_number() OVER (ORDER BY p.t, r.rank) - 1 AS BIGINT) AS position
+FROM ranked r, size JOIN placed p ON p.source IS NOT DISTINCT FROM r.source AND p.ran = r.rank // per_block
 """

@@ -13,9 +13,7 @@ DOCS = "doc_id bigint, text string, pid int, part string, length int"
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.vocabulary_path())
 
 
 def corpus():
@@ -30,6 +28,7 @@ def test_ids_are_those_of_the_tokenizers_library(tokenizer):
     for _, text in corpus():
         ids = packing.token_ids(text or "", packing.vocabulary_path())
         assert ids.tolist() == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    assert packing.token_ids("a <|endoftext|> b", packing.vocabulary_path()).tolist() == [64, 220, 50256, 275, 0]
 
 
 def test_packs_every_token_once(spark, tokenizer):

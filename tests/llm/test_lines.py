@@ -52,8 +52,9 @@ def corpus(seed=3):
     return list(enumerate(docs))
 
 
-def brute_dedup(docs, threshold=2, least=24):
-    seen, out = [], {}
+def brute_dedup(docs, threshold=2, least=24, exact=None):
+    """Kept texts: lines of the least length without any that is within the threshold of an earlier one; with exact, shorter ones without equal ones."""
+    seen, short, out = [], set(), {}
     for d, t in docs:
         kept = []
         for line in (t or "").split("\n"):
@@ -62,6 +63,10 @@ def brute_dedup(docs, threshold=2, least=24):
                 seen.append(line)
                 if gone:
                     continue
+            elif exact is not None and len(line) >= exact and line.strip():
+                if line in short:
+                    continue
+                short.add(line)
             kept.append(line)
         out[d] = (len((t or "").split("\n")), "\n".join(kept))
     return out

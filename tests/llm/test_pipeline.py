@@ -1,9 +1,31 @@
 """Every stage against a plain version, on what the stage before it kept."""
 
 import corpus_pipeline
+from tokenizers import Tokenizer
+
 from loomflow.llm import mixing, packing, toxicity
-from tests.llm import brute
 from tests.llm.test_lines import brute_dedup
+from tests.llm.test_shingles import brute_groups
+
+
+def check_packed(mixed, packed):
+    """Tokens of every document, whole and in the mixed order."""
+    library = Tokenizer.from_file(packing.vocabulary_path())
+    order = {(r["doc_id"], r["text"]): r["at"] for r in corpus_pipeline.in_written_order(mixed, "at").collect()}
+    want = {at: (d, [*library.encode(t, add_special_tokens=False).ids, 0]) for (d, t), at in order.items()}
+    place = {d: at for at, (d, _) in want.items()}
+    rows = packed.collect()
+    held: dict = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        assert r["start"] == len(held.setdefault(r["doc_id"], [])) and r["length"] == len(r["ids"])
+        held[r["doc_id"]] += r["ids"]
+    assert held == dict(want.values())
+    for number in {r["sequence_id"] for r in rows}:
+        inside = sorted((r["offset"], r["length"], r["doc_id"], r["piece"]) for r in rows if r["sequence_id"] == number)
+        assert [x[0] for x in inside] == [sum(x[1] for x in inside[:k]) for k in range(len(inside))]
+        assert sum(x[1] for x in inside) <= packing.CAPACITY
+        # a sequence is numbered by the place in the mix, and the piece, of what it begins with
+        assert min((place[d] << packing._PIECE_BITS) + piece for *_, d, piece in inside) == number
 
 
 def stage_tables(spark, sf_dir, tmp_path):
@@ -23,16 +45,14 @@ def test_stages_match_plain_versions(spark, sf_dir, tmp_path):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     toxic = {r["doc_id"] for r in toxicity.score(docs, labels).where("predicted = 1").collect()}
     assert toxic and {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - toxic
-    want = brute_dedup(sorted((r["doc_id"], r["text"]) for r in clean.collect()))
+    want = brute_dedup(sorted((r["doc_id"], r["text"]) for r in clean.collect()), exact=1)
     got = {r["doc_id"]: r for r in lined.collect()}
     assert {d: r["text"] for d, r in got.items()} == {d: t for d, (_, t) in want.items()}
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
-    groups = brute.simhash_groups([(d, r["text"]) for d, r in got.items()])
-    assert {r["doc_id"] for r in single.collect()} == {c for *_, c in groups}
+    groups = brute_groups([(d, r["text"]) for d, r in got.items()])
+    assert {r["doc_id"] for r in single.collect()} == set(groups.values())
     assert mixed.exceptAll(single).count() == 0 and mixed.count() == single.count()
-    sizes = {r["doc_id"]: len(packing.token_ids(r["text"], packing.vocabulary_path())) for r in mixed.collect()}
-    rows = packed.collect()
-    assert {d: sum(r["length"] for r in rows if r["doc_id"] == d) for d in sizes} == sizes
+    check_packed(mixed, packed)
 
 
 def test_nulls_empty_tables_and_extra_columns(spark, tmp_path):

@@ -10,8 +10,8 @@ from loomflow.llm.common import Staged
 
 #: Twice the rounds that the longest path of 2**62 nodes takes.
 MOST_ROUNDS = 130
-#: So many shuffle partitions are written by one task, at most.
-SHARE = 8
+#: Edges that a task writes, about.
+TASK_EDGES = 1 << 19
 
 
 def connected(edges: DataFrame, stage: Staged) -> DataFrame:
@@ -22,15 +22,17 @@ def connected(edges: DataFrame, stage: Staged) -> DataFrame:
     itself. Nodes are joined with one minimum for each, never gathered, so a
     node of any degree is dealt over many tasks.
     """
-    # rounds are two numbers a row and little work: few tasks write them, in few files
-    tasks = max(1, int(stage.spark.conf.get("spark.sql.shuffle.partitions")) // SHARE)
-    now = stage.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(tasks))
+    # no fewer tasks than can run at a time, and no more files
+    cores = max(1, stage.spark.sparkContext.defaultParallelism)
+    now = stage.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(cores))
     seen = None
     for _ in range(MOST_ROUNDS):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
         seen = mark
+        # a round makes at most two edges of each, two numbers a row: as many tasks write them as their number asks for
+        tasks = -(-2 * mark[0] // TASK_EDGES) or 1
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

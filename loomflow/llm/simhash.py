@@ -43,7 +43,11 @@ def fingerprint(text: str, words: int = WORDS) -> int:
         grams = map(b" ".join, zip(*(found[k:] for k in range(words)), strict=False))
     else:
         grams = [b" ".join(found)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8")
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 15):
         bits = np.unpackbits(h[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -76,25 +80,29 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Fingerprints in Gray order under nodes of FANOUT children that hold the bits shared below them.
 
-    Only pairs with the same leading key bits are sought: in Gray order they
-    stand together.
+    Only pairs of one key are sought: the leading key bits, which in Gray order
+    stand together, or a key given for each. Of rows that are in known sets,
+    only pairs of different sets are sought.
     """
 
-    def __init__(self, fps: np.ndarray, key_bits: int) -> None:
-        self.order = np.argsort(gray_rank(fps), kind="stable")
+    def __init__(self, fps: np.ndarray, key_bits: int = 0, keys: np.ndarray | None = None, sets: np.ndarray | None = None) -> None:
+        rank = gray_rank(fps)
+        self.order = np.argsort(rank, kind="stable") if keys is None else np.lexsort((rank, keys))
         x = fps[self.order]
-        key = x >> np.uint64(64 - key_bits)
+        key = x >> np.uint64(64 - key_bits) if keys is None else keys[self.order]
+        own = self.order if sets is None else sets[self.order]
         full = np.full(len(x), ~np.uint64(0))
-        self.levels = [(x, full, key, key)]
+        self.levels = [(x, full, key, key, own, own)]
         ones, any_ = x, x
         while len(ones) > 1:
             at = np.arange(0, len(ones), FANOUT)
             ones, any_ = np.bitwise_and.reduceat(ones, at), np.bitwise_or.reduceat(any_, at)
             first, last = self.levels[-1][2][at], self.levels[-1][3][np.minimum(at + FANOUT, len(self.levels[-1][3])) - 1]
-            self.levels.append((ones, ~(ones ^ any_), first, last))
+            low, high = np.minimum.reduceat(self.levels[-1][4], at), np.maximum.reduceat(self.levels[-1][5], at)
+            self.levels.append((ones, ~(ones ^ any_), first, last, low, high))
 
     def pairs(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places in the given array whose fingerprints differ in at most so many bits."""
+        """Pairs of places in the given array whose fingerprints differ in at most so many bits, some at a time."""
         top = len(self.levels) - 1
         zero = np.zeros(1, np.int64)
         todo = [(top, zero, zero)]
@@ -104,7 +112,7 @@ class GrayIndex:
             if level == 0:
                 yield self.order[a], self.order[b]
                 continue
-            shared, mask, first, last = self.levels[level - 1]
+            shared, mask, first, last, low, high = self.levels[level - 1]
             n = len(shared)
             for k in range(0, len(a), _CHUNK):
                 ca = (a[k : k + _CHUNK, None, None] * FANOUT + step[:, None]) + np.zeros(FANOUT, np.int64)
@@ -115,6 +123,8 @@ class GrayIndex:
                 near = (last[ca] == first[cb]) | (ca == cb)
                 ca, cb = ca[near], cb[near]
                 near = np.bitwise_count((shared[ca] ^ shared[cb]) & mask[ca] & mask[cb]) <= most
+                # both hold rows of one and the same set
+                near &= (low[ca] != high[cb]) | (low[ca] != high[ca]) | (low[cb] != high[cb])
                 if near.any():
                     todo.append((level - 1, ca[near], cb[near]))
 

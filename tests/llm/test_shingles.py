@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from loomflow.llm import shingles
+from loomflow.llm.simhash import GrayIndex
 from tests.llm import brute
 
 DOCS = "doc_id bigint, text string, node string, hash int"
@@ -35,7 +39,9 @@ def brute_groups(docs):
     return brute.components(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if linked(a, b)])
 
 
-def test_stage_matches_brute_force_similarity(spark, sf_dir):
+@pytest.mark.parametrize("group", [8, 1 << 16])
+def test_stage_matches_brute_force_similarity(spark, sf_dir, monkeypatch, group):
+    monkeypatch.setattr(shingles, "GROUP", group)
     docs = corpus()
     df = spark.createDataFrame([(d, t, "clash", 0) for d, t in docs], DOCS).repartition(5)
     kept = corpus_pipeline.drop_near_copies(spark, df, sf_dir)
@@ -56,3 +62,14 @@ def test_null_ids_and_empty_table(spark):
     df = spark.createDataFrame(rows, DOCS)
     assert sorted((r["text"] for r in shingles.keep_one(df).collect())) == ["a b c d e f", "q r", "q r s"]
     assert shingles.keep_one(df.limit(0)).collect() == []
+
+
+def test_index_leaves_out_pairs_of_one_set():
+    rng = random.Random(5)
+    n = 500
+    fps = np.array([rng.getrandbits(6) << 58 | rng.getrandbits(8) for _ in range(n)], np.uint64)
+    keys = np.array([rng.randrange(4) - 2 for _ in range(n)])
+    sets = np.array([rng.randrange(6) for _ in range(n)])
+    got = [(min(p), max(p)) for a, b in GrayIndex(fps, keys=keys, sets=sets).pairs(3) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if keys[i] == keys[j] and sets[i] != sets[j] and (int(fps[i]) ^ int(fps[j])).bit_count() <= 3}
+    assert len(got) == len(set(got)) and set(got) == want

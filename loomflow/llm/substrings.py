@@ -4,19 +4,22 @@ A window of WINDOW words is a repeat if the same words start earlier: in a
 document of smaller id, or before it in the same one. Each window has an anchor,
 the least hash among its runs of ANCHOR words, so that equal windows have equal
 anchors at the same place. Consecutive windows with one anchor form a region of
-at most 15. A region that equals an earlier one repeats as a whole. Of equal
-regions the earliest is the reference, whose windows may still occur in other
-references of its anchor, and only there.
-
-The references of anchors that have several go to shards by anchor. A shard
-streams them, earliest first, through a suffix automaton of those before, whose
-matching statistics tell which windows have been seen, and adds them to it. An
-automaton holds a bounded number of references. References of an anchor that is
-very frequent are compared window by window under 128-bit digests instead, as
-partial sums, so that no passage, however common, gathers in one task.
-
-Only numbers are shuffled for regions (a 64-bit anchor, a 64-bit digest and a
-place); words follow for the references that an automaton compares.
+at most 15. Anchors that occur once hold no repeat; this filter is all that hashes
+decide.
+
+Regions of the other anchors are the references. Those of equal words are streamed
+once, under the place of the earliest. Anchors are dealt to shards. A task builds
+the suffix automaton of its shard, of a bounded number of references from the
+earliest on, in which every state knows the first place of its words. Then all
+regions of the shard stream through it: the matching statistics tell which windows
+stand in the shard, and the state where each stands first. What starts earlier is
+a repeat, and the maximal spans of such windows are removed.
+
+An anchor of very many different regions does not fit a shard. Its windows become
+references of their own, dealt to shards by all their words.
+
+Only numbers are shuffled to find anchors (a 64-bit anchor, a 64-bit digest and a
+place); words follow for the regions that the automata hold.
 """
 
 from __future__ import annotations
@@ -35,9 +38,7 @@ from loomflow.llm.common import PLACE_BITS, Staged, numbered, place
 
 WINDOW = 20
 ANCHOR = 6
-#: Occurrences from which an anchor's windows are dealt out one by one.
-FREQUENT = 256
-#: References in an automaton, about.
+#: References in an automaton, about; an anchor of more has its windows dealt out one by one.
 SHARD_REFERENCES = 2000
 _MULTIPLY, _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
@@ -82,37 +83,41 @@ def regions(words: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, n
 
 
 class Automaton:
-    """Suffix automaton of several sequences."""
+    """Suffix automaton of several sequences; each state has the first place where its words end."""
 
     def __init__(self) -> None:
         self.next: list[dict] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length, self.first = [-1], [0], [-1]
+        #: State of the last step of matching().
+        self.at = 0
 
-    def _state(self, length: int, link: int, moves: dict) -> int:
+    def _state(self, length: int, link: int, first: int, moves: dict) -> int:
         self.next.append(moves)
         self.link.append(link)
         self.length.append(length)
+        self.first.append(first)
         return len(self.next) - 1
 
     def _split(self, p: int, word: bytes, q: int) -> int:
         """The state for the words of q that end p's words and this one."""
         if self.length[q] == self.length[p] + 1:
             return q
-        twin = self._state(self.length[p] + 1, self.link[q], self.next[q].copy())
+        twin = self._state(self.length[p] + 1, self.link[q], self.first[q], self.next[q].copy())
         self.link[q] = twin
         while p >= 0 and self.next[p].get(word) == q:
             self.next[p][word] = twin
             p = self.link[p]
         return twin
 
-    def add(self, words: list[bytes]) -> None:
+    def add(self, words: list[bytes], place: int = 0) -> None:
+        """Take in a sequence whose words have the places from place on. Earlier sequences must come first."""
         last = 0
-        for word in words:
+        for place, word in enumerate(words, place):
             q = self.next[last].get(word)
             if q is not None:
                 last = self._split(last, word, q)
                 continue
-            new, p = self._state(self.length[last] + 1, 0, {}), last
+            new, p = self._state(self.length[last] + 1, 0, place, {}), last
             while p >= 0:
                 q = self.next[p].get(word)
                 if q is not None:
@@ -135,8 +140,37 @@ class Automaton:
                 length = 0
             else:
                 state, length = to, length + 1
+            self.at = state
             yield length
 
+    def windows(self, words: list[bytes], window: int) -> Iterator[tuple[int, int]]:
+        """(window, place where its words start first) of the windows that stand in a sequence."""
+        for n, length in enumerate(self.matching(words)):
+            if length >= window:
+                state = self.at
+                while self.length[self.link[state]] >= window:
+                    state = self.link[state]
+                yield n - window + 1, self.first[state] - window + 1
+
+
+#: Bits of a word's place in its reference.
+_WORD_BITS = 16
+
+
+def match_shard(references: list[str], window: int) -> tuple[list[int], list[int]]:
+    """For each reference, earliest first, bits of the windows that start earlier in the shard, and of those that the shard holds."""
+    known = Automaton()
+    split = [r.encode().split(b" ") for r in references]
+    for n, words in enumerate(split):
+        known.add(words, n << _WORD_BITS)
+    earlier, held = [0] * len(split), [0] * len(split)
+    for n, words in enumerate(split):
+        for k, place in known.windows(words, window):
+            held[n] |= 1 << k
+            if place < (n << _WORD_BITS) + k:
+                earlier[n] |= 1 << k
+    return earlier, held
+
 
 def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc, spans) of the documents (id, text, doc) that hold repeats; a span is first window * 2**16 + bits of the repeated ones."""
@@ -155,17 +189,16 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
 
     shape = "doc decimal(38,0), anchor bigint, digest bigint, first int, count tinyint"
     every = stage.save(docs.select("doc", "text").mapInArrow(find, shape))
-    counts = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     # sums are staged before a join, so that Spark can split the other side where a key is frequent
-    counts = stage.save(counts)
+    counts = stage.save(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     live = stage.save(every.join(counts, "anchor"))
     stage.drop(every, counts)
-    contents = live.withColumn("place", place(F.col("first"))).groupBy("anchor", "digest", "count", "n").agg(F.min("place").alias("place"))
-    contents = stage.save(contents)
-    several = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    contents = stage.save(live.withColumn("place", place(F.col("first"))).groupBy("anchor", "digest", "count").agg(F.min("place").alias("place")))
+    crowded = stage.save(contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > SHARD_REFERENCES).select("anchor", F.lit(True).alias("crowded")))
     first = F.pmod("place", F.lit(1 << PLACE_BITS).cast("decimal(10,0)")).cast("decimal(10,0)")
-    compared = contents.join(several, "anchor").select("anchor", "digest", "n", "count", first.cast("int").alias("first"), ((F.col("place") - first) / F.lit(1 << PLACE_BITS).cast("decimal(10,0)")).cast("decimal(38,0)").alias("of"))
-    by_doc = compared.groupBy("of").agg(F.collect_list(F.struct("anchor", "digest", "n", "count", "first")).alias("parts"))
+    of = ((F.col("place") - first) / F.lit(1 << PLACE_BITS).cast("decimal(10,0)")).cast("decimal(38,0)")
+    asked = contents.join(crowded, "anchor", "left").select("anchor", "digest", "crowded", "count", first.cast("int").alias("first"), of.alias("of"))
+    by_doc = asked.groupBy("of").agg(F.collect_list(F.struct("anchor", "digest", "crowded", "count", "first")).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,11 +207,10 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
                 lists = part.column("parts")
                 flat, ends = lists.flatten(), np.diff(lists.offsets.to_numpy())
                 row = np.repeat(np.arange(part.num_rows), ends)
-                at, n_windows = flat.field("first").to_numpy(), flat.field("count").to_numpy()
-                often = flat.field("n").to_numpy() >= FREQUENT
                 rows, offsets, texts, low, high = [], [], [], [], []
                 split, now = [], -1
-                for k, (r, i, n, single) in enumerate(zip(row.tolist(), at.tolist(), n_windows.tolist(), often.tolist(), strict=True)):
+                places = zip(row.tolist(), flat.field("first").to_pylist(), flat.field("count").to_pylist(), flat.field("crowded").to_pylist(), strict=True)
+                for k, (r, i, n, single) in enumerate(places):
                     if r != now:
                         split, now = split_words(part.column("text")[r].as_py()), r
                     for j in range(n if single else 1):
@@ -188,7 +220,7 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
                         offsets.append(j)
                         low.append(a)
                         high.append(b)
-                        texts.append(None if single else text.decode())
+                        texts.append(text.decode())
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc").take(pa.array(row[rows] if rows else row[:0])), flat.field("anchor").take(take), flat.field("digest").take(take), flat.field("first").take(take)]
@@ -199,39 +231,49 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
     shape = "doc decimal(38,0), anchor bigint, digest bigint, first int, offset tinyint, low bigint, high bigint, words string"
     read = docs.join(by_doc, docs["doc"] == by_doc["of"]).select("doc", "text", "parts").mapInArrow(cut, shape)
     read = stage.save(read.select("anchor", "digest", place(F.col("first") + F.col("offset")).alias("place"), "offset", "low", "high", "words"))
-    references = read.where("words is not null").select("anchor", "digest", "place", "words").repartition("anchor")
+    single = read.where("low is not null")
+    alone = single.groupBy("low", "high").agg(F.min(F.struct("place", "words")).alias("x")).select(F.col("low").alias("key"), F.col("high").alias("mark"), "x.place", "x.words", F.lit(True).alias("single"))
+    whole = read.where("low is null").select(F.col("anchor").alias("key"), F.col("digest").alias("mark"), "place", "words", F.lit(False).alias("single"))
+    shards = -(-read.count() // SHARD_REFERENCES) or 1
+    dealt = whole.unionByName(alone).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "place", "mark")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not sum(b.num_rows for b in batches):
-            return
-        table = pa.Table.from_batches(batches)
-        shards = -(-table.num_rows // SHARD_REFERENCES)
-        mixed = table.column("anchor").to_numpy().view(np.uint64) * _MULTIPLY
-        own = pa.array(((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64))
-        table = table.append_column("own", own).sort_by([("own", "ascending"), ("place", "ascending")])
-        seen, bits, now = Automaton(), [], None
-        for number, text in zip(table.column("own").to_pylist(), table.column("words"), strict=True):
-            if number != now:
-                seen, now = Automaton(), number
-            words = text.as_py().encode().split(b" ")
-            mask = 0
-            for n, length in enumerate(seen.matching(words)):
-                if length >= window:
-                    mask |= 1 << (n - window + 1)
-            bits.append(mask)
-            seen.add(words)
-        yield from table.select(["anchor", "digest"]).append_column("bits", pa.array(bits, pa.int32())).to_batches()
-
-    told = references.mapInArrow(stream, "anchor bigint, digest bigint, bits int")
-    single = read.where("words is null").select("anchor", "digest", "place", "offset", "low", "high")
-    earliest = stage.save(single.groupBy("low", "high").agg(F.min("place").alias("least")))
-    later = single.join(earliest, ["low", "high"]).where("place > least").groupBy("anchor", "digest").agg(F.expr("bit_or(shiftleft(1, `offset`))").alias("bits"))
-    told = stage.save(told.where("bits <> 0").unionByName(later))
-    contents = stage.save(contents.join(told, ["anchor", "digest"], "left").select("anchor", "digest", "place", "bits"))
-    spans = live.join(contents, ["anchor", "digest"]).select(
-        "doc", "first", F.when(place(F.col("first")) == F.col("place"), F.coalesce("bits", F.lit(0))).otherwise(F.expr("shiftleft(1, `count`) - 1")).alias("bits")
-    )
+        now, held = None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                # rows equal in id and text tell a region twice
+                at, mark = (rows.column(c).to_numpy() for c in ("place", "mark"))
+                rows = rows.filter(pa.array(np.append(True, (at[1:] != at[:-1]) | (mark[1:] != mark[:-1]))))
+                bits = match_shard(rows.column("words").to_pylist(), window)
+                rows = rows.select(["key", "mark", "place", "single"])
+                for name, x in zip(("earlier", "known"), bits, strict=True):
+                    rows = rows.append_column(name, pa.array(x, pa.int32()))
+                yield from rows.to_batches()
+
+        for batch in batches:
+            numbers = batch.column("shard").to_numpy()
+            ends = [*(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), batch.num_rows]
+            lo = 0
+            for hi in ends:
+                if hi > lo:
+                    if int(numbers[lo]) != now:
+                        yield from told()
+                        now, held = int(numbers[lo]), []
+                    held.append(batch.slice(lo, hi - lo))
+                    lo = hi
+        yield from told()
+
+    told = stage.save(dealt.mapInArrow(stream, "key bigint, mark bigint, place decimal(38,0), single boolean, earlier int, known int"))
+    of_whole = told.where("not single").select(F.col("key").alias("anchor"), F.col("mark").alias("digest"), "earlier", "known")
+    least = told.where("single and known = 1").select(F.col("key").alias("low"), F.col("mark").alias("high"), F.col("place").alias("least"))
+    bit = F.expr("shiftleft(1, `offset`)")
+    of_single = single.join(least, ["low", "high"]).groupBy("anchor", "digest").agg(F.bit_or(F.when(F.col("place") > F.col("least"), bit).otherwise(0)).alias("earlier"), F.bit_or(bit).alias("known"))
+    contents = stage.save(contents.join(of_whole.unionByName(of_single), ["anchor", "digest"]).select("anchor", "digest", F.col("place").alias("least"), "earlier", "known"))
+    here = place(F.col("first"))
+    spans = live.join(contents, ["anchor", "digest"]).select("doc", "first", F.when(here == F.col("least"), F.col("earlier")).otherwise(F.col("known")).alias("bits"))
     # one list for each document, no longer than it has windows; rows equal in id and text tell the same spans
     return spans.where("bits <> 0").groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 16).bitwiseOR(F.col("bits").cast("long"))).alias("spans"))
 

@@ -26,9 +26,10 @@ def corpus(seed=1, copies=40):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("frequent", [3, 256])
-def test_matches_brute_force(spark, monkeypatch, frequent):
-    monkeypatch.setattr(substrings, "FREQUENT", frequent)
+@pytest.mark.parametrize("size", [3, 40, 2000])
+def test_matches_brute_force(spark, monkeypatch, size):
+    # small shards also have anchors dealt out by single windows
+    monkeypatch.setattr(substrings, "SHARD_REFERENCES", size)
     docs = corpus()
     df = spark.createDataFrame([(d, t, "clash", 0) for d, t in docs], DOCS).repartition(4)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in substrings.dedup(df).collect()}
@@ -45,6 +46,26 @@ def test_small_shards(spark, monkeypatch):
     assert got == {d: n for d, (_, n, _) in brute.substrings(docs).items()}
 
 
+def test_automata_decide_what_is_removed(spark, monkeypatch):
+    df = spark.createDataFrame([(d, t, "clash", 0) for d, t in corpus()], DOCS)
+    monkeypatch.setattr(substrings, "match_shard", lambda references, window: ([0] * len(references), [0] * len(references)))
+    assert {r["n_removed"] for r in substrings.dedup(df).collect()} == {0}
+
+
+def test_first_places_of_windows():
+    rng = random.Random(7)
+    for window in (2, 5):
+        sequences = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 30))] for _ in range(15)]
+        first: dict = {}
+        known = substrings.Automaton()
+        for k, s in enumerate(sequences):
+            known.add(s, k << 16)
+            for i in range(len(s) - window + 1):
+                first.setdefault(tuple(s[i : i + window]), (k << 16) + i)
+        for s in sequences:
+            assert list(known.windows(s, window)) == [(i, first[tuple(s[i : i + window])]) for i in range(len(s) - window + 1)]
+
+
 def test_automaton_has_the_matching_statistics():
     rng = random.Random(2)
     sequences = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 30))] for _ in range(12)]

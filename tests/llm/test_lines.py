@@ -90,6 +90,60 @@ def test_keeps_columns_and_takes_nulls(spark):
     assert lines.dedup(df.limit(0)).collect() == []
 
 
+def test_neighbourhoods_are_exact():
+    rng = random.Random(11)
+    for _ in range(6000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 7)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            p = rng.randint(0, len(b))
+            b[p : p + rng.randint(0, 1)] = rng.choice(["", "a", "b", "c"])
+        b = "".join(b)
+        one, two = dict(lines.neighbourhood(a)), dict(lines.neighbourhood(b))
+        shared = any(not (one[k] and two[k]) for k in one.keys() & two.keys())
+        assert shared == (brute.edit_distance(a, b) <= 2), (a, b)
+
+
+@pytest.mark.parametrize("short", [0, 6, 32])
+def test_crowded_keys_match_brute_force(spark, monkeypatch, short):
+    monkeypatch.setattr(lines, "CROWDED_PAIRS", 3)
+    monkeypatch.setattr(lines, "CROWDED_ROWS", 12)
+    monkeypatch.setattr(lines, "SHORT", short)
+    monkeypatch.setattr(lines, "BLOCK", 7)
+    rng = random.Random(12)
+    docs = corpus(13) + [(1000 + k, f"order number {rng.randint(0, 300)} of the shop went out on day {rng.randint(0, 99)}") for k in range(120)]
+    df = spark.createDataFrame([(d, t, "clash", 0) for d, t in docs], DOCS).repartition(4)
+    got = {r["doc_id"]: (r["n_lines"], r["text"]) for r in lines.dedup(df).collect()}
+    assert got == brute_dedup(docs)
+
+
+def test_many_lines_of_one_template(spark):
+    rng = random.Random(14)
+    numbers = [f"{rng.randrange(10**7):07d}" for _ in range(20_000)]
+    df = spark.createDataFrame([(k, f"please quote the reference {n} in all letters", "", 0) for k, n in enumerate(numbers)], DOCS).repartition(8)
+    gone = {r["doc_id"] for r in lines.dedup(df).where("n_removed = 1").collect()}
+    for k in rng.sample(range(20_000), 40):
+        near = any(lines.edits(n, numbers[k], 2) <= 2 for n in numbers[:k])
+        assert (k in gone) == near
+    assert 1000 < len(gone) < 19_000
+
+
+def test_lines_with_the_same_letters_keep_their_names_apart(spark):
+    x = "fox over the dog near the bank lazy brown jumps quick"
+    y = "the lazy brown fox the bank dog over quick jumps near"
+    df = spark.createDataFrame([(0, x + "\n" + y, "", 0), (1, y + "!", "", 0)], DOCS)
+    assert {r["doc_id"]: r["text"] for r in lines.dedup(df).collect()} == {0: x + "\n" + y, 1: ""}
+
+
+def test_equal_names_lose_no_link(spark, monkeypatch):
+    # names of two bits: all decisions are left to marks and texts
+    monkeypatch.setattr(lines, "NAME_BITS", 2)
+    docs = corpus(15)
+    df = spark.createDataFrame([(d, t, "clash", 0) for d, t in docs], DOCS).repartition(3)
+    got = {r["doc_id"]: (r["n_lines"], r["text"]) for r in lines.dedup(df).collect()}
+    assert got == brute_dedup(docs)
+
+
 def test_limits_are_checked(spark):
     with pytest.raises(ValueError):
         lines.dedup(spark.createDataFrame([], DOCS), threshold=9)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from loomflow.llm import embeddings
 from tests.llm import brute
@@ -18,8 +19,13 @@ def table(seed=5, n=220, d=24):
     return out
 
 
-def test_matches_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [20, 1024])
+def test_matches_brute_force(spark, monkeypatch, rows):
+    # also with cells that are dealt into groups
     monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "GROUP_ROWS", rows)
+    monkeypatch.setattr(embeddings, "GROUP_BYTES", 1)
+    monkeypatch.setattr(embeddings, "MOST_CELLS", 5 if rows == 20 else 128)
     data = table()
     df = spark.createDataFrame([(k, v, "clash", 1) for k, v in data.items()], VECTORS).repartition(3)
     got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near(df).collect()}
@@ -48,3 +54,42 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((tuple(r) for r in embeddings.near(df).collect()), key=str)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (4, 0, 4, True)], key=str)
     assert embeddings.near(df.limit(0)).collect() == []
+
+
+def test_components_of_any_finite_size(spark):
+    big, small = [1e200, 1e200], [1e-200, 2e-200]
+    rows = [(1, big), (2, big), (3, [1.0, 1.0]), (4, small), (5, [1.0, 2.0]), (6, [5e-324, -5e-324]), (7, [1e308, -1e308])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near(df).collect()}
+    # 1, 1 and 1, 2 have a cosine of 0.949
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (1, 6), 7: (1, 6)}
+
+
+def test_any_two_cells_meet_once():
+    for n in range(1, 9):
+        for a in range(n):
+            assert not embeddings.visits(np.int64(a), np.int64(a), n)
+            for b in range(a):
+                assert bool(embeddings.visits(np.int64(a), np.int64(b), n)) != bool(embeddings.visits(np.int64(b), np.int64(a), n))
+
+
+def test_far_cells_are_not_visited(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "GROUP_ROWS", 40)
+    monkeypatch.setattr(embeddings, "GROUP_BYTES", 1)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(25, 16))
+    x = centre[rng.integers(25, size=1000)] + rng.normal(size=(1000, 16)) * 0.12
+    sent = []
+    repartition = type(spark.range(1)).repartition
+
+    def counted(frame, *by):
+        if by == ("home",):
+            sent.append(frame.count())
+        return repartition(frame, *by)
+
+    monkeypatch.setattr(type(spark.range(1)), "repartition", counted)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near(df).collect()}
+    assert got == brute.cosine_links({k: v.tolist() for k, v in enumerate(x)})
+    # of some 25 groups
+    assert len(sent) == 1 and sent[0] < 4 * len(x)

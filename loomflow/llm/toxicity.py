@@ -6,6 +6,11 @@ buckets, the product of their factors, so that two words which are harmless
 apart can weigh together. It is fitted on the driver from a bounded sample of
 labelled rows and goes to the executors as a table of that bounded size; every
 document is scored in full.
+
+A bucket is in the machine if the sample's labels depend on it (a chi-square of
+LEAST_CHI2) or, among the PAIR_BUCKETS most frequent ones, on its standing
+together with another (PAIR_CHI2), so that words which say nothing alone are not
+left out. Only these buckets of each sampled row reach the driver.
 """
 
 from __future__ import annotations
@@ -20,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomflow.llm.common import column, free_name, text_of
+from loomflow.llm.common import Staged, column, free_name, text_of
 
 BUCKETS = 1 << 22
 #: Labelled rows of each class that are fitted on, at most; the least hashes of their ids are taken.
 SAMPLE = 5000
 #: Buckets in the model, at most, and the chi-square a bucket needs.
 MOST_BUCKETS, LEAST_CHI2 = 50_000, 15.0
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 30, 128, 0.1, 1e-4
+#: Frequent buckets of which pairs are tested, and the chi-square that a pair needs.
+PAIR_BUCKETS, PAIR_CHI2 = 1024, 40.0
+FACTORS, EPOCHS, BATCH, RATE, DECAY, SPREAD = 8, 20, 128, 0.1, 1e-4, 0.02
 _WORD = re.compile(r"\w+")
 
 
@@ -46,17 +53,51 @@ class Machine:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probability of label 1 for each text."""
-        mask = BUCKETS - 1
-        place = {int(b): n for n, b in enumerate(self.buckets)}
-        out = np.empty(len(texts))
-        for row, text in enumerate(texts):
-            hit = {place.get(zlib.crc32(w.encode()) & mask) for w in set(_WORD.findall(text.lower()))}
-            hit.discard(None)
-            at = np.fromiter(sorted(hit), np.int64, len(hit))
-            v = self.factors[at]
-            total = v.sum(axis=0)
-            out[row] = self.bias + self.weights[at].sum() + 0.5 * float((total * total).sum() - (v * v).sum())
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.margins([terms(t) for t in texts]), -30, 30)))
+
+    def margins(self, rows: list[np.ndarray]) -> np.ndarray:
+        """The log odds of rows of buckets."""
+        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+        if not len(self.buckets):
+            return np.full(len(rows), self.bias)
+        at = np.minimum(np.searchsorted(self.buckets, flat), len(self.buckets) - 1)
+        known = self.buckets[at] == flat
+        return margins(self.bias, self.weights, self.factors, at[known], of[known], len(rows))
+
+
+def sums(x: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of x that belong to each of n."""
+    return np.stack([np.bincount(of, weights=c, minlength=n) for c in x.T], axis=1) if x.shape[1] else np.zeros((n, 0))
+
+
+def margins(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """bias, the weights of each row's buckets and the products of the factors of their pairs; at[i] is a bucket of row of[i]."""
+    total = sums(v[at], of, n)
+    return bias + np.bincount(of, weights=w[at], minlength=n) + 0.5 * ((total**2).sum(axis=1) - np.bincount(of, weights=(v[at] ** 2).sum(axis=1), minlength=n))
+
+
+def gradients(bias: float, w: np.ndarray, v: np.ndarray, at: np.ndarray, of: np.ndarray, labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of the mean logistic loss, to bias, w and v."""
+    n = len(labels)
+    error = (1 / (1 + np.exp(-np.clip(margins(bias, w, v, at, of, n), -30, 30))) - labels) / n
+    total = sums(v[at], of, n)
+    return float(error.sum()), np.bincount(at, weights=error[of], minlength=len(w)), sums(error[of, None] * (total[of] - v[at]), at, len(w))
+
+
+def chi2(n: int, ones: int, have: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Of have of n rows, both with label 1 as ones of all have."""
+    expected = have * (ones / n)
+    return (both - expected) ** 2 / np.maximum(expected * (1 - ones / n) * (1 - have / n), 1e-9)
+
+
+def telling_pairs(rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which columns of a table of zeros and ones stand together with another in a way that the labels depend on."""
+    n, ones = len(labels), int(labels.sum())
+    have, both = rows.T @ rows, rows[labels > 0].T @ rows[labels > 0]
+    found = chi2(n, ones, have, both)
+    np.fill_diagonal(found, 0)
+    return (found >= PAIR_CHI2).any(axis=1)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
@@ -70,16 +111,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     empty = Machine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, FACTORS)))
     if not ones or ones == n:
         return empty
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    of = np.repeat(np.arange(n), sizes)
-    known, place = np.unique(flat, return_inverse=True)
+    of = np.repeat(np.arange(n), [len(r) for r in rows])
+    known, place = np.unique(np.concatenate(rows), return_inverse=True)
     df = np.bincount(place, minlength=len(known))
-    df1 = np.bincount(place, weights=labels[of], minlength=len(known))
-    expected = df * (ones / n)
-    chi2 = (df1 - expected) ** 2 / np.maximum(expected * (1 - ones / n) * (1 - df / n), 1e-9)
-    best = np.flatnonzero((chi2 >= LEAST_CHI2) & (df >= 2))
-    best = np.sort(best[np.lexsort((best, -chi2[best]))][:MOST_BUCKETS])
+    alone = chi2(n, ones, df, np.bincount(place, weights=labels[of], minlength=len(known)))
+    often = np.lexsort((known, -df))[:PAIR_BUCKETS]
+    column_of = np.full(len(known), -1)
+    column_of[often] = np.arange(len(often))
+    table = np.zeros((n, len(often)), np.float32)
+    here = column_of[place] >= 0
+    table[of[here], column_of[place[here]]] = 1
+    paired = np.zeros(len(known), bool)
+    paired[often] = telling_pairs(table, labels)
+    best = np.flatnonzero(((alone >= LEAST_CHI2) | paired) & (df >= 2))
+    best = np.sort(best[np.lexsort((best, -alone[best], ~paired[best]))][:MOST_BUCKETS])
     if not len(best):
         return empty
     new = np.full(len(known), -1)
@@ -88,30 +133,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     flat, of = new[place][keep], of[keep]
     starts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
     rng = np.random.default_rng(seed)
-    w, v, b = np.zeros(len(best)), rng.normal(0, 0.01, (len(best), FACTORS)), empty.bias
+    w, v, b = np.zeros(len(best)), rng.normal(0, SPREAD, (len(best), FACTORS)), empty.bias
     gw, gv, gb = np.full(len(best), 1e-6), np.full(v.shape, 1e-6), 1e-6
     for _ in range(EPOCHS):
         order = rng.permutation(n)
         for k in range(0, n, BATCH):
             batch = order[k : k + BATCH]
-            at = np.concatenate([flat[starts[i] : starts[i + 1]] for i in batch])
-            row = np.repeat(np.arange(len(batch)), starts[batch + 1] - starts[batch])
-            total = np.zeros((len(batch), FACTORS))
-            np.add.at(total, row, v[at])
-            squares = np.bincount(row, weights=(v[at] ** 2).sum(axis=1), minlength=len(batch))
-            z = b + np.bincount(row, weights=w[at], minlength=len(batch)) + 0.5 * ((total**2).sum(axis=1) - squares)
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) / len(batch)
+            size = starts[batch + 1] - starts[batch]
+            row = np.repeat(np.arange(len(batch)), size)
+            at = flat[np.repeat(starts[batch] - np.cumsum(size) + size, size) + np.arange(size.sum())]
             used, to = np.unique(at, return_inverse=True)
-            dw = np.bincount(to, weights=error[row], minlength=len(used)) + DECAY * w[used]
-            dv = np.zeros((len(used), FACTORS))
-            np.add.at(dv, to, error[row, None] * (total[row] - v[at]))
+            db, dw, dv = gradients(b, w[used], v[used], to, row, labels[batch])
+            dw += DECAY * w[used]
             dv += DECAY * v[used]
             gw[used] += dw**2
             gv[used] += dv**2
-            gb += error.sum() ** 2
+            gb += db**2
             w[used] -= RATE * dw / np.sqrt(gw[used])
             v[used] -= RATE * dv / np.sqrt(gv[used])
-            b -= RATE * error.sum() / np.sqrt(gb)
+            b -= RATE * db / np.sqrt(gb)
     return Machine(known[best].astype(np.int64), float(b), w, v)
 
 
@@ -135,11 +175,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [terms(x.as_py()).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(rows, pa.binary())], names=["id", "label", "terms"])
+            rows = [terms(x.as_py()) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))], names=["id", "label", "terms"])
+
+    bags = base.select("id", "text", "label").mapInArrow(each, "id string, label int, terms array<int>").groupBy("id").agg(F.min(F.struct("terms", "label")).alias("x"))
+    bags = Staged(docs.sparkSession, "toxicity").save(bags.select("id", "x.label", "x.terms"))
+    n, ones = bags.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    # of the sample's terms, those that may be in the machine: two lists of bounded length
+    have = bags.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("df1")).where("df >= 2")
+    expected = F.col("df") * F.lit(ones / max(1, n))
+    told = (F.col("df1") - expected) ** 2 / F.greatest(expected * F.lit(1 - ones / max(1, n)) * (1 - F.col("df") / F.lit(max(1, n))), F.lit(1e-9))
+    telling = have.where(told >= LEAST_CHI2).orderBy(told.desc(), "term").limit(MOST_BUCKETS)
+    often = have.orderBy(F.desc("df"), "term").limit(PAIR_BUCKETS)
+    chosen = np.sort(np.array([r["term"] for r in telling.select("term").union(often.select("term")).distinct().collect()], np.int64))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.intersect1d(x.values.to_numpy(), chosen).astype(np.int32).tobytes() for x in batch.column("terms")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, pa.binary())], names=["id", "label", "terms"])
 
-    got = base.select("id", "text", "label").mapInArrow(each, "id string, label int, terms binary").groupBy("id").agg(F.min(F.struct("terms", "label")).alias("x"))
-    rows = sorted((r["id"], bytes(r["x"]["terms"]), r["x"]["label"]) for r in got.collect())
+    got = bags.select("id", "label", "terms").mapInArrow(cut, "id string, label int, terms binary").collect()
+    rows = sorted((r["id"], bytes(r["terms"]), r["label"]) for r in got)
     return fit([np.frombuffer(t, np.int32) for _, t, _ in rows], np.array([y for *_, y in rows], float))
 
 

@@ -46,6 +46,53 @@ def test_held_out_labels_have_no_bearing(spark):
     assert (one.weights == two.weights).all() and one.bias == two.bias
 
 
+def exclusive(n=1200, seed=3):
+    """Label 1 where an insult or a group stands, not both: no word tells anything alone."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(n):
+        text = rng.choices(words, k=rng.randint(5, 40)) + ["vile"] * (k % 4 in (1, 3)) + ["people"] * (k % 4 in (2, 3))
+        rng.shuffle(text)
+        rows.append((k, " ".join(text), int(k % 4 in (1, 2))))
+    return rows
+
+
+def test_learns_pairs_that_weights_alone_cannot():
+    rows = exclusive()
+    train, test = rows[:900], rows[900:]
+    labels = np.array([y for *_, y in train], float)
+    machine = toxicity.fit([toxicity.terms(t) for _, t, _ in train], labels)
+    right = lambda m: np.mean((m.scores([t for _, t, _ in test]) >= 0.5) == np.array([y for *_, y in test]))
+    assert right(machine) >= 0.97
+    flat = toxicity.Machine(machine.buckets, machine.bias, machine.weights, np.zeros_like(machine.factors))
+    assert right(flat) < 0.8
+
+
+def test_gradients_match_differences():
+    rng = np.random.default_rng(5)
+    n, m, k = 6, 5, 3
+    has = rng.random((n, m)) < 0.5
+    of, at = np.nonzero(has)
+    y = rng.integers(0, 2, n).astype(float)
+    b, w, v = 0.2, rng.normal(size=m), rng.normal(size=(m, k))
+
+    def loss(b, w, v):
+        z = [b + sum(w[i] for i in np.flatnonzero(r)) + sum(v[i] @ v[j] for i in np.flatnonzero(r) for j in np.flatnonzero(r) if i < j) for r in has]
+        return np.mean(np.log1p(np.exp(z)) - y * z)
+
+    db, dw, dv = toxicity.gradients(b, w, v, at, of, y)
+    e = 1e-6
+    assert abs((loss(b + e, w, v) - loss(b - e, w, v)) / (2 * e) - db) < 1e-7
+    for i in range(m):
+        step = np.eye(m)[i] * e
+        assert abs((loss(b, w + step, v) - loss(b, w - step, v)) / (2 * e) - dw[i]) < 1e-7
+        for j in range(k):
+            s = np.zeros((m, k))
+            s[i, j] = e
+            assert abs((loss(b, w, v + s) - loss(b, w, v - s)) / (2 * e) - dv[i, j]) < 1e-7
+
+
 def test_pairs_formula():
     rng = np.random.default_rng(2)
     words = ["a", "b", "c"]

@@ -73,3 +73,14 @@ def test_index_leaves_out_pairs_of_one_set():
     got = [(min(p), max(p)) for a, b in GrayIndex(fps, keys=keys, sets=sets).pairs(3) for p in zip(a.tolist(), b.tolist(), strict=True)]
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if keys[i] == keys[j] and sets[i] != sets[j] and (int(fps[i]) ^ int(fps[j])).bit_count() <= 3}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_bitmaps_bound_what_sets_share():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 30, 3000):
+        for overlap in (0.0, 0.5, 1.0):
+            both = rng.integers(0, 1 << 63, int(n * overlap), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, n - len(both), dtype=np.uint64)])) for _ in range(2))
+            maps = [shingles.bitmap(x).view(np.uint64)[None] for x in (a, b)]
+            most = int(shingles.most_shared(*maps, np.array([len(a)]), np.array([len(b)]))[0])
+            assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b)) and (n != 30 or most <= len(both) + 3)

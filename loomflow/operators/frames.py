@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomflow.stage import Staged
+
 # joins
 
 
@@ -168,30 +170,27 @@ def butterworth(order: int, low: float | None, high: float | None, rate: float)
     return (gain * np.real(np.poly(z))).tolist(), np.real(np.poly(p)).tolist()
 
 
-def recursion(b: list[float], a: list[float], x):
+def recursion(b: list[float], a: list[float], x: list[float]) -> list[float]:
     """The filter's output for a series, from rest."""
-    import numpy as np
-
-    state = np.zeros(max(len(a), len(b)) - 1)
-    b, a = (np.pad(np.asarray(c, float), (0, len(state) + 1 - len(c))) for c in (b, a))
-    out = np.empty(len(x))
-    for n, v in enumerate(np.asarray(x, float)):
-        out[n] = y = b[0] * v + state[0] if len(state) else b[0] * v
-        if len(state):
-            state = np.append(state[1:], 0.0) + b[1:] * v - a[1:] * y
+    n = max(len(a), len(b)) - 1
+    b, a = ([float(v) for v in c] + [0.0] * (n + 1 - len(c)) for c in (b, a))
+    state, out = [0.0] * (n + 1), []
+    for v in x:
+        y = b[0] * v + state[0]
+        for k in range(n):
+            state[k] = state[k + 1] + b[k + 1] * v - a[k + 1] * y
+        out.append(y)
     return out
 
 
 def filtered(rows: DataFrame, by: list[str], order: list[str], value: str, into: str, b: list[float], a: list[float]) -> DataFrame:
-    """rows of each series through a recursive filter; one series is one task's work."""
-    import pandas as pd
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(**{into: recursion(b, a, pdf[value].to_numpy())})
+    """rows of each series through a recursive filter, from rest; one series is one task's work, so by bounds what a task holds."""
+    def each(series: pa.Table) -> pa.Table:
+        series = series.sort_by([(c, "ascending") for c in order])
+        return series.append_column(into, pa.array(recursion(b, a, series.column(value).to_pylist()), pa.float64()))
 
     schema = rows.withColumn(into, F.lit(0.0)).schema
-    return rows.groupBy(*by).applyInPandas(each, schema)
+    return rows.groupBy(*by).applyInArrow(each, schema)
 
 
 def gaussian(rows: DataFrame, by: list[str], order: list[str], value: str, into: str, sigma: float, truncate: float = 4.0) -> DataFrame:
@@ -209,6 +208,20 @@ def gaussian(rows: DataFrame, by: list[str], order: list[str], value: str, into:
 # sorting and limits
 
 
+def placed(rows: DataFrame, order: list[str], into: str) -> DataFrame:
+    """rows with their places, from 0, in the order of the columns; ties take places of their own, in any order.
+
+    Rows are dealt to ranges of the order and numbered in each; the sizes of the
+    ranges, a row each, say where a range begins.
+    """
+    part = "_part"
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(into, F.monotonically_increasing_id())
+    ranged = Staged(rows.sparkSession, "placed").save(ranged).withColumn(part, F.shiftright(into, 33)).withColumn(into, F.col(into).bitwiseAND((1 << 33) - 1))
+    sizes = ranged.groupBy(F.col(part).alias("_of")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_of", F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    return ranged.join(F.broadcast(starts), F.col(part) == F.col("_of")).withColumn(into, F.col(into) + F.col("_first")).select(*rows.columns, into)
+
+
 def head(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
@@ -247,11 +260,10 @@ def flatten_json(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 def label_codes(rows: DataFrame, value: str, into: str) -> DataFrame:
     """rows with the place of each value among the sorted distinct ones, from 0.
 
-    Distinct values are few where labels make sense; they are numbered apart
-    from the rows and joined.
+    Distinct values are numbered apart from the rows and joined.
     """
     kinds = rows.select(F.col(value).alias("_v")).where("_v is not null").distinct()
-    codes = kinds.withColumn(into, (F.row_number().over(Window.orderBy("_v")) - 1).cast("long"))
+    codes = placed(kinds, ["_v"], into)
     return rows.join(codes, F.col(value) == F.col("_v"), "left").drop("_v")
 
 

@@ -75,14 +75,24 @@ SELECT event_id, round((coalesce(l2 * exp(-2), 0) + coalesce(l1 * exp(-0.5), 0)
 
 
 def _lowpass(e: DataFrame) -> DataFrame:
+    """Every day of a kind of events is a series."""
     b, a = frames.butterworth(2, None, 4.0, 32.0)
-    out = frames.filtered(e.select("event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"], "value", "low", b, a)
-    return out.groupBy("event_type").agg(F.count("low").alias("n"))
-
-
-_q("w08_lowpass", "events", _lowpass, "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
-
-_q("s01_sort_uri", "nation", lambda n: n.select("n_name", (F.dense_rank().over(Window.orderBy("n_name"))).cast("long").alias("place")), "SELECT n_name, dense_rank() OVER (ORDER BY n_name) AS place FROM nation")
+    series = e.select("event_id", "event_type", "ts", "value", F.to_date("ts").alias("day"))
+    return frames.filtered(series, ["event_type", "day"], ["ts", "event_id"], "value", "low", b, a).select("event_id", F.round("low", 6).alias("low"))
+
+
+_q("w08_lowpass", "events", _lowpass, """
+WITH RECURSIVE c AS (SELECT w * w / (1 + sqrt(2) * w + w * w) AS b0, 2 * (w * w - 1) / (1 + sqrt(2) * w + w * w) AS a1, (1 - sqrt(2) * w + w * w) / (1 + sqrt(2) * w + w * w) AS a2 FROM (SELECT tan(pi() * 4 / 32) AS w)),
+s AS (SELECT event_id, event_type, CAST(ts AS DATE) AS day, value AS x, coalesce(lag(value) OVER o, 0) AS x1, coalesce(lag(value, 2) OVER o, 0) AS x2, row_number() OVER o AS n FROM events WINDOW o AS (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id)),
+f AS (
+    SELECT event_id, event_type, day, n, b0 * x AS y, CAST(0 AS DOUBLE) AS y1 FROM s, c WHERE n = 1
+    UNION ALL
+    SELECT s.event_id, s.event_type, s.day, s.n, b0 * (s.x + 2 * s.x1 + s.x2) - a1 * f.y - a2 * f.y1, f.y FROM f JOIN s ON s.event_type = f.event_type AND s.day = f.day AND s.n = f.n + 1, c
+)
+SELECT event_id, round(y, 6) AS low FROM f""")
+
+_q("s01_sort_uri", "nation", lambda n: n.join(frames.placed(n.select("n_name").distinct(), ["n_name"], "place"), "n_name").select("n_name", (F.col("place") + 1).alias("place")), "SELECT n_name, dense_rank() OVER (ORDER BY n_name) AS place FROM nation")
+_q("s03_sort_time", "events", lambda e: frames.placed(e.select("event_id", "ts"), ["ts", "event_id"], "place").select("event_id", "place"), "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events")
 _q("s02_sort_index", "lineitem", lambda li: li.groupBy("l_orderkey").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string"))).alias("parts")), "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1")
 _q("s04_head", "orders", lambda o: frames.head(o.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 20), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20")
 _q("s04_tail", "orders", lambda o: frames.tail(o.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 5), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 5")

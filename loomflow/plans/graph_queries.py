@@ -11,7 +11,7 @@ from loomflow.functions import terms as t
 from loomflow.operators.access import FlowGraph
 from loomflow.operators.graph import Graph, Group, direct
 from loomflow.session import table
-from loomflow.sources.flowtables import calls_graph, functions_graph
+from loomflow.sources.flowtables import calls_graph, functions_graph, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,16 +38,24 @@ def _add(name: str, make: Callable, graph: Callable, ctes: str, sql: str) -> Non
     ORACLE_SQL[name] = f"WITH {head} {sql}" if head else sql
 
 
+def _functions(spark: SparkSession, sf_dir: str) -> Graph:
+    return stored(spark, sf_dir, functions_graph)
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> Graph:
+    return stored(spark, sf_dir, calls_graph)
+
+
 def _f(name: str, make: Callable, ctes: str, sql: str) -> None:
-    _add(name, make, functions_graph, ctes, sql)
+    _add(name, make, _functions, ctes, sql)
 
 
 def _c(name: str, make: Callable, ctes: str, sql: str) -> None:
-    _add(name, make, calls_graph, ctes, sql)
+    _add(name, make, _calls, ctes, sql)
 
 
 def _both(spark: SparkSession, sf_dir: str) -> Graph:
-    return functions_graph(spark, sf_dir) | calls_graph(spark, sf_dir)
+    return _functions(spark, sf_dir) | _calls(spark, sf_dir)
 
 
 PART = "'part' || k"
@@ -67,7 +75,7 @@ _f("q06_get_name", lambda g: g.labels(), "funs", f"SELECT {PART} AS term, p_name
 _f("q07_is_kind", lambda g: g.of_type("fno:Function").withColumn("kind", F.lit("function")).union(g.of_type("fno:Parameter").withColumn("kind", F.lit("parameter"))).union(g.of_type("fno:Output").withColumn("kind", F.lit("output"))).groupBy("kind").agg(F.count("*").alias("n")), "funs params", """
 SELECT 'function' AS kind, count(*) AS n FROM funs UNION ALL SELECT 'parameter', (SELECT count(*) FROM params) + count(*) FROM funs WHERE z % 5 = 0
 UNION ALL SELECT 'output', (SELECT count(*) FROM funs) + count(*) FROM funs WHERE z % 7 = 0""")
-QUERIES["q08_has_function"] = lambda spark, sf_dir: local(table(spark, sf_dir, "customer").select(F.concat(F.lit(t.expand("ex:part")), (F.col("c_custkey") * 2).cast("string")).alias("f")).join(FlowGraph(functions_graph(spark, sf_dir).triples).functions(), "f", "left_semi"))
+QUERIES["q08_has_function"] = lambda spark, sf_dir: local(table(spark, sf_dir, "customer").select(F.concat(F.lit(t.expand("ex:part")), (F.col("c_custkey") * 2).cast("string")).alias("f")).join(FlowGraph(_functions(spark, sf_dir).triples).functions(), "f", "left_semi"))
 ORACLE_SQL["q08_has_function"] = "SELECT 'part' || (c_custkey * 2) AS f FROM customer WHERE c_custkey * 2 IN (SELECT p_partkey FROM part)"
 _f("q09_get_function", lambda g: g.functions_named("part7"), "funs", f"SELECT {PART} AS f FROM funs WHERE k = 7")
 _f("q10_get_parameters", lambda g: g.parameters().select("f", F.col("n").cast("long").alias("n"), "parameter"), "funs params", f"SELECT {PART} AS f, CAST(i AS BIGINT) AS n, {PARAM} AS parameter FROM params")
@@ -86,7 +94,7 @@ _f("q20_get_output_predicate", lambda g: g.outputs(), "funs", f"SELECT {PART} AS
 _f("q21_get_output_type", lambda g: g.terminal_types("fno:Output"), "funs", "SELECT 'part' || k || 'Output' AS term, CASE WHEN z % 2 = 0 THEN brand ELSE 'Any41485baa' END AS type FROM funs UNION ALL SELECT 'part' || k || 'SelfOutput', 'Any41485baa' FROM funs WHERE z % 7 = 0")
 _c("q22_get_compositions", lambda g: g.compositions(), "", "SELECT 'order' || o_orderkey || 'Composition' AS composition, 'part' || o_custkey AS f FROM orders")
 _c("q23_is_composition", lambda g: g.of_type("fno:Composition").groupBy().agg(F.count("*").alias("n")), "", "SELECT count(*) AS n FROM orders")
-_c("q24_get_start", lambda g: FlowGraph(g.triples.where(F.col("p") != t.expand("fnoc:applies"))).match([("?composition", "fnoc:start", "?start")]), "calls", "SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_1' AS start FROM calls WHERE n = 1")
+_c("q24_get_start", lambda g: FlowGraph(g.triples.join(g.match([("?s", "fnoc:composedOf", "?edge")], "?s"), "s", "left_semi").select(*g.triples.columns)).starts(), "calls", "SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_1' AS start FROM calls WHERE n = 1")
 _c("q25_get_representations", lambda g: g.match([("?composition", "fnoc:represents", "?f")], "?f"), "", "SELECT DISTINCT 'part' || o_custkey AS f FROM orders")
 _c("q26_get_mappings", lambda g: g.flow(), "calls", """
 SELECT 'order' || o || 'Composition' AS composition, CASE WHEN nxt IS NULL THEN CAST(q AS VARCHAR) ELSE '_:from' || o || '_' || n END AS source, '_:to' || o || '_' || n AS target,
@@ -113,9 +121,34 @@ _f("q41_get_default_mapping", lambda g: g.defaults().select("f", "parameter", F.
 _c("q42_get_used_functions", lambda g: g.used_functions(), "calls", "SELECT DISTINCT 'order' || o || 'Composition' AS composition, 'call' || o || '_' || n AS call FROM calls")
 _c("q43_depends_on", lambda g: g.depends(), "calls", "SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_' || (n + 1) AS call, 'call' || o || '_' || n AS \"on\" FROM calls WHERE nxt IS NOT NULL")
 _c("q43_closure", lambda g: g.depends_closure(), "calls", "SELECT 'order' || a.o || 'Composition' AS composition, 'call' || b.o || '_' || b.n AS call, 'call' || a.o || '_' || a.n AS \"on\", CAST(b.n - a.n AS INTEGER) AS steps FROM calls a JOIN calls b ON a.o = b.o AND a.n < b.n")
-_f("q44_describe", lambda g: g.description().groupBy("f").agg(F.count("*").alias("n")), "funs brands", f"""
-SELECT {PART} AS f, CAST(5 + 2 * (last + 1) + 1 + (last + 1) + (z % 5 = 0)::INT + (z % 5 = 0)::INT * 2 + 1 + 1 + (z % 7 = 0)::INT + 2 + (z % 2 = 0)::INT + (z % 7 = 0)::INT * 2
-+ 4 + 5 + (kind = 'PythonMethod')::INT + (last + 1) + 1 + (last + 1) * 2 + (last + 1) * 6 + (z % 2 = 0)::INT * 4 + (z % 11 = 0)::INT * 3 + (z % 13 = 0)::INT * 3 AS BIGINT) AS n FROM funs JOIN brands USING (brand)""")
+_TOLD = {
+    "funs": [
+        (PART, "'type'", "'Function'", ""), (PART, "'type'", "'Entity'", ""), (PART, "'label'", "p_name", ""), (PART, "'expects'", "'_:expects' || k", ""), (PART, "'returns'", "'_:returns' || k", ""),
+        ("'_:expects' || k", "'type'", "'Seq'", ""), ("'_:returns' || k", "'type'", "'Seq'", ""), ("'_:returns' || k", "'_1'", f"{PART} || 'Output'", ""),
+        ("'_:expects' || k", "'_' || (last + 2)", f"{PART} || 'Self'", "z % 5 = 0"), ("'_:returns' || k", "'_2'", f"{PART} || 'SelfOutput'", "z % 7 = 0"),
+        (f"{PART} || 'Self'", "'type'", "'Parameter'", "z % 5 = 0"), (f"{PART} || 'Self'", "'predicate'", "'self'", "z % 5 = 0"),
+        (f"{PART} || 'Output'", "'type'", "'Output'", ""), (f"{PART} || 'Output'", "'predicate'", "'result'", ""), (f"{PART} || 'Output'", "'type'", "brand", "z % 2 = 0"),
+        (f"{PART} || 'SelfOutput'", "'type'", "'Output'", "z % 7 = 0"), (f"{PART} || 'SelfOutput'", "'predicate'", "'self_output'", "z % 7 = 0"),
+        (f"{PART} || 'Mapping'", "'type'", "'Mapping'", ""), (f"{PART} || 'Mapping'", "'function'", PART, ""), (f"{PART} || 'Mapping'", "'implementation'", "brand", ""), (f"{PART} || 'Mapping'", "'mappingMethod'", "'default'", ""),
+        ("brand", "'type'", "'Implementation'", ""), ("brand", "'name'", "brand", ""), ("brand", "'module'", "'m.' || brand", ""), ("brand", "'file'", "'file:///src/' || brand || '.py'", ""),
+        ("'_:def' || k", "'defaultValue'", "CAST(p_retailprice AS VARCHAR)", "z % 2 = 0"),
+    ],
+    "funs JOIN brands USING (brand)": [("brand", "'type'", "kind", ""), ("brand", "'methodOf'", "'Base'", "kind = 'PythonMethod'")],
+    "params": [
+        ("'_:expects' || k", "'_' || (i + 1)", PARAM, ""), (PARAM, "'type'", "'Parameter'", ""), (PARAM, "'predicate'", "'p' || i", ""), (PARAM, "'type'", "brand", "i = 0"),
+        (PARAM, "'required'", "CASE WHEN i <> last OR z % 2 = 1 THEN 'true' ELSE 'false' END", ""),
+        ("'_:pos' || k || '_' || i", "'implementationParameterPosition'", "CAST(i AS VARCHAR)", ""), ("'_:prop' || k || '_' || i", "'implementationProperty'", "'p' || i", ""),
+    ],
+}
+for _node, _kind, _when in (
+    ("'_:pos' || k || '_' || i", "PositionParameterMapping", ""), ("'_:prop' || k || '_' || i", "PropertyParameterMapping", ""), ("'_:def' || k", "DefaultParameterMapping", "i = last AND z % 2 = 0"),
+    ("'_:args' || k", "VarPositionalParameterMapping", "i = last AND z % 11 = 0"), ("'_:kwargs' || k", "VarPropertyParameterMapping", "i = last AND z % 13 = 0"),
+):
+    _TOLD["params"] += [(f"{PART} || 'Mapping'", "'parameterMapping'", _node, _when), (_node, "'type'", f"'{_kind}'", _when), (_node, "'functionParameter'", PARAM, _when)]
+_f(
+    "q44_describe", lambda g: g.description().select("f", "s", "p", "o"), "funs brands params",
+    " UNION ALL ".join(f"SELECT {PART} AS f, {s} AS s, {p} AS p, {o} AS o FROM {rows}" + f" WHERE {when}" * bool(when) for rows, told in _TOLD.items() for s, p, o, when in told),
+)
 _f("q45_is_python", lambda g: g.of_type("fnoi:PythonClass", "fnoi:PythonMethod", "fnoi:PythonFunction", "fnoi:PythonFile"), "funs brands", "SELECT brand AS term FROM brands")
 _f("q46_get_file", lambda g: g.files(), "funs brands", "SELECT brand AS term, '/src/' || brand || '.py' AS file FROM brands")
 _f("q47_python_object", lambda g: g.python_objects(), "funs brands", """

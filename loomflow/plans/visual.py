@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 from loomflow.functions.terms import local_name
 from loomflow.operators.access import FlowGraph
 
-#: Calls on a path, at most.
-LONGEST = 64
 
-
-def hierarchy(graph: FlowGraph, longest: int = LONGEST) -> DataFrame:
-    """(composition, depth, call) along next edges from each start, until there is none, a call comes again, or longest calls.
+def hierarchy(graph: FlowGraph) -> DataFrame:
+    """(composition, depth, call) along next edges from each start, until there is none or a call comes again.
 
     A composition's edges become one map, walked in one expression; compositions
     are function bodies, and a call with two successors follows the first by name.
@@ -30,7 +27,7 @@ def hierarchy(graph: FlowGraph, longest: int = LONGEST) -> DataFrame:
         to = F.try_element_at(F.col("after"), F.element_at(path, -1))
         return F.when(to.isNull() | F.array_contains(path, to), path).otherwise(F.array_append(path, to))
 
-    rounds = F.sequence(F.lit(1), F.least(F.coalesce(F.size("after"), F.lit(0)), F.lit(longest - 1)))
+    rounds = F.sequence(F.lit(1), F.coalesce(F.size("after"), F.lit(0)))
     walked = start.join(maps, "composition", "left").withColumn("path", F.when(F.coalesce(F.size("after"), F.lit(0)) > 0, F.aggregate(rounds, F.array("call"), step)).otherwise(F.array("call")))
     return walked.select("composition", F.posexplode("path").alias("depth", "call"))
 

@@ -7,12 +7,16 @@ that of described programs, so every accessor runs on it at any scale.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.functions.terms import NAMESPACES
-from loomflow.operators.graph import Graph, triples
+from loomflow.operators.graph import TRIPLE, Graph, triples
 from loomflow.session import table
+from loomflow.stage import shared_dir
 
 EX, PY = NAMESPACES["ex"], NAMESPACES["python"]
 
@@ -108,3 +112,29 @@ def calls_graph(spark: SparkSession, sf_dir: str) -> Graph:
     to_part = F.coalesce(F.col("then"), F.col("l_partkey"))
     edges = edges.unionByName(triples(lines, _node("to", o, "_", n), ("fnoc:constituentFunction", target, uri), ("fnoc:functionParameter", _ex("part", to_part, "Parameter0"), uri), ("fnoc:mappingStrategy", F.when(flag == "R", F.lit(NAMESPACES["fnoc"] + "toList")), uri), ("fnoc:key", F.when(flag == "R", n), "literal", "xsd:integer")))
     return Graph(calls.unionByName(comps).unionByName(edges))
+
+
+_STORES: dict[tuple[str, str, str], str] = {}
+
+
+def write_store(graph: Graph, path: str) -> None:
+    """The triples as parquet files, a folder for each predicate."""
+    graph.triples.write.partitionBy("p").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str) -> Graph:
+    """A graph of which a pattern reads only the folders of its predicate."""
+    return Graph(spark.read.schema(TRIPLE).parquet(path).select(*TRIPLE.names))
+
+
+def stored(spark: SparkSession, sf_dir: str, make: Callable[[SparkSession, str], Graph]) -> Graph:
+    """The graph of a data folder, derived once in a session and kept in the shared folder.
+
+    Tables that change while a session runs need another folder name.
+    """
+    key = (spark.sparkContext.applicationId, make.__name__, sf_dir)
+    if key not in _STORES:
+        path = f"{shared_dir(spark)}/{make.__name__}-{uuid.uuid4().hex}"
+        write_store(make(spark, sf_dir), path)
+        _STORES[key] = path
+    return read_store(spark, _STORES[key])

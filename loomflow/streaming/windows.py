@@ -7,7 +7,6 @@ what is there now and returns the result as a table.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,10 +81,18 @@ def state_intervals(stream: DataFrame, by: str, ts: str, state: str) -> DataFram
 
 
 def to_end(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """The result over all that is there now, held in memory; for results that a driver can hold."""
-    name = "stream_" + uuid.uuid4().hex
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """The result over all that is there now, in parquet files beside the checkpoint; for results of any size.
+
+    Where every batch tells the whole result, it takes the place of the one before.
+    """
+    path = checkpoint.rstrip("/") + "-result"
+    if mode == "append":
+        return to_table(stream, path, checkpoint)
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(path)
+    told = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    told.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

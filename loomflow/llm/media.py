@@ -185,17 +185,114 @@ def _samples(media: bytes, boxes: dict[bytes, tuple[int, int]]) -> Track:
     return out
 
 
+def _numbers(media: bytes, at: int, end: int, count: int) -> list[int]:
+    """So many unsigned 32-bit numbers."""
+    if count < 0 or at + 4 * count > end:
+        raise BadMedia("a fragment's header is cut off")
+    return list(struct.unpack_from(f">{count}I", media, at))
+
+
+#: Flags of tfhd and trun: what follows their first numbers; and of a sample, that it is no keyframe.
+_BASE, _ENTRY, _DURATION, _SIZE, _FLAGS, _FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+_RUN_OFFSET, _RUN_FIRST, _RUN_FIELDS = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800)
+_NO_KEY = 0x10000
+
+
+@dataclass
+class _Fragments:
+    """What the boxes of movie fragments say of each track's further samples."""
+
+    defaults: dict[int, list[int]] = field(default_factory=dict)  # duration, size, flags
+    found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]] = field(default_factory=dict)
+    moof: int = 0
+    base: int = 0
+    after: int | None = None
+    track: int = 0
+    own: list[int] = field(default_factory=list)
+
+    def box(self, media: bytes, path: tuple, at: int, end: int) -> None:
+        if path == (b"moov", b"mvex", b"trex"):
+            _, track, _, *self.defaults[track] = _numbers(media, at, end, 6)
+        elif path == (b"moof",):
+            self.moof = at - (16 if media[at - 12 : at - 8] == b"moof" and media[at - 16 : at - 12] == b"\0\0\0\1" else 8)
+            self.after = None
+        elif path == (b"moof", b"traf", b"tfhd"):
+            flags, self.track = _numbers(media, at, end, 2)
+            at += 8
+            self.own = list(self.defaults.get(self.track, [0, 0, 0]))
+            self.base = self.moof if flags & _FROM_MOOF or self.after is None else self.after
+            if flags & _BASE:
+                high, low = _numbers(media, at, end, 2)
+                self.base, at = high << 32 | low, at + 8
+            at += 4 * bool(flags & _ENTRY)
+            for k, flag in enumerate((_DURATION, _SIZE, _FLAGS)):
+                if flags & flag:
+                    self.own[k], at = _numbers(media, at, end, 1)[0], at + 4
+            self.after = self.base
+        elif path == (b"moof", b"traf", b"trun"):
+            self.run(media, at, end)
+
+    def run(self, media: bytes, at: int, end: int) -> None:
+        flags, n = _numbers(media, at, end, 2)
+        at += 8
+        start, first = self.after if self.after is not None else self.moof, None
+        if flags & _RUN_OFFSET:
+            start, at = self.base + struct.unpack(">i", struct.pack(">I", _numbers(media, at, end, 1)[0]))[0], at + 4
+        if flags & _RUN_FIRST:
+            first, at = _numbers(media, at, end, 1)[0], at + 4
+        told = [f for f in _RUN_FIELDS if flags & f]
+        if told:
+            rows = _table(media, at, end, n * len(told), ">u4").reshape(n, -1)
+        elif n > len(media):
+            raise BadMedia("the samples are larger than the file")
+        durations, sizes, kinds = (rows[:, told.index(f)] if f in told else np.full(n, d, np.int64) for f, d in zip(_RUN_FIELDS, self.own, strict=False))
+        if first is not None and n:
+            kinds = kinds.copy()
+            kinds[0] = first
+        offsets = start + np.cumsum(sizes) - sizes
+        if n and (int(offsets[0]) < 0 or int(sizes.sum()) + start > len(media)):
+            raise BadMedia("a sample lies outside the file")
+        self.after = start + int(sizes.sum())
+        self.found.setdefault(self.track, []).append((sizes, offsets, np.flatnonzero(kinds & _NO_KEY == 0), int(durations.sum())))
+
+    def extend(self, track: Track, number: int) -> Track:
+        """The track with its samples in fragments."""
+        parts = self.found.get(number, [])
+        if parts:
+            before = np.cumsum([len(track.sizes), *(len(p[0]) for p in parts)])
+            duration = sum(p[3] for p in parts)
+            track.duration = (track.duration if len(track.sizes) else 0) + duration or track.duration
+            track.keys = np.concatenate([track.keys, *(p[2] + b for p, b in zip(parts, before, strict=False))])
+            track.sizes, track.offsets = (np.concatenate([own, *(p[k] for p in parts)]) for k, own in ((0, track.sizes), (1, track.offsets)))
+        return track
+
+
 def read(media: bytes) -> list[Track]:
-    """The tracks of a file. Raises BadMedia."""
+    """The tracks of a file, with the samples of its movie fragments. Raises BadMedia."""
     tracks: list[dict[bytes, tuple[int, int]]] = []
+    fragments, boxes = _Fragments(), []
     for path, start, end in walk(media):
         if path == (b"moov", b"trak"):
             tracks.append({})
         elif path[:2] == (b"moov", b"trak"):
             tracks[-1][path[-1]] = (start, end)
+        elif path[0] == b"moof" or path[-1] == b"trex":
+            boxes.append((path, start, end))
     if not tracks:
         raise BadMedia("the file has no track")
-    return [_samples(media, boxes) for boxes in tracks]
+    # defaults hold for all fragments, wherever they stand
+    for path, start, end in sorted(boxes, key=lambda b: b[0][-1] != b"trex"):
+        fragments.box(media, path, start, end)
+    out = []
+    for boxes_of in tracks:
+        track, number = _samples(media, boxes_of), None
+        if fragments.found:
+            at, end = boxes_of.get(b"tkhd", (0, 0))
+            if end - at < 24:
+                raise BadMedia("a track of a fragmented file has no number")
+            number = _numbers(media, at + (20 if media[at] else 12), end, 1)[0]
+        out.append(fragments.extend(track, number) if number is not None else track)
+    return out
 
 
 def payload(media: bytes, track: Track) -> bytes:
@@ -218,7 +315,9 @@ _FOUND = pa.schema([
 def index(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row per row: id_col and, of the first track, codec, duration_s, n_samples, keyframes; else the error.
 
-    Null media has the error ``no media``. Other columns are not read.
+    Samples of movie fragments are counted in. Null media has the error ``no
+    media``; ids may be null or repeated; an empty table gives no rows. Other
+    columns are not read.
     """
     base = df.select(column(df, id_col).alias("id"), column(df, media_col).alias("media"))
 
@@ -249,41 +348,64 @@ def pad(data: bytes) -> bytes:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id_col, n_bytes and media, the text's UTF-8 as an ISO media file; null text as empty."""
+    """One row per row: id_col, n_bytes and media, the text's UTF-8 as an ISO media file.
+
+    Null text is empty; equal texts have equal files; ids may be null or repeated.
+    An empty table gives no rows. Other columns are not read.
+    """
     base = docs.select(column(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [x.as_buffer().to_pybytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(map(len, data), pa.int64()), pa.array([write(pad(x)) for x in data], pa.binary())],
-                names=["id", "n_bytes", "media"],
-            )
+            # texts and files are held for some rows at a time
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                data = [x.as_buffer().to_pybytes() for x in part.column("text")]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(map(len, data), pa.int64()), pa.array([write(pad(x)) for x in data], pa.binary())],
+                    names=["id", "n_bytes", "media"],
+                )
 
     return base.mapInArrow(each, f"id {base.schema['id'].dataType.simpleString()}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
 
+_DIGEST = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
+
+
+def _digest(media: bytes | None) -> tuple:
+    """The values of _DIGEST of one file."""
+    if media is None:
+        return (*[None] * 6, "no media")
+    size, whole = len(media), hashlib.sha256(media).hexdigest()
+    try:
+        track = read(media)[0]
+    except BadMedia as e:
+        return (None, None, None, size, whole, None, str(e))
+    back, ranges = payload(media, track), track.key_ranges()
+    marks = np.asarray(ranges, "<i8").tobytes()
+    ends = "".join(f" {name}={r[0]}-{r[1]}" for name, r in (("first", ranges[0]), ("last", ranges[-1]))) if ranges else ""
+    feature = f"{track.codec.strip()} {track.seconds:.6f}s samples={len(track.sizes)} keyframes={len(ranges)}{ends} ranges={zlib.crc32(marks):08x}"
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), size, whole, feature, None
+
+
 def digest(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What is read back from the stored files: payload checksums and, as text, codec, duration and keyframes."""
+    """What is read back from the stored files: payload checksums and, as text, codec, duration and keyframes.
+
+    One row per row, ids null or repeated included. Damaged media has the error
+    and its own size and checksum alone, null media the error ``no media``; an
+    empty table gives no rows. Columns other than n_bytes and media are not read.
+    """
     base = stored.select(column(stored, id_col).alias("id"), "n_bytes", "media")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x in batch.column("media"):
-                media = x.as_py()
-                track = read(media)[0]
-                back = payload(media, track)
-                ranges = track.key_ranges()
-                marks = np.asarray(ranges, "<i8").tobytes()
-                feature = f"{track.codec.strip()} {track.seconds:.6f}s samples={len(track.sizes)} keyframes={len(ranges)} first={ranges[0][0]}-{ranges[0][1]} last={ranges[-1][0]}-{ranges[-1][1]} ranges={zlib.crc32(marks):08x}"
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            found = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *found], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows = [_digest(x.as_py()) for x in batch.column("media")]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            found = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *found], names=["id", "n_bytes", *_DIGEST])
 
     kind = base.schema["id"].dataType.simpleString()
-    out = base.mapInArrow(each, f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    out = base.mapInArrow(each, f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, error string")
     return out.withColumnRenamed("id", id_col)
 
 

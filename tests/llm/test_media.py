@@ -72,3 +72,50 @@ def test_damaged_files_give_errors(spark):
     assert len(rows) == len(damaged) + 1
     assert rows[0]["error"] is None and rows[0]["n_samples"] == 70 and len(rows[0]["keyframes"]) == 2
     assert all(rows[k]["error"] for k in range(1, 6))
+
+
+def fragmented():
+    """Two samples in the movie's own table, then two fragments of a track: by defaults, and with sizes and keyframes of their own."""
+    brand = media._box(b"ftyp", b"isom")
+    stbl = media._box(
+        b"stbl",
+        media._full(b"stsd", struct.pack(">I", 1) + media._box(b"avc1", bytes(8))),
+        *(media._full(kind, struct.pack(">I", 0)) for kind in (b"stts", b"stsc", b"stco")),
+        media._full(b"stsz", struct.pack(">II", 0, 0)),
+    )
+    mdia = media._box(b"mdia", media._full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 100, 0, 0, 0)), media._box(b"minf", stbl))
+    head = media._full(b"tkhd", struct.pack(">III", 0, 0, 7) + bytes(64))
+    trex = media._full(b"trex", struct.pack(">5I", 7, 1, 10, 4, 0))
+    out = brand + media._box(b"moov", media._box(b"trak", head, mdia), media._box(b"mvex", trex))
+
+    def moof(offset):
+        one = media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 7), flags=0x20000), media._full(b"trun", struct.pack(">Ii", 3, offset), flags=0x1))
+        return media._box(b"moof", media._full(b"mfhd", struct.pack(">I", 1)), one)
+
+    first = moof(len(moof(0)) + 8)
+    out += first + media._box(b"mdat", b"aaaabbbbcccc")
+
+    def other(offset):
+        run = struct.pack(">IiI", 2, offset, 0) + struct.pack(">6I", 20, 5, 0x10000, 30, 2, 0x10000)
+        return media._box(b"moof", media._full(b"mfhd", struct.pack(">I", 2)), media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 7), flags=0x20000), media._full(b"trun", run, flags=0x1 | 0x4 | 0x700)))
+
+    return out + other(len(other(0)) + 8) + media._box(b"mdat", b"dddddee")
+
+
+def test_fragments_are_decoded():
+    stored = fragmented()
+    (track,) = media.read(stored)
+    assert media.payload(stored, track) == b"aaaabbbbccccdddddee"
+    assert track.seconds == (3 * 10 + 20 + 30) / 100
+    assert [stored[a:b] for a, b in track.key_ranges()] == [b"aaaa", b"bbbb", b"cccc", b"ddddd"]
+
+
+def test_digest_gives_rows_for_bad_media(spark):
+    good = media.write(bytes(64))
+    rows = [(1, 64, good), (2, 0, None), (3, 0, b""), (None, 0, good[:50]), (5, 0, fragmented()), (6, 0, fragmented()[:-3])]
+    got = {r["doc_id"]: r for r in media.digest(spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary")).collect()}
+    assert got[1]["error"] is None and got[1]["payload_bytes"] == 64
+    assert got[2]["error"] == "no media" and got[2]["media_bytes"] is None
+    assert all(got[k]["error"] and got[k]["feature"] is None for k in (2, 3, None, 6))
+    assert got[5]["payload_sha256"] == hashlib.sha256(b"aaaabbbbccccdddddee").hexdigest()
+    assert got[6]["media_bytes"] == len(fragmented()) - 3

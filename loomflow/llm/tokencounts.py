@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from os.path import commonprefix
 
@@ -47,6 +47,17 @@ def scores(path: str) -> tuple[dict[str, float], float]:
     return {p: -math.log(rank + 1) for rank, p in enumerate(pieces, 1)}, -math.log(len(pieces) + 2)
 
 
+@lru_cache(maxsize=2)
+def unigram_scores(path: str) -> tuple[dict[str, float], float]:
+    """(score of each piece, score of a byte) of a unigram model's file, as the file has them; a byte scores 10 below the least piece."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = range(model.get_piece_size())
+    pieces = {model.id_to_piece(i): model.get_score(i) for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    return pieces, min(pieces.values(), default=0.0) - 10
+
+
 def piece_trie(pieces: dict[str, float]) -> dict:
     """Nested by character; the score of a piece stands under the empty string."""
     root: dict = {}
@@ -87,21 +98,22 @@ def count_all(words: set[str], trie: dict, byte_score: float) -> dict[str, int]:
     return out
 
 
-_TRIES: dict[str, dict] = {}
+_TRIES: dict[tuple[str, str], dict] = {}
 
 
-def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, score: Callable[[str], tuple[dict[str, float], float]] = scores) -> DataFrame:
     """One row per row: id_col, n_pretokens, n_tokens.
 
-    Null and empty texts have none. Repeated rows count alike. An empty table
+    score gives the pieces' and a byte's scores of the file at path; the file of a
+    unigram model has its own, see unigram_scores(). Null and empty texts have none. Repeated rows count alike. An empty table
     gives no rows. Other columns are not read.
     """
     path = path or vocabulary_path()
     base = docs.select(column(docs, id_col).alias("id"), text_of(docs, text_col).alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, byte_score = scores(path)
-        trie = _TRIES.setdefault(path, {})
+        pieces, byte_score = score(path)
+        trie = _TRIES.setdefault((path, f"{score.__module__}.{score.__qualname__}"), {})
         if not trie:
             trie.update(piece_trie(pieces))
         known: dict[str, int] = {}

@@ -36,3 +36,18 @@ def test_counts_of_documents(spark):
     want = {(k, len((t or "").split()), sum(brute_count("▁" + w, pieces, byte_score) for w in (t or "").split())) for k, t in [*enumerate(texts), (None, "one")]}
     assert {tuple(r) for r in tokencounts.count(df).collect()} == want
     assert tokencounts.count(df.limit(0)).collect() == []
+
+
+def longest(path):
+    """Scores that favour long pieces."""
+    pieces, _ = tokencounts.scores(path)
+    return {p: -1.0 for p in pieces}, -3.0
+
+
+def test_scores_can_be_given(spark):
+    pieces, byte_score = longest(tokencounts.vocabulary_path())
+    df = spark.createDataFrame([(1, "Hello hello worldwide", "", 0)], DOCS)
+    (row,) = tokencounts.count(df, score=longest).collect()
+    assert row["n_tokens"] == sum(brute_count("▁" + w, pieces, byte_score) for w in "Hello hello worldwide".split())
+    own, low = tokencounts.unigram_scores(tokencounts.vocabulary_path())
+    assert len(own) > 30_000 and low <= max(own.values())

@@ -17,6 +17,7 @@ from loomflow.operators import provenance
 from loomflow.operators.access import FlowGraph
 from loomflow.operators.graph import Graph
 from loomflow.plans import compile as plan
+from loomflow.plans.resolve import LibraryBackend
 
 
 class Backend(Protocol):
@@ -34,6 +35,8 @@ class ColumnBackend:
         return implementation["kind"] == "PythonFunction" and implementation["module"] not in ("builtins", "_operator")
 
     def apply(self, rows: DataFrame, implementation: dict, source: str, args: list[str], into: str, returns: str) -> DataFrame:
+        if implementation["name"] not in plan.parse(source or "pass"):
+            raise Unsupported(f"no source of {implementation['name']}")
         return rows.withColumn(into, plan.column(rows, source, *args, name=implementation["name"]))
 
 
@@ -56,10 +59,12 @@ class PythonBackend:
         return implementation["kind"] in ("PythonFunction", "PythonMethod")
 
     def apply(self, rows: DataFrame, implementation: dict, source: str, args: list[str], into: str, returns: str) -> DataFrame:
+        if implementation["name"] not in plan.parse(source or "pass"):
+            raise Unsupported(f"no source of {implementation['name']}")
         return rows.withColumn(into, plan.python_udf(source, implementation["name"], returns)(*args))
 
 
-BACKENDS: list[Backend] = [ColumnBackend(), BuiltinBackend(), PythonBackend()]
+BACKENDS: list[Backend] = [ColumnBackend(), BuiltinBackend(), PythonBackend(), LibraryBackend()]
 #: Describers of resources: (accepts, describe), the first that accepts one describes it.
 DESCRIBERS: list[tuple[Callable[[object], bool], Callable[[SparkSession, object], Graph]]] = []
 
@@ -74,7 +79,10 @@ def describe(spark: SparkSession, resource: object) -> Graph:
         if accepts(resource):
             return make(spark, resource)
     if callable(resource):
-        return programs.describe_function(resource).graph(spark)
+        try:
+            return programs.describe_function(resource).graph(spark)
+        except (TypeError, OSError):  # it has no source text
+            return programs.describe_callable(resource).graph(spark)
     path = str(resource)
     if os.path.isdir(path) or "://" in path:
         return programs.graph_of(programs.describe_tree(spark, path))
@@ -87,12 +95,17 @@ def describe(spark: SparkSession, resource: object) -> Graph:
     raise ValueError(f"nothing describes {path}")
 
 
+def _class_of(uri: str) -> str:
+    """The class's name in the term that was minted for it, which ends in eight digits of a hash."""
+    return uri.rpartition("#")[2][:-8]
+
+
 def candidates(graph: FlowGraph, f: str) -> list[dict]:
     """The implementations of a function, in the order of their mappings."""
     own = graph.implemented().where(F.substring_index("f", "#", -1) == f)
     rows = own.join(graph.python_objects(), "implementation", "left").orderBy("mapping", "implementation").collect()
     local = lambda x: None if x is None else x.rpartition("#")[2]
-    return [{"mapping": local(r["mapping"]), "imp": r["implementation"], "kind": local(r["kind"]), "name": r["name"], "module": r["module"], "file": r["file"]} for r in rows]
+    return [{"mapping": local(r["mapping"]), "imp": r["implementation"], "kind": local(r["kind"]), "name": r["name"], "module": r["module"], "file": r["file"], "method_of": r["method_of"] and _class_of(r["method_of"])} for r in rows]
 
 
 def execute(rows: DataFrame, graph: FlowGraph, f: str, source: str, args: list[str], into: str, returns: str = "string", backends: list[Backend] | None = None) -> tuple[DataFrame, dict]:

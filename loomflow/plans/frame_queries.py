@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomflow.functions import terms as t
 from loomflow.operators import frames
+from loomflow.plans import compile
 from loomflow.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +105,7 @@ _q("sc01_split", "part", lambda p: p.select("p_partkey", t.local_name(F.col("p_b
 _q("sc02_strip", "nation", lambda n: n.select("n_nationkey", t.strip_underscores(F.concat(F.lit("__"), "n_name", F.lit("_"))).alias("x"), t.strip_dashes(F.concat(F.lit("--"), "n_name")).alias("y")), "SELECT n_nationkey, trim('__' || n_name || '_', '_') AS x, ltrim('--' || n_name, '-') AS y FROM nation")
 _q("sc04_paths", "part", lambda p: p.select("p_partkey", *[c.alias(n) for n, c in (lambda path: (("module", t.module_name(path)), ("base", t.base_name(path)), ("dir", t.dir_name(path)), ("ext", t.extension(path)), ("moved", t.moved(path, F.lit("/src"), F.lit("/app"))), ("plain", t.file_path(F.concat(F.lit("file://"), path)))))(F.concat(F.lit("/src/"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("/happy.py")))]), """
 SELECT p_partkey, 'happy' AS module, 'happy.py' AS base, '/src/' || replace(p_type, ' ', '_') AS dir, '.py' AS ext, '/app/' || replace(p_type, ' ', '_') || '/happy.py' AS moved, '/src/' || replace(p_type, ' ', '_') || '/happy.py' AS plain FROM part""")
+_q("sc05_affixes", "part", lambda p: p.select("p_partkey", compile.column(p, "def f(s):\n    return s.removeprefix('Brand#').removesuffix('1')\n", "p_brand").alias("out")), "SELECT p_partkey, regexp_replace(regexp_replace(p_brand, '^Brand#', ''), '1$', '') AS out FROM part")
 _q("sc08_digest", "part", lambda p: p.select("p_partkey", t.digest(F.col("p_name"), F.col("p_brand")).alias("digest"), t.minted(F.col("p_name"), F.col("p_type"), F.lit(None).cast("string")).alias("uri")), "SELECT p_partkey, left(sha256(p_name || p_brand), 8) AS digest, 'http://www.example.com/python#' || p_name || left(sha256(p_type), 8) AS uri FROM part")
 _q("sc09_contains", "documents", lambda d: d.select("doc_id", F.rlike("text", F.lit(r"\bthe\b.*\bof\b")).alias("hit"), (~F.rlike("text", F.lit("[0-9]{3}"))).alias("plain")), r"SELECT doc_id, regexp_matches(text, '\bthe\b.*\bof\b') AS hit, NOT regexp_matches(text, '[0-9]{3}') AS plain FROM documents")
 _q("sc10_parse_time", "events", lambda e: e.select("event_id", frames.parse_time(F.date_format("ts", "HH:mm:ss.SSSSSS")).alias("at")), "SELECT event_id, strptime('1900-01-01 ' || strftime(ts, '%H:%M:%S.%f'), '%Y-%m-%d %H:%M:%S.%f') AS at FROM events")

@@ -155,6 +155,34 @@ def _executed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execute(rows, graph, "triple_sum", TRIPLE_SUM, ["l_partkey", "l_suppkey", "l_orderkey"], "out")[0].select("l_orderkey", "l_linenumber", "out")
 
 
+def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compiled library function, described by its number of arguments, read back from Turtle and run without its source."""
+    import math
+
+    from loomflow.plans.execute import execute
+
+    folder = _folder(spark, "library")
+    turtle.write(describe.describe_callable(math.gcd, 2).graph(spark), folder)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return execute(rows, FlowGraph(turtle.read(spark, folder).triples), "gcd", "", ["l_partkey", "l_suppkey"], "out", "bigint")[0].select("l_orderkey", "l_linenumber", "out")
+
+
+_q("f17_library", _library, "SELECT l_orderkey, l_linenumber, CAST(gcd(l_partkey, l_suppkey) AS BIGINT) AS out FROM lineitem")
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live objects of every kind as rows of implementations."""
+    import math
+
+    out = None
+    for f, n in ((math.gcd, 2), (str.upper, 1), (dict, 1)):
+        graph = describe.describe_callable(f, n).graph(spark)
+        out = graph if out is None else out | graph
+    return local(FlowGraph(out.triples).python_objects().select("kind", "name", "module", F.regexp_replace("method_of", "[0-9a-f]{8}$", "").alias("method_of")))
+
+
+_q("b16_live_objects", _objects, "SELECT * FROM (VALUES ('PythonFunction', 'gcd', 'math', NULL), ('PythonMethod', 'upper', 'builtins', 'str'), ('PythonClass', 'dict', 'builtins', NULL)) v(kind, name, module, method_of)")
+_q("b19_by_count", lambda s, d: local(FlowGraph(describe.describe_callable(max, 3).graph(s).triples).positions()), "SELECT 'max' AS f, 'maxParameter' || i AS parameter, CAST(i AS INT) AS position FROM range(3) t(i)")
 _q("f16_execute", _executed, "SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey + l_orderkey AS out FROM lineitem")
 _q("src09_standard_library", lambda s, d: local(FlowGraph(standard.library(s).triples).functions()), "SELECT unnest(['Is', 'IsNot', 'for', 'if', 'ifexpr', 'slice', 'list', 'tuple', 'dict', 'attribute', 'joinstr', 'format', 'build', 'from', 'entrypoint', 'user', 'add', 'label', 'workdir', 'arg', 'cmd', 'run', 'env', 'port', 'volume', 'copy', 'maintainer', 'expose']) AS f")
 

@@ -480,6 +480,43 @@ def describe_function(f: Callable) -> Described:
     return describe(textwrap.dedent(inspect.getsource(f)), f.__module__, inspect.getsourcefile(f), [f.__name__])
 
 
+def implementation_of(obj: object) -> tuple[str, dict]:
+    """(uri, row) of a live object: its kind, name, module and, of a method, the class that has it."""
+    owner = getattr(obj, "__objclass__", None) or getattr(obj, "__self__", None)
+    owner = owner if owner is None or isinstance(owner, type) else None if inspect.ismodule(owner) else type(owner)
+    if inspect.ismodule(obj):
+        kind, name, module = "PythonFile", obj.__name__, obj.__name__
+    else:
+        name, module = getattr(obj, "__name__", type(obj).__name__), getattr(obj, "__module__", None) or getattr(owner, "__module__", None) or "builtins"
+        kind = "PythonClass" if isinstance(obj, type) else "PythonMethod" if owner else "PythonFunction"
+    row = {"kind": kind, "name": name, "module": module, "package": module.partition(".")[0], "doc": inspect.getdoc(obj)}
+    try:
+        row["file"] = inspect.getsourcefile(obj)
+    except TypeError:  # of builtins and compiled modules
+        pass
+    if kind == "PythonMethod":
+        row["method_of"] = mint(owner.__name__, owner.__module__)
+    return mint(f"{owner.__name__}.{name}" if kind == "PythonMethod" else name, module), row
+
+
+def describe_callable(f: Callable, count: int | None = None) -> Described:
+    """A callable that has no source text, such as a builtin: parameters by position, as many as its signature has or, where it has none, as told."""
+    if count is None:
+        try:
+            kinds = [p.kind for p in inspect.signature(f).parameters.values()]
+        except ValueError:
+            raise ValueError(f"{f!r} has no signature: tell the number of parameters") from None
+        count = sum(k in (inspect.Parameter.POSITIONAL_ONLY, inspect.Parameter.POSITIONAL_OR_KEYWORD) for k in kinds)
+    imp, row = implementation_of(f)
+    name, out = row["name"], Described()
+    params = [(f"{name}Parameter{k}", f"p{k}", None) for k in range(count)]
+    out.functions[name] = (name, params, [(f"{name}Output", "result", None)])
+    out.implementations[imp] = row
+    mapped = [("Position", term, k) for k, (term, *_) in enumerate(params)]
+    out.mappings[f"{name}Mapping"] = {"f": name, "imp": imp, "name": name, "outputs": [f"{name}Output"], "parameters": mapped, "required": {term: True for term, *_ in params}}
+    return out
+
+
 def describe_tree(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(file, s, p, o, o_kind, o_dt) of all Python files and container build files below a folder, described in parallel.
 

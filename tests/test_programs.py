@@ -177,3 +177,32 @@ def test_a_graph_read_from_turtle_runs(spark, tmp_path):
     df = spark.createDataFrame([([1, 0, 1],), ([],), ([1, 1, 1, 1],)], "bits array<bigint>")
     got = df.select(graphplan.column(df, turtle.read(spark, str(tmp_path / "g")), "binarycount", "bits").alias("out")).collect()
     assert [r["out"] for r in got] == [5, 0, 15]
+
+
+def test_objects_are_resolved_by_file_module_and_class(tmp_path):
+    import math
+
+    import pytest
+
+    from loomflow.plans import resolve
+
+    (tmp_path / "own.py").write_text("class A:\n    @staticmethod\n    def twice(x):\n        return 2 * x\n\n\ndef once(x):\n    return x\n")
+    assert resolve.python_object("gcd", "math") is math.gcd
+    assert resolve.python_object("once", None, f"file://{tmp_path}/own.py")(3) == 3
+    assert resolve.python_object("twice", "own", f"{tmp_path}/own.py", "A")(3) == 6
+    assert resolve.python_object("join", "os.path")("a", "b") == "a/b"
+    for bad in (("nothing", "math"), ("x", "no.such.module"), ("f", None, "/no/file.py")):
+        with pytest.raises(resolve.Unresolved):
+            resolve.python_object(*bad)
+
+
+def test_callables_without_signature_need_a_count():
+    import math
+
+    import pytest
+
+    from loomflow.sources import describe
+
+    assert len(describe.describe_callable(math.hypot, 2).functions["hypot"][1]) == 2
+    with pytest.raises(ValueError):
+        describe.describe_callable(max)

@@ -125,6 +125,58 @@ _q("a09_layers", lambda s, d: visual.layers(FlowGraph(stored(s, d, calls_graph).
 # described programs
 
 _q("src06_described_shape", lambda s, d: describe.describe(TRIPLE_SUM, "demo").graph(s).triples.groupBy("p").agg(F.count("*").alias("n")).select(t.local_name(F.col("p")).alias("p"), "n").where("p in ('applies', 'mapTo', 'composedOf', 'start', 'represents', 'next', 'required')"), "SELECT p, CAST(n AS BIGINT) AS n FROM (VALUES ('applies', 3), ('mapTo', 8), ('composedOf', 8), ('start', 2), ('represents', 2), ('next', 1), ('required', 5)) v(p, n)")
+_SUM = "def simple_sum(a: int, b: int = 2):\n    return a + b\n"
+_KINDS = "def f(a, b=2, *rest, c=3, **named):\n    return a\n"
+
+
+def _built(name: str, make: Callable[[FlowGraph], DataFrame], rows: str, columns: str, source: str = _SUM) -> None:
+    """Rows of a described program, without the hashes that end minted names, against the rows spelt out."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = local(make(FlowGraph(describe.describe(source, "demo").graph(spark).triples)))
+        return out.select(*[F.regexp_replace(c, "[0-9a-f]{8}$", "").alias(c) if kind == "string" else F.col(c) for c, kind in out.dtypes])
+
+    _q(name, run, f"SELECT * FROM (VALUES {rows}) v({columns})")
+
+
+def _of(*predicates: str, kinds: tuple[str, ...] = ()) -> Callable[[FlowGraph], DataFrame]:
+    """(s, p, o) of the predicates, of subjects of the types if there are any."""
+
+    def make(g: FlowGraph) -> DataFrame:
+        rows = g.triples.where(F.col("p").isin([t.expand(p) for p in predicates]))
+        return (rows.join(g.of_type(*kinds), rows["s"] == F.col("term"), "left_semi") if kinds else rows).select("s", "p", "o")
+
+    return make
+
+
+_built("b01_apply", _of("fnoc:applies"), "('op_add_1', 'applies', 'op_add')", "s, p, o")
+_built("b03_start", _of("fnoc:start"), "('simple_sumComposition', 'start', 'op_add_1')", "s, p, o")
+_ENDS = [("?edge", "fnoc:mapFrom", "?a"), ("?a", "fnoc:constituentFunction", "?source"), ("?a", ("fnoc:functionOutput", "fnoc:functionParameter"), "?port"), ("?edge", "fnoc:mapTo", "?b"), ("?b", "fnoc:constituentFunction", "?target"), ("?b", ("fnoc:functionParameter", "fnoc:functionOutput"), "?place")]
+_built(
+    "b04_composition", lambda g: g.match([("?composition", "fnoc:represents", "?f"), ("?composition", "fnoc:composedOf", "?edge"), *_ENDS], "?composition", "?f", "?source", "?port", "?target", "?place"),
+    "('simple_sumComposition', 'simple_sum', 'simple_sum', 'simple_sumParameter0', 'op_add_1', 'op_addParameter0'), ('simple_sumComposition', 'simple_sum', 'simple_sum', 'simple_sumParameter1', 'op_add_1', 'op_addParameter1'), ('simple_sumComposition', 'simple_sum', 'op_add_1', 'op_addOutput', 'simple_sum', 'simple_sumOutput')",
+    "composition, f, source, port, target, place",
+)
+_built(
+    "b05_function", lambda g: g.match([("?f", "a", "?type"), ("?f", "rdfs:label", "?label"), ("?f", ("fno:expects", "fno:returns"), "?list"), ("?list", ("rdf:_1", "rdf:_2"), "?terminal")], "?f", "?type", "?label", "?list", "?terminal"),
+    ", ".join(f"('{f}', '{kind}', '{label}', '_:{f}{of}', '{f}{term}')" for f, label in (("simple_sum", "simple_sum"), ("op_add", "add")) for kind in ("Function", "Entity") for of, term in (("expects", "Parameter0"), ("expects", "Parameter1"), ("returns", "Output"))),
+    "f, type, label, list, terminal",
+)
+_built(
+    "b06_terminals", _of("a", "fno:predicate", "fno:required", "fno:type", kinds=("fno:Parameter", "fno:Output")),
+    "('simple_sumParameter0', 'type', 'Parameter'), ('simple_sumParameter0', 'predicate', 'a'), ('simple_sumParameter0', 'required', 'true'), ('simple_sumParameter0', 'type', 'int'), ('simple_sumParameter1', 'type', 'Parameter'), ('simple_sumParameter1', 'predicate', 'b'), ('simple_sumParameter1', 'required', 'false'), ('simple_sumParameter1', 'type', 'int'), ('simple_sumOutput', 'type', 'Output'), ('simple_sumOutput', 'predicate', 'simple_sumResult'), ('op_addParameter0', 'type', 'Parameter'), ('op_addParameter0', 'predicate', 'p0'), ('op_addParameter1', 'type', 'Parameter'), ('op_addParameter1', 'predicate', 'p1'), ('op_addOutput', 'type', 'Output'), ('op_addOutput', 'predicate', 'op_addResult')",
+    "s, p, o",
+)
+_built("b07_implementation", _of("a", "doap:name", kinds=("fnoi:Implementation",)), ", ".join(f"('{f}', '{p}', '{o}')" for f in ("simple_sum", "op_add") for p, o in (("type", "Implementation"), ("type", "PythonFunction"), ("name", f))), "s, p, o")
+_built("b09_implementation_link", lambda g: g.implemented(), "('simple_sum', 'simple_sumMapping', 'simple_sum'), ('op_add', 'op_addMapping', 'op_add')", "f, mapping, implementation")
+_built("b11_python_objects", lambda g: g.python_objects().select("implementation", "kind", "name", "module"), "('simple_sum', 'PythonFunction', 'simple_sum', 'demo'), ('op_add', 'PythonFunction', 'op_add', '_operator')", "implementation, kind, name, module")
+_built(
+    "b08_mapping_kinds",
+    lambda g: g.match([("?mapping", "fno:parameterMapping", "?node"), ("?node", "a", "?kind"), ("?node", "fnom:functionParameter", "?term"), ("?term", "fno:predicate", "?name")], "?mapping", "?kind", "?name"),
+    "('fMapping', 'PositionParameterMapping', 'a'), ('fMapping', 'PropertyParameterMapping', 'a'), ('fMapping', 'PositionParameterMapping', 'b'), ('fMapping', 'PropertyParameterMapping', 'b'), ('fMapping', 'DefaultParameterMapping', 'b'), ('fMapping', 'VarPositionalParameterMapping', 'rest'), ('fMapping', 'PropertyParameterMapping', 'c'), ('fMapping', 'DefaultParameterMapping', 'c'), ('fMapping', 'VarPropertyParameterMapping', 'named')",
+    "mapping, kind, name", _KINDS,
+)
+_built("b18_signature_values", lambda g: g.match([("?node", ("fnom:implementationParameterPosition", "fnom:implementationProperty", "fnom:defaultValue"), "?value"), ("?node", "fnom:functionParameter", "?term"), ("?term", "fno:predicate", "?name")], "?name", "?value"), "('a', '0'), ('a', 'a'), ('b', '1'), ('b', 'b'), ('b', '2'), ('c', 'c'), ('c', '3')", "name, value", _KINDS)
 _q("src06_flow", lambda s, d: local(FlowGraph(describe.describe("def n_sum(n: int):\n    total = 0\n    for i in range(n):\n        total += i\n    return total\n").graph(s).triples).depends()).select("call", "on"), "SELECT * FROM (VALUES ('range_1', 'n_sum'), ('iter_1', 'range_1'), ('next_1', 'iter_1'), ('op_add_1', 'next_1'), ('op_add_1', 'op_add_1'), ('n_sum', 'op_add_1')) v(call, \"on\")")
 _q("f04_control", lambda s, d: local(FlowGraph(describe.describe("def n_sum(n: int):\n    total = 0\n    for i in range(n):\n        total += i\n    return total\n").graph(s).triples).order().select("call", "next", "iterate")), "SELECT * FROM (VALUES ('range_1', 'iter_1', NULL), ('iter_1', 'next_1', NULL), ('next_1', NULL, 'op_add_1'), ('op_add_1', 'next_1', NULL)) v(call, \"next\", iterate)")
 

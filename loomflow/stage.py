@@ -6,10 +6,13 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_ROOTS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +38,7 @@ class Staged:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        _ROOTS.append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -47,7 +51,20 @@ class Staged:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, df.staged_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, what operators stage inside: for results that are written there and read from where they were written."""
+    before = len(_ROOTS)
+    yield
+    for root in _ROOTS[before:]:
+        _delete(spark, root)
+    del _ROOTS[before:]

@@ -99,3 +99,26 @@ def test_both_sides_of_a_branch_reach_what_follows():
     d = describe.describe("def g(a):\n    if a > 0:\n        b = a + 1\n    else:\n        b = a - 1\n    return b * 2\n")
     (comp,) = d.compositions.values()
     assert {s.call for s, t, _ in comp["flow"] if t[:2] == ("op_mul_1", "op_mulParameter0")} == {"op_add_1", "op_sub_1"}
+
+
+def test_what_is_staged_inside_is_deleted(spark):
+    import os
+
+    from loomflow.stage import Staged, cleared
+
+    kept = Staged(spark, "kept").save(spark.range(3))
+    with cleared(spark):
+        inside = Staged(spark, "inside").save(spark.range(4))
+        assert inside.count() == 4
+    assert kept.count() == 3
+    assert not os.path.exists(inside.staged_path.removeprefix("file://"))
+
+
+def test_store_reads_only_the_predicates_asked_for(spark, sf_dir):
+    from loomflow.sources.flowtables import functions_graph, stored
+
+    graph = stored(spark, sf_dir, functions_graph)
+    again = stored(spark, sf_dir, functions_graph)
+    plan = graph.match([("?f", "rdfs:label", "?label")])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(p" in plan and "rdf-schema#label" in plan
+    assert graph.triples.exceptAll(functions_graph(spark, sf_dir).triples).isEmpty() and again.triples.inputFiles()

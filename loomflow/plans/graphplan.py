@@ -58,8 +58,11 @@ class Program:
         if len(rows) > MOST_TRIPLES:
             raise ValueError(f"a program has at most {MOST_TRIPLES} triples")
         by: dict[tuple[str, str], list] = defaultdict(list)
+        members: dict[str, list[tuple[int, str]]] = defaultdict(list)
         for r in rows:
             by[r["s"], r["p"]].append(r)
+            if r["p"].startswith(NAMESPACES["rdf"] + "_"):
+                members[r["s"]].append((int(r["p"].rpartition("_")[2]), r["o"]))
         one = lambda s, p: next((r["o"] for r in by[s, expand(p)]), None)
         self.params: dict[str, list[str]] = {}
         self.names: dict[str, str] = {}
@@ -67,9 +70,7 @@ class Program:
         for r in rows:
             if r["p"] == expand("a") and r["o"] == expand("fno:Function"):
                 for at, to in (("fno:expects", self.params), ("fno:returns", self.outs)):
-                    node = one(r["s"], at)
-                    found = [(int(x["p"].rpartition("_")[2]), x["o"]) for x in rows if x["s"] == node and x["p"].startswith(NAMESPACES["rdf"] + "_")] if node else []
-                    to[r["s"]] = [o for _, o in sorted(found)]
+                    to[r["s"]] = [o for _, o in sorted(members.get(one(r["s"], at), []))]
                 self.names[r["s"]] = r["s"].rpartition("#")[2]
         self.applies = {r["s"]: r["o"] for r in rows if r["p"] == expand("fnoc:applies")}
         self.control: dict[str, dict[str, str]] = defaultdict(dict)

@@ -147,9 +147,13 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def _cuts(n: int, threshold: int, min_chars: int) -> list[tuple[int, int, int, int]]:
-    """(seed, first place, end, role) of what a line of n letters holds (role 0) and looks for in shorter (1) and equally long lines (2)."""
+    """(seed, first place, end, role) of what a line of n letters holds (role 0) and looks for in shorter (1) and equally long lines (2).
+
+    What it holds it also looks for in equally long lines, at the same place.
+    """
     own = [(n << 3 | k, p, p + size, 0) for k, (p, size) in enumerate(segments(n, threshold + 1))]
-    return own + [(m << 3 | k, p, p + size, 1 + (m == n)) for m, k, p, size in probes(n, threshold) if m >= min_chars]
+    sought = [(m << 3 | k, p, p + size, 1 + (m == n)) for m, k, p, size in probes(n, threshold) if m >= min_chars]
+    return own + [x for x in sought if (*x[:3], 0) not in own]
 
 
 def _keys(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
@@ -205,14 +209,14 @@ def candidates(keys: DataFrame, threshold: int) -> DataFrame:
         start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         size = np.diff(np.append(start, len(key)))
         holders = np.add.reduceat((role == 0).astype(np.int64), start)
-        large = holders * (size - holders) > CROWDED_PAIRS
+        large = holders * size > CROWDED_PAIRS
         if large.any():
             these = np.repeat(large, size)
             yield told(group[these].view(np.int64), line[these], True)
-        both = (holders > 0) & (holders < size) & ~large
-        start, holders, asking = start[both], holders[both], (size - holders)[both]
-        asker = np.repeat(start + holders - np.cumsum(asking) + asking, asking) + np.arange(asking.sum())
-        first, n = np.repeat(start, asking), np.repeat(holders, asking)
+        both = (holders > 0) & (size > 1) & ~large
+        start, holders, size = start[both], holders[both], size[both]
+        asker = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        first, n = np.repeat(start, size), np.repeat(holders, size)
         at = 0
         while at < len(asker):
             upto = max(at + 1, at + int(np.searchsorted(np.cumsum(n[at : at + _PAIRS]), _PAIRS, side="right")))
@@ -220,7 +224,7 @@ def candidates(keys: DataFrame, threshold: int) -> DataFrame:
             i = np.repeat(asker[at:upto], k)
             j = np.repeat(first[at:upto] - np.cumsum(k) + k, k) + np.arange(k.sum())
             # equally long lines find each other both ways
-            near = np.where(role[i] == 2, line[i] > line[j], line[i] != line[j]) & (np.bitwise_count(parity[i] ^ parity[j]) <= 2 * threshold)
+            near = np.where(role[i] == 1, line[i] != line[j], line[i] > line[j]) & (np.bitwise_count(parity[i] ^ parity[j]) <= 2 * threshold)
             a, b = line[i[near]], line[j[near]]
             yield told(np.minimum(a, b), np.maximum(a, b), False)
             at = upto

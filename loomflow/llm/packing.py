@@ -108,26 +108,29 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, piece, start, length, held = [], [], [], [], []
-            for row, text in enumerate(batch.column("text")):
-                ids = token_ids(text.as_py(), path)
-                for n, (s, k) in enumerate(cuts(len(ids), capacity)):
-                    at.append(row)
-                    piece.append(n)
-                    start.append(s)
-                    length.append(k)
-                    part = ids[s : s + k]
-                    held.append(part.astype(np.int32) if carry == "ids" else zlib.crc32(part.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c).take(pa.array(at, pa.int64())) for c in kept),
-                    pa.array(piece, pa.int32()),
-                    pa.array(start, pa.int64()),
-                    pa.array(length, pa.int64()),
-                    pa.array(held, pa.list_(pa.int32()) if carry == "ids" else pa.int64()),
-                ],
-                names=[*kept, "piece", "start", "length", carry],
-            )
+            # ids are held for some rows at a time
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                at, piece, start, length, held = [], [], [], [], []
+                for row, text in enumerate(part.column("text")):
+                    ids = token_ids(text.as_py(), path)
+                    for n, (s, k) in enumerate(cuts(len(ids), capacity)):
+                        at.append(row)
+                        piece.append(n)
+                        start.append(s)
+                        length.append(k)
+                        own = ids[s : s + k]
+                        held.append(own.astype(np.int32) if carry == "ids" else zlib.crc32(own.tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(c).take(pa.array(at, pa.int64())) for c in kept),
+                        pa.array(piece, pa.int32()),
+                        pa.array(start, pa.int64()),
+                        pa.array(length, pa.int64()),
+                        pa.array(held, pa.list_(pa.int32()) if carry == "ids" else pa.int64()),
+                    ],
+                    names=[*kept, "piece", "start", "length", carry],
+                )
 
     return base.mapInArrow(cut, f"id {id_type}, " + "position bigint, " * (position_col is not None) + f"piece int, start bigint, length bigint, {kind}")
 

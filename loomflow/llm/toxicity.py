@@ -205,7 +205,8 @@ def with_score(docs: DataFrame, machine: Machine, text_col: str, into: str) -> D
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores(texts.to_pylist()))
+        parts = [shared.value.scores(texts.slice(k, 512).to_pylist()) for k in range(0, len(texts), 512)]
+        return pa.array(np.concatenate([*parts, np.zeros(0)]))
 
     return docs.withColumn(into, score(text_of(docs, text_col)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomflow.llm import embeddings, lines, media, mixing, packing, shards, simhash, substrings, tokencounts, toxicity, whitening
+from loomflow.llm import embeddings, lines, media, mixing, packing, shards, simhash, substrings, suffixes, tokencounts, toxicity, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_sharding": shards.op9_sharding,
     "op10_mixing": mixing.op10_mixing,
+    "op11_suffixes": suffixes.op11_suffixes,
     "op13_whitening": whitening.op13_whitening,
 }
 

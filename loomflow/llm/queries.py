@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomflow.llm import embeddings, lines, media, mixing, packing, shards, simhash, substrings, suffixes, tokencounts, toxicity, whitening
+from loomflow.llm import collocations, embeddings, lines, media, mixing, packing, shards, simhash, substrings, suffixes, tokencounts, toxicity, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_sharding": shards.op9_sharding,
     "op10_mixing": mixing.op10_mixing,
     "op11_suffixes": suffixes.op11_suffixes,
+    "op12_collocations": collocations.op12_collocations,
     "op13_whitening": whitening.op13_whitening,
 }
 

@@ -1,7 +1,8 @@
 """Operators of time-series and table pipelines.
 
-Everything that depends on an order takes the ordering columns. Windows are
-always partitioned by a series key, so series are handled in parallel.
+Everything that depends on an order takes the ordering columns. Series whose keys
+may be few and long (windows of rows, chunks, filters) are cut into segments by
+series.py; the other windows are partitioned by a key with many values.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomflow.operators import series
 from loomflow.stage import Staged
 
 # joins
@@ -109,10 +111,10 @@ def count_windows(rows: DataFrame, by: list[str], order: list[str], value: str,
     """
     if size < 1 or step < 1:
         raise ValueError("size and step must be positive")
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1
     first = F.greatest(F.lit(0), F.ceil((F.col("_i") - size + 1) / step).cast("long"))
     starts = F.transform(F.sequence(first, F.floor(F.col("_i") / step).cast("long")), lambda k: k * step)
-    dealt = rows.select(*by, F.col(value).alias("_v"), i.alias("_i")).withColumn("start", F.explode(F.filter(starts, lambda s: s > F.col("_i") - size)))
+    rows = series.numbered(rows.select(*by, *[c for c in order if c not in by], F.col(value).alias("_v")), by, order)
+    dealt = rows.select(*by, "_v", "_i").withColumn("start", F.explode(F.filter(starts, lambda s: s > F.col("_i") - size)))
     lists = dealt.groupBy(*by, "start").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_rows"))
     return lists.where(F.size("_rows") == size).select(*by, "start", F.transform("_rows", lambda r: r["_v"]).alias("values"))
 
@@ -124,8 +126,9 @@ def time_windows(rows: DataFrame, by: list[str], ts: str, size: str, slide: str
 
 
 def chunks(rows: DataFrame, by: list[str], ts: str, gap: str, least: str | None = None) -> DataFrame:
-    """(by, start, end, n): stretches without a longer gap than that, of at least a duration."""
-    found = rows.groupBy(*by, F.session_window(ts, gap)).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n")).drop("session_window")
+    """(by, start, end, n): stretches in which each row follows less than a gap after the one before, of at least a duration; null times count for none."""
+    parts = rows.where(F.col(ts).isNotNull()).groupBy(*by, ts).agg(F.count("*").alias("n"))
+    found = series.sessions(parts.select(*by, F.col(ts).alias("start"), F.col(ts).alias("end"), "n"), by, gap)
     return found.where(F.expr(f"end - start >= INTERVAL {least}")) if least else found
 
 
@@ -140,7 +143,7 @@ def classified(rows: DataFrame, into: str, tests: list[Column], every: bool = Tr
     return rows.withColumn(into, F.coalesce(test, F.lit(False)).cast("int"))
 
 
-# signal filters: recursions over a series, in Python
+# signal filters
 
 
 def butterworth(order: int, low: float | None, high: float | None, rate: float) -> tuple[list[float], list[float]]:
@@ -170,39 +173,21 @@ def butterworth(order: int, low: float | None, high: float | None, rate: float)
     return (gain * np.real(np.poly(z))).tolist(), np.real(np.poly(p)).tolist()
 
 
-def recursion(b: list[float], a: list[float], x: list[float]) -> list[float]:
-    """The filter's output for a series, from rest."""
-    n = max(len(a), len(b)) - 1
-    b, a = ([float(v) for v in c] + [0.0] * (n + 1 - len(c)) for c in (b, a))
-    state, out = [0.0] * (n + 1), []
-    for v in x:
-        y = b[0] * v + state[0]
-        for k in range(n):
-            state[k] = state[k + 1] + b[k + 1] * v - a[k + 1] * y
-        out.append(y)
-    return out
-
-
 def filtered(rows: DataFrame, by: list[str], order: list[str], value: str, into: str, b: list[float], a: list[float]) -> DataFrame:
-    """rows of each series through a recursive filter, from rest; one series is one task's work, so by bounds what a task holds."""
-    def each(series: pa.Table) -> pa.Table:
-        series = series.sort_by([(c, "ascending") for c in order])
-        return series.append_column(into, pa.array(recursion(b, a, series.column(value).to_pylist()), pa.float64()))
-
-    schema = rows.withColumn(into, F.lit(0.0)).schema
-    return rows.groupBy(*by).applyInArrow(each, schema)
+    """rows of each series through a recursive filter, from rest; series of any length."""
+    return series.filtered(rows, by, order, value, into, b, a)
 
 
 def gaussian(rows: DataFrame, by: list[str], order: list[str], value: str, into: str, sigma: float, truncate: float = 4.0) -> DataFrame:
-    """A Gaussian-weighted mean of the neighbours, as a window; at the ends over those there are."""
+    """A Gaussian-weighted mean of the neighbours, as a window over a segment and the neighbours in reach; at the ends over those there are."""
     import math
 
     reach = int(truncate * sigma + 0.5)
-    w = Window.partitionBy(*by).orderBy(*order)
+    near, w = series.neighbours(rows, by, order, reach)
     terms = [(math.exp(-0.5 * (k / sigma) ** 2), F.lag(value, -k).over(w) if k else F.col(value)) for k in range(-reach, reach + 1)]
     total = reduce(lambda x, y: x + y, [F.coalesce(c * g, F.lit(0.0)) for g, c in terms])
     weight = reduce(lambda x, y: x + y, [F.when(c.isNotNull(), g).otherwise(0.0) for g, c in terms])
-    return rows.withColumn(into, total / weight)
+    return near.withColumn(into, total / weight).where("_own").select(*rows.columns, into)
 
 
 # sorting and limits

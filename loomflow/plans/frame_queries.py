@@ -92,6 +92,24 @@ f AS (
 )
 SELECT event_id, round(y, 6) AS low FROM f""")
 
+# all events as one series, which is more than a task's work
+
+_ALL = "row_number() OVER (ORDER BY ts, event_id) - 1"
+_q("w03_one_series", "events", lambda e: frames.count_windows(e, [], ["ts", "event_id"], "value", 64, 32).select("start", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 4).alias("total")), f"""
+WITH i AS (SELECT value, {_ALL} AS i FROM events), d AS (SELECT value, unnest(CASE WHEN i < 32 THEN [0] ELSE [(i // 32) * 32, (i // 32) * 32 - 32] END) AS start FROM i)
+SELECT CAST(start AS BIGINT) AS start, round(sum(value), 4) AS total FROM d GROUP BY 1 HAVING count(*) = 64""")
+_q("w05_one_series", "events", lambda e: frames.chunks(e, [], "ts", "2 minutes"), """
+WITH c AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id) g FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (ORDER BY ts, event_id) + INTERVAL 2 MINUTES THEN 0 ELSE 1 END new FROM events))
+SELECT min(ts) AS start, max(ts) AS "end", count(*) AS n FROM c GROUP BY g""")
+_q("w08_gaussian_one_series", "events", lambda e: frames.gaussian(e.select("event_id", "ts", "value"), [], ["ts", "event_id"], "value", "smooth", 1.0, 2.0).select("event_id", F.round("smooth", 6).alias("smooth")), """
+WITH w AS (SELECT event_id, value AS c, lag(value) OVER o AS l1, lag(value, 2) OVER o AS l2, lead(value) OVER o AS r1, lead(value, 2) OVER o AS r2 FROM events WINDOW o AS (ORDER BY ts, event_id))
+SELECT event_id, round((coalesce(l2 * exp(-2), 0) + coalesce(l1 * exp(-0.5), 0) + c + coalesce(r1 * exp(-0.5), 0) + coalesce(r2 * exp(-2), 0))
+/ ((l2 IS NOT NULL)::INT * exp(-2) + (l1 IS NOT NULL)::INT * exp(-0.5) + 1 + (r1 IS NOT NULL)::INT * exp(-0.5) + (r2 IS NOT NULL)::INT * exp(-2)), 6) AS smooth FROM w""")
+# a first-order low-pass has y = 0.5 x + 0.5 y of the row before; after forty rows a value weighs less than a double can tell
+_q("w08_lowpass_one_series", "events", lambda e: frames.filtered(e.select("event_id", "ts", "value"), [], ["ts", "event_id"], "value", "low", [0.5], [1.0, -0.5]).select("event_id", F.round("low", 6).alias("low")), f"""
+WITH s AS (SELECT event_id, value, {_ALL} AS n FROM events)
+SELECT t.event_id, round(sum(s.value * power(0.5, t.n - s.n + 1)), 6) AS low FROM s JOIN (SELECT event_id, n, unnest(range(greatest(n - 60, 0), n + 1)) AS m FROM s) t ON s.n = t.m GROUP BY 1""")
+
 _q("s01_sort_uri", "nation", lambda n: n.join(frames.placed(n.select("n_name").distinct(), ["n_name"], "place"), "n_name").select("n_name", (F.col("place") + 1).alias("place")), "SELECT n_name, dense_rank() OVER (ORDER BY n_name) AS place FROM nation")
 _q("s03_sort_time", "events", lambda e: frames.placed(e.select("event_id", "ts"), ["ts", "event_id"], "place").select("event_id", "place"), "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM events")
 _q("s02_sort_index", "lineitem", lambda li: li.groupBy("l_orderkey").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string"))).alias("parts")), "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1")

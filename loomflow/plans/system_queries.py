@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.functions import terms as t
-from loomflow.operators import frames, learn, provenance
+from loomflow.operators import frames, learn, provenance, series
 from loomflow.operators.access import FlowGraph
 from loomflow.operators.graph import Graph, Lit
 from loomflow.plans import visual
@@ -297,7 +297,8 @@ def _t02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _t03(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, checkpoint = _stream(spark, sf_dir)
-    return windows.to_end(windows.chunks(stream, ["event_type"], "ts", "30 minutes", "1 hour"), checkpoint, "complete").groupBy("event_type").agg(F.count("*").alias("chunks"), F.sum("n").alias("n"))
+    parts = windows.to_end(windows.chunks(stream, ["event_type"], "ts", "30 minutes", "1 hour"), checkpoint, "complete")
+    return series.sessions(parts, ["event_type"], "30 minutes").groupBy("event_type").agg(F.count("*").alias("chunks"), F.sum("n").alias("n"))
 
 
 

@@ -32,9 +32,14 @@ def time_windows(stream: DataFrame, by: list[str], ts: str, size: str, slide: st
     return found.select(*by, F.col("window.start").alias("start"), *features)
 
 
-def chunks(stream: DataFrame, by: list[str], ts: str, gap: str, late: str) -> DataFrame:
-    """Stretches without a longer gap than that."""
-    found = stream.withWatermark(ts, late).groupBy(*by, F.session_window(ts, gap).alias("w")).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
+def chunks(stream: DataFrame, by: list[str], ts: str, gap: str, late: str, part: str = "hour") -> DataFrame:
+    """(by, start, end, n): parts of the stretches in which each row follows less than a gap after the one before.
+
+    A stretch ends with each hour, or other part of time, so that one key's rows
+    are in many tasks and states; series.sessions() joins the parts of the result.
+    """
+    slice_of = F.date_trunc(part, F.col(ts)).alias("_slice")
+    found = stream.withWatermark(ts, late).groupBy(*by, slice_of, F.session_window(ts, gap).alias("w")).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
     return found.select(*by, "start", "end", "n")
 
 

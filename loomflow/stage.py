@@ -40,10 +40,11 @@ class Staged:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         _ROOTS.append(self.root)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, **options: str) -> DataFrame:
+        """df from where it was written; options are those of the parquet writer."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         gc.collect()
         self.spark._jvm.System.gc()  # what the table replaces leaves its shuffle files to the cleaner
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -64,7 +65,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def cleared(spark: SparkSession) -> Iterator[None]:
     """Delete, at the end, what operators stage inside: for results that are written there and read from where they were written."""
     before = len(_ROOTS)
-    yield
-    for root in _ROOTS[before:]:
-        _delete(spark, root)
-    del _ROOTS[before:]
+    try:
+        yield
+    finally:
+        for root in _ROOTS[before:]:
+            _delete(spark, root)
+        del _ROOTS[before:]

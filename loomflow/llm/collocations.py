@@ -35,6 +35,8 @@ LEAST, MOST_WORDS, TOP = 100, 5, 2000
 BITMAP_BITS = 1 << 26
 #: Bytes of text that a trie takes in, about.
 BLOCK_BYTES = 1 << 23
+#: How runs are written: front-coded.
+RUNS = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "compression": "zstd"}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 # What ends a piece, and what stands between words.
 ENDS, GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b" \x09"
@@ -87,8 +89,8 @@ class Bitmap:
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def trie(texts: bytes, lang: str, least: int, most: int, words: Bitmap | None, pairs: Bitmap | None) -> tuple[list[bytes], list[int]]:
-    """Nodes of least to most words and their counts, in the order of their words, of a block of texts.
+def trie(texts: bytes, lang: str, least: int, most: int, words: Bitmap | None, pairs: Bitmap | None) -> tuple[list[pa.Array], list[np.ndarray]]:
+    """Nodes of least to most words and their counts, a level after the other in the order of their words, of a block of texts.
 
     Only nodes whose words, and pairs of neighbouring words, the bitmaps have.
     """
@@ -96,14 +98,15 @@ def trie(texts: bytes, lang: str, least: int, most: int, words: Bitmap | None, p
     if not len(found):
         return [], []
     coded = found.dictionary_encode()
+    del found
     order = pc.array_sort_indices(coded.dictionary).to_numpy()
-    names = coded.dictionary.take(pa.array(order)).to_pylist()
+    names = coded.dictionary.take(pa.array(order))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     w = rank[coded.indices.to_numpy()]
     if most == 1:
-        return names, np.bincount(w, minlength=len(names)).tolist()
-    hashes = word_hashes(names, lang)
+        return [names], [np.bincount(w, minlength=len(names))]
+    hashes = word_hashes(names.to_pylist(), lang)
     # whether a phrase goes on from a word to the next
     on = piece[1:] == piece[:-1]
     if words is not None:
@@ -125,9 +128,9 @@ def trie(texts: bytes, lang: str, least: int, most: int, words: Bitmap | None, p
         key = number * len(names) + w[at + depth - 1]
         nodes, first, number, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         if depth >= least:
-            spelt = [w[at[first] + k].tolist() for k in range(depth)]
-            phrases += [b" ".join([names[x] for x in p]) for p in zip(*spelt, strict=True)]
-            counts += n.tolist()
+            spelt = [names.take(pa.array(w[at[first] + k])) for k in range(depth)]
+            phrases.append(pc.binary_join_element_wise(*spelt, pa.scalar(b" ", names.type)))
+            counts.append(n)
     return phrases, counts
 
 
@@ -142,7 +145,9 @@ def _tries(docs: DataFrame, least: int, most: int, words: Broadcast | None = Non
         def written(lang: str) -> Iterator[pa.RecordBatch]:
             phrases, counts = trie(b"\n".join(held.pop(lang)), lang, least, most, *maps)
             size.pop(lang)
-            table = pa.table({"phrase": pa.array(phrases, pa.binary()), "n": pa.array(counts, pa.int64())}).sort_by("phrase")
+            if not phrases:
+                return
+            table = pa.table({"phrase": pa.concat_arrays(phrases), "n": pa.array(np.concatenate(counts), pa.int64())}).sort_by("phrase")
             for lo in range(0, table.num_rows, 50_000):
                 part = table.slice(lo, 50_000).combine_chunks()
                 yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(part.num_rows, np.int64))), part["phrase"].combine_chunks().cast(pa.string()), part["n"].combine_chunks()], names=["lang", "phrase", "n"])
@@ -265,12 +270,21 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         raise ValueError("the least count must be positive")
     stage = Staged(docs.sparkSession, "collocations")
     base = docs.select(text_of(docs, text_col).alias("text"), F.coalesce(column(docs, lang_col).cast("string"), F.lit("und")).alias("lang"))
-    words = stage.save(_merged(stage.save(_tries(base, 1, 1))))
+
+    def grown(least_words: int, most_words: int, *known: Broadcast) -> DataFrame:
+        """The merged tries; their runs are written with each phrase as what it adds to the one before."""
+        runs = stage.save(_tries(base, least_words, most_words, *known), **RUNS)
+        merged = _merged(runs)
+        out = stage.save(merged if most_words == 1 else merged.where(F.col("n") >= least))
+        stage.drop(runs)
+        return out
+
+    words = grown(1, 1)
     sums = words.groupBy("lang").agg(F.sum("n").alias("n"))
     levels = [stage.save(words.where(F.col("n") >= least))]
     seen = _bitmap(levels[0])
-    pairs = stage.save(_merged(stage.save(_tries(base, 2, 2, seen))).where(F.col("n") >= least))
-    more = stage.save(_merged(stage.save(_tries(base, 3, MOST_WORDS, seen, _bitmap(pairs)))).where(F.col("n") >= least))
+    pairs = grown(2, 2, seen)
+    more = grown(3, MOST_WORDS, seen, _bitmap(pairs))
     nodes = stage.save(_walked(pairs.unionByName(more)))
     size = F.size("lefts") + 2
     # suffix links: a phrase's right parts are its link's count and the link's right parts

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomflow.functions.terms import NAMESPACES, expand, file_path, local_name
 from loomflow.operators.graph import Graph, Group, closure
+from loomflow.operators.reach import index
 
 CONTROL = ("next", "iterate", "true", "false")
 # Kinds of implementations.
@@ -157,6 +158,10 @@ class FlowGraph(Graph):
             "?composition", "?call", "?on",
         )
 
+    def reach(self) -> tuple[DataFrame, DataFrame]:
+        """The reachability index of what calls depend on: from a call to those that take its values, at any distance."""
+        return index(self.depends().select(F.col("on").alias("a"), F.col("call").alias("b")))
+
     def depends_closure(self) -> DataFrame:
         """(composition, call, on, steps): also through other calls."""
         return closure(self.depends(), "call", "on", ("composition",))

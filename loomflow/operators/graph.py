@@ -197,11 +197,14 @@ def closure(edges: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataF
 
 
 def triples(rows: DataFrame, s: Column, *edges: tuple[str, Column, str] | tuple[str, Column, str, str]) -> DataFrame:
-    """Triples of each row: (predicate, object, kind[, datatype]) around one subject; null objects give none."""
-    parts = []
+    """Triples of each row: (predicate, object, kind[, datatype]) around one subject; null objects give none.
+
+    Rows with a column `_key` leave it to their triples.
+    """
+    parts, key = [], ["_key"] if "_key" in rows.columns else []
     for predicate, o, kind, *datatype in edges:
         dt = F.lit(expand(datatype[0])) if datatype else F.lit(None)
-        part = rows.select(s.alias("s"), F.lit(expand(predicate)).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), dt.cast("string").alias("o_dt"))
+        part = rows.select(s.alias("s"), F.lit(expand(predicate)).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), dt.cast("string").alias("o_dt"), *key)
         parts.append(part.where(F.col("o").isNotNull() & F.col("s").isNotNull()))
     return reduce(DataFrame.unionByName, parts)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.functions import terms as t
+from loomflow.operators import reach
 from loomflow.operators.access import FlowGraph
 from loomflow.operators.graph import Graph, Group, direct
 from loomflow.session import table
@@ -121,6 +122,23 @@ _f("q41_get_default_mapping", lambda g: g.defaults().select("f", "parameter", F.
 _c("q42_get_used_functions", lambda g: g.used_functions(), "calls", "SELECT DISTINCT 'order' || o || 'Composition' AS composition, 'call' || o || '_' || n AS call FROM calls")
 _c("q43_depends_on", lambda g: g.depends(), "calls", "SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_' || (n + 1) AS call, 'call' || o || '_' || n AS \"on\" FROM calls WHERE nxt IS NOT NULL")
 _c("q43_closure", lambda g: g.depends_closure(), "calls", "SELECT 'order' || a.o || 'Composition' AS composition, 'call' || b.o || '_' || b.n AS call, 'call' || a.o || '_' || a.n AS \"on\", CAST(b.n - a.n AS INTEGER) AS steps FROM calls a JOIN calls b ON a.o = b.o AND a.n < b.n")
+
+
+def _reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a call's value gets to another call, for pairs from lines and orders: two label look-ups a pair."""
+    call = lambda o, n: F.concat(F.lit(t.expand("ex:call")), F.col(o), F.lit("_"), F.col(n) if isinstance(n, str) else n)
+    lines = table(spark, sf_dir, "lineitem").select(call("l_orderkey", F.lit(1)).alias("a"), call("l_orderkey", "l_linenumber").alias("b"))
+    orders = table(spark, sf_dir, "orders").select(call("o_orderkey", F.lit(2)).alias("a"), F.explode(F.array(call("o_orderkey", F.lit(1)), call("o_orderkey", F.lit(4)), call("o_custkey", F.lit(3)))).alias("b"))
+    found, links = FlowGraph(_calls(spark, sf_dir).triples).reach()
+    return local(reach.reached(lines.union(orders).distinct(), found, links))
+
+
+QUERIES["q43_reach"] = _reach
+ORACLE_SQL["q43_reach"] = f"""
+WITH RECURSIVE {_CTES['calls']}, r AS (SELECT o, n AS a, n + 1 AS b FROM calls WHERE nxt IS NOT NULL UNION SELECT r.o, r.a, c.n + 1 FROM r JOIN calls c ON c.o = r.o AND c.n = r.b AND c.nxt IS NOT NULL),
+pairs AS (SELECT 'call' || l_orderkey || '_1' AS a, 'call' || l_orderkey || '_' || l_linenumber AS b FROM lineitem UNION SELECT 'call' || o_orderkey || '_2', unnest(['call' || o_orderkey || '_1', 'call' || o_orderkey || '_4', 'call' || o_custkey || '_3']) FROM orders),
+told AS (SELECT 'call' || o || '_' || a AS a, 'call' || o || '_' || b AS b, true AS hit FROM r)
+SELECT pairs.a, pairs.b, coalesce(hit, false) AS reached FROM pairs LEFT JOIN told USING (a, b)"""
 _TOLD = {
     "funs": [
         (PART, "'type'", "'Function'", ""), (PART, "'type'", "'Entity'", ""), (PART, "'label'", "p_name", ""), (PART, "'expects'", "'_:expects' || k", ""), (PART, "'returns'", "'_:returns' || k", ""),
@@ -194,3 +212,4 @@ _b("bgp_filter", "customer", lambda g: g.match(Group([("?c", "ex:c_mktsegment",
 _b("bgp_ask", "nation region", lambda g: g.triples.sparkSession.createDataFrame([(g.ask([("ex:nation/1", "ex:n_name", "?x")]), g.ask([("ex:nation/999", "ex:n_name", "?x")]))], "yes boolean, no boolean"), "SELECT true AS yes, false AS no")
 _b("graph_union", "nation", lambda g: Graph((g | g).distinct()).triples.groupBy("p").agg(F.count("*").alias("n")).select(t.local_name(F.col("p")).alias("p"), "n"), "SELECT * FROM (VALUES ('n_nationkey'), ('n_name'), ('n_regionkey')) v(p), (SELECT count(*) AS n FROM nation)")
 _b("graph_difference", "nation region", lambda g: g.minus(Graph(g.triples.where(F.startswith("s", F.lit(t.expand("ex:region")))))).triples.groupBy().agg(F.count("*").alias("n")), "SELECT 3 * count(*) AS n FROM nation")
+_b("b14_union_rows", "nation region", lambda g: local(Graph((g | g).distinct()).triples.select("s", "p", "o")), " UNION ALL ".join(f"SELECT '{table_}/' || {key} AS s, '{c}' AS p, {c}::VARCHAR AS o FROM {table_}" for table_, key, columns in (("nation", "n_nationkey", ("n_nationkey", "n_name", "n_regionkey")), ("region", "r_regionkey", ("r_regionkey", "r_name"))) for c in columns))

@@ -10,26 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomflow.functions.terms import local_name
+from loomflow.operators import reach
 from loomflow.operators.access import FlowGraph
 
 
 def hierarchy(graph: FlowGraph) -> DataFrame:
     """(composition, depth, call) along next edges from each start, until there is none or a call comes again.
 
-    A composition's edges become one map, walked in one expression; compositions
-    are function bodies, and a call with two successors follows the first by name.
+    Calls are rows, and paths of any length take as many rounds of joins as their
+    length has binary places. A call with two successors follows the first by name.
     """
-    start = graph.match([("?composition", "fnoc:start", "?call")])
+    start = graph.match([("?composition", "fnoc:start", "?node")])
     successor = graph.match([("?call", "fnoc:next", "?to")]).groupBy("call").agg(F.min("to").alias("to"))
-    maps = graph.used_functions().join(successor, "call").groupBy("composition").agg(F.map_from_entries(F.collect_list(F.struct("call", "to"))).alias("after"))
-
-    def step(path, _):
-        to = F.try_element_at(F.col("after"), F.element_at(path, -1))
-        return F.when(to.isNull() | F.array_contains(path, to), path).otherwise(F.array_append(path, to))
-
-    rounds = F.sequence(F.lit(1), F.coalesce(F.size("after"), F.lit(0)))
-    walked = start.join(maps, "composition", "left").withColumn("path", F.when(F.coalesce(F.size("after"), F.lit(0)) > 0, F.aggregate(rounds, F.array("call"), step)).otherwise(F.array("call")))
-    return walked.select("composition", F.posexplode("path").alias("depth", "call"))
+    after = graph.used_functions().join(successor, "call").select("composition", F.col("call").alias("node"), "to")
+    return reach.walk(start, after, ["composition"]).select("composition", F.col("depth").cast("int").alias("depth"), F.col("node").alias("call"))
 
 
 def layers(graph: FlowGraph) -> DataFrame:

@@ -7,16 +7,16 @@ that of described programs, so every accessor runs on it at any scale.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomflow.functions.terms import NAMESPACES
-from loomflow.operators.graph import TRIPLE, Graph, triples
+from loomflow.operators.graph import Graph, triples
 from loomflow.session import table
-from loomflow.stage import shared_dir
+from loomflow.sources import store
+from loomflow.sources.store import KEY, Piece
 
 EX, PY = NAMESPACES["ex"], NAMESPACES["python"]
 
@@ -29,12 +29,15 @@ def _node(*parts: Column | str) -> Column:
     return F.concat(F.lit("_:"), *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def functions_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Functions, terminals, implementations and mappings from the table part."""
-    parts = table(spark, sf_dir, "part")
+def _kept(rows: DataFrame) -> list[str]:
+    return [KEY] if KEY in rows.columns else []
+
+
+def function_triples(parts: DataFrame) -> DataFrame:
+    """Functions, terminals and mappings from rows of the table part."""
     brand = F.replace("p_brand", F.lit("#"), F.lit("_"))
     f = _ex("part", F.col("p_partkey"))
-    rows = parts.select("p_name", "p_size", "p_retailprice", F.col("p_partkey").alias("k"), f.alias("f"), brand.alias("brand"), F.concat(F.lit(PY), brand).alias("imp"))
+    rows = parts.select("p_name", "p_size", "p_retailprice", F.col("p_partkey").alias("k"), f.alias("f"), brand.alias("brand"), F.concat(F.lit(PY), brand).alias("imp"), *_kept(parts))
     k = F.col("k")
     uri, a = "uri", "a"
     functions = triples(
@@ -60,13 +63,6 @@ def functions_graph(spark: SparkSession, sf_dir: str) -> Graph:
         lists = lists.unionByName(triples(given.where(i == n), _node("expects", k), (f"rdf:_{n + 1}", param, uri)))
         lists = lists.unionByName(triples(own.where(F.col("p_size") % 3 == n), _node("expects", k), (f"rdf:_{n + 2}", _ex("part", k, "Self"), uri)))
     lists = lists.unionByName(triples(given_back, _node("returns", k), ("rdf:_2", _ex("part", k, "SelfOutput"), uri)))
-    kinds = F.element_at(F.array(*[F.lit(NAMESPACES["fnoi"] + x) for x in ("PythonFunction", "PythonMethod", "PythonClass", "PythonFile")]), (F.length("brand") + F.ascii(F.substring("brand", -1, 1))) % 4 + 1)
-    brands = rows.select("brand", "imp").distinct().withColumn("kind", kinds)
-    implementations = triples(
-        brands, F.col("imp"), (a, F.lit(NAMESPACES["fnoi"] + "Implementation"), uri), (a, F.col("kind"), uri), ("doap:name", F.col("brand"), "literal"),
-        ("fnoi:module", F.concat(F.lit("m."), F.col("brand")), "literal"), ("fnoi:file", F.concat(F.lit("file:///src/"), F.col("brand"), F.lit(".py")), uri),
-        ("fnoi:methodOf", F.when(F.endswith("kind", F.lit("PythonMethod")), F.lit(PY + "Base")), uri),
-    )
     mapping = _ex("part", k, "Mapping")
     maps = triples(rows, mapping, (a, F.lit(NAMESPACES["fno"] + "Mapping"), uri), ("fno:function", F.col("f"), uri), ("fno:implementation", F.col("imp"), uri), ("fnom:mappingMethod", F.lit("default"), "literal"))
 
@@ -80,17 +76,35 @@ def functions_graph(spark: SparkSession, sf_dir: str) -> Graph:
     maps = maps.unionByName(mapped(given.where(last & (F.col("p_size") % 11 == 0)), _node("args", k), "VarPositionalParameterMapping", param))
     maps = maps.unionByName(mapped(given.where(last & (F.col("p_size") % 13 == 0)), _node("kwargs", k), "VarPropertyParameterMapping", param))
     out = functions
-    for part in (parameters, selves, outputs, self_outputs, lists, implementations, maps):
+    for part in (parameters, selves, outputs, self_outputs, lists, maps):
         out = out.unionByName(part)
-    return Graph(out)
+    return out
 
 
-def calls_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """Compositions, calls, control and data flow from orders and their lines."""
-    from pyspark.sql import Window
+def implementation_triples(parts: DataFrame) -> DataFrame:
+    """Implementations from the brands of rows of the table part."""
+    brand = F.replace("p_brand", F.lit("#"), F.lit("_"))
+    rows = parts.select(brand.alias("brand"), F.concat(F.lit(PY), brand).alias("imp"), *_kept(parts))
+    kinds = F.element_at(F.array(*[F.lit(NAMESPACES["fnoi"] + x) for x in ("PythonFunction", "PythonMethod", "PythonClass", "PythonFile")]), (F.length("brand") + F.ascii(F.substring("brand", -1, 1))) % 4 + 1)
+    brands = rows.distinct().withColumn("kind", kinds)
+    implementations = triples(
+        brands, F.col("imp"), ("a", F.lit(NAMESPACES["fnoi"] + "Implementation"), "uri"), ("a", F.col("kind"), "uri"), ("doap:name", F.col("brand"), "literal"),
+        ("fnoi:module", F.concat(F.lit("m."), F.col("brand")), "literal"), ("fnoi:file", F.concat(F.lit("file:///src/"), F.col("brand"), F.lit(".py")), "uri"),
+        ("fnoi:methodOf", F.when(F.endswith("kind", F.lit("PythonMethod")), F.lit(PY + "Base")), "uri"),
+    )
+    return implementations
 
+
+def functions_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Functions, terminals, implementations and mappings from the table part."""
+    parts = table(spark, sf_dir, "part")
+    return Graph(function_triples(parts).unionByName(implementation_triples(parts)))
+
+
+def call_triples(lines: DataFrame) -> DataFrame:
+    """Calls, control and data flow from rows of the table lineitem."""
     uri = "uri"
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", *_kept(lines))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     lines = lines.withColumn("n", F.row_number().over(order)).withColumn("then", F.lead("l_partkey").over(order))
     o, n = F.col("l_orderkey"), F.col("n")
@@ -98,9 +112,7 @@ def calls_graph(spark: SparkSession, sf_dir: str) -> Graph:
     flag = F.col("l_returnflag")
     calls = triples(lines, call, ("fnoc:applies", _ex("part", F.col("l_partkey")), uri), ("fnoc:next", F.when(flag == "N", following), uri), ("fnoc:iterate", F.when(flag == "R", following), uri), ("fnoc:true", F.when(flag == "A", following), uri))
     comp = _ex("order", o, "Composition")
-    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    comps = triples(own, comp, ("a", F.lit(NAMESPACES["fno"] + "Composition"), uri), ("fnoc:represents", _ex("part", F.col("o_custkey")), uri))
-    comps = comps.unionByName(triples(lines.where("n = 1"), comp, ("fnoc:start", call, uri)))
+    comps = triples(lines.where("n = 1"), comp, ("fnoc:start", call, uri))
     flow = _node("flow", o, "_", n)
     edges = triples(lines, comp, ("fnoc:composedOf", flow, "bnode"))
     linked = lines.where("then is not null")
@@ -111,30 +123,27 @@ def calls_graph(spark: SparkSession, sf_dir: str) -> Graph:
     target = F.coalesce(following, _ex("call", o, "_1"))
     to_part = F.coalesce(F.col("then"), F.col("l_partkey"))
     edges = edges.unionByName(triples(lines, _node("to", o, "_", n), ("fnoc:constituentFunction", target, uri), ("fnoc:functionParameter", _ex("part", to_part, "Parameter0"), uri), ("fnoc:mappingStrategy", F.when(flag == "R", F.lit(NAMESPACES["fnoc"] + "toList")), uri), ("fnoc:key", F.when(flag == "R", n), "literal", "xsd:integer")))
-    return Graph(calls.unionByName(comps).unionByName(edges))
+    return calls.unionByName(comps).unionByName(edges)
 
 
-_STORES: dict[tuple[str, str, str], str] = {}
+def composition_triples(orders: DataFrame) -> DataFrame:
+    """Compositions from rows of the table orders."""
+    comp = _ex("order", F.col("o_orderkey"), "Composition")
+    return triples(orders, comp, ("a", F.lit(NAMESPACES["fno"] + "Composition"), "uri"), ("fnoc:represents", _ex("part", F.col("o_custkey")), "uri"))
 
 
-def write_store(graph: Graph, path: str) -> None:
-    """The triples as parquet files, a folder for each predicate."""
-    graph.triples.write.partitionBy("p").parquet(path)
+def calls_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Compositions, calls, control and data flow from orders and their lines."""
+    return Graph(call_triples(table(spark, sf_dir, "lineitem")).unionByName(composition_triples(table(spark, sf_dir, "orders"))))
 
 
-def read_store(spark: SparkSession, path: str) -> Graph:
-    """A graph of which a pattern reads only the folders of its predicate."""
-    return Graph(spark.read.schema(TRIPLE).parquet(path).select(*TRIPLE.names))
+#: How the graphs' stores are made, table by table.
+PIECES = {
+    functions_graph: [Piece("part", lambda: F.col("p_partkey"), function_triples), Piece("part", lambda: F.col("p_brand"), implementation_triples)],
+    calls_graph: [Piece("lineitem", lambda: F.col("l_orderkey"), call_triples), Piece("orders", lambda: F.col("o_orderkey"), composition_triples)],
+}
 
 
 def stored(spark: SparkSession, sf_dir: str, make: Callable[[SparkSession, str], Graph]) -> Graph:
-    """The graph of a data folder, derived once in a session and kept in the shared folder.
-
-    Tables that change while a session runs need another folder name.
-    """
-    key = (spark.sparkContext.applicationId, make.__name__, sf_dir)
-    if key not in _STORES:
-        path = f"{shared_dir(spark)}/{make.__name__}-{uuid.uuid4().hex}"
-        write_store(make(spark, sf_dir), path)
-        _STORES[key] = path
-    return read_store(spark, _STORES[key])
+    """The graph of a data folder, from a store that follows its files."""
+    return store.stored(spark, sf_dir, make.__name__, PIECES[make])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _ROOTS: list[str] = []
+#: Least seconds between two calls of the collectors.
+TIDY_SECONDS = 3.0
+_TIDIED = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,18 +49,26 @@ class Staged:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.options(**options).parquet(path)
-        gc.collect()
-        self.spark._jvm.System.gc()  # what the table replaces leaves its shuffle files to the cleaner
+        self._tidied()
         out = self.spark.read.schema(df.schema).parquet(path)
         out.staged_path = path
         return out
 
+    def _tidied(self) -> None:
+        """What a table replaces leaves its shuffle files to the cleaner, which waits for the collectors: call them, but not for every small table."""
+        global _TIDIED
+        if time.monotonic() - _TIDIED > TIDY_SECONDS:
+            gc.collect()
+            self.spark._jvm.System.gc()
+            _TIDIED = time.monotonic()
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            _delete(self.spark, df.staged_path)
+            delete(self.spark, df.staged_path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -69,5 +81,5 @@ def cleared(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for root in _ROOTS[before:]:
-            _delete(spark, root)
+            delete(spark, root)
         del _ROOTS[before:]

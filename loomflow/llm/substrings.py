@@ -7,13 +7,14 @@ anchors at the same place. Consecutive windows with one anchor form a region of
 at most 15. Anchors that occur once hold no repeat; this filter is all that hashes
 decide.
 
-Regions of the other anchors are the references. Those of equal words are streamed
-once, under the place of the earliest. Anchors are dealt to shards. A task builds
-the suffix automaton of its shard, of a bounded number of references from the
-earliest on, in which every state knows the first place of its words. Then all
-regions of the shard stream through it: the matching statistics tell which windows
-stand in the shard, and the state where each stands first. What starts earlier is
-a repeat, and the maximal spans of such windows are removed.
+Regions of the other anchors are the references. Regions of equal words, by anchor
+and a 64-bit digest, share one row of words, under the place of the earliest, and
+one answer. Anchors are dealt to shards. A task builds the suffix automaton of its
+shard, of a bounded number of references from the earliest on, in which every state
+knows the first place of its words. Then the shard's regions stream through it: the
+matching statistics tell which windows stand in the shard, and the state where each
+stands first. Every region, copies included, holds those places against its own:
+what starts earlier is a repeat, and the maximal spans of such windows are removed.
 
 An anchor of very many different regions does not fit a shard. Its windows become
 references of their own, dealt to shards by all their words.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -157,19 +159,22 @@ class Automaton:
 _WORD_BITS = 16
 
 
-def match_shard(references: list[str], window: int) -> tuple[list[int], list[int]]:
-    """For each reference, earliest first, bits of the windows that start earlier in the shard, and of those that the shard holds."""
+def match_shard(references: list[str], places: list[int], window: int) -> list[list[int | None]]:
+    """For each reference, earliest first, the place where each of its windows stands first in the shard; None where the automaton does not know it.
+
+    places are those of the references' first words.
+    """
     known = Automaton()
     split = [r.encode().split(b" ") for r in references]
     for n, words in enumerate(split):
         known.add(words, n << _WORD_BITS)
-    earlier, held = [0] * len(split), [0] * len(split)
-    for n, words in enumerate(split):
-        for k, place in known.windows(words, window):
-            held[n] |= 1 << k
-            if place < (n << _WORD_BITS) + k:
-                earlier[n] |= 1 << k
-    return earlier, held
+    out = []
+    for words in split:
+        first = [None] * (len(words) - window + 1)
+        for k, at in known.windows(words, window):
+            first[k] = places[at >> _WORD_BITS] + (at & (1 << _WORD_BITS) - 1)
+        out.append(first)
+    return out
 
 
 def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -247,10 +252,8 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
                 # rows equal in id and text tell a region twice
                 at, mark = (rows.column(c).to_numpy() for c in ("place", "mark"))
                 rows = rows.filter(pa.array(np.append(True, (at[1:] != at[:-1]) | (mark[1:] != mark[:-1]))))
-                bits = match_shard(rows.column("words").to_pylist(), window)
-                rows = rows.select(["key", "mark", "place", "single"])
-                for name, x in zip(("earlier", "known"), bits, strict=True):
-                    rows = rows.append_column(name, pa.array(x, pa.int32()))
+                firsts = match_shard(rows.column("words").to_pylist(), [int(x) for x in rows.column("place").to_pylist()], window)
+                rows = rows.select(["key", "mark", "place", "single"]).append_column("firsts", pa.array([[x if x is None else Decimal(x) for x in f] for f in firsts], pa.list_(pa.decimal128(38, 0))))
                 yield from rows.to_batches()
 
         for batch in batches:
@@ -266,14 +269,15 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
                     lo = hi
         yield from told()
 
-    told = stage.save(dealt.mapInArrow(stream, "key bigint, mark bigint, place decimal(38,0), single boolean, earlier int, known int"))
-    of_whole = told.where("not single").select(F.col("key").alias("anchor"), F.col("mark").alias("digest"), "earlier", "known")
-    least = told.where("single and known = 1").select(F.col("key").alias("low"), F.col("mark").alias("high"), F.col("place").alias("least"))
-    bit = F.expr("shiftleft(1, `offset`)")
-    of_single = single.join(least, ["low", "high"]).groupBy("anchor", "digest").agg(F.bit_or(F.when(F.col("place") > F.col("least"), bit).otherwise(0)).alias("earlier"), F.bit_or(bit).alias("known"))
-    contents = stage.save(contents.join(of_whole.unionByName(of_single), ["anchor", "digest"]).select("anchor", "digest", F.col("place").alias("least"), "earlier", "known"))
+    told = stage.save(dealt.mapInArrow(stream, "key bigint, mark bigint, place decimal(38,0), single boolean, firsts array<decimal(38,0)>"))
+    of_whole = told.where("not single").select(F.col("key").alias("anchor"), F.col("mark").alias("digest"), "firsts")
+    alone = told.where("single").select(F.col("key").alias("low"), F.col("mark").alias("high"), F.get("firsts", F.lit(0)).alias("first"))
+    of_single = single.join(alone, ["low", "high"]).groupBy("anchor", "digest").agg(F.array_sort(F.collect_set(F.struct("offset", "first"))).alias("x")).select("anchor", "digest", F.transform("x", lambda x: x["first"]).alias("firsts"))
+    contents = stage.save(of_whole.unionByName(of_single))
+    # a region of whatever copy: its windows that start earlier, by the automaton, than they do here
     here = place(F.col("first"))
-    spans = live.join(contents, ["anchor", "digest"]).select("doc", "first", F.when(here == F.col("least"), F.col("earlier")).otherwise(F.col("known")).alias("bits"))
+    bits = F.aggregate(F.transform("firsts", lambda x, k: F.when(x < here + k, F.pow(F.lit(2), k).cast("int")).otherwise(0)), F.lit(0), lambda a, x: a.bitwiseOR(x))
+    spans = live.join(contents, ["anchor", "digest"]).select("doc", "first", bits.alias("bits"))
     # one list for each document, no longer than it has windows; rows equal in id and text tell the same spans
     return spans.where("bits <> 0").groupBy("doc").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 16).bitwiseOR(F.col("bits").cast("long"))).alias("spans"))
 

@@ -47,9 +47,24 @@ def test_small_shards(spark, monkeypatch):
 
 
 def test_automata_decide_what_is_removed(spark, monkeypatch):
+    class Blind(substrings.Automaton):
+        def windows(self, words, window):
+            return iter(())
+
     df = spark.createDataFrame([(d, t, "clash", 0) for d, t in corpus()], DOCS)
-    monkeypatch.setattr(substrings, "match_shard", lambda references, window: ([0] * len(references), [0] * len(references)))
-    assert {r["n_removed"] for r in substrings.dedup(df).collect()} == {0}
+
+    def blind(references, places, window):
+        # in the worker, every line but the automaton's stays
+        real, substrings.Automaton = substrings.Automaton, Blind
+        try:
+            return substrings.match_shard(references, places, window)
+        finally:
+            substrings.Automaton = real
+
+    for size in (3, 2000):
+        monkeypatch.setattr(substrings, "SHARD_REFERENCES", size)
+        monkeypatch.setattr(substrings, "match_shard", blind)
+        assert {r["n_removed"] for r in substrings.dedup(df).collect()} == {0}
 
 
 def test_first_places_of_windows():

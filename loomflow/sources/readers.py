@@ -1,12 +1,12 @@
-"""Sources and sinks of the pipelines: CSV, Arrow record batches, folders of files, models."""
+"""Sources and sinks of the pipelines: CSV, folders of files, models."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomflow.sources import arrow
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, names: list[str] | None = None, header: bool = False, rows: int | None = None) -> DataFrame:
     """CSV files by a schema; names rename the columns, rows limits them."""
@@ -25,27 +25,14 @@ def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return found.select("path", F.col("length").alias("size"))
 
 
-def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Arrow IPC files, each by one task, batch by batch: a file is never whole in memory as rows."""
-    import pyarrow as pa
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                with pa.ipc.open_file(pa.py_buffer(content.as_py())) as reader:
-                    for n in range(reader.num_record_batches):
-                        yield reader.get_batch(n)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(each, schema)
+def read_arrow(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Arrow IPC files, a task for each record batch."""
+    return arrow.read(spark, path, schema)
 
 
 def write_arrow(rows: DataFrame, path: str) -> None:
-    """One Arrow IPC file on the driver's disk, for tables a driver can hold."""
-    import pyarrow as pa
-
-    table = rows.toArrow()
-    with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, table.schema) as writer:
-        writer.write_table(table)
+    """Arrow IPC files in a folder, one for each task."""
+    arrow.write(rows, path)
 
 
 def save_model(model, path: str) -> None:

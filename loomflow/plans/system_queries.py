@@ -17,7 +17,7 @@ from loomflow.plans.graph_queries import _CTES, local
 from loomflow.plans.program_queries import TRIPLE_SUM
 from loomflow.session import table
 from loomflow.stage import shared_dir
-from loomflow.sources import containers, describe, readers, standard, turtle
+from loomflow.sources import arrow, containers, describe, imports, readers, standard, turtle
 from loomflow.sources.flowtables import calls_graph, functions_graph, stored
 from loomflow.streaming import windows
 
@@ -246,6 +246,51 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_csv(spark, path, "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double", ["key", "name", "nation", "balance"], header=True)
 
 
+def _arrow(spark: SparkSession, sf_dir: str) -> str:
+    """The events as Arrow files, written by tasks."""
+    path = _folder(spark, "arrow")
+    arrow.write(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), path)
+    return path
+
+
+_EVENT = "event_id bigint, event_type string, value double"
+_q("src14_arrow", lambda s, d: arrow.read(s, _arrow(s, d), _EVENT), "SELECT event_id, event_type, value FROM events")
+_q("src14_arrow_stream", lambda s, d: windows.to_table(arrow.stream(s, _arrow(s, d), _EVENT), _folder(s, "arrow"), _folder(s, "checkpoint")), "SELECT event_id, event_type, value FROM events")
+
+
+def _orders_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' triples as text and back, in tasks by ranges of the files."""
+    from loomflow.operators.graph import direct
+
+    folder = _folder(spark, "orders")
+    turtle.write(direct(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "orders", "o_orderkey"), folder)
+    return local(turtle.read(spark, folder).triples.select("s", "p", "o"))
+
+
+_q("src08_orders", _orders_turtle, " UNION ALL ".join(f"SELECT 'orders/' || o_orderkey AS s, '{c}' AS p, {c}::VARCHAR AS o FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus")))
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module for each part, in a package for each brand; what a part does not define it takes from the next part, under another name."""
+    brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("k"), brand.alias("brand"), "p_size")
+    after = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("brand").alias("then"), F.col("k").alias("m"))
+    own = F.concat(F.lit("def make"), "k", F.lit("(x):\n    return x\n"))
+    taken = F.concat(F.lit("from .."), F.coalesce("then", F.lit("gone")), F.lit(".m"), F.coalesce("m", F.lit("0")), F.lit(" import make"), F.coalesce("m", F.lit("0")), F.lit(" as make"), "k", F.lit("\n"))
+    star = F.concat(F.lit("from .m"), "k", F.lit(" import *\n"))
+    rows = parts.join(after, "p_partkey", "left").select("brand", "k", F.when(F.col("p_size") % 3 == 0, own).otherwise(taken).alias("text"), star.alias("star"))
+    path = F.concat(F.lit("/src/parts/"), "brand", F.lit("/"))
+    return rows.select(F.concat(path, F.lit("m"), "k", F.lit(".py")).alias("path"), "text").union(rows.select(F.concat(path, F.lit("all"), "k", F.lit(".py")), "star"))
+
+
+_q("p05_imports", lambda s, d: imports.resolved(_modules(s, d), "/src").select("module", "name", "kind", F.when(F.col("kind") == "def", F.concat_ws(".", "target", "attribute")).alias("of"), "file"), """
+WITH RECURSIVE p AS (SELECT p_partkey AS k, 'parts.' || lower(replace(p_brand, '#', '_')) AS brand, p_size % 3 = 0 AS own FROM part),
+r AS (SELECT k, k AS pos, own FROM p UNION ALL SELECT r.k, p.k, p.own FROM r JOIN p ON p.k = r.pos + 1 WHERE NOT r.own),
+ends AS (SELECT k, max(pos) AS pos, bool_or(own) AS found FROM r GROUP BY k),
+told AS (SELECT ends.k, p.brand, CASE WHEN found THEN 'def' ELSE 'outside' END AS kind, CASE WHEN found THEN q.brand || '.m' || q.k || '.make' || q.k END AS "of", CASE WHEN found THEN '/src/' || replace(q.brand, '.', '/') || '/m' || q.k || '.py' END AS file
+    FROM ends JOIN p ON p.k = ends.k JOIN p q ON q.k = ends.pos)
+SELECT brand || '.m' || k AS module, 'make' || k AS name, kind, "of", file FROM told UNION ALL SELECT brand || '.all' || k, 'make' || k, kind, "of", file FROM told""")
+
 _q("src13_csv", _csv, "SELECT s_suppkey AS key, s_name AS name, s_nationkey AS nation, s_acctbal AS balance FROM supplier")
 
 

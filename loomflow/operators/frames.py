@@ -74,6 +74,13 @@ def at_least(rows: DataFrame, by: list[str], n: int) -> DataFrame:
     return rows.join(big, by, "left_semi")
 
 
+def cardinality(keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key, n, kind) for each key: none, one or many of the rows have it."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return keys.distinct().join(counts, key, "left").select(key, n.alias("n"), F.when(n == 0, "none").when(n == 1, "one").otherwise("many").alias("kind"))
+
+
 def aggregate_of(function: Callable[[list], object], returns: str):
     """A Python callable on the list of a group's values as an aggregate; a group's values are in one task."""
 
@@ -259,6 +266,11 @@ def inverted(mapping: Column) -> Column:
     return F.map_from_arrays(F.transform(last, lambda e: e["value"]), F.transform(last, lambda e: e["key"]))
 
 
+def inverted_rows(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(value, key) of a mapping held as rows: of equal values the largest key counts; null values map to nothing."""
+    return rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.max(key).alias(key))
+
+
 def stacked(*axes: str) -> Column:
     """Arrays of equal length as an array of structs."""
     return F.arrays_zip(*axes)

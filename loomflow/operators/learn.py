@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +15,26 @@ LEARNERS = {
     "gaussian_nb": lambda: NaiveBayes(modelType="gaussian", labelCol="_label", featuresCol="_features"),
     "random_forest": lambda: RandomForestClassifier(seed=18, labelCol="_label", featuresCol="_features"),
     "linear_svc": lambda: OneVsRest(classifier=LinearSVC(maxIter=50), labelCol="_label", featuresCol="_features"),
+    "rbf_svc": lambda: OneVsRest(classifier=LinearSVC(maxIter=100, regParam=1e-4), labelCol="_label", featuresCol="_features"),
 }
+#: Random Fourier features of a radial kernel.
+FOURIER, FOURIER_SEED = 128, 7
+
+
+def fourier(rows: DataFrame, features: list[str], gamma: float | None = None) -> list:
+    """Stages that add random Fourier features: cosines whose products are, on average, exp(-gamma * squared distance) of the standardised features.
+
+    A linear learner on them is one with that radial kernel. gamma is 1 over the
+    number of features unless it is given. Frequencies are seeded literals; one
+    aggregate gives means and deviations.
+    """
+    told = rows.agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"{n}{k}") for k, c in enumerate(features) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    rng, width = random.Random(FOURIER_SEED), math.sqrt(2 * (1 / len(features) if gamma is None else gamma))
+    columns = []
+    for n in range(FOURIER):
+        terms = [f"{rng.gauss(0, width) / (told[f's{k}'] or 1.0)!r}D * (`{c}` - {told[f'm{k}'] or 0.0!r}D)" for k, c in enumerate(features)]
+        columns.append(f"cos({' + '.join(terms)} + {rng.uniform(0, 2 * math.pi)!r}D) * {math.sqrt(2 / FOURIER)!r}D AS _f{n}")
+    return [SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__"), VectorAssembler(inputCols=[f"_f{n}" for n in range(FOURIER)], outputCol="_features")]
 
 
 def split(rows: DataFrame, test: float, key: str, seed: int = 24) -> tuple[DataFrame, DataFrame]:
@@ -23,8 +45,9 @@ def split(rows: DataFrame, test: float, key: str, seed: int = 24) -> tuple[DataF
 
 def fit(rows: DataFrame, learner: str, features: list[str], label: str) -> PipelineModel:
     """A pipeline that indexes the label alphabetically, gathers the features and learns."""
-    stages = [StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=features, outputCol="_features"), LEARNERS[learner]()]
-    return Pipeline(stages=stages).fit(rows)
+    gathered = fourier(rows, features) if learner == "rbf_svc" else [VectorAssembler(inputCols=features, outputCol="_features")]
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
+    return Pipeline(stages=[index, *gathered, LEARNERS[learner]()]).fit(rows)
 
 
 def predict(model: PipelineModel, rows: DataFrame, into: str) -> DataFrame:

@@ -51,6 +51,7 @@ SELECT event_type, start::TIMESTAMP AS start, round(avg(value), 6) AS mean, roun
 _q("a05_at_least", "events", lambda e: frames.at_least(e, ["user_id"], 12).groupBy("user_id").agg(F.count("*").alias("n")), "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 12")
 _q("a06_grouped_edges", "lineitem", lambda li: li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.col("l_partkey"))), ",").alias("parts")), "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS parts FROM lineitem GROUP BY 1")
 _q("a08_cardinality", "orders", lambda o: o.groupBy("o_custkey").agg(F.count("*").alias("n")).select("o_custkey", F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "one").otherwise("many").alias("kind")), "SELECT o_custkey, CASE count(*) WHEN 1 THEN 'one' ELSE 'many' END AS kind FROM orders GROUP BY 1")
+_q("a08_all_arms", "customer orders", lambda c, o: frames.cardinality(c.select(F.col("c_custkey").alias("k")), o.select(F.col("o_custkey").alias("k")), "k").select("k", "kind"), "SELECT c_custkey AS k, CASE count(o_orderkey) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'many' END AS kind FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 _q("a10_distinct", "events", lambda e: e.select("event_type", "user_id").distinct(), "SELECT DISTINCT event_type, user_id FROM events")
 _q("a11_accuracy", "labels", lambda x: frames.accuracy(x, "quality", "toxic").select(F.round("accuracy", 9).alias("accuracy")), "SELECT round(avg((quality = toxic)::INT), 9) AS accuracy FROM labels")
 
@@ -135,7 +136,8 @@ _q("sc16_drop_rename", "supplier", lambda s: s.drop("s_acctbal").withColumnRenam
 _q("sc17_json", "events", lambda e: frames.flatten_json(e.select("event_id", "props"), {"props": "k BIGINT, z STRING"}).select("event_id", F.col("`props.k`").alias("k"), F.col("`props.z`").alias("z")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.z') AS z FROM events")
 _q("sc18_column_slice", "nation", lambda n: n.select(*n.columns[:-1]), "SELECT n_nationkey, n_name FROM nation")
 _q("sc19_filter_text", "orders", lambda o: o.where("o_orderpriority = '1-URGENT' and o_totalprice > 100000").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 100000")
-_q("sc20_invert", "region", lambda r: r.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name")))).alias("m")).select(F.explode(frames.inverted(F.col("m"))).alias("name", "key")), "SELECT r_name AS name, r_regionkey AS key FROM region")
+_q("sc20_invert", "region", lambda r: frames.inverted_rows(r, "r_regionkey", "r_name").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("key")), "SELECT r_name AS name, r_regionkey AS key FROM region")
+_q("sc20_invert_ties", "customer", lambda c: frames.inverted_rows(c, "c_custkey", "c_mktsegment").select("c_mktsegment", "c_custkey"), "SELECT c_mktsegment, max(c_custkey) AS c_custkey FROM customer GROUP BY 1")
 _q("sc21_stack", "lineitem", lambda li: li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("a"), F.array_sort(F.collect_list("l_suppkey")).alias("b")).select("l_orderkey", F.aggregate(frames.stacked("a", "b"), F.lit(0).cast("long"), lambda s, x: s + x["a"] * x["b"]).alias("dot")), """
 WITH r AS (SELECT l_orderkey, list_sort(list(l_partkey)) a, list_sort(list(l_suppkey)) b FROM lineitem GROUP BY 1) SELECT l_orderkey, CAST(list_sum(list_transform(list_zip(a, b), lambda x: x[1] * x[2])) AS BIGINT) AS dot FROM r""")
 _q("sc22_label_encode", "orders", lambda o: frames.label_codes(o.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "code").select("o_orderkey", "code"), "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code FROM orders")

@@ -53,8 +53,15 @@ def python_object(name: str, module: str | None = None, file: str | None = None,
         raise Unresolved(str(e)) from e
 
 
+#: Functions of the module math that Spark has too: as columns, for arguments that both take.
+_COLUMNS = {
+    "sin": F.sin, "cos": F.cos, "tan": F.tan, "atan": F.atan, "atan2": F.atan2, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "exp": F.exp, "expm1": F.expm1,
+    "hypot": F.hypot, "degrees": F.degrees, "radians": F.radians, "cbrt": F.cbrt, "floor": F.floor, "ceil": F.ceil, "fabs": lambda c: F.abs(c.cast("double")),
+}
+
+
 class LibraryBackend:
-    """Functions of installed modules and of files, on Arrow batches."""
+    """Functions of installed modules and of files: those of math as columns where Spark has them, others on Arrow batches. A null argument gives null."""
 
     def accepts(self, implementation: dict) -> bool:
         return implementation["kind"] in ("PythonFunction", "PythonMethod", "PythonClass") and bool(implementation["module"] or implementation["file"])
@@ -62,10 +69,12 @@ class LibraryBackend:
     def apply(self, rows: DataFrame, implementation: dict, source: str, args: list[str], into: str, returns: str) -> DataFrame:
         where = [implementation.get(k) for k in ("name", "module", "file", "method_of")]
         python_object(*where)  # an unknown name is told before any task starts
+        if implementation["module"] == "math" and implementation["name"] in _COLUMNS:
+            return rows.withColumn(into, _COLUMNS[implementation["name"]](*map(F.col, args)).cast(returns))
 
         @F.arrow_udf(returns)
         def each(given: pa.Array) -> pa.Array:
             f = python_object(*where)
-            return pa.array([f(*row) for row in zip(*(c.to_pylist() for c in given.flatten()), strict=True)])
+            return pa.array([None if None in row else f(*row) for row in zip(*(c.to_pylist() for c in given.flatten()), strict=True)])
 
         return rows.withColumn(into, each(F.struct(*args)))

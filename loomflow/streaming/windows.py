@@ -7,7 +7,8 @@ what is there now and returns the result as a table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ class _Intervals(StatefulProcessor):
 def state_intervals(stream: DataFrame, by: str, ts: str, state: str) -> DataFrame:
     """(key, state, start, end, n) of the intervals that another state has ended; the open one of each key is carried between batches.
 
-    Rows of a key are in order from batch to batch.
+    Rows of a key are in order from batch to batch. Start the query inside rocks_db().
     """
     kind = stream.schema[by].dataType.simpleString()
     rows = stream.select(by, F.col(ts).cast("timestamp").alias(ts), F.col(state).cast("string").alias(state))
@@ -100,6 +101,26 @@ def to_end(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def to_table_counted(stream: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, int]:
+    """to_table(), and how many rows the watermark dropped before they reached a state: groups of a batch where partial sums come first."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    dropped = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    return stream.sparkSession.read.schema(stream.schema).parquet(path), dropped
+
+
+@contextmanager
+def rocks_db(spark: SparkSession) -> Iterator[None]:
+    """What state_intervals() needs: the state store on RocksDB, for queries that start inside. The session's own setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """The result over all that is there now, appended to parquet files; for results of any size."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.plans import compile as plan
-from loomflow.plans import graphplan
+from loomflow.plans import graphplan, machine
 from loomflow.session import table
 from loomflow.sources import describe
 
@@ -102,7 +102,7 @@ _FACULTY = "def faculty(n):\n    if n <= 1:\n        return 1\n    return n * fa
 
 
 def _faculty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recursion has no column; run() sends it to Python."""
+    """Recursion has no column; run() makes a table of states of it."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("n"))
     return plan.run(li, _FACULTY, "n", into="out", returns="bigint")
 
@@ -111,6 +111,23 @@ QUERIES["p01_faculty"] = _faculty
 ORACLE_SQL["p01_faculty"] = "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS n, CAST(factorial(CAST(l_linenumber AS INT)) AS BIGINT) AS out FROM lineitem"
 
 
+def _machine(name: str, source: str, sql: str, *args: str) -> None:
+    """A program of loops that end by what they meet, or of recursion, over every line, as a table of states."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return machine.run(_input(spark, sf_dir), source, *args, into="out").select("k", "n", "out")
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"WITH i AS ({_INPUT}) SELECT k, n, {sql} AS out FROM i"
+
+
+_machine("f03_while_gcd", "def gcd(p, q):\n    while q != 0:\n        p, q = q, p % q\n    return p\n", "CAST(gcd(p, q) AS BIGINT)", "p", "q")
+_machine("f03_break", "def first(a, b, n):\n    for i in range(100):\n        if i * i > n + a * a:\n            break\n        if i == 3:\n            continue\n        b += i\n    else:\n        return -1\n    return b * 1000 + i\n",
+    "(b + list_sum(list_filter(range(0, 100), lambda i: i <> 3 AND i * i <= n + a * a))) * 1000 + list_min(list_filter(range(0, 100), lambda i: i * i > n + a * a))", "a", "b", "n")
+_machine("f07_return_in_loop", "def root(p):\n    for i in range(p + 2):\n        if i * i >= p:\n            return i\n    return None\n", "CAST(ceil(sqrt(p)) AS BIGINT)", "p")
+_machine("p01_fibonacci", "def fib(n):\n    return n if n < 2 else fib(n - 1) + fib(n - 2)\n", "CAST(list_extract([0, 1, 1, 2, 3, 5, 8, 13, 21], n + 1) AS BIGINT)", "n")
+
+
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A loop over a list column: the lines of each order."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))

@@ -251,6 +251,34 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _fixed("b16_live_objects", _objects, "SELECT * FROM (VALUES ('PythonFunction', 'gcd', 'math', NULL), ('PythonMethod', 'upper', 'builtins', 'str'), ('PythonClass', 'dict', 'builtins', NULL)) v(kind, name, module, method_of)")
 _fixed("b19_by_count", lambda s, d: local(FlowGraph(describe.describe_callable(max, 3).graph(s).triples).positions()), "SELECT 'max' AS f, 'maxParameter' || i AS parameter, CAST(i AS INT) AS position FROM range(3) t(i)")
+
+
+def _sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A described function called from SQL text, inlined by the analyzer."""
+    from loomflow.plans import sqlfunction
+
+    graph = describe.describe(TRIPLE_SUM, names=["triple_sum"]).graph(spark)
+    sqlfunction.create(spark, graph, "triple_sum", {"a": "bigint", "b": "bigint", "c": "bigint"})
+    price = "def price(x, d, q):\n    if d > 0.05:\n        return x * (1 - d)\n    return x + q // 10\n"
+    sqlfunction.create(spark, price, "price", {"x": "double", "d": "double", "q": "bigint"}, "line_price")
+    lines = table(spark, sf_dir, "lineitem")
+    return spark.sql("SELECT l_orderkey, l_linenumber, triple_sum(l_partkey, l_suppkey, l_orderkey) AS total, round(line_price(l_extendedprice, l_discount, CAST(l_quantity AS BIGINT)), 4) AS price FROM {lines} WHERE triple_sum(l_partkey, 1, 1) % 2 = 0", lines=lines)
+
+
+def _own_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A described function run by a backend that a caller has put first."""
+    from loomflow.plans.execute import BACKENDS, execute
+    from loomflow.plans.sqlfunction import SqlBackend
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    graph = FlowGraph(describe.describe(TRIPLE_SUM, "demo").graph(spark).triples)
+    out, chosen = execute(rows, graph, "simple_sum", TRIPLE_SUM, ["l_partkey", "l_suppkey"], "out", backends=[SqlBackend(), *BACKENDS])
+    return out.select("l_orderkey", "l_linenumber", "out", F.lit(chosen["backend"]).alias("backend"))
+
+
+_q("p03_sql_function", _sql_function, """
+SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey + l_orderkey AS total, round(CASE WHEN l_discount > 0.05 THEN l_extendedprice * (1 - l_discount) ELSE l_extendedprice + CAST(l_quantity AS BIGINT) // 10 END, 4) AS price FROM lineitem WHERE (l_partkey + 2) % 2 = 0""")
+_q("p03_own_backend", _own_backend, "SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey AS out, 'SqlBackend' AS backend FROM lineitem")
 _q("f16_execute", _executed, "SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey + l_orderkey AS out FROM lineitem")
 _fixed("src09_standard_library", lambda s, d: local(FlowGraph(standard.library(s).triples).functions()), "SELECT unnest(['Is', 'IsNot', 'for', 'if', 'ifexpr', 'slice', 'list', 'tuple', 'dict', 'attribute', 'joinstr', 'format', 'build', 'from', 'entrypoint', 'user', 'add', 'label', 'workdir', 'arg', 'cmd', 'run', 'env', 'port', 'volume', 'copy', 'maintainer', 'expose']) AS f")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.functions import terms as t
-from loomflow.operators import reach
+from loomflow.operators import frames, reach
 from loomflow.operators.access import FlowGraph
 from loomflow.operators.graph import Graph, Group, direct
 from loomflow.session import table
@@ -96,6 +96,7 @@ _f("q21_get_output_type", lambda g: g.terminal_types("fno:Output"), "funs", "SEL
 _c("q22_get_compositions", lambda g: g.compositions(), "", "SELECT 'order' || o_orderkey || 'Composition' AS composition, 'part' || o_custkey AS f FROM orders")
 _c("q23_is_composition", lambda g: g.of_type("fno:Composition").groupBy().agg(F.count("*").alias("n")), "", "SELECT count(*) AS n FROM orders")
 _c("q24_get_start", lambda g: FlowGraph(g.triples.join(g.match([("?s", "fnoc:composedOf", "?edge")], "?s"), "s", "left_semi").select(*g.triples.columns)).starts(), "calls", "SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_1' AS start FROM calls WHERE n = 1")
+_c("q24_start_arms", lambda g: frames.cardinality(g.of_type("fno:Composition"), g.match([("?term", "fnoc:start", "?call")]), "term").select("term", "kind"), "", "SELECT 'order' || o_orderkey || 'Composition' AS term, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 'one' ELSE 'none' END AS kind FROM orders")
 _c("q25_get_representations", lambda g: g.match([("?composition", "fnoc:represents", "?f")], "?f"), "", "SELECT DISTINCT 'part' || o_custkey AS f FROM orders")
 _c("q26_get_mappings", lambda g: g.flow(), "calls", """
 SELECT 'order' || o || 'Composition' AS composition, CASE WHEN nxt IS NULL THEN CAST(q AS VARCHAR) ELSE '_:from' || o || '_' || n END AS source, '_:to' || o || '_' || n AS target,

@@ -133,6 +133,17 @@ UNION SELECT 'call' || o || '_' || (n + 1), 'call' || o || '_' || (n + 1) || '.p
 _q("v07_dot", lambda s, d: visual.dot(FlowGraph(stored(s, d, calls_graph).triples)).select(t.local_name(F.col("composition")).alias("composition"), F.explode(F.split("dot", "\n")).alias("line")), _WALK + """
 SELECT 'order' || o || 'Composition' AS composition, '  "call' || o || '_' || n || '" -> "call' || o || '_' || (n + 1) || '" [label="' || CASE flag WHEN 'N' THEN 'next' WHEN 'R' THEN 'iterate' ELSE 'true' END || '"];' AS line FROM calls WHERE nxt IS NOT NULL
 UNION ALL SELECT 'order' || o || 'Composition', unnest(['digraph {', '}']) FROM calls WHERE nxt IS NOT NULL AND n = 1""")
+
+
+def _elk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout objects as files of JSON lines, read again."""
+    path = _folder(spark, "elk")
+    visual.write_elk(FlowGraph(stored(spark, sf_dir, calls_graph).triples), path)
+    back = spark.read.schema(f"id string, edges {_EDGE}").json(path)
+    return back.select(F.col("id").alias("composition"), F.explode("edges").alias("e")).select("composition", F.array_join("e.sources", " ").alias("source"), F.array_join("e.targets", " ").alias("target"))
+
+
+_q("src11_elk_files", _elk_files, ORACLE_SQL["v05_elk"])
 _q("j09_percolated", lambda s, d: local(_percolated(FlowGraph(stored(s, d, calls_graph).triples))), _WALK + """,
 named AS (SELECT o, n, nxt, CASE WHEN r > 1 THEN 'part' || p || '_' || r ELSE 'part' || p END AS node FROM (SELECT *, row_number() OVER (PARTITION BY o, p ORDER BY 'call' || o || '_' || n) r FROM calls))
 SELECT 'order' || a.o || 'Composition' AS composition, 'call' || a.o || '_' || a.n AS source, a.node AS source_node, 'call' || b.o || '_' || b.n AS target, b.node AS target_node FROM named a JOIN named b ON a.o = b.o AND b.n = a.n + 1""")
@@ -276,6 +287,26 @@ def _own_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "out", F.lit(chosen["backend"]).alias("backend"))
 
 
+
+
+def _own_describer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables described by a describer that a caller has added: a resource that the others do not know."""
+    from loomflow.operators.graph import direct
+    from loomflow.plans.execute import DESCRIBERS, describe as described
+
+    def make(spark: SparkSession, resource: tuple[str, str]) -> Graph:
+        return direct(table(spark, sf_dir, resource[0]), *resource)
+
+    own = (lambda resource: isinstance(resource, tuple), make)
+    DESCRIBERS.insert(0, own)
+    try:
+        rows = (described(spark, ("nation", "n_nationkey")) | described(spark, ("customer", "c_custkey"))).triples.where(F.rlike("p", F.lit("name$")))
+        return rows.select(t.local_name(F.col("s")).alias("s"), t.local_name(F.col("p")).alias("p"), "o")
+    finally:
+        DESCRIBERS.remove(own)
+
+
+_q("p04_own_describer", _own_describer, "SELECT 'nation/' || n_nationkey AS s, 'n_name' AS p, n_name AS o FROM nation UNION ALL SELECT 'customer/' || c_custkey, 'c_name', c_name FROM customer")
 _q("p03_sql_function", _sql_function, """
 SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey + l_orderkey AS total, round(CASE WHEN l_discount > 0.05 THEN l_extendedprice * (1 - l_discount) ELSE l_extendedprice + CAST(l_quantity AS BIGINT) // 10 END, 4) AS price FROM lineitem WHERE (l_partkey + 2) % 2 = 0""")
 _q("p03_own_backend", _own_backend, "SELECT l_orderkey, l_linenumber, l_partkey + l_suppkey AS out, 'SqlBackend' AS backend FROM lineitem")
@@ -501,3 +532,16 @@ _ONE, _XOR = "l_quantity > 25", "(l_quantity > 25) <> (l_discount > 0.05)"
 _FAR = "abs(l_quantity - 25) >= 8 AND abs(l_discount - 0.05) >= 0.03"
 for _name, _label in (("random_forest", _XOR), ("linear_svc", _ONE), ("rbf_svc", _XOR)):
     _q(f"m01_{_name}_rows", _told_rows(_name, _label, _FAR), f"SELECT l_orderkey, l_linenumber, CASE WHEN {_label} THEN 'yes' ELSE 'no' END AS predicted FROM lineitem WHERE l_orderkey % 10 < 3 AND {_FAR}")
+
+
+def _saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The naive Bayes model written to the shared folder and read again."""
+    from pyspark.ml import PipelineModel
+
+    train, test = _labelled(spark, sf_dir)
+    path = _folder(spark, "model")
+    readers.save_model(learn.fit(train, "gaussian_nb", _FEATURES, "label"), path)
+    return learn.predict(PipelineModel.load(path), test, "predicted").select("l_orderkey", "l_linenumber", "label", "predicted")
+
+
+_q("src16_saved_model", _saved_model, ORACLE_SQL["m01_gaussian_nb"])

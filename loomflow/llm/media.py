@@ -67,7 +67,7 @@ _UNITY = struct.pack(">9i", 1 << 16, 0, 0, 0, 1 << 16, 0, 0, 0, 1 << 30)
 
 
 def write(payload: bytes) -> bytes:
-    """An ISO media file of the payload, whose length is a positive multiple of UNIT."""
+    """An ISO media file of the payload, whose length is a positive multiple of UNIT; other lengths, the empty one too, raise ValueError. Equal payloads give equal files."""
     if not payload or len(payload) % UNIT:
         raise ValueError(f"the payload must be a positive multiple of {UNIT} bytes")
     samples = len(payload) // UNIT
@@ -268,7 +268,10 @@ class _Fragments:
 
 
 def read(media: bytes) -> list[Track]:
-    """The tracks of a file, with the samples of its movie fragments. Raises BadMedia."""
+    """The tracks of a file, with the samples of its movie fragments, in the order of the file.
+
+    Empty, cut and damaged bytes raise BadMedia; a file without tracks has none.
+    """
     tracks: list[dict[bytes, tuple[int, int]]] = []
     fragments, boxes = _Fragments(), []
     for path, start, end in walk(media):

@@ -200,7 +200,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def with_score(docs: DataFrame, machine: Machine, text_col: str, into: str) -> DataFrame:
-    """docs with the score of each row in the double column into; null text as empty."""
+    """docs with the score of each row in the double column into.
+
+    Null and empty texts score as a document without words, repeated rows alike,
+    texts of any length as a whole. An empty table stays empty; a column of the
+    name `into` is replaced, all others are kept.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
@@ -224,7 +229,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """docs without the rows whose score is 0.5 or more."""
+    """docs without the rows whose score is 0.5 or more; all columns stay.
+
+    Null and empty texts score as a document without words, and repeated rows stay
+    or go together. Null ids are kept like others; they and ids without a label
+    teach nothing. An empty table stays empty; without labelled rows nothing goes.
+    """
     name = free_name(docs, "score")
     scored = with_score(docs, train(docs, labels, id_col, text_col, label_col), text_col, name)
     return scored.where(F.col(name) < 0.5).drop(name)

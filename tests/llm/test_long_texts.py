@@ -6,8 +6,11 @@ import zlib
 
 import pytest
 
-from loomflow.llm import lines, mixing, packing, shards, shingles, substrings, toxicity
+import xxhash
+
+from loomflow.llm import collocations, lines, media, mixing, packing, shards, shingles, simhash, substrings, suffixes, toxicity
 from tests.llm import brute
+from tests.llm.test_collocations import plain as plain_phrases
 
 DOCS = "doc_id bigint, text string, source string"
 
@@ -64,3 +67,41 @@ def test_near_copies_mixing_and_packing(docs, texts):
         ids = [i for r in sorted(packed, key=lambda r: r["piece"]) if r["doc_id"] == k for i in r["ids"]]
         assert ids == packing.token_ids(texts[k], packing.vocabulary_path()).tolist()
     assert all(len(r["ids"]) <= packing.CAPACITY for r in packed)
+
+
+def test_media(docs, texts):
+    got = {r["doc_id"]: (r["n_bytes"], r["payload_sha256"]) for r in media.digest(media.store(docs)).collect()}
+    assert got == {k: (len(t.encode()), hashlib.sha256(media.pad(t.encode())).hexdigest()) for k, t in enumerate(texts)}
+
+
+def test_simhash(docs, texts):
+    got = {(r["doc_id"], f"{r['fp'] % 2**64:016x}", r["component_id"]) for r in simhash.groups(docs).select("doc_id", "fp", "component_id").collect()}
+    assert got == brute.simhash_groups(list(enumerate(texts)))
+
+
+def test_suffix_arrays(docs, texts):
+    window, seen = suffixes.WINDOW, {}
+    every = [t.encode() for t in texts]
+    # windows by 128-bit hashes; runs of one letter apart, which would take every window of three million
+    for b in every[:3]:
+        for k in range(len(b) - window + 1):
+            h = xxhash.xxh3_128_intdigest(b[k : k + window])
+            seen[h] = seen.get(h, 0) + 1
+    want = {3: b"", 4: b"y", 5: b""}
+    for n, b in enumerate(every[:3]):
+        last, kept = -1, bytearray()
+        for k in range(len(b)):
+            if k + window <= len(b) and seen[xxhash.xxh3_128_intdigest(b[k : k + window])] > 1:
+                last = k + window
+            if k >= last:
+                kept.append(b[k])
+        want[n] = bytes(kept)
+    got = {r["doc_id"]: r["kept"] for r in suffixes.dedup(docs).collect()}
+    assert {k: hashlib.sha256(v).hexdigest() for k, v in got.items()} == {k: hashlib.sha256(v).hexdigest() for k, v in want.items()}
+    assert len(want[0]) < len(every[0]) - 2000
+
+
+def test_collocations(docs, texts):
+    got = sorted(tuple(r) for r in collocations.collocations(docs, lang_col="source", least=3).collect())
+    assert got == plain_phrases([(t, "a") for t in texts], 3)
+    assert len(got) > 1

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomflow.plans import frame_queries, graph_queries, program_queries, system_queries
+from loomflow.plans import build_queries, frame_queries, graph_queries, program_queries, system_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for part in (graph_queries, program_queries, frame_queries, system_queries):
+for part in (build_queries, graph_queries, program_queries, frame_queries, system_queries):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 _ROOTS: list[str] = []
 #: Least seconds between two calls of the collectors.
-TIDY_SECONDS = 3.0
+TIDY_SECONDS = 1.0
 _TIDIED = 0.0
 
 

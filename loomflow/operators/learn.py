@@ -15,10 +15,14 @@ LEARNERS = {
     "gaussian_nb": lambda: NaiveBayes(modelType="gaussian", labelCol="_label", featuresCol="_features"),
     "random_forest": lambda: RandomForestClassifier(seed=18, labelCol="_label", featuresCol="_features"),
     "linear_svc": lambda: OneVsRest(classifier=LinearSVC(maxIter=50), labelCol="_label", featuresCol="_features"),
-    "rbf_svc": lambda: OneVsRest(classifier=LinearSVC(maxIter=100, regParam=1e-4), labelCol="_label", featuresCol="_features"),
+    "rbf_svc": lambda: OneVsRest(classifier=_radial(), labelCol="_label", featuresCol="_features"),
 }
 #: Random Fourier features of a radial kernel.
-FOURIER, FOURIER_SEED = 128, 7
+FOURIER, FOURIER_SEED = 64, 7
+
+
+def _radial() -> LinearSVC:
+    return LinearSVC(maxIter=30, regParam=1e-4, labelCol="_label", featuresCol="_features")
 
 
 def fourier(rows: DataFrame, features: list[str], gamma: float | None = None) -> list:
@@ -47,7 +51,9 @@ def fit(rows: DataFrame, learner: str, features: list[str], label: str) -> Pipel
     """A pipeline that indexes the label alphabetically, gathers the features and learns."""
     gathered = fourier(rows, features) if learner == "rbf_svc" else [VectorAssembler(inputCols=features, outputCol="_features")]
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
-    return Pipeline(stages=[index, *gathered, LEARNERS[learner]()]).fit(rows)
+    # two labels need one machine, not one for each
+    two = learner == "rbf_svc" and rows.select(label).where(F.col(label).isNotNull()).distinct().count() == 2
+    return Pipeline(stages=[index, *gathered, _radial() if two else LEARNERS[learner]()]).fit(rows)
 
 
 def predict(model: PipelineModel, rows: DataFrame, into: str) -> DataFrame:

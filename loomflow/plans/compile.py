@@ -5,8 +5,9 @@ and merges what differs under its condition; returns are kept with the
 condition under which they are reached, and the first that holds is the value.
 A loop is an aggregate over what it goes through, whose state is the variables
 that the body changes. Calls of other functions in the same source are inlined
-to a bounded depth. What no column can say raises Unsupported; run() then makes a
-table of states of it, and what that cannot say goes to Python over Arrow batches.
+to a bounded depth. What no column can say raises Unsupported; run() then sends
+the function to Python over Arrow batches, or first, if asked to, makes a table of
+states of it.
 """
 
 from __future__ import annotations
@@ -378,18 +379,24 @@ def column(df: DataFrame, source: str | Callable, *args: str | Column, name: str
     return call(functions, name, [value(a) for a in args], {k: value(v) for k, v in keywords.items()}).col
 
 
-def run(df: DataFrame, source: str | Callable, *args: str, into: str, name: str | None = None, returns: str = "string") -> DataFrame:
-    """df with a function's value in the column into: as a column where possible, else as a table of states, else by Python on Arrow batches."""
-    from loomflow.plans import machine
+def run(df: DataFrame, source: str | Callable, *args: str, into: str, name: str | None = None, returns: str = "string", states: bool = False) -> DataFrame:
+    """df with a function's value in the column into: as a column where possible, else by Python on Arrow batches.
 
+    With states, what no column can say first becomes a table of states, which
+    gives the rows back in any order.
+    """
     try:
         return df.withColumn(into, column(df, source, *args, name=name))
     except Unsupported:
         pass
-    try:
-        return machine.run(df, source, *args, into=into, name=name, returns=returns)
-    except Unsupported:
-        return df.withColumn(into, python_udf(source, name, returns)(*args))
+    if states:
+        from loomflow.plans import machine
+
+        try:
+            return machine.run(df, source, *args, into=into, name=name, returns=returns)
+        except Unsupported:
+            pass
+    return df.withColumn(into, python_udf(source, name, returns)(*args))
 
 
 def python_udf(source: str | Callable, name: str | None = None, returns: str = "string"):

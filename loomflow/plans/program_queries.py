@@ -104,7 +104,7 @@ _FACULTY = "def faculty(n):\n    if n <= 1:\n        return 1\n    return n * fa
 def _faculty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursion has no column; run() makes a table of states of it."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("n"))
-    return plan.run(li, _FACULTY, "n", into="out", returns="bigint")
+    return plan.run(li, _FACULTY, "n", into="out", returns="bigint", states=True)
 
 
 QUERIES["p01_faculty"] = _faculty

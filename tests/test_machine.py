@@ -37,4 +37,6 @@ def test_endless_programs_and_what_blocks_cannot_say(spark, monkeypatch):
     with pytest.raises(Unsupported):
         machine.run(df, "def f(a):\n    return a > 0 and f(a - 1)\n", "a", into="out")
     # run() goes on to Python for those
-    assert plan.run(df, "def f(a):\n    return a > 0 and f(a - 1)\n", "a", into="out", returns="boolean").first()["out"] is False
+    assert plan.run(df, "def f(a):\n    return a > 0 and f(a - 1)\n", "a", into="out", returns="boolean", states=True).first()["out"] is False
+    out = plan.run(df, PROGRAMS["faculty"].replace(", b", ""), "a", into="out", returns="bigint", states=True)
+    assert out.first()["out"] == 1 and "Python" not in out._jdf.queryExecution().toString()

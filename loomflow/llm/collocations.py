@@ -305,6 +305,24 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return scored.withColumn("rank", place).where(F.col("rank") <= top).select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+#: The same rows for DuckDB, from all phrases of all documents.
+ORACLE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+counts AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM starts, range(1, 6) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100 OR k = 1),
+total AS (SELECT lang, sum(f)::HUGEINT AS n FROM counts WHERE k = 1 GROUP BY 1),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 100),
+inside AS (SELECT lang, array_to_string(w[1:k - 1], ' ') AS phrase, f FROM cand UNION SELECT lang, array_to_string(w[2:k], ' '), f FROM cand),
+kept AS (SELECT * FROM cand ANTI JOIN inside USING (lang, phrase, f)),
+cuts AS (SELECT lang, phrase, f, k, w, unnest(range(1, k)) AS j FROM kept),
+scored AS (SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS score, j
+    FROM cuts c JOIN total USING (lang) JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:c.k], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM best QUALIFY rank <= 2000"""
+
+
 def op12_collocations(spark, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of every language."""
     from loomflow.session import table

@@ -20,4 +20,4 @@ QUERIES = {
     "op13_whitening": whitening.op13_whitening,
 }
 
-ORACLE_SQL = {"op10_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op10_mixing": mixing.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL}

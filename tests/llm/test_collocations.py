@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from loomflow.llm import collocations
@@ -82,3 +83,14 @@ def test_empty_table_and_default_limits(spark):
     df = spark.createDataFrame([("one two " * 100, "z", "", 0)] * 2, DOCS)
     assert got(df.limit(0)) == []
     assert got(df) == plain([("one two " * 100, "z")] * 2)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_matches_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+    result = con.execute(collocations.ORACLE_SQL)
+    columns = [c[0] for c in result.description]
+    got = collocations.op12_collocations(spark, f"/root/testdata/{sf}")
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(result.fetchall())

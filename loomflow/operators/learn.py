@@ -6,8 +6,8 @@ import math
 import random
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
+from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +56,14 @@ def fit(rows: DataFrame, learner: str, features: list[str], label: str) -> Pipel
     return Pipeline(stages=[index, *gathered, _radial() if two else LEARNERS[learner]()]).fit(rows)
 
 
+def network(rows: DataFrame, features: list[str], label: str, hidden: tuple[int, ...] = (16,), rounds: int = 200, seed: int = 5) -> PipelineModel:
+    """A neural network of sigmoid layers on standardised features, with a softmax over the labels; save, load and predict as with fit()."""
+    kinds = rows.select(label).where(F.col(label).isNotNull()).distinct().count()
+    net = MultilayerPerceptronClassifier(layers=[len(features), *hidden, kinds], maxIter=rounds, seed=seed, labelCol="_label", featuresCol="_features")
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc")
+    return Pipeline(stages=[index, VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True), net]).fit(rows)
+
+
 def predict(model: PipelineModel, rows: DataFrame, into: str) -> DataFrame:
     """rows with the predicted label in the column into."""
     labels = model.stages[0].labels

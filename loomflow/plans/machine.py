@@ -143,13 +143,24 @@ class _Flat:
     def _loop(self, s: ast.While | ast.For, at: int) -> int:
         head, test, first = None, getattr(s, "test", None), []
         if isinstance(s, ast.For):
-            # through the items by their numbers
-            over, at = self._lift(s.iter, at)
-            items, n = self._name(), self._name()
-            self.blocks[at].body += ast.parse(f"{items} = __items__(0)\n{n} = 0\n").body
-            self.blocks[at].body[-2].value.args = [over]
-            test = ast.parse(f"{n} < __size__({items})", mode="eval").body
-            first = [ast.Assign([s.target], ast.parse(f"__at__({items}, {n})", mode="eval").body), *ast.parse(f"{n} = {n} + 1\n").body]
+            call = s.iter
+            if isinstance(call, ast.Call) and isinstance(call.func, ast.Name) and call.func.id == "range" and "range" not in self.functions and len(call.args) in (1, 2) and not call.keywords:
+                # a count; a list of all numbers would go from step to step
+                n, upto = self._name(), self._name()
+                for name, bound in ((n, call.args[0] if len(call.args) == 2 else ast.Constant(0)), (upto, call.args[-1])):
+                    bound, at = self._lift(bound, at)
+                    self.blocks[at].body.append(ast.Assign([ast.Name(name, ast.Store())], bound))
+                test = ast.parse(f"{n} < {upto}", mode="eval").body
+                item = ast.Name(n, ast.Load())
+            else:
+                # through the items by their numbers
+                over, at = self._lift(s.iter, at)
+                items, n = self._name(), self._name()
+                self.blocks[at].body += ast.parse(f"{items} = __items__(0)\n{n} = 0\n").body
+                self.blocks[at].body[-2].value.args = [over]
+                test = ast.parse(f"{n} < __size__({items})", mode="eval").body
+                item = ast.parse(f"__at__({items}, {n})", mode="eval").body
+            first = [ast.Assign([s.target], item), *ast.parse(f"{n} = {n} + 1\n").body]
         head = self._new()
         self.blocks[at].end = ("go", head)
         test, last = self._lift(test, head)

@@ -30,7 +30,7 @@ def walk(starts: DataFrame, successors: DataFrame, by: list[str]) -> DataFrame:
     A node has one successor at most. Each round adds the nodes that twice as many
     steps reach; of a node that a cycle reaches again, the first visit counts.
     """
-    stage = Staged(starts.sparkSession, "walk")
+    stage = Staged(starts.sparkSession, "walk", 3.0)
     jump = stage.save(successors.select(*by, "node", "to").where("to is not null"))
     known = stage.save(starts.select(*by, F.col("node").alias("start"), F.lit(0).cast("long").alias("depth"), "node").distinct())
     size, step = known.count(), 1
@@ -49,7 +49,7 @@ def walk(starts: DataFrame, successors: DataFrame, by: list[str]) -> DataFrame:
 
 def ranked(arcs: DataFrame, sums: list[str]) -> DataFrame:
     """arcs (node, to, sums) of lists: to as the last node of the list, and the sums over the nodes from each up to the last; the last one's to is itself."""
-    stage = Staged(arcs.sparkSession, "ranked")
+    stage = Staged(arcs.sparkSession, "ranked", 3.0)
     now = stage.save(arcs.select("node", "to", *sums, (F.col("node") == F.col("to")).alias("_end")))
     for _ in range(MOST_ROUNDS):
         open_ = now.where("not _end")
@@ -113,7 +113,7 @@ def components(edges: DataFrame) -> DataFrame:
     reaches the colour's own node in its colour is of its component. Rounds follow
     the number of branchings on a path, not its length.
     """
-    stage = Staged(edges.sparkSession, "components")
+    stage = Staged(edges.sparkSession, "components", 3.0)
     nodes = stage.save(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
     edges = stage.save(edges.select("a", "b").where("a <> b").distinct())
     core, between, found = _chains(edges, stage)
@@ -163,7 +163,7 @@ def index(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     (floor, top] of the first; more is the number of links that begin below.
     Links (a, b) are the edges between components.
     """
-    stage = Staged(edges.sparkSession, "reach")
+    stage = Staged(edges.sparkSession, "reach", 3.0)
     edges = stage.save(edges.select("a", "b").where("a is not null and b is not null").distinct())
     scc = components(edges)
     loops = edges.where("a = b").select(F.col("a").alias("node")).join(scc, "node").select("scc").union(scc.groupBy("scc").agg(F.count("*").alias("n")).where("n > 1").select("scc")).distinct()
@@ -202,7 +202,7 @@ def reached(pairs: DataFrame, index: DataFrame, links: DataFrame) -> DataFrame:
     tree's, each node of a pair once. Ends that are no nodes reach nothing, and a
     node reaches itself if it lies on a cycle.
     """
-    stage = Staged(pairs.sparkSession, "reached")
+    stage = Staged(pairs.sparkSession, "reached", 3.0)
     columns = ("scc", "cyclic", "tree", "top", "floor", "more")
     of = lambda side: index.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
     met = pairs.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")

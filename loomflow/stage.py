@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _ROOTS: list[str] = []
-#: Least seconds between two calls of the collectors.
-TIDY_SECONDS = 1.0
 _TIDIED = 0.0
 
 
@@ -37,11 +35,12 @@ class Staged:
     """Tables written to the shared folder, to cut lineage and to be read again.
 
     A lost executor loses nothing of a written table. drop() removes a table
-    that no later plan reads.
+    that no later plan reads. rest is the least number of seconds between two calls
+    of the collectors, for operators of many small tables.
     """
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+    def __init__(self, spark: SparkSession, name: str, rest: float = 0.0) -> None:
+        self.spark, self.root, self.n, self.rest = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, rest
         _ROOTS.append(self.root)
 
     def save(self, df: DataFrame, **options: str) -> DataFrame:
@@ -55,9 +54,9 @@ class Staged:
         return out
 
     def _tidied(self) -> None:
-        """What a table replaces leaves its shuffle files to the cleaner, which waits for the collectors: call them, but not for every small table."""
+        """What a table replaces leaves its shuffle files to the cleaner, which waits for the collectors: call them."""
         global _TIDIED
-        if time.monotonic() - _TIDIED > TIDY_SECONDS:
+        if time.monotonic() - _TIDIED >= self.rest:
             gc.collect()
             self.spark._jvm.System.gc()
             _TIDIED = time.monotonic()

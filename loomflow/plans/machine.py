@@ -3,9 +3,11 @@
 While loops, loops that are left early and recursion become blocks: straight
 statements that end in a jump, a choice, a call or a return. Each row has a stack
 of frames, a frame being the next block and the variables; a step is a column that
-runs the block on top. Steps are taken many at a time; then the rows that have
+runs the block on top and those after it, up to where a loop begins anew, a call or
+a return. Steps are taken many at a time; then the rows that have
 returned leave the table, and those still at work go on, until there are none.
-Everything is columns: no row goes to Python.
+Everything is columns: no row goes to Python. A value depends on nothing but the
+arguments, so rows with equal ones share one state.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomflow.functions import pysem
 from loomflow.functions.pysem import NONE, Unsupported, Value
@@ -26,6 +30,8 @@ from loomflow.stage import Staged
 FIRST_STEPS, MOST_STEPS = 64, 4096
 #: Rounds after which a program counts as endless.
 MOST_ROUNDS = 10_000
+#: Blocks that a step runs one after another at most.
+MOST_BLOCKS = 6
 
 
 @dataclass
@@ -275,23 +281,66 @@ class _Machine:
 
     def step(self, s: Column) -> Column:
         stack, size = s.getField("stack"), F.size(s.getField("stack"))
-        top, below = F.element_at(stack, -1), F.slice(stack, F.lit(1), size - 1)
-        out = None
-        for n, b in enumerate(self.flat.blocks):
-            names, end = self._after(b, lambda v, b=b: top.getField(self.columns[b.function, v]), Value(s.getField("value"), self.result))
-            value = s.getField("value")
+        top, value = F.element_at(stack, -1), s.getField("value")
+        # without calls there is one frame
+        alone = not any(b.end[0] == "call" for b in self.flat.blocks)
+        below = F.slice(stack, F.lit(1), size - 1)
+        put = (lambda frame: F.array(frame)) if alone else (lambda frame: F.array_append(below, frame))
+        heads = self._heads()
+        todo, seen, out = [self.flat.entry[self.name]], set(), None
+
+        def state(then: Column, value: Column) -> Column:
+            return F.struct(then.alias("stack"), value.alias("value")).cast(self.shape)
+
+        def run(n: int, get: Callable[[str], Column], room: int) -> Column:
+            b = self.flat.blocks[n]
+            names, end = self._after(b, get, Value(value, self.result))
             if end[0] == "return":
-                then, value = below, pysem.to_kind(end[1], self.result).col if end[1].kind != NONE else F.lit(None)
-            elif end[0] == "call":
+                return state(F.slice(stack, F.lit(1), F.lit(0)) if alone else below, pysem.to_kind(end[1], self.result).col if end[1].kind != NONE else F.lit(None))
+            if end[0] == "call":
+                todo.extend((self.flat.entry[end[1]], end[3]))
                 frame = self._frame(end[1], F.lit(self.flat.entry[end[1]]), end[2])
-                then = F.array_append(F.array_append(below, self._frame(b.function, F.lit(end[3]), names, top)), frame)
-            else:
-                pc = F.lit(end[1]) if end[0] == "go" else F.when(end[1], end[2]).otherwise(end[3])
-                then = F.array_append(below, self._frame(b.function, pc, names, top))
-            made = F.struct(then.alias("stack"), value.alias("value")).cast(self.shape)
+                return state(F.array_append(put(self._frame(b.function, F.lit(end[3]), names, top)), frame), value)
+
+            def follow(m: int) -> Column:
+                if m in heads or room <= 1:
+                    todo.append(m)
+                    return state(put(self._frame(b.function, F.lit(m), names, top)), value)
+                kinds = {v: self.kinds[b.function, v] for v in names}
+                held = lambda v: pysem.to_kind(names[v], kinds[v]).col.cast(pysem.ddl(kinds[v])) if v in names else top.getField(self.columns[b.function, v])
+                return run(m, held, room - 1)
+
+            return follow(end[1]) if end[0] == "go" else F.when(end[1], follow(end[2])).otherwise(follow(end[3]))
+
+        while todo:
+            n = todo.pop()
+            if n in seen:
+                continue
+            seen.add(n)
+            f = self.flat.blocks[n].function
+            made = run(n, lambda v, f=f: top.getField(self.columns[f, v]), MOST_BLOCKS)
             out = F.when(top.getField("pc") == n, made) if out is None else out.when(top.getField("pc") == n, made)
         return out
 
+    def _heads(self) -> set[int]:
+        """Blocks that something later leads back to."""
+        after = [[x for x in b.end[1:] if isinstance(x, int)] if b.end[0] == "go" else list(b.end[2:]) if b.end[0] == "if" else [b.end[4]] if b.end[0] == "call" else [] for b in self.flat.blocks]
+        heads, done, path = set(), set(), set()
+        for first in self.flat.entry.values():
+            todo = [(first, False)]
+            while todo:
+                n, left = todo.pop()
+                if left:
+                    path.discard(n)
+                    done.add(n)
+                elif n in path:
+                    heads.add(n)
+                elif n not in done:
+                    path.add(n)
+                    todo.append((n, True))
+                    todo += [(m, False) for m in after[n]]
+        return heads
+
     def steps(self, state: Column, n: int) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.lit(n)), state, lambda s, _: F.when(F.size(s.getField("stack")) > 0, self.step(s)).otherwise(s))
 
@@ -302,6 +351,21 @@ def run(df: DataFrame, source: str | Callable, *args: str, into: str, name: str
     An error that Python would raise is one that Spark raises. A program that does
     not end raises RuntimeError after MOST_ROUNDS.
     """
+    kinds = [df.select(df[a]).schema[0].dataType for a in args]
+    # doubles that count as equal can be told apart, so only other arguments are shared
+    if args and all(isinstance(k, (T.IntegralType, T.StringType, T.BooleanType, T.DateType)) for k in kinds):
+        given = [f"_a{n}" for n in range(len(args))]
+        while set(given) & set(df.columns):
+            given = [f"_{g}" for g in given]
+        called = df.select(*[df[a].alias(g) for a, g in zip(args, given, strict=True)]).distinct()
+        told = _run(called, source, *given, into="_out", name=name, returns=returns)
+        same = reduce(lambda x, y: x & y, [df[a].eqNullSafe(told[g]) for a, g in zip(args, given, strict=True)])
+        return df.join(told, same).select(*[df[f"`{c}`"] for c in df.columns], told["_out"].alias(into))
+    return _run(df, source, *args, into=into, name=name, returns=returns)
+
+
+def _run(df: DataFrame, source: str | Callable, *args: str, into: str, name: str | None, returns: str | None) -> DataFrame:
+    """run(), with a state for each row."""
     functions = parse(source)
     name = name or next(reversed(functions))
     values = [pysem.of_column(df[a], df.select(df[a]).schema[0].dataType) for a in args]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomflow.functions.terms import NAMESPACES, expand, file_path, local_name
-from loomflow.operators.graph import Graph, Group, closure
+from loomflow.operators.graph import Graph, Group, closure, owners, plain
 from loomflow.operators.reach import index
 
 CONTROL = ("next", "iterate", "true", "false")
@@ -24,10 +24,10 @@ ANY = NAMESPACES["python"] + "Any41485baa"
 
 def unique(df: DataFrame, key: str, value: str, error: str | None = None) -> DataFrame:
     """(key, value) of the keys with one distinct value; others fail with the error, or give no row."""
-    out = df.groupBy(key).agg(F.min(value).alias(value), F.count_distinct(value).alias("_n"))
+    out = df.groupBy(*owners(df, key)).agg(F.min(value).alias(value), F.count_distinct(value).alias("_n"))
     if error:
         return out.select(key, F.when(F.col("_n") == 1, F.col(value)).otherwise(F.raise_error(F.concat(F.lit(error + ": "), F.col(key)))).alias(value))
-    return out.where("_n = 1").drop("_n")
+    return plain(out.where("_n = 1").drop("_n"))
 
 
 def ordinal(index: Column) -> Column:
@@ -97,14 +97,15 @@ class FlowGraph(Graph):
 
     def applied(self, terms: DataFrame) -> DataFrame:
         """(term, f): the function that a call applies, else the term itself."""
-        one = unique(self.match([("?term", "fnoc:applies", "?f")]), "term", "f")
+        one = unique(self.match([("?term", "fnoc:applies", "?f")], owned=True), "term", "f")
         return terms.join(one, "term", "left").select("term", F.coalesce("f", "term").alias("f"))
 
     def order(self) -> DataFrame:
         """(call, next, iterate, true, false); two successors of one kind are an error."""
         rows = self.triples.where(F.col("p").isin([expand(f"fnoc:{k}") for k in CONTROL]))
-        rows = rows.select(F.col("s").alias("call"), local_name(F.col("p")).alias("kind"), F.col("o").alias("to"))
-        cells = rows.groupBy("call").pivot("kind", list(CONTROL)).agg(F.collect_set("to"))
+        of = [F.col("s_of").alias("_of_call")] if "s_of" in rows.columns else []
+        rows = rows.select(*of, F.col("s").alias("call"), local_name(F.col("p")).alias("kind"), F.col("o").alias("to"))
+        cells = rows.groupBy(*owners(rows, "call")).pivot("kind", list(CONTROL)).agg(F.collect_set("to"))
         some = lambda c: F.when(F.size(c) > 1, F.raise_error(F.concat(F.lit("ambiguous order of "), F.col("call")))).otherwise(F.get(c, F.lit(0)))
         return cells.select("call", *[some(F.col(k)).alias(k) for k in CONTROL])
 
@@ -115,7 +116,7 @@ class FlowGraph(Graph):
 
     def starts(self) -> DataFrame:
         """(composition, start); a composition without one start is an error."""
-        found = self.match(Group([("?composition", "a", "fno:Composition")], optional=[Group([("?composition", "fnoc:start", "?start")])]))
+        found = self.match(Group([("?composition", "a", "fno:Composition")], optional=[Group([("?composition", "fnoc:start", "?start")])]), owned=True)
         return unique(found, "composition", "start", "no single start")
 
     def flow(self) -> DataFrame:
@@ -138,15 +139,16 @@ class FlowGraph(Graph):
 
     def strategies(self) -> DataFrame:
         """(endpoint, strategy, key); two strategies of one end are an error."""
-        found = self.match(Group([("?endpoint", "fnoc:mappingStrategy", "?strategy")], optional=[Group([("?endpoint", ("fnoc:key", "fnoc:index", "fnoc:property"), "?key")])]))
-        return found.groupBy("endpoint").agg(F.min("strategy").alias("strategy"), F.min("key").alias("key"), F.count("*").alias("_n")).select(
+        found = self.match(Group([("?endpoint", "fnoc:mappingStrategy", "?strategy")], optional=[Group([("?endpoint", ("fnoc:key", "fnoc:index", "fnoc:property"), "?key")])]), owned=True)
+        return found.groupBy(*owners(found, "endpoint")).agg(F.min("strategy").alias("strategy"), F.min("key").alias("key"), F.count("*").alias("_n")).select(
             "endpoint", F.when(F.col("_n") == 1, F.col("strategy")).otherwise(F.raise_error(F.lit("more than one strategy"))).alias("strategy"), "key"
         )
 
-    def used_functions(self) -> DataFrame:
-        """(composition, call): sources, targets and starts."""
-        edges = self.match([("?composition", "fnoc:composedOf", "?edge"), ("?edge", ("fnoc:mapFrom", "fnoc:mapTo"), "?end"), ("?end", "fnoc:constituentFunction", "?call")], "?composition", "?call")
-        return edges.union(self.match([("?composition", "fnoc:start", "?call")], "?composition", "?call")).distinct()
+    def used_functions(self, owned: bool = False) -> DataFrame:
+        """(composition, call): sources, targets and starts; owned as in match()."""
+        edges = self.match([("?composition", "fnoc:composedOf", "?edge"), ("?edge", ("fnoc:mapFrom", "fnoc:mapTo"), "?end"), ("?end", "fnoc:constituentFunction", "?call")], "?composition", "?call", owned=True)
+        used = edges.union(self.match([("?composition", "fnoc:start", "?call")], "?composition", "?call", owned=True)).distinct()
+        return used if owned else plain(used)
 
     def depends(self) -> DataFrame:
         """(composition, call, on): calls whose values a call takes."""

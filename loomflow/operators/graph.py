@@ -5,6 +5,11 @@ datatype of a literal), and set semantics. Patterns name variables with a
 leading question mark; other terms are prefixed names or URIs, Lit(...) for
 literals. A filter on p reaches into the union a graph is made of, so that only
 the parts with that predicate are computed.
+
+A graph derived from a table may also have s_of and o_of: the numbers that its
+terms are made of, 0 for terms of several rows. Equal terms have equal numbers.
+Joins and distinct rows take them as further keys, so that triples which are dealt
+by the number stay where they are.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from pyspark.sql import types as T
 from loomflow.functions.terms import expand
 from loomflow.stage import Staged
 
+OWNERS = ("s_of", "o_of")
 TRIPLE = T.StructType([T.StructField(c, T.StringType()) for c in ("s", "p", "o", "o_kind", "o_dt")])
 
 
@@ -28,6 +34,14 @@ class Lit:
     value: object
 
 
+@dataclass(frozen=True)
+class Owned:
+    """A term made of a number: the term and the number."""
+
+    term: Column
+    of: Column
+
+
 Term = str | Lit
 Pattern = tuple[Term, "str | tuple[str, ...]", Term]
 
@@ -49,6 +63,16 @@ def literal_of(value: object) -> tuple[str, str, str | None]:
     return str(value), "literal", mint(kind.__name__, kind.__module__)
 
 
+def owners(df: DataFrame, *names: str) -> list[str]:
+    """The columns names, those of their numbers before them where df has such."""
+    return [c for n in names for c in (f"_of_{n}", n) if c in df.columns]
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df without the columns of numbers."""
+    return df.select(*[df[c] for c in df.columns if not c.startswith("_of_")])
+
+
 def is_var(term: object) -> bool:
     return isinstance(term, str) and term.startswith("?")
 
@@ -81,13 +105,15 @@ class Graph:
         return cls(spark.createDataFrame(sorted(set(out), key=str), TRIPLE))
 
     def __or__(self, other: "Graph") -> "Graph":
+        if OWNERS[0] in self.triples.columns or OWNERS[0] in other.triples.columns:
+            return Graph(_with_owners(self.triples).unionByName(_with_owners(other.triples)))
         return Graph(self.triples.unionByName(other.triples))
 
     def distinct(self) -> DataFrame:
-        return self.triples.dropDuplicates()
+        return self.triples.select(*TRIPLE.names).dropDuplicates()
 
     def minus(self, other: "Graph") -> "Graph":
-        cols = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in self.triples.columns]
+        cols = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in TRIPLE.names]
         return Graph(self.triples.alias("a").join(other.triples.alias("b"), reduce(lambda x, y: x & y, cols), "left_anti"))
 
     def _scan(self, pattern: Pattern, subjects: set[str]) -> DataFrame:
@@ -96,7 +122,9 @@ class Graph:
         ps = p if isinstance(p, tuple) else (p,)
         if not is_var(ps[0]):
             rows = rows.where(F.col("p").isin([expand(x) for x in ps]) if len(ps) > 1 else F.col("p") == expand(ps[0]))
+        owned = OWNERS[0] in rows.columns
         out: dict[str, Column] = {}
+        of: dict[str, Column] = {}
         for term, place in ((s, "s"), (ps[0], "p"), (o, "o")):
             if isinstance(term, Lit):
                 value, _, kind = literal_of(term.value)
@@ -107,25 +135,32 @@ class Graph:
                 if term[1:] in out:
                     rows = rows.where(F.col(place) == out[term[1:]])
                 out.setdefault(term[1:], F.col(place))
+                if owned and place != "p":
+                    of.setdefault(f"_of_{term[1:]}", F.col(f"{place}_of"))
                 if place == "o" and term in subjects:
                     rows = rows.where(F.col("o_kind") != "literal")
             elif place != "p":
                 rows = rows.where(F.col(place) == expand(term))
                 if place == "o":
                     rows = rows.where(F.col("o_kind") != "literal")
-        return rows.select(*[c.alias(v) for v, c in out.items()]) if out else rows.select(F.lit(True).alias("_found")).limit(1)
+        return rows.select(*[c.alias(v) for v, c in (of | out).items()]) if out else rows.select(F.lit(True).alias("_found")).limit(1)
 
-    def match(self, group: Group | list[Pattern], *variables: str, distinct: bool = True) -> DataFrame:
-        """The bindings of a group as columns, of all variables or the named ones.
+    def match(self, group: Group | list[Pattern], *variables: str, distinct: bool = True, owned: bool = False) -> DataFrame:
+        """The bindings of a group as columns, of all variables or the named ones; owned: with the numbers of their terms, where the graph has them.
 
         Patterns join in the order of how many terms they bind, each on the
         variables it shares with those before; optional groups join left.
         """
         group = group if isinstance(group, Group) else Group(group)
         out = self._solve(group)
-        names = [v.lstrip("?") for v in variables] or out.columns
-        out = out.select(*[out[n] for n in names])
-        return out.distinct() if distinct else out
+        names = [v.lstrip("?") for v in variables] or [c for c in out.columns if not c.startswith("_of_")]
+        kept = owners(out, *names)
+        if not owned:
+            # one number is enough to leave equal rows where they are
+            kept = [c for c in kept if c.startswith("_of_")][:1] + names
+        out = out.select(*[out[n] for n in kept])
+        out = out.distinct() if distinct else out
+        return out if owned else plain(out)
 
     def _solve(self, group: Group) -> DataFrame:
         subjects = {s for g in (group, *group.optional) for s, _, _ in g.patterns if is_var(s)}
@@ -196,15 +231,25 @@ def closure(edges: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataF
     raise RuntimeError("the closure did not settle")
 
 
-def triples(rows: DataFrame, s: Column, *edges: tuple[str, Column, str] | tuple[str, Column, str, str]) -> DataFrame:
+def _with_owners(triples: DataFrame) -> DataFrame:
+    return triples if OWNERS[0] in triples.columns else triples.select("*", *[F.lit(0).cast("long").alias(c) for c in OWNERS])
+
+
+def triples(rows: DataFrame, s: Column | Owned, *edges: tuple[str, Column | Owned, str] | tuple[str, Column | Owned, str, str]) -> DataFrame:
     """Triples of each row: (predicate, object, kind[, datatype]) around one subject; null objects give none.
 
-    Rows with a column `_key` leave it to their triples.
+    Rows with a column `_key` leave it to their triples. Around an owned subject
+    triples have the columns OWNERS.
     """
     parts, key = [], ["_key"] if "_key" in rows.columns else []
+    numbered = isinstance(s, Owned)
+    number = lambda x: (x.of if isinstance(x, Owned) else F.lit(0)).cast("long")
+    s_of, s = number(s), s.term if numbered else s
     for predicate, o, kind, *datatype in edges:
         dt = F.lit(expand(datatype[0])) if datatype else F.lit(None)
-        part = rows.select(s.alias("s"), F.lit(expand(predicate)).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), dt.cast("string").alias("o_dt"), *key)
+        own = [s_of.alias("s_of"), number(o).alias("o_of")] if numbered else []
+        o = o.term if isinstance(o, Owned) else o
+        part = rows.select(s.alias("s"), F.lit(expand(predicate)).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), dt.cast("string").alias("o_dt"), *own, *key)
         parts.append(part.where(F.col("o").isNotNull() & F.col("s").isNotNull()))
     return reduce(DataFrame.unionByName, parts)
 

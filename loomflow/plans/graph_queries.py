@@ -12,7 +12,7 @@ from loomflow.operators import frames, reach
 from loomflow.operators.access import FlowGraph
 from loomflow.operators.graph import Graph, Group, direct
 from loomflow.session import table
-from loomflow.sources.flowtables import calls_graph, functions_graph, stored
+from loomflow.sources.flowtables import calls_graph, compositions_graph, functions_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,11 +40,19 @@ def _add(name: str, make: Callable, graph: Callable, ctes: str, sql: str) -> Non
 
 
 def _functions(spark: SparkSession, sf_dir: str) -> Graph:
-    return stored(spark, sf_dir, functions_graph)
+    return functions_graph(spark, sf_dir)
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> Graph:
-    return stored(spark, sf_dir, calls_graph)
+    return calls_graph(spark, sf_dir)
+
+
+def _compositions(spark: SparkSession, sf_dir: str) -> Graph:
+    return compositions_graph(spark, sf_dir)
+
+
+def _o(name: str, make: Callable, ctes: str, sql: str) -> None:
+    _add(name, make, _compositions, ctes, sql)
 
 
 def _f(name: str, make: Callable, ctes: str, sql: str) -> None:
@@ -56,7 +64,7 @@ def _c(name: str, make: Callable, ctes: str, sql: str) -> None:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> Graph:
-    return _functions(spark, sf_dir) | _calls(spark, sf_dir)
+    return _functions(spark, sf_dir) | _compositions(spark, sf_dir)
 
 
 PART = "'part' || k"
@@ -93,11 +101,11 @@ _f("q18_get_output", lambda g: g.outputs().select("f", "output"), "funs", f"SELE
 _f("q19_get_self_output", lambda g: g.self_outputs(), "funs", f"SELECT {PART} AS f, 'part' || k || 'SelfOutput' AS output FROM funs WHERE z % 7 = 0")
 _f("q20_get_output_predicate", lambda g: g.outputs(), "funs", f"SELECT {PART} AS f, 'part' || k || 'Output' AS output, 'result' AS predicate FROM funs")
 _f("q21_get_output_type", lambda g: g.terminal_types("fno:Output"), "funs", "SELECT 'part' || k || 'Output' AS term, CASE WHEN z % 2 = 0 THEN brand ELSE 'Any41485baa' END AS type FROM funs UNION ALL SELECT 'part' || k || 'SelfOutput', 'Any41485baa' FROM funs WHERE z % 7 = 0")
-_c("q22_get_compositions", lambda g: g.compositions(), "", "SELECT 'order' || o_orderkey || 'Composition' AS composition, 'part' || o_custkey AS f FROM orders")
-_c("q23_is_composition", lambda g: g.of_type("fno:Composition").groupBy().agg(F.count("*").alias("n")), "", "SELECT count(*) AS n FROM orders")
+_o("q22_get_compositions", lambda g: g.compositions(), "", "SELECT 'order' || o_orderkey || 'Composition' AS composition, 'part' || o_custkey AS f FROM orders")
+_o("q23_is_composition", lambda g: g.of_type("fno:Composition").groupBy().agg(F.count("*").alias("n")), "", "SELECT count(*) AS n FROM orders")
 _c("q24_get_start", lambda g: FlowGraph(g.triples.join(g.match([("?s", "fnoc:composedOf", "?edge")], "?s"), "s", "left_semi").select(*g.triples.columns)).starts(), "calls", "SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_1' AS start FROM calls WHERE n = 1")
 _c("q24_start_arms", lambda g: frames.cardinality(g.of_type("fno:Composition"), g.match([("?term", "fnoc:start", "?call")]), "term").select("term", "kind"), "", "SELECT 'order' || o_orderkey || 'Composition' AS term, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 'one' ELSE 'none' END AS kind FROM orders")
-_c("q25_get_representations", lambda g: g.match([("?composition", "fnoc:represents", "?f")], "?f"), "", "SELECT DISTINCT 'part' || o_custkey AS f FROM orders")
+_o("q25_get_representations", lambda g: g.match([("?composition", "fnoc:represents", "?f")], "?f"), "", "SELECT DISTINCT 'part' || o_custkey AS f FROM orders")
 _c("q26_get_mappings", lambda g: g.flow(), "calls", """
 SELECT 'order' || o || 'Composition' AS composition, CASE WHEN nxt IS NULL THEN CAST(q AS VARCHAR) ELSE '_:from' || o || '_' || n END AS source, '_:to' || o || '_' || n AS target,
 CASE WHEN nxt IS NOT NULL AND st = 'O' THEN 'call' || o || '_' || n END AS priority FROM calls""")

@@ -18,7 +18,7 @@ from loomflow.plans.program_queries import TRIPLE_SUM
 from loomflow.session import table
 from loomflow.stage import shared_dir
 from loomflow.sources import arrow, containers, describe, imports, readers, standard, turtle
-from loomflow.sources.flowtables import calls_graph, functions_graph, stored
+from loomflow.sources.flowtables import calls_graph, functions_graph
 from loomflow.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,24 +113,24 @@ _WALK = f"WITH {_CTES['calls']}"
 
 def _percolated(g: FlowGraph) -> DataFrame:
     """Links between the numbered nodes of their compositions: a function that is used again is a node of its own."""
-    return visual.percolated(visual.links(g), visual.applied_nodes(g)).select("composition", "source", "source_node", "target", "target_node")
+    return visual.percolated(visual.links(g, owned=True), visual.applied_nodes(g, owned=True)).select("composition", "source", "source_node", "target", "target_node")
 
 
-_q("v01_hierarchy", lambda s, d: local(visual.hierarchy(FlowGraph(stored(s, d, calls_graph).triples))), _WALK + """, stop AS (SELECT *, min(CASE WHEN flag <> 'N' THEN n END) OVER (PARTITION BY o) AS s FROM calls)
+_q("v01_hierarchy", lambda s, d: local(visual.hierarchy(FlowGraph(calls_graph(s, d).triples))), _WALK + """, stop AS (SELECT *, min(CASE WHEN flag <> 'N' THEN n END) OVER (PARTITION BY o) AS s FROM calls)
 SELECT 'order' || o || 'Composition' AS composition, CAST(n - 1 AS INT) AS depth, 'call' || o || '_' || n AS call FROM stop WHERE s IS NULL OR n <= s""")
-_q("v02_applied", lambda s, d: local(visual.applied_nodes(FlowGraph(stored(s, d, calls_graph).triples))).groupBy("composition", "f").agg(F.count("*").alias("n"), F.max("node").alias("last")), _WALK + """
+_q("v02_applied", lambda s, d: local(visual.applied_nodes(FlowGraph(calls_graph(s, d).triples))).groupBy("composition", "f").agg(F.count("*").alias("n"), F.max("node").alias("last")), _WALK + """
 SELECT 'order' || o || 'Composition' AS composition, 'part' || p AS f, count(*) AS n, max(CASE WHEN r > 1 THEN 'part' || p || '_' || r ELSE 'part' || p END) AS last
 FROM (SELECT o, p, row_number() OVER (PARTITION BY o, p ORDER BY 'call' || o || '_' || n) r FROM calls) GROUP BY o, p""")
-_q("v03_links", lambda s, d: local(visual.links(FlowGraph(stored(s, d, calls_graph).triples))), _WALK + """
+_q("v03_links", lambda s, d: local(visual.links(FlowGraph(calls_graph(s, d).triples))), _WALK + """
 SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_' || n AS source, 'part' || p || 'Output' AS source_port, 'call' || o || '_' || (n + 1) AS target, 'part' || nxt || 'Parameter0' AS target_port FROM calls WHERE nxt IS NOT NULL""")
-_q("v04_ports", lambda s, d: local(visual.ports(FlowGraph(stored(s, d, functions_graph).triples))), f"WITH {_CTES['funs']}, {_CTES['params']} SELECT 'part' || k AS f, 'part' || k || 'Parameter' || i AS terminal, 'p' || i AS label FROM params UNION ALL SELECT 'part' || k, 'part' || k || 'Output', 'out' FROM funs")
+_q("v04_ports", lambda s, d: local(visual.ports(FlowGraph(functions_graph(s, d).triples))), f"WITH {_CTES['funs']}, {_CTES['params']} SELECT 'part' || k AS f, 'part' || k || 'Parameter' || i AS terminal, 'p' || i AS label FROM params UNION ALL SELECT 'part' || k, 'part' || k || 'Output', 'out' FROM funs")
 _EDGE = "array<struct<id:string,sources:array<string>,targets:array<string>>>"
-_q("v05_elk", lambda s, d: visual.elk(FlowGraph(stored(s, d, calls_graph).triples)).select(t.local_name(F.col("composition")).alias("composition"), F.explode(F.from_json("json", f"edges {_EDGE}")["edges"]).alias("e")).select("composition", F.array_join("e.sources", " ").alias("source"), F.array_join("e.targets", " ").alias("target")), _WALK + """
+_q("v05_elk", lambda s, d: visual.elk(FlowGraph(calls_graph(s, d).triples)).select(t.local_name(F.col("composition")).alias("composition"), F.explode(F.from_json("json", f"edges {_EDGE}")["edges"]).alias("e")).select("composition", F.array_join("e.sources", " ").alias("source"), F.array_join("e.targets", " ").alias("target")), _WALK + """
 SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_' || n || '.part' || p || 'Output' AS source, 'call' || o || '_' || (n + 1) || '.part' || nxt || 'Parameter0' AS target FROM calls WHERE nxt IS NOT NULL""")
-_q("v05_elk_ports", lambda s, d: visual.elk(FlowGraph(stored(s, d, calls_graph).triples)).select(F.explode(F.from_json("json", "children array<struct<id:string,ports:array<struct<id:string,properties:struct<port_side:string>>>>>")["children"]).alias("c")).select(F.col("c.id").alias("call"), F.explode("c.ports").alias("port")).select("call", F.col("port.id").alias("port"), F.col("port.properties.port_side").alias("side")), _WALK + """
+_q("v05_elk_ports", lambda s, d: visual.elk(FlowGraph(calls_graph(s, d).triples)).select(F.explode(F.from_json("json", "children array<struct<id:string,ports:array<struct<id:string,properties:struct<port_side:string>>>>>")["children"]).alias("c")).select(F.col("c.id").alias("call"), F.explode("c.ports").alias("port")).select("call", F.col("port.id").alias("port"), F.col("port.properties.port_side").alias("side")), _WALK + """
 SELECT 'call' || o || '_' || n AS call, 'call' || o || '_' || n || '.part' || p || 'Output' AS port, 'EAST' AS side FROM calls WHERE nxt IS NOT NULL
 UNION SELECT 'call' || o || '_' || (n + 1), 'call' || o || '_' || (n + 1) || '.part' || nxt || 'Parameter0', 'WEST' FROM calls WHERE nxt IS NOT NULL""")
-_q("v07_dot", lambda s, d: visual.dot(FlowGraph(stored(s, d, calls_graph).triples)).select(t.local_name(F.col("composition")).alias("composition"), F.explode(F.split("dot", "\n")).alias("line")), _WALK + """
+_q("v07_dot", lambda s, d: visual.dot(FlowGraph(calls_graph(s, d).triples)).select(t.local_name(F.col("composition")).alias("composition"), F.explode(F.split("dot", "\n")).alias("line")), _WALK + """
 SELECT 'order' || o || 'Composition' AS composition, '  "call' || o || '_' || n || '" -> "call' || o || '_' || (n + 1) || '" [label="' || CASE flag WHEN 'N' THEN 'next' WHEN 'R' THEN 'iterate' ELSE 'true' END || '"];' AS line FROM calls WHERE nxt IS NOT NULL
 UNION ALL SELECT 'order' || o || 'Composition', unnest(['digraph {', '}']) FROM calls WHERE nxt IS NOT NULL AND n = 1""")
 
@@ -138,16 +138,16 @@ UNION ALL SELECT 'order' || o || 'Composition', unnest(['digraph {', '}']) FROM
 def _elk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout objects as files of JSON lines, read again."""
     path = _folder(spark, "elk")
-    visual.write_elk(FlowGraph(stored(spark, sf_dir, calls_graph).triples), path)
+    visual.write_elk(FlowGraph(calls_graph(spark, sf_dir).triples), path)
     back = spark.read.schema(f"id string, edges {_EDGE}").json(path)
     return back.select(F.col("id").alias("composition"), F.explode("edges").alias("e")).select("composition", F.array_join("e.sources", " ").alias("source"), F.array_join("e.targets", " ").alias("target"))
 
 
 _q("src11_elk_files", _elk_files, ORACLE_SQL["v05_elk"])
-_q("j09_percolated", lambda s, d: local(_percolated(FlowGraph(stored(s, d, calls_graph).triples))), _WALK + """,
+_q("j09_percolated", lambda s, d: local(_percolated(FlowGraph(calls_graph(s, d).triples))), _WALK + """,
 named AS (SELECT o, n, nxt, CASE WHEN r > 1 THEN 'part' || p || '_' || r ELSE 'part' || p END AS node FROM (SELECT *, row_number() OVER (PARTITION BY o, p ORDER BY 'call' || o || '_' || n) r FROM calls))
 SELECT 'order' || a.o || 'Composition' AS composition, 'call' || a.o || '_' || a.n AS source, a.node AS source_node, 'call' || b.o || '_' || b.n AS target, b.node AS target_node FROM named a JOIN named b ON a.o = b.o AND b.n = a.n + 1""")
-_q("a09_layers", lambda s, d: visual.layers(FlowGraph(stored(s, d, calls_graph).triples)), "SELECT count(DISTINCT l_orderkey) + 1 AS layers FROM lineitem")
+_q("a09_layers", lambda s, d: visual.layers(FlowGraph(calls_graph(s, d).triples)), "SELECT count(DISTINCT l_orderkey) + 1 AS layers FROM lineitem")
 
 # described programs
 

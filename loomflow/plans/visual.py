@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomflow.functions.terms import local_name
 from loomflow.operators import reach
 from loomflow.operators.access import FlowGraph
+from loomflow.operators.graph import OWNERS, owners, plain
 
 
 def hierarchy(graph: FlowGraph) -> DataFrame:
@@ -31,21 +32,22 @@ def layers(graph: FlowGraph) -> DataFrame:
     return graph.match([("?composition", "fnoc:start", "?call")], "?composition").agg((F.count("*") + 1).alias("layers"))
 
 
-def applied_nodes(graph: FlowGraph) -> DataFrame:
-    """(composition, call, f, node): the function of each call, numbered where a composition uses it again."""
-    used = graph.used_functions().join(graph.match([("?call", "fnoc:applies", "?f")]), "call")
-    again = F.row_number().over(Window.partitionBy("composition", "f").orderBy("call"))
-    return used.select("composition", "call", "f", F.concat(local_name(F.col("f")), F.when(again > 1, F.concat(F.lit("_"), again)).otherwise("")).alias("node"))
+def applied_nodes(graph: FlowGraph, owned: bool = False) -> DataFrame:
+    """(composition, call, f, node): the function of each call, numbered where a composition uses it again; owned as in match()."""
+    used = graph.used_functions(owned=True)
+    used = used.join(graph.match([("?call", "fnoc:applies", "?f")], owned=True), owners(used, "call"))
+    again = F.row_number().over(Window.partitionBy(*owners(used, "composition"), "f").orderBy("call"))
+    return used.select(*owners(used, "composition", "call") if owned else ("composition", "call"), "f", F.concat(local_name(F.col("f")), F.when(again > 1, F.concat(F.lit("_"), again)).otherwise("")).alias("node"))
 
 
-def links(graph: FlowGraph) -> DataFrame:
-    """(composition, source, source_port, target, target_port): data edges between terminals of calls."""
+def links(graph: FlowGraph, owned: bool = False) -> DataFrame:
+    """(composition, source, source_port, target, target_port): data edges between terminals of calls; owned as in match()."""
     return graph.match(
         [
             ("?composition", "fnoc:composedOf", "?edge"), ("?edge", "fnoc:mapFrom", "?a"), ("?a", "fnoc:constituentFunction", "?source"), ("?a", ("fnoc:functionOutput", "fnoc:functionParameter"), "?source_port"),
             ("?edge", "fnoc:mapTo", "?b"), ("?b", "fnoc:constituentFunction", "?target"), ("?b", ("fnoc:functionParameter", "fnoc:functionOutput"), "?target_port"),
         ],
-        "?composition", "?source", "?source_port", "?target", "?target_port",
+        "?composition", "?source", "?source_port", "?target", "?target_port", owned=owned,
     )
 
 
@@ -57,27 +59,34 @@ def ports(graph: FlowGraph) -> DataFrame:
 
 def percolated(links_: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links with both ends named as the nodes of their composition."""
-    a = nodes.select("composition", F.col("call").alias("source"), F.col("node").alias("source_node"))
-    b = nodes.select("composition", F.col("call").alias("target"), F.col("node").alias("target_node"))
-    return links_.join(a, ["composition", "source"]).join(b, ["composition", "target"])
+    both = all(f"_of_{c}" in df.columns for df, c in ((nodes, "composition"), (nodes, "call"), (links_, "composition"), (links_, "source"), (links_, "target")))
+
+    def ends(side: str) -> tuple[DataFrame, list[str]]:
+        of = [F.col("_of_composition"), F.col("_of_call").alias(f"_of_{side}")] if both else []
+        return nodes.select(*of, "composition", F.col("call").alias(side), F.col("node").alias(f"{side}_node")), ["composition", side, *(["_of_composition", f"_of_{side}"] if both else [])]
+
+    for side in ("source", "target"):
+        links_ = links_.join(*ends(side))
+    return plain(links_)
 
 
 def elk(graph: FlowGraph) -> DataFrame:
     """(composition, json): children with ports, and edges, of each composition in the layout format ELK reads."""
     local = lambda c: local_name(F.col(c))
-    edges = links(graph)
-    ends = edges.select("composition", F.col("source").alias("call"), F.col("source_port").alias("port"), F.lit("EAST").alias("side")).unionByName(edges.select("composition", F.col("target").alias("call"), F.col("target_port").alias("port"), F.lit("WEST").alias("side"))).distinct()
-    boxes = ends.groupBy("composition", "call").agg(F.array_sort(F.collect_list(F.struct(F.concat(local("call"), F.lit("."), local("port")).alias("id"), F.struct(F.col("side").alias("port_side")).alias("properties")))).alias("ports"))
-    children = boxes.groupBy("composition").agg(F.array_sort(F.collect_list(F.struct(local("call").alias("id"), "ports"))).alias("children"))
-    lines = edges.groupBy("composition").agg(F.array_sort(F.collect_list(F.struct(F.concat(local("source"), F.lit("."), local("source_port")).alias("source"), F.concat(local("target"), F.lit("."), local("target_port")).alias("target")))).alias("edges"))
+    edges = links(graph, owned=True)
+    by = owners(edges, "composition")
+    ends = edges.select(*by, F.explode(F.array(*[F.struct(F.col(c).alias("call"), F.col(f"{c}_port").alias("port"), F.lit(side).alias("side")) for c, side in (("source", "EAST"), ("target", "WEST"))])).alias("end")).select(*by, "end.*").distinct()
+    boxes = ends.groupBy(*by, "call").agg(F.array_sort(F.collect_list(F.struct(F.concat(local("call"), F.lit("."), local("port")).alias("id"), F.struct(F.col("side").alias("port_side")).alias("properties")))).alias("ports"))
+    children = boxes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(local("call").alias("id"), "ports"))).alias("children"))
+    lines = edges.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.concat(local("source"), F.lit("."), local("source_port")).alias("source"), F.concat(local("target"), F.lit("."), local("target_port")).alias("target")))).alias("edges"))
     shaped = F.transform("edges", lambda e, i: F.struct(F.concat(F.lit("e"), i).alias("id"), F.array(e["source"]).alias("sources"), F.array(e["target"]).alias("targets")))
-    return children.join(lines, "composition").select("composition", F.to_json(F.struct(local("composition").alias("id"), "children", shaped.alias("edges"))).alias("json"))
+    return children.join(lines, by).select("composition", F.to_json(F.struct(local("composition").alias("id"), "children", shaped.alias("edges"))).alias("json"))
 
 
 def node_link_json(graph: FlowGraph) -> DataFrame:
     """(composition, nodes, links) as JSON lists."""
-    nodes = applied_nodes(graph)
-    named = percolated(links(graph), nodes)
+    nodes = applied_nodes(graph, owned=True)
+    named = percolated(links(graph, owned=True), nodes)
     a = nodes.groupBy("composition").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("node").alias("key"), local_name(F.col("f")).alias("text"))))).alias("nodes"))
     b = named.groupBy("composition").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("source_node").alias("from"), F.col("target_node").alias("to"))))).alias("links"))
     return a.join(b, "composition", "left")
@@ -85,10 +94,12 @@ def node_link_json(graph: FlowGraph) -> DataFrame:
 
 def dot(graph: FlowGraph) -> DataFrame:
     """(composition, dot): the control flow of each composition as a DOT text."""
-    inside = graph.used_functions()
-    rows = graph.triples.where(F.col("p").rlike("composition#(next|iterate|true|false)$")).select(F.col("s").alias("call"), local_name(F.col("p")).alias("kind"), F.col("o").alias("to"))
-    lines = inside.join(rows, "call").select("composition", F.concat(F.lit('  "'), local_name(F.col("call")), F.lit('" -> "'), local_name(F.col("to")), F.lit('" [label="'), "kind", F.lit('"];')).alias("line"))
-    return lines.groupBy("composition").agg(F.concat(F.lit("digraph {\n"), F.array_join(F.array_sort(F.collect_set("line")), "\n"), F.lit("\n}")).alias("dot"))
+    inside = graph.used_functions(owned=True)
+    by = owners(inside, "composition")
+    of = [F.col(OWNERS[0]).alias("_of_call")] if OWNERS[0] in graph.triples.columns else []
+    rows = graph.triples.where(F.col("p").rlike("composition#(next|iterate|true|false)$")).select(*of, F.col("s").alias("call"), local_name(F.col("p")).alias("kind"), F.col("o").alias("to"))
+    lines = inside.join(rows, owners(inside, "call")).select(*by, F.concat(F.lit('  "'), local_name(F.col("call")), F.lit('" -> "'), local_name(F.col("to")), F.lit('" [label="'), "kind", F.lit('"];')).alias("line"))
+    return lines.groupBy(*by).agg(F.concat(F.lit("digraph {\n"), F.array_join(F.array_sort(F.collect_set("line")), "\n"), F.lit("\n}")).alias("dot")).select("composition", "dot")
 
 
 def write_elk(graph: FlowGraph, path: str) -> None:

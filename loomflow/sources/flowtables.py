@@ -7,16 +7,19 @@ that of described programs, so every accessor runs on it at any scale.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomflow.functions.terms import NAMESPACES
-from loomflow.operators.graph import Graph, triples
+from loomflow.operators.graph import Graph, Owned, triples
 from loomflow.session import table
 from loomflow.sources import store
 from loomflow.sources.store import KEY, Piece
+from loomflow.stage import shared_dir
 
 EX, PY = NAMESPACES["ex"], NAMESPACES["python"]
 
@@ -101,40 +104,82 @@ def functions_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(function_triples(parts).unionByName(implementation_triples(parts)))
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines with their place in the order, n, and the part of the line after them, then."""
+    # lines alike in the first five columns are told apart by the others
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")
+    lines = lines.select("*", F.row_number().over(order).alias("n"), F.lead("l_partkey").over(order).alias("then"))
+    return lines.select("l_orderkey", "n", "l_partkey", "then", "l_quantity", "l_returnflag", "l_linestatus", *_kept(lines))
+
+
 def call_triples(lines: DataFrame) -> DataFrame:
-    """Calls, control and data flow from rows of the table lineitem."""
+    """Calls, control and data flow from rows of the table lineitem, or of numbered()."""
     uri = "uri"
-    lines = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", *_kept(lines))
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    lines = lines.withColumn("n", F.row_number().over(order)).withColumn("then", F.lead("l_partkey").over(order))
+    lines = lines if "n" in lines.columns else numbered(lines)
     o, n = F.col("l_orderkey"), F.col("n")
-    call, following = _ex("call", o, "_", n), F.when(F.col("then").isNotNull(), _ex("call", o, "_", n + 1))
+    own = lambda term: Owned(term, o)
+    call, following = own(_ex("call", o, "_", n)), F.when(F.col("then").isNotNull(), _ex("call", o, "_", n + 1))
     flag = F.col("l_returnflag")
-    calls = triples(lines, call, ("fnoc:applies", _ex("part", F.col("l_partkey")), uri), ("fnoc:next", F.when(flag == "N", following), uri), ("fnoc:iterate", F.when(flag == "R", following), uri), ("fnoc:true", F.when(flag == "A", following), uri))
-    comp = _ex("order", o, "Composition")
+    calls = triples(lines, call, ("fnoc:applies", _ex("part", F.col("l_partkey")), uri), ("fnoc:next", own(F.when(flag == "N", following)), uri), ("fnoc:iterate", own(F.when(flag == "R", following)), uri), ("fnoc:true", own(F.when(flag == "A", following)), uri))
+    comp = own(_ex("order", o, "Composition"))
     comps = triples(lines.where("n = 1"), comp, ("fnoc:start", call, uri))
-    flow = _node("flow", o, "_", n)
+    flow, to = own(_node("flow", o, "_", n)), own(_node("to", o, "_", n))
     edges = triples(lines, comp, ("fnoc:composedOf", flow, "bnode"))
     linked = lines.where("then is not null")
-    edges = edges.unionByName(triples(linked, flow, ("fnoc:mapFrom", _node("from", o, "_", n), "bnode"), ("fnoc:priority", F.when(F.col("l_linestatus") == "O", call), uri)))
+    begin = own(_node("from", o, "_", n))
+    edges = edges.unionByName(triples(linked, flow, ("fnoc:mapFrom", begin, "bnode"), ("fnoc:priority", own(F.when(F.col("l_linestatus") == "O", call.term)), uri)))
     edges = edges.unionByName(triples(lines.where("then is null"), flow, ("fnoc:mapFromTerm", F.col("l_quantity"), "literal", "xsd:double")))
-    edges = edges.unionByName(triples(lines, flow, ("fnoc:mapTo", _node("to", o, "_", n), "bnode")))
-    edges = edges.unionByName(triples(linked, _node("from", o, "_", n), ("fnoc:constituentFunction", call, uri), ("fnoc:functionOutput", _ex("part", F.col("l_partkey"), "Output"), uri)))
-    target = F.coalesce(following, _ex("call", o, "_1"))
+    edges = edges.unionByName(triples(lines, flow, ("fnoc:mapTo", to, "bnode")))
+    edges = edges.unionByName(triples(linked, begin, ("fnoc:functionOutput", _ex("part", F.col("l_partkey"), "Output"), uri)))
+    # both ends of a line in one table: Spark would deal a union of two tables anew
+    ends = F.array(F.struct(F.when(F.col("then").isNotNull(), begin.term).alias("end"), call.term.alias("at")), F.struct(to.term.alias("end"), F.coalesce(following, _ex("call", o, "_1")).alias("at")))
+    ends = lines.select("l_orderkey", F.explode(ends).alias("end"), *_kept(lines))
+    edges = edges.unionByName(triples(ends, own(F.col("end.end")), ("fnoc:constituentFunction", own(F.col("end.at")), uri)))
     to_part = F.coalesce(F.col("then"), F.col("l_partkey"))
-    edges = edges.unionByName(triples(lines, _node("to", o, "_", n), ("fnoc:constituentFunction", target, uri), ("fnoc:functionParameter", _ex("part", to_part, "Parameter0"), uri), ("fnoc:mappingStrategy", F.when(flag == "R", F.lit(NAMESPACES["fnoc"] + "toList")), uri), ("fnoc:key", F.when(flag == "R", n), "literal", "xsd:integer")))
+    edges = edges.unionByName(triples(lines, to, ("fnoc:functionParameter", _ex("part", to_part, "Parameter0"), uri), ("fnoc:mappingStrategy", F.when(flag == "R", F.lit(NAMESPACES["fnoc"] + "toList")), uri), ("fnoc:key", F.when(flag == "R", n), "literal", "xsd:integer")))
     return calls.unionByName(comps).unionByName(edges)
 
 
 def composition_triples(orders: DataFrame) -> DataFrame:
     """Compositions from rows of the table orders."""
-    comp = _ex("order", F.col("o_orderkey"), "Composition")
+    comp = Owned(_ex("order", F.col("o_orderkey"), "Composition"), F.col("o_orderkey"))
     return triples(orders, comp, ("a", F.lit(NAMESPACES["fno"] + "Composition"), "uri"), ("fnoc:represents", _ex("part", F.col("o_custkey")), "uri"))
 
 
+#: Bytes of a table's files that one bucket of its rows has.
+BUCKET_BYTES = 1 << 21
+_NUMBERED: dict[tuple, str] = {}
+_LOCK = threading.Lock()
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered lines of a data folder, kept in buckets of orders as long as the table's files stay as they are.
+
+    What is derived from them row by row and joined on the order's key is not
+    dealt again.
+    """
+    found = store.files(spark, f"{sf_dir}/lineitem.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(found.items())))
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    with _LOCK:
+        if key not in _NUMBERED:
+            parts = max(spark.sparkContext.defaultParallelism, sum(size for size, _ in found.values()) // BUCKET_BYTES)
+            spark.catalog.refreshByPath(f"{sf_dir}/lineitem.parquet")
+            lines = numbered(table(spark, sf_dir, "lineitem").repartition(parts, "l_orderkey"))
+            name = f"lines_{uuid.uuid4().hex}"
+            lines.write.bucketBy(parts, "l_orderkey").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+            _NUMBERED[key] = name
+        return spark.table(_NUMBERED[key])
+
+
+def compositions_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """What orders alone tell of compositions."""
+    return Graph(composition_triples(table(spark, sf_dir, "orders")))
+
+
 def calls_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Compositions, calls, control and data flow from orders and their lines."""
-    return Graph(call_triples(table(spark, sf_dir, "lineitem")).unionByName(composition_triples(table(spark, sf_dir, "orders"))))
+    return Graph(call_triples(numbered_lines(spark, sf_dir))) | compositions_graph(spark, sf_dir)
 
 
 #: How the graphs' stores are made, table by table.

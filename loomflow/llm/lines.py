@@ -39,7 +39,7 @@ NAME_BITS = 64
 #: Classes of letters of which a line has parities.
 PARITIES = 32
 #: Pairs, and rows, from which a key is crowded.
-CROWDED_PAIRS, CROWDED_ROWS = 1 << 22, 1 << 16
+CROWDED_PAIRS, CROWDED_ROWS = 1 << 16, 1 << 16
 #: Letters of a rest up to which it is matched by what remains without two of them, and rests of a block.
 SHORT, BLOCK = 32, 1024
 _PAIRS = 1 << 20

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomflow.functions.terms import NAMESPACES, expand, file_path, local_name
 from loomflow.operators.graph import Graph, Group, closure, owners, plain
-from loomflow.operators.reach import index
+from loomflow.operators.reach import index, reached, told
 
 CONTROL = ("next", "iterate", "true", "false")
 # Kinds of implementations.
@@ -150,23 +150,30 @@ class FlowGraph(Graph):
         used = edges.union(self.match([("?composition", "fnoc:start", "?call")], "?composition", "?call", owned=True)).distinct()
         return used if owned else plain(used)
 
-    def depends(self) -> DataFrame:
-        """(composition, call, on): calls whose values a call takes."""
+    def depends(self, owned: bool = False) -> DataFrame:
+        """(composition, call, on): calls whose values a call takes; owned as in match()."""
         return self.match(
             [
                 ("?composition", "fnoc:composedOf", "?edge"), ("?edge", "fnoc:mapTo", "?to"), ("?to", "fnoc:constituentFunction", "?call"),
                 ("?edge", "fnoc:mapFrom", "?from"), ("?from", "fnoc:constituentFunction", "?on"),
             ],
-            "?composition", "?call", "?on",
+            "?composition", "?call", "?on", owned=owned,
         )
 
     def reach(self) -> tuple[DataFrame, DataFrame]:
         """The reachability index of what calls depend on: from a call to those that take its values, at any distance."""
         return index(self.depends().select(F.col("on").alias("a"), F.col("call").alias("b")))
 
+    def reaches(self, pairs: DataFrame) -> DataFrame:
+        """The distinct pairs (a, b) of calls with `reached`; pairs tell the number of a, _of_a, if the graph tells numbers."""
+        edges = self.depends(owned=True)
+        if "_of_on" not in edges.columns:
+            return reached(pairs.select("a", "b").distinct(), *self.reach())
+        return told(pairs, edges.select(F.col("_of_on").alias("_of_a"), F.col("_of_call").alias("_of_b"), F.col("on").alias("a"), F.col("call").alias("b")))
+
     def depends_closure(self) -> DataFrame:
         """(composition, call, on, steps): also through other calls."""
-        return closure(self.depends(), "call", "on", ("composition",))
+        return closure(self.depends(owned=True), "call", "on", ("composition",))
 
     # implementations and mappings
 

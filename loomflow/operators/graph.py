@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomflow.functions.terms import expand
+from loomflow.operators import units
 from loomflow.stage import Staged
 
 OWNERS = ("s_of", "o_of")
@@ -212,9 +213,21 @@ class Graph:
 def closure(edges: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, a, b, steps): the pairs that edges (by, a, b) link, by the fewest steps.
 
-    Each round joins what is known with itself, so paths double, and keeps the
-    shortest of each pair; cycles end, as nothing is new. Rounds are staged.
+    Small groups by `by` are closed in one row each. Of the others each round joins
+    what is known with itself, so paths double, and keeps the shortest of each pair;
+    cycles end, as nothing is new. Rounds are staged. Numbers of the terms in `by`
+    (columns _of_) say where groups are; the result is without them.
     """
+    if by:
+        # written once: read to tell the groups' sizes, and again to close them
+        edges = Staged(edges.sparkSession, "closure").save(edges.select(*owners(edges, *by), a, b))
+        small, large = units.sized(edges, owners(edges, *by), (a, b))
+        found = units.closed(small, a, b, owners(edges, *by)).select(*by, a, b, "steps")
+        return found.unionByName(_doubled(large, a, b, by)) if large.count() else found
+    return _doubled(edges, a, b, by)
+
+
+def _doubled(edges: DataFrame, a: str, b: str, by: tuple[str, ...]) -> DataFrame:
     stage = Staged(edges.sparkSession, "closure")
     known, size = stage.save(edges.select(*by, a, b, F.lit(1).alias("steps")).distinct()), None
     for _ in range(62):

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomflow.operators import series
+from loomflow.operators import series, units
+from loomflow.operators.graph import owners
 from loomflow.stage import Staged
 
 #: Rounds of doubling: lists of 2**62 nodes.
@@ -27,9 +28,22 @@ MOST_ROUNDS = 62
 def walk(starts: DataFrame, successors: DataFrame, by: list[str]) -> DataFrame:
     """(by, start, depth, node) along (by, node, to) from each (by, node), until there is no successor or a node comes again.
 
-    A node has one successor at most. Each round adds the nodes that twice as many
-    steps reach; of a node that a cycle reaches again, the first visit counts.
+    A node has one successor at most. Small groups are walked in one row each; of
+    others, each round adds the nodes that twice as many steps reach; of a node that
+    a cycle reaches again, the first visit counts. Numbers of the terms in `by`
+    (columns _of_) say where groups are; the result is without them.
     """
+    keys = owners(successors, *by)
+    successors = Staged(starts.sparkSession, "walk").save(successors.select(*keys, "node", "to").where("node is not null and to is not null"))
+    small, large = units.sized(successors, keys, ("node", "to"))
+    if not large.count():
+        return units.walked(starts, small, keys).select(*by, "start", "depth", "node")
+    far = large.select(*keys).distinct()
+    near = units.walked(starts.join(far, keys, "left_anti"), small, keys).select(*by, "start", "depth", "node")
+    return near.unionByName(_doubled(starts.join(far, keys, "left_semi"), large, by))
+
+
+def _doubled(starts: DataFrame, successors: DataFrame, by: list[str]) -> DataFrame:
     stage = Staged(starts.sparkSession, "walk", 3.0)
     jump = stage.save(successors.select(*by, "node", "to").where("to is not null"))
     known = stage.save(starts.select(*by, F.col("node").alias("start"), F.lit(0).cast("long").alias("depth"), "node").distinct())
@@ -223,3 +237,24 @@ def reached(pairs: DataFrame, index: DataFrame, links: DataFrame) -> DataFrame:
     hits = hits.distinct().withColumn("_hit", F.lit(True))
     told = met.select("a", "b", "reached").join(hits, ["a", "b"], "left").select("a", "b", F.coalesce("reached", "_hit", F.lit(False)).alias("reached"))
     return pairs.join(told, ["a", "b"])
+
+
+def told(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) with `reached`, of edges (a, b); both tell the numbers of their terms, _of_a and _of_b.
+
+    Where no edge leads from one number to another, small groups of one number are
+    closed at once and meet the pairs where they are. Other groups are indexed; if
+    edges lead from one number to another, so are all.
+    """
+    edges = Staged(edges.sparkSession, "told").save(edges.select("_of_a", "_of_b", "a", "b").where("a is not null and b is not null"))
+    inner = F.when(F.col("_of_a") == F.col("_of_b"), F.col("_of_a"))
+    small, large = units.sized(edges.select("_of_a", "a", "b", inner.alias("_inner")), ["_of_a"], ("a", "_inner"))
+    n, crossing = large.agg(F.count("*"), F.count_if(F.col("_inner").isNull())).first()
+    if crossing:
+        return reached(pairs.select("a", "b").distinct(), *index(edges.select("a", "b")))
+    hits = units.closed(small, "a", "b", ["_of_a"]).select("_of_a", "a", "b", F.lit(True).alias("_hit"))
+    out = pairs.select("_of_a", "a", "b").join(hits, ["_of_a", "a", "b"], "left").select("_of_a", "a", "b", F.coalesce("_hit", F.lit(False)).alias("reached")).distinct()
+    if not n:
+        return out.select("a", "b", "reached")
+    far = reached(out.select("a", "b").distinct(), *index(large.select("a", "b"))).withColumnRenamed("reached", "_far")
+    return out.join(far, ["a", "b"]).select("a", "b", (F.col("reached") | F.col("_far")).alias("reached"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomflow.functions import terms as t
-from loomflow.operators import frames, reach
+from loomflow.operators import frames
 from loomflow.operators.access import FlowGraph
 from loomflow.operators.graph import Graph, Group, direct
 from loomflow.session import table
@@ -134,12 +134,11 @@ _c("q43_closure", lambda g: g.depends_closure(), "calls", "SELECT 'order' || a.o
 
 
 def _reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a call's value gets to another call, for pairs from lines and orders: two label look-ups a pair."""
+    """Whether a call's value gets to another call, for pairs from lines and orders, which meet the closed order of their first call."""
     call = lambda o, n: F.concat(F.lit(t.expand("ex:call")), F.col(o), F.lit("_"), F.col(n) if isinstance(n, str) else n)
-    lines = table(spark, sf_dir, "lineitem").select(call("l_orderkey", F.lit(1)).alias("a"), call("l_orderkey", "l_linenumber").alias("b"))
-    orders = table(spark, sf_dir, "orders").select(call("o_orderkey", F.lit(2)).alias("a"), F.explode(F.array(call("o_orderkey", F.lit(1)), call("o_orderkey", F.lit(4)), call("o_custkey", F.lit(3)))).alias("b"))
-    found, links = FlowGraph(_calls(spark, sf_dir).triples).reach()
-    return local(reach.reached(lines.union(orders).distinct(), found, links))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("_of_a"), call("l_orderkey", F.lit(1)).alias("a"), call("l_orderkey", "l_linenumber").alias("b"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_of_a"), call("o_orderkey", F.lit(2)).alias("a"), F.explode(F.array(call("o_orderkey", F.lit(1)), call("o_orderkey", F.lit(4)), call("o_custkey", F.lit(3)))).alias("b"))
+    return local(FlowGraph(_calls(spark, sf_dir).triples).reaches(lines.union(orders)))
 
 
 QUERIES["q43_reach"] = _reach

@@ -21,9 +21,11 @@ def hierarchy(graph: FlowGraph) -> DataFrame:
     Calls are rows, and paths of any length take as many rounds of joins as their
     length has binary places. A call with two successors follows the first by name.
     """
-    start = graph.match([("?composition", "fnoc:start", "?node")])
-    successor = graph.match([("?call", "fnoc:next", "?to")]).groupBy("call").agg(F.min("to").alias("to"))
-    after = graph.used_functions().join(successor, "call").select("composition", F.col("call").alias("node"), "to")
+    start = graph.match([("?composition", "fnoc:start", "?node")], owned=True)
+    successor = graph.match([("?call", "fnoc:next", "?to")], owned=True)
+    successor = successor.groupBy(*owners(successor, "call")).agg(F.min("to").alias("to"))
+    used = graph.used_functions(owned=True)
+    after = used.join(successor, owners(used, "call")).select(*owners(used, "composition"), F.col("call").alias("node"), "to")
     return reach.walk(start, after, ["composition"]).select("composition", F.col("depth").cast("int").alias("depth"), F.col("node").alias("call"))
 
 

@@ -15,8 +15,11 @@ compared, and windows with a common prefix of a whole window are repeats.
 
 An anchor of more than CROWD regions is dealt to several shards. What a shard does
 not settle is whether a window stands in another one: one of each distinct window
-goes on, by a digest of its bytes, and digests that several shards know meet in
-suffix arrays again.
+goes on. Consecutive ones go as one piece while they begin and end at the same two
+places, the least of their first EDGE and of their last EDGE hashes; the bytes from
+one place to the other are the piece's key. Keys that several pieces have meet in
+suffix arrays again. What is still too many for a shard is cut by shorter edges, at
+last by whole windows.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ WINDOW = 200
 ANCHOR = 32
 #: Regions of a shard, about, and the most regions of an anchor that are dealt to one shard.
 SHARD_REGIONS, CROWD = 8192, 4096
+#: The part of a window in which a piece's key may begin, and end; from round to round as much less.
+EDGE = 4
+#: Places in a row that are compared with others at once, at least.
+TOGETHER = 24
 #: Windows of a text that are looked at together; regions end there too.
 BLOCK = 1 << 20
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -42,6 +49,20 @@ _PLACE = np.uint64((1 << 24) - 1)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _least(h: np.ndarray, wide: int) -> np.ndarray:
+    """Place of the least, and first, of each run of so many hashes."""
+    # ends of one block and beginnings of the next
+    runs = len(h)
+    size = -(-runs // wide) * wide
+    keys = np.full(size + wide, _NONE)
+    keys[:runs] = (h & ~_PLACE) | np.arange(runs, dtype=np.uint64)
+    blocks = keys[:size].reshape(-1, wide)
+    up = np.minimum.accumulate(blocks, axis=1).ravel()
+    down = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = runs - wide + 1
+    return (np.minimum(down[:n], up[wide - 1 : wide - 1 + n]) & _PLACE).astype(np.int64)
+
+
 def _anchors(text: bytes, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash at each place, place of the anchor of each window)."""
     words = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,)).copy()
@@ -52,16 +73,7 @@ def _anchors(text: bytes, window: int, anchor: int) -> tuple[np.ndarray, np.ndar
     h ^= h >> np.uint64(32)
     h *= _MIX
     h ^= h >> np.uint64(29)
-    # the least of each wide run of hashes: ends of one block and beginnings of the next
-    wide = window - anchor + 1
-    size = -(-runs // wide) * wide
-    keys = np.full(size + wide, _NONE)
-    keys[:runs] = (h & ~_PLACE) | np.arange(runs, dtype=np.uint64)
-    blocks = keys[:size].reshape(-1, wide)
-    up = np.minimum.accumulate(blocks, axis=1).ravel()
-    down = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(text) - window + 1
-    return h, (np.minimum(down[:n], up[wide - 1 : wide - 1 + n]) & _PLACE).astype(np.int64)
+    return h, _least(h, window - anchor + 1)
 
 
 def regions(text: bytes, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +88,20 @@ def regions(text: bytes, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def pieces(text: bytes, window: int, edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, windows) of the pieces of a run of windows; equal windows have equal keys. With an edge of 1 they are single windows."""
+    h = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,)) * _MULTIPLY
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    least = _least(h, edge)
+    n = len(text) - window + 1
+    head, tail = least[:n], least[window - 7 - edge : window - 7 - edge + n]
+    first = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])))
+    keys = [xxhash.xxh3_64_intdigest(text[a : b + 8]) for a, b in zip(head[first].tolist(), tail[first].tolist(), strict=True)]
+    return np.array(keys, np.uint64).view(np.int64), first, np.diff(np.append(first, n))
+
+
 def _sorted_by_bytes(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Places ordered by the depth bytes that begin there; equal ones in any order."""
     if not len(at):
@@ -180,7 +206,25 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
     out = np.full(len(order), most)
     out[:1] = 0
-    live = np.arange(1, len(order))
+    # places in a row, as far behind the places before them in the order, are compared at once
+    back = np.zeros(len(order), np.int64)
+    back[1:] = order[1:] - order[:-1]
+    by_place = np.argsort(order)
+    place, back = order[by_place], back[by_place]
+    begins = np.flatnonzero(np.append(True, (np.diff(place) != 1) | (np.diff(back) != 0)))
+    size = np.diff(np.append(begins, len(place)))
+    begins, size = (x[size >= TOGETHER] for x in (begins, size))
+    alone = np.ones(len(order), bool)
+    if len(begins):
+        ends = np.cumsum(size + most)
+        at = np.arange(ends[-1]) + np.repeat(place[begins] - ends + size + most, size + most)
+        apart = np.append(np.flatnonzero(data[at] != data[at - np.repeat(back[begins], size + most)]), ends[-1] + most)
+        row = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        mine, here = by_place[np.repeat(begins, size) + row], np.repeat(ends - size - most, size) + row
+        out[mine] = np.minimum(most, apart[np.searchsorted(apart, here)] - here)
+        alone[mine] = False
+        out[:1] = 0
+    live = np.flatnonzero(alone[1:]) + 1
     for step in range(0, most, 8):
         x = words[order[live] + step] ^ words[order[live - 1] + step]
         apart = x != 0
@@ -218,11 +262,8 @@ def _runs(flags: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return on, off + 1
 
 
-#: What a shard tells: runs of repeated windows, or with text: runs of distinct windows of which other shards may hold copies.
-_TOLD = "doc decimal(38,0), start int, stop int, text binary, digests array<bigint>, lone array<boolean>"
-
-
 def _told(rows: pa.Table, window: int) -> pa.RecordBatch:
+    """(doc, start, stop) of runs of repeated windows, and with text and lone, whether each stands once in the shard, of runs of distinct windows of which other shards may hold copies."""
     texts = [t.as_py() for t in rows.column("text")]
     counts = rows.column("count").to_numpy().astype(np.int64)
     repeated, first = match_shard(texts, counts, window)
@@ -233,21 +274,48 @@ def _told(rows: pa.Table, window: int) -> pa.RecordBatch:
     on_too, off_too = _runs(first & split[row_of], begins)
     row = np.concatenate([row_of[on], row_of[on_too]]).astype(np.int64)
     shift = rows.column("first").to_numpy()[row] - begins[row]
-    more, digests, lone = [None] * len(on), [None] * len(on), [None] * len(on)
+    more, lone = [None] * len(on), [None] * len(on)
     for a, b, r in zip(on_too.tolist(), off_too.tolist(), row_of[on_too].tolist(), strict=True):
         at = a - int(begins[r])
-        text = texts[r][at : at + b - a + window - 1]
-        more.append(text)
-        digests.append(np.array([xxhash.xxh3_64_intdigest(text[k : k + window]) for k in range(b - a)], np.uint64).view(np.int64).tolist())
-        lone.append((~repeated[a:b]).tolist())
+        more.append(texts[r][at : at + b - a + window - 1])
+        lone.append(~repeated[a:b])
     return pa.RecordBatch.from_arrays(
         [rows.column("doc").combine_chunks().take(pa.array(row)), pa.array((np.concatenate([on, on_too]) + shift).astype(np.int32)), pa.array((np.concatenate([off, off_too]) + shift).astype(np.int32))]
-        + [pa.array(more, pa.binary()), pa.array(digests, pa.list_(pa.int64())), pa.array(lone, pa.list_(pa.bool_()))],
-        names=["doc", "start", "stop", "text", "digests", "lone"],
+        + [pa.array(more, pa.binary()), pa.array(lone, pa.list_(pa.bool_()))],
+        names=["doc", "start", "stop", "text", "lone"],
     )
 
 
-def _settled(rows: DataFrame, total: int, window: int) -> DataFrame:
+#: Runs of repeated windows, without text, and pieces of distinct ones, lone if a window of theirs stands once in its shard.
+_CUT = "doc decimal(38,0), start int, stop int, text binary, key bigint, lone boolean"
+
+
+def _cut(told: pa.RecordBatch, window: int, edge: int) -> pa.RecordBatch:
+    """What a shard tells, with its runs of distinct windows cut into pieces."""
+    is_open = told.column("text").is_valid().to_numpy(zero_copy_only=False)
+    row, more = np.flatnonzero(~is_open), np.flatnonzero(is_open)
+    start, stop = (told.column(n).to_numpy() for n in ("start", "stop"))
+    kept = len(row)
+    rows, starts, stops, texts, keys, lone = [row], [start[row]], [stop[row]], [], [], []
+    for r in more.tolist():
+        text = told.column("text")[r].as_py()
+        key, first, count = pieces(text, window, edge)
+        rows.append(np.full(len(first), r))
+        starts.append(start[r] + first)
+        stops.append(start[r] + first + count)
+        keys.append(key)
+        lone.append(np.logical_or.reduceat(told.column("lone")[r].values.to_numpy(zero_copy_only=False), first))
+        texts += [text[i : i + n + window - 1] for i, n in zip(first.tolist(), count.tolist(), strict=True)]
+
+    def behind(values: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.nulls(kept, values.type), values])
+
+    made = [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, stops)]
+    made += [behind(pa.array(texts, pa.binary())), behind(pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))), behind(pa.array(np.concatenate([np.zeros(0, bool), *lone])))]
+    return pa.RecordBatch.from_arrays([told.column("doc").take(pa.array(np.concatenate(rows))), *made], names=["doc", "start", "stop", "text", "key", "lone"])
+
+
+def _settled(rows: DataFrame, total: int, window: int, edge: int) -> DataFrame:
     """What shards tell of the rows (key, salt, split, doc, first, count, text); rows of one key and salt meet in one shard."""
     shards = -(-total // SHARD_REGIONS) or 1
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key", "salt"), F.lit(shards)))
@@ -263,14 +331,14 @@ def _settled(rows: DataFrame, total: int, window: int) -> DataFrame:
                 if hi > lo:
                     if int(numbers[lo]) != now:
                         if held:
-                            yield _told(pa.Table.from_batches(held), window)
+                            yield _cut(_told(pa.Table.from_batches(held), window), window, edge)
                         now, held = int(numbers[lo]), []
                     held.append(batch.slice(lo, hi - lo))
                     lo = hi
         if held:
-            yield _told(pa.Table.from_batches(held), window)
+            yield _cut(_told(pa.Table.from_batches(held), window), window, edge)
 
-    return dealt.mapInArrow(stream, _TOLD)
+    return dealt.mapInArrow(stream, _CUT)
 
 
 def _salted(rows: DataFrame) -> DataFrame:
@@ -312,18 +380,19 @@ def repeats(docs: DataFrame, stage: Staged, window: int = WINDOW, anchor: int =
                 yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row)), flat.field("key"), flat.field("n"), first, count, pa.array(texts, pa.binary())], names=["doc", "key", "n", "first", "count", "text"])
 
     read = docs.join(by_doc, docs["doc"] == by_doc["of"]).select("doc", "text", "parts").mapInArrow(cut, "doc decimal(38,0), key bigint, n bigint, first int, count int, text binary")
-    told = stage.save(_settled(_salted(read), live.count(), window))
+    edge = max(1, window // EDGE)
+    told = stage.save(_settled(_salted(read), live.count(), window, edge))
     found = told.where("text is null").select("doc", "start", "stop")
     while True:
-        open_ = told.where("text is not null").select("doc", "start", "text", F.posexplode(F.arrays_zip("digests", "lone")).alias("at", "x"))
-        open_ = open_.select("doc", (F.col("start") + F.col("at")).alias("first"), F.col("x.digests").alias("key"), F.col("x.lone").alias("lone"), F.substring("text", F.col("at") + 1, F.lit(window)).alias("text"))
+        open_ = told.where("text is not null").select("key", "doc", F.col("start").alias("first"), (F.col("stop") - F.col("start")).alias("count"), "text", "lone")
         # of copies that several shards know, some stand alone in theirs
         known = stage.save(open_.groupBy("key").agg(F.count("*").alias("n"), F.max("lone").alias("lone")).where("n > 1 and lone").select("key", "n"))
         total = known.agg(F.sum("n")).first()[0]
         if not total:
             return found
-        again = _salted(open_.select("key", "doc", "first", "text").join(known, "key").withColumn("count", F.lit(1)))
-        told = stage.save(_settled(again, total, window))
+        again = _salted(open_.drop("lone").join(known, "key"))
+        edge = max(1, edge // EDGE)
+        told = stage.save(_settled(again, total, window, edge))
         found = found.unionByName(told.where("text is null").select("doc", "start", "stop"))
 
 

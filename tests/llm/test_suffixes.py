@@ -119,3 +119,59 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     rows = [(r["doc_id"], r["n_removed"], r["n_spans"], r["kept"]) for r in suffixes.dedup(df).collect()]
     assert sorted(rows, key=str) == sorted([(2, len(text), 1, b""), (2, len(text), 1, b""), (None, len(text), 1, b"x"), (5, 0, 0, text[3:190].encode()), (None, 0, 0, b"")], key=str)
     assert suffixes.dedup(df.limit(0)).collect() == []
+
+
+def test_pieces_tile_a_run_and_follow_from_the_windows():
+    rng = random.Random(8)
+    common = bytes(rng.choice(b"abcdef") for _ in range(500))
+    for window, edges in ((200, (50, 12, 3, 1)), (40, (10, 2, 1))):
+        for edge in edges:
+            of: dict = {}
+            for text in (common, common[3:], b"xy" + common[:450] + b"tail", b"a" * 260, common[100 : 100 + window]):
+                keys, first, count = (x.tolist() for x in suffixes.pieces(text, window, edge))
+                assert [w for f, c in zip(first, count, strict=True) for w in range(f, f + c)] == list(range(len(text) - window + 1))
+                for k, f, c in zip(keys, first, count, strict=True):
+                    for w in range(f, f + c):
+                        assert of.setdefault(text[w : w + window], k) == k
+            if edge == 1:
+                # whole windows
+                assert len(set(of.values())) == len(of)
+
+
+def test_distinct_windows_of_a_crowd_go_on_as_few_rows(spark, monkeypatch):
+    # near copies of one text, in pairs: some hundred windows of each pair are in no other, and went on as a row each
+    monkeypatch.setattr(suffixes, "CROWD", 8)
+    monkeypatch.setattr(suffixes, "SHARD_REGIONS", 20)
+    rng = random.Random(4)
+    words = "".join(f"w{k} " for k in range(150))
+    docs = []
+    for k in range(20):
+        at = rng.randint(0, len(words) - 20)
+        docs += [(2 * k + i, words[:at] + f"<{k}>" + words[at + 5 :]) for i in range(2)]
+    settled, went = suffixes._settled, []
+
+    def watch(rows, *rest):
+        went.append(rows.selectExpr("count(*)", "sum(count)").first())
+        return settled(rows, *rest)
+
+    monkeypatch.setattr(suffixes, "_settled", watch)
+    df = spark.createDataFrame([(d, t, "clash", 0) for d, t in docs], DOCS).repartition(4)
+    assert got(df) == plain(docs)
+    rows, windows = went[1]
+    assert windows > 1000 and rows * 5 < windows
+
+
+@pytest.mark.parametrize("together", [2, 24, 10**9])
+def test_common_prefixes_of_places_in_a_row(monkeypatch, together):
+    # in runs that are compared at once and one by one
+    monkeypatch.setattr(suffixes, "TOGETHER", together)
+    rng = random.Random(2)
+    text = bytes(rng.choice(b"abcdefgh") for _ in range(400))
+    joined = text + b"\0" + text[5:300] + b"#" + text[301:] + b"\0" + b"a" * 90 + text[40:200]
+    places = [p for p in range(len(joined) - 40) if b"\0" not in joined[p : p + 40]]
+    order = np.array(sorted(places, key=lambda p: (joined[p : p + 40], p)))
+    data = np.frombuffer(joined + bytes(56), np.uint8)
+    lcp = suffixes.common_prefixes(data, order, 40).tolist()
+    assert lcp[0] == 0 and sum(n == 40 for n in lcp) > 300
+    for a, b, n in zip(order.tolist(), order[1:].tolist(), lcp[1:], strict=False):
+        assert n == next((k for k in range(40) if joined[a + k] != joined[b + k]), 40)

@@ -27,3 +27,22 @@ def test_constant_features(spark):
     df = spark.createDataFrame([(1.0, k % 2.0, "a" if k % 2 else "b") for k in range(40)], "x double, y double, label string")
     model = learn.fit(df, "rbf_svc", ["x", "y"], "label")
     assert learn.predict(model, df, "told").where("told <> label").count() == 0
+
+
+def test_a_radial_machine_learns_equal_rows_as_one(spark, monkeypatch):
+    rng = random.Random(3)
+    data = [(float(rng.randint(-9, 9)), float(rng.randint(0, 9))) for _ in range(4000)]
+    df = spark.createDataFrame([(x, y, "in" if (x > 0) == (y > 4.5) else "out") for x, y in data], "x double, y double, label string")
+    seen = []
+    real = learn.Pipeline.fit
+
+    def watch(self, rows):
+        seen.append(rows.count())
+        return real(self, rows)
+
+    monkeypatch.setattr(learn.Pipeline, "fit", watch)
+    model = learn.fit(df, "rbf_svc", ["x", "y"], "label")
+    assert seen == [len(set(data))]
+    assert learn.weighted(df, ["x", "y", "label"]).agg(F.sum(learn.WEIGHT)).first()[0] == len(data)
+    sure = learn.predict(model, df, "told").where("abs(x) >= 3 and abs(y - 4.5) >= 2")
+    assert sure.count() > 500 and sure.where("told <> label").count() == 0

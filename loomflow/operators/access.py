@@ -114,6 +114,11 @@ class FlowGraph(Graph):
     def compositions(self) -> DataFrame:
         return self.match([("?composition", "a", "fno:Composition"), ("?composition", "fnoc:represents", "?f")])
 
+    def composed(self) -> "FlowGraph":
+        """The triples around compositions that are made of edges."""
+        some = self.match([("?s", "fnoc:composedOf", "?edge")], "?s", owned=True).withColumnRenamed("_of_s", "s_of")
+        return FlowGraph(self.triples.join(some, some.columns, "left_semi").select(*self.triples.columns))
+
     def starts(self) -> DataFrame:
         """(composition, start); a composition without one start is an error."""
         found = self.match(Group([("?composition", "a", "fno:Composition")], optional=[Group([("?composition", "fnoc:start", "?start")])]), owned=True)
@@ -144,10 +149,22 @@ class FlowGraph(Graph):
             "endpoint", F.when(F.col("_n") == 1, F.col("strategy")).otherwise(F.raise_error(F.lit("more than one strategy"))).alias("strategy"), "key"
         )
 
-    def used_functions(self, owned: bool = False) -> DataFrame:
-        """(composition, call): sources, targets and starts; owned as in match()."""
-        edges = self.match([("?composition", "fnoc:composedOf", "?edge"), ("?edge", ("fnoc:mapFrom", "fnoc:mapTo"), "?end"), ("?end", "fnoc:constituentFunction", "?call")], "?composition", "?call", owned=True)
-        used = edges.union(self.match([("?composition", "fnoc:start", "?call")], "?composition", "?call", owned=True)).distinct()
+    def used_functions(self, rows: DataFrame | None = None, owned: bool = False) -> DataFrame:
+        """(composition, call): sources, targets and starts; with the other columns of distinct rows (call, ...), if given; owned: with the number of the composition, where the graph has it.
+
+        Rows join before sources, targets and starts come together: their union is
+        dealt by one number at most.
+        """
+        call = ("?end", "fnoc:constituentFunction", "?call")
+        ways = [[("?composition", "fnoc:composedOf", "?edge"), ("?edge", p, "?end"), call] for p in ("fnoc:mapFrom", "fnoc:mapTo")]
+        parts = []
+        for way in (*ways, [("?composition", "fnoc:start", "?call")]):
+            part = self.match(way, "?composition", "?call", distinct=False, owned=True)
+            if rows is not None:
+                by = [c for c in owners(part, "call") if c in rows.columns]
+                part = part.join(rows, by)
+            parts.append(part.select(*owners(part, "composition"), "call", *([] if rows is None else [c for c in plain(rows).columns if c != "call"])))
+        used = reduce(DataFrame.union, parts).distinct()
         return used if owned else plain(used)
 
     def depends(self, owned: bool = False) -> DataFrame:

@@ -103,7 +103,7 @@ _f("q20_get_output_predicate", lambda g: g.outputs(), "funs", f"SELECT {PART} AS
 _f("q21_get_output_type", lambda g: g.terminal_types("fno:Output"), "funs", "SELECT 'part' || k || 'Output' AS term, CASE WHEN z % 2 = 0 THEN brand ELSE 'Any41485baa' END AS type FROM funs UNION ALL SELECT 'part' || k || 'SelfOutput', 'Any41485baa' FROM funs WHERE z % 7 = 0")
 _o("q22_get_compositions", lambda g: g.compositions(), "", "SELECT 'order' || o_orderkey || 'Composition' AS composition, 'part' || o_custkey AS f FROM orders")
 _o("q23_is_composition", lambda g: g.of_type("fno:Composition").groupBy().agg(F.count("*").alias("n")), "", "SELECT count(*) AS n FROM orders")
-_c("q24_get_start", lambda g: FlowGraph(g.triples.join(g.match([("?s", "fnoc:composedOf", "?edge")], "?s"), "s", "left_semi").select(*g.triples.columns)).starts(), "calls", "SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_1' AS start FROM calls WHERE n = 1")
+_c("q24_get_start", lambda g: g.composed().starts(), "calls", "SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_1' AS start FROM calls WHERE n = 1")
 _c("q24_start_arms", lambda g: frames.cardinality(g.of_type("fno:Composition"), g.match([("?term", "fnoc:start", "?call")]), "term").select("term", "kind"), "", "SELECT 'order' || o_orderkey || 'Composition' AS term, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem) THEN 'one' ELSE 'none' END AS kind FROM orders")
 _o("q25_get_representations", lambda g: g.match([("?composition", "fnoc:represents", "?f")], "?f"), "", "SELECT DISTINCT 'part' || o_custkey AS f FROM orders")
 _c("q26_get_mappings", lambda g: g.flow(), "calls", """

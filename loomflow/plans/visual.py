@@ -24,8 +24,7 @@ def hierarchy(graph: FlowGraph) -> DataFrame:
     start = graph.match([("?composition", "fnoc:start", "?node")], owned=True)
     successor = graph.match([("?call", "fnoc:next", "?to")], owned=True)
     successor = successor.groupBy(*owners(successor, "call")).agg(F.min("to").alias("to"))
-    used = graph.used_functions(owned=True)
-    after = used.join(successor, owners(used, "call")).select(*owners(used, "composition"), F.col("call").alias("node"), "to")
+    after = graph.used_functions(successor, owned=True).withColumnRenamed("call", "node")
     return reach.walk(start, after, ["composition"]).select("composition", F.col("depth").cast("int").alias("depth"), F.col("node").alias("call"))
 
 
@@ -35,11 +34,10 @@ def layers(graph: FlowGraph) -> DataFrame:
 
 
 def applied_nodes(graph: FlowGraph, owned: bool = False) -> DataFrame:
-    """(composition, call, f, node): the function of each call, numbered where a composition uses it again; owned as in match()."""
-    used = graph.used_functions(owned=True)
-    used = used.join(graph.match([("?call", "fnoc:applies", "?f")], owned=True), owners(used, "call"))
+    """(composition, call, f, node): the function of each call, numbered where a composition uses it again; owned: with the number of the composition."""
+    used = graph.used_functions(graph.match([("?call", "fnoc:applies", "?f")], owned=True), owned=True)
     again = F.row_number().over(Window.partitionBy(*owners(used, "composition"), "f").orderBy("call"))
-    return used.select(*owners(used, "composition", "call") if owned else ("composition", "call"), "f", F.concat(local_name(F.col("f")), F.when(again > 1, F.concat(F.lit("_"), again)).otherwise("")).alias("node"))
+    return used.select(*owners(used, "composition") if owned else ("composition",), "call", "f", F.concat(local_name(F.col("f")), F.when(again > 1, F.concat(F.lit("_"), again)).otherwise("")).alias("node"))
 
 
 def links(graph: FlowGraph, owned: bool = False) -> DataFrame:
@@ -59,17 +57,17 @@ def ports(graph: FlowGraph) -> DataFrame:
     return named.unionByName(graph.outputs().select("f", F.col("output").alias("terminal"), F.lit("out").alias("label")))
 
 
-def percolated(links_: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links with both ends named as the nodes of their composition."""
-    both = all(f"_of_{c}" in df.columns for df, c in ((nodes, "composition"), (nodes, "call"), (links_, "composition"), (links_, "source"), (links_, "target")))
-
-    def ends(side: str) -> tuple[DataFrame, list[str]]:
-        of = [F.col("_of_composition"), F.col("_of_call").alias(f"_of_{side}")] if both else []
-        return nodes.select(*of, "composition", F.col("call").alias(side), F.col("node").alias(f"{side}_node")), ["composition", side, *(["_of_composition", f"_of_{side}"] if both else [])]
+def percolated(links_: DataFrame, nodes: DataFrame, owned: bool = False) -> DataFrame:
+    """Links with both ends named as the nodes of their composition; owned: with the numbers that they have.
 
+    Both ends take nodes by a number computed anew, so Spark deals the nodes, once, and
+    does not make them twice where they are.
+    """
+    by = [c for c in owners(nodes, "composition") if c in links_.columns]
+    number = [F.col(c).bitwiseXOR(F.lit(0).cast("long")).alias(c) if c.startswith("_of_") else F.col(c) for c in by]
     for side in ("source", "target"):
-        links_ = links_.join(*ends(side))
-    return plain(links_)
+        links_ = links_.join(nodes.select(*number, F.col("call").alias(side), F.col("node").alias(f"{side}_node")), [*by, side])
+    return links_ if owned else plain(links_)
 
 
 def elk(graph: FlowGraph) -> DataFrame:
@@ -88,19 +86,20 @@ def elk(graph: FlowGraph) -> DataFrame:
 def node_link_json(graph: FlowGraph) -> DataFrame:
     """(composition, nodes, links) as JSON lists."""
     nodes = applied_nodes(graph, owned=True)
-    named = percolated(links(graph, owned=True), nodes)
-    a = nodes.groupBy("composition").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("node").alias("key"), local_name(F.col("f")).alias("text"))))).alias("nodes"))
-    b = named.groupBy("composition").agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("source_node").alias("from"), F.col("target_node").alias("to"))))).alias("links"))
-    return a.join(b, "composition", "left")
+    named = percolated(links(graph, owned=True), nodes, owned=True)
+    by = owners(nodes, "composition")
+    a = nodes.groupBy(*by).agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("node").alias("key"), local_name(F.col("f")).alias("text"))))).alias("nodes"))
+    b = named.groupBy(*by).agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("source_node").alias("from"), F.col("target_node").alias("to"))))).alias("links"))
+    return a.join(b, by, "left").select("composition", "nodes", "links")
 
 
 def dot(graph: FlowGraph) -> DataFrame:
     """(composition, dot): the control flow of each composition as a DOT text."""
-    inside = graph.used_functions(owned=True)
-    by = owners(inside, "composition")
     of = [F.col(OWNERS[0]).alias("_of_call")] if OWNERS[0] in graph.triples.columns else []
     rows = graph.triples.where(F.col("p").rlike("composition#(next|iterate|true|false)$")).select(*of, F.col("s").alias("call"), local_name(F.col("p")).alias("kind"), F.col("o").alias("to"))
-    lines = inside.join(rows, owners(inside, "call")).select(*by, F.concat(F.lit('  "'), local_name(F.col("call")), F.lit('" -> "'), local_name(F.col("to")), F.lit('" [label="'), "kind", F.lit('"];')).alias("line"))
+    inside = graph.used_functions(rows, owned=True)
+    by = owners(inside, "composition")
+    lines = inside.select(*by, F.concat(F.lit('  "'), local_name(F.col("call")), F.lit('" -> "'), local_name(F.col("to")), F.lit('" [label="'), "kind", F.lit('"];')).alias("line"))
     return lines.groupBy(*by).agg(F.concat(F.lit("digraph {\n"), F.array_join(F.array_sort(F.collect_set("line")), "\n"), F.lit("\n}")).alias("dot")).select("composition", "dot")
 
 

@@ -18,6 +18,24 @@ def test_patterns_over_calls_are_not_dealt_again(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_calls_of_compositions_are_not_dealt_again(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph = FlowGraph(calls_graph(spark, sf_dir).triples)
+        nodes = visual.applied_nodes(graph, owned=True)
+        for made in (graph.used_functions(), nodes, visual.dot(graph)):
+            assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        # nodes are dealt to both ends, the same ones
+        ends = visual.percolated(visual.links(graph, owned=True), nodes)._jdf.queryExecution().executedPlan().toString()
+        assert ends.count("Exchange") == 2
+        # orders alone are dealt to the lines
+        starts = catalog.QUERIES["q24_get_start"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert starts.count("Exchange") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_compositions_read_orders_alone(spark, sf_dir, tmp_path):
     os.symlink(f"{sf_dir}/orders.parquet", tmp_path / "orders.parquet")
     n = spark.read.parquet(f"{sf_dir}/orders.parquet").count()

@@ -117,7 +117,7 @@ class FlowGraph(Graph):
     def composed(self) -> "FlowGraph":
         """The triples around compositions that are made of edges."""
         some = self.match([("?s", "fnoc:composedOf", "?edge")], "?s", owned=True).withColumnRenamed("_of_s", "s_of")
-        return FlowGraph(self.triples.join(some, some.columns, "left_semi").select(*self.triples.columns))
+        return FlowGraph(self.triples.join(some, some.columns, "left_semi").select(*self.triples.columns), self.wide)
 
     def starts(self) -> DataFrame:
         """(composition, start); a composition without one start is an error."""

@@ -10,6 +10,9 @@ A graph derived from a table may also have s_of and o_of: the numbers that its
 terms are made of, 0 for terms of several rows. Equal terms have equal numbers.
 Joins and distinct rows take them as further keys, so that triples which are dealt
 by the number stay where they are.
+
+A wide graph is one made of a table's rows, whose terms are many times wider than
+what the files tell of their size: Spark would broadcast millions of them.
 """
 
 from __future__ import annotations
@@ -46,7 +49,8 @@ class Owned:
 Term = str | Lit
 Pattern = tuple[Term, "str | tuple[str, ...]", Term]
 
-# Datatypes of Python literals.
+# Vocabularies of implementations; datatypes of Python literals.
+_FEW = (expand("fnoi:"), expand("doap:"))
 _TYPES = {bool: "boolean", int: "integer", float: "double", str: "string"}
 
 
@@ -89,8 +93,8 @@ class Group:
 
 
 class Graph:
-    def __init__(self, triples: DataFrame) -> None:
-        self.triples = triples
+    def __init__(self, triples: DataFrame, wide: bool = False) -> None:
+        self.triples, self.wide = triples, wide
 
     @classmethod
     def of(cls, spark: SparkSession, rows: Iterable[tuple]) -> "Graph":
@@ -107,8 +111,8 @@ class Graph:
 
     def __or__(self, other: "Graph") -> "Graph":
         if OWNERS[0] in self.triples.columns or OWNERS[0] in other.triples.columns:
-            return Graph(_with_owners(self.triples).unionByName(_with_owners(other.triples)))
-        return Graph(self.triples.unionByName(other.triples))
+            return Graph(_with_owners(self.triples).unionByName(_with_owners(other.triples)), self.wide or other.wide)
+        return Graph(self.triples.unionByName(other.triples), self.wide or other.wide)
 
     def distinct(self) -> DataFrame:
         return self.triples.select(*TRIPLE.names).dropDuplicates()
@@ -163,6 +167,14 @@ class Graph:
         out = out.distinct() if distinct else out
         return out if owned else plain(out)
 
+    def _joined(self, found: DataFrame, pattern: Pattern, group: Group) -> DataFrame:
+        """What a pattern finds, for a join; in a wide graph it is dealt, not broadcast, unless it tells of implementations, which are few."""
+        _, p, o = pattern
+        # the classes of a type tell what it is about, other predicates themselves
+        about = p if isinstance(p, tuple) else group.values.get(o, (o,)) if p == "a" else (p,)
+        few = all(isinstance(x, str) and expand(x).startswith(_FEW) for x in about)
+        return found.hint("merge") if self.wide and not few else found
+
     def _solve(self, group: Group) -> DataFrame:
         subjects = {s for g in (group, *group.optional) for s, _, _ in g.patterns if is_var(s)}
         todo = sorted(group.patterns, key=lambda t: sum(is_var(x[0] if isinstance(x, tuple) else x) for x in t))
@@ -181,14 +193,14 @@ class Graph:
             else:
                 shared = [c for c in found.columns if c in names]
                 if shared:
-                    out = out.join(found, shared)
+                    out = out.join(self._joined(found, pattern, group), shared)
                 elif set(found.columns) == {"_found"}:
                     out = out.join(found.limit(1), how="cross").drop("_found")
                 else:
                     raise ValueError("the patterns are not connected")
         for inner in group.optional:
             found = self._solve(inner)
-            out = out.join(found, [c for c in found.columns if c in out.columns], "left")
+            out = out.join(self._joined(found, inner.patterns[0], inner), [c for c in found.columns if c in out.columns], "left")
         for condition in group.filters:
             out = out.where(condition(out))
         return out

@@ -32,7 +32,8 @@ def local(df: DataFrame) -> DataFrame:
 
 def _add(name: str, make: Callable, graph: Callable, ctes: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return local(make(FlowGraph(graph(spark, sf_dir).triples)))
+        found = graph(spark, sf_dir)
+        return local(make(FlowGraph(found.triples, found.wide)))
 
     QUERIES[name] = run
     head = ", ".join(_CTES[c] for c in ctes.split())
@@ -84,7 +85,7 @@ _f("q06_get_name", lambda g: g.labels(), "funs", f"SELECT {PART} AS term, p_name
 _f("q07_is_kind", lambda g: g.of_type("fno:Function").withColumn("kind", F.lit("function")).union(g.of_type("fno:Parameter").withColumn("kind", F.lit("parameter"))).union(g.of_type("fno:Output").withColumn("kind", F.lit("output"))).groupBy("kind").agg(F.count("*").alias("n")), "funs params", """
 SELECT 'function' AS kind, count(*) AS n FROM funs UNION ALL SELECT 'parameter', (SELECT count(*) FROM params) + count(*) FROM funs WHERE z % 5 = 0
 UNION ALL SELECT 'output', (SELECT count(*) FROM funs) + count(*) FROM funs WHERE z % 7 = 0""")
-QUERIES["q08_has_function"] = lambda spark, sf_dir: local(table(spark, sf_dir, "customer").select(F.concat(F.lit(t.expand("ex:part")), (F.col("c_custkey") * 2).cast("string")).alias("f")).join(FlowGraph(_functions(spark, sf_dir).triples).functions(), "f", "left_semi"))
+QUERIES["q08_has_function"] = lambda spark, sf_dir: local(table(spark, sf_dir, "customer").select(F.concat(F.lit(t.expand("ex:part")), (F.col("c_custkey") * 2).cast("string")).alias("f")).join(FlowGraph(_functions(spark, sf_dir).triples, True).functions().hint("merge"), "f", "left_semi"))
 ORACLE_SQL["q08_has_function"] = "SELECT 'part' || (c_custkey * 2) AS f FROM customer WHERE c_custkey * 2 IN (SELECT p_partkey FROM part)"
 _f("q09_get_function", lambda g: g.functions_named("part7"), "funs", f"SELECT {PART} AS f FROM funs WHERE k = 7")
 _f("q10_get_parameters", lambda g: g.parameters().select("f", F.col("n").cast("long").alias("n"), "parameter"), "funs params", f"SELECT {PART} AS f, CAST(i AS BIGINT) AS n, {PARAM} AS parameter FROM params")

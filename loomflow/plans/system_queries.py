@@ -123,7 +123,7 @@ SELECT 'order' || o || 'Composition' AS composition, 'part' || p AS f, count(*)
 FROM (SELECT o, p, row_number() OVER (PARTITION BY o, p ORDER BY 'call' || o || '_' || n) r FROM calls) GROUP BY o, p""")
 _q("v03_links", lambda s, d: local(visual.links(FlowGraph(calls_graph(s, d).triples))), _WALK + """
 SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_' || n AS source, 'part' || p || 'Output' AS source_port, 'call' || o || '_' || (n + 1) AS target, 'part' || nxt || 'Parameter0' AS target_port FROM calls WHERE nxt IS NOT NULL""")
-_q("v04_ports", lambda s, d: local(visual.ports(FlowGraph(functions_graph(s, d).triples))), f"WITH {_CTES['funs']}, {_CTES['params']} SELECT 'part' || k AS f, 'part' || k || 'Parameter' || i AS terminal, 'p' || i AS label FROM params UNION ALL SELECT 'part' || k, 'part' || k || 'Output', 'out' FROM funs")
+_q("v04_ports", lambda s, d: local(visual.ports(FlowGraph(functions_graph(s, d).triples, True))), f"WITH {_CTES['funs']}, {_CTES['params']} SELECT 'part' || k AS f, 'part' || k || 'Parameter' || i AS terminal, 'p' || i AS label FROM params UNION ALL SELECT 'part' || k, 'part' || k || 'Output', 'out' FROM funs")
 _EDGE = "array<struct<id:string,sources:array<string>,targets:array<string>>>"
 _q("v05_elk", lambda s, d: visual.elk(FlowGraph(calls_graph(s, d).triples)).select(t.local_name(F.col("composition")).alias("composition"), F.explode(F.from_json("json", f"edges {_EDGE}")["edges"]).alias("e")).select("composition", F.array_join("e.sources", " ").alias("source"), F.array_join("e.targets", " ").alias("target")), _WALK + """
 SELECT 'order' || o || 'Composition' AS composition, 'call' || o || '_' || n || '.part' || p || 'Output' AS source, 'call' || o || '_' || (n + 1) || '.part' || nxt || 'Parameter0' AS target FROM calls WHERE nxt IS NOT NULL""")

@@ -101,7 +101,7 @@ def implementation_triples(parts: DataFrame) -> DataFrame:
 def functions_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Functions, terminals, implementations and mappings from the table part."""
     parts = table(spark, sf_dir, "part")
-    return Graph(function_triples(parts).unionByName(implementation_triples(parts)))
+    return Graph(function_triples(parts).unionByName(implementation_triples(parts)), wide=True)
 
 
 def numbered(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ a return. Steps are taken many at a time; then the rows that have
 returned leave the table, and those still at work go on, until there are none.
 Everything is columns: no row goes to Python. A value depends on nothing but the
 arguments, so rows with equal ones share one state.
+
+A loop over numbers that does nothing until a test of its number holds, and whose
+test goes on to hold once it does (i * i >= p), begins at the number where it first
+holds, which is found by halving; other loops are stepped number by number.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from loomflow.stage import Staged
 FIRST_STEPS, MOST_STEPS = 64, 4096
 #: Rounds after which a program counts as endless.
 MOST_ROUNDS = 10_000
+#: Results of different arguments up to which Spark chooses how rows meet them; of more it would go by the size of their files and broadcast them.
+MOST_TOLD = 1 << 17
 #: Blocks that a step runs one after another at most.
 MOST_BLOCKS = 6
 
@@ -146,6 +152,12 @@ class _Flat:
                 raise Unsupported(type(s).__name__)
         return at
 
+    def _idle(self, s: ast.For) -> ast.expr | None:
+        """The test that a loop waits for: of its ifs, where it is made of nothing else."""
+        if not isinstance(s.target, ast.Name) or not all(isinstance(x, ast.If) and not x.orelse and not self._calls(x.test) for x in s.body):
+            return None
+        return s.body[0].test if len(s.body) == 1 else ast.BoolOp(ast.Or(), [x.test for x in s.body])
+
     def _loop(self, s: ast.While | ast.For, at: int) -> int:
         head, test, first = None, getattr(s, "test", None), []
         if isinstance(s, ast.For):
@@ -156,6 +168,11 @@ class _Flat:
                 for name, bound in ((n, call.args[0] if len(call.args) == 2 else ast.Constant(0)), (upto, call.args[-1])):
                     bound, at = self._lift(bound, at)
                     self.blocks[at].body.append(ast.Assign([ast.Name(name, ast.Store())], bound))
+                idle = self._idle(s)
+                if idle is not None:
+                    skip = ast.parse(f"{n} = __skip__({n}, {upto})\n").body[0]
+                    skip.value.args += [ast.Constant(s.target.id), idle]
+                    self.blocks[at].body.append(skip)
                 test = ast.parse(f"{n} < {upto}", mode="eval").body
                 item = ast.Name(n, ast.Load())
             else:
@@ -191,8 +208,78 @@ class _Step(_Run):
         if name == "__at__":
             items, n = map(self.expr, e.args)
             return Value(F.get(items.col, n.col.cast("int")), items.kind[1])
+        if name == "__skip__":
+            return self._skipped(*e.args)
         return super()._call(e)
 
+    def _skipped(self, low: ast.expr, upto: ast.expr, item: ast.Constant, test: ast.expr) -> Value:
+        """The number at which a loop's test first holds, or the last one; the first one where the test cannot be told to go on holding."""
+        n, end = self.expr(low), self.expr(upto)
+        guards: list[Column] = []
+        try:
+            if (n.kind, end.kind) != ("int", "int"):
+                raise Unsupported("numbers that are none")
+            holds = self._lasting(test, item.value, n.col, guards)
+        except Unsupported:
+            return n
+
+        def half(s: Column, _: Column) -> Column:
+            lo, hi = s.getField("lo"), s.getField("hi")
+            middle = lo + F.shiftright(hi - lo, 1)
+            # what does not fit is left to the loop, which fails there
+            found = F.coalesce(holds(middle), F.lit(True))
+            return F.when(lo >= hi, s).otherwise(F.struct(F.when(found, lo).otherwise(middle + 1).alias("lo"), F.when(found, middle).otherwise(hi).alias("hi")))
+
+        halvings = F.sequence(F.lit(1), F.length(F.bin(F.try_subtract(end.col, n.col))))
+        found = F.aggregate(halvings, F.struct(n.col.alias("lo"), F.try_subtract(end.col, F.lit(1)).cast("long").alias("hi")), half, lambda s: s.getField("lo"))
+        able = reduce(lambda x, y: x & y, guards, n.col < end.col)
+        return Value(F.when(able, F.coalesce(found, n.col)).otherwise(n.col), "int")
+
+    def _lasting(self, test: ast.expr, item: str, first: Column, guards: list[Column]) -> Callable[[Column], Column]:
+        """A test as a function of the loop's number, if it holds for all numbers after one for which it holds; null where a number does not fit."""
+        if isinstance(test, ast.BoolOp):
+            fold = (lambda x, y: x & y) if isinstance(test.op, ast.And) else (lambda x, y: x | y)
+            parts = [self._lasting(x, item, first, guards) for x in test.values]
+            return lambda at: reduce(fold, [f(at) for f in parts])
+        if not isinstance(test, ast.Compare) or len(test.ops) != 1:
+            raise Unsupported("a test that may end")
+        (a, da), (b, db) = (self._rising(x, item, first, guards) for x in (test.left, test.comparators[0]))
+        op, up = test.ops[0], 1
+        if isinstance(op, (ast.Lt, ast.LtE)):
+            a, b, up = b, a, -1
+        if not isinstance(op, (ast.Gt, ast.GtE, ast.Lt, ast.LtE)) or da * up < 0 or db * up > 0:
+            raise Unsupported("a test that may end")
+        return (lambda at: a(at) >= b(at)) if isinstance(op, (ast.GtE, ast.LtE)) else (lambda at: a(at) > b(at))
+
+    def _rising(self, e: ast.expr, item: str, first: Column, guards: list[Column]) -> tuple[Callable[[Column], Column], int]:
+        """Whole numbers as a function of the loop's number, and how they go as it grows: 1 for up, -1 for down, 0 where it is not in them; guards are what must be so."""
+        if isinstance(e, ast.Name) and e.id == item:
+            return (lambda at: at), 1
+        if isinstance(e, (ast.Name, ast.Constant)):
+            v = self.expr(e)
+            if v.kind != "int":
+                raise Unsupported("not a whole number")
+            return (lambda at: v.col), 0
+        if isinstance(e, ast.UnaryOp) and isinstance(e.op, ast.USub):
+            a, up = self._rising(e.operand, item, first, guards)
+            return (lambda at: F.try_subtract(F.lit(0).cast("long"), a(at))), -up
+        if not isinstance(e, ast.BinOp) or not isinstance(e.op, (ast.Add, ast.Sub, ast.Mult)):
+            raise Unsupported("numbers that may go up and down")
+        (a, da), (b, db) = (self._rising(x, item, first, guards) for x in (e.left, e.right))
+        if isinstance(e.op, ast.Mult):
+            if min(da, db) < 0:
+                raise Unsupported("numbers that may go up and down")
+            if max(da, db):
+                # factors that begin at zero or above stay there
+                guards += [a(first) >= 0, b(first) >= 0]
+            return (lambda at: F.try_multiply(a(at), b(at))), max(da, db)
+        if isinstance(e.op, ast.Sub):
+            db = -db
+        if da * db < 0:
+            raise Unsupported("numbers that may go up and down")
+        put = F.try_add if isinstance(e.op, ast.Add) else F.try_subtract
+        return (lambda at: put(a(at), b(at))), da or db
+
 
 class _Machine:
     def __init__(self, functions: dict[str, ast.FunctionDef], name: str, args: list[Value]) -> None:
@@ -359,6 +446,7 @@ def run(df: DataFrame, source: str | Callable, *args: str, into: str, name: str
             given = [f"_{g}" for g in given]
         called = df.select(*[df[a].alias(g) for a, g in zip(args, given, strict=True)]).distinct()
         told = _run(called, source, *given, into="_out", name=name, returns=returns)
+        told = told if told.count() <= MOST_TOLD else told.hint("merge")
         same = reduce(lambda x, y: x & y, [df[a].eqNullSafe(told[g]) for a, g in zip(args, given, strict=True)])
         return df.join(told, same).select(*[df[f"`{c}`"] for c in df.columns], told["_out"].alias(into))
     return _run(df, source, *args, into=into, name=name, returns=returns)

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from loomflow.functions.pysem import Unsupported
@@ -40,3 +42,52 @@ def test_endless_programs_and_what_blocks_cannot_say(spark, monkeypatch):
     assert plan.run(df, "def f(a):\n    return a > 0 and f(a - 1)\n", "a", into="out", returns="boolean", states=True).first()["out"] is False
     out = plan.run(df, PROGRAMS["faculty"].replace(", b", ""), "a", into="out", returns="bigint", states=True)
     assert out.first()["out"] == 1 and "Python" not in out._jdf.queryExecution().toString()
+
+
+WAITING = {
+    "root": "def f(a, b):\n    for i in range(a + 2):\n        if i * i >= a:\n            return i\n    return None\n",
+    "break": "def f(a, b):\n    for i in range(b, a):\n        if b - i * 3 < -a:\n            break\n    else:\n        i = -5\n    return i\n",
+    "two": "def f(a, b):\n    for i in range(1, a):\n        if i * i * i > a and i + b >= 7:\n            return i\n        if 2 * i >= a - b:\n            return -i\n    return b\n",
+    # goes on after the test first holds
+    "some": "def f(a, b):\n    n = 0\n    for i in range(a):\n        if i >= a - 5:\n            n += i\n    for j in range(a):\n        if j * b > 4 and j + 3 >= a:\n            return n * 10 + j\n    return n\n",
+    # factors below zero, products that fall, tests that end: stepped number by number
+    "below": "def f(a, b):\n    for i in range(-3, 6):\n        if i * i >= a - 2:\n            return i\n    return 99\n",
+    "falls": "def f(a, b):\n    for i in range(6):\n        if i * -b >= -a or i == 4:\n            return i\n    return 99\n",
+    "bools": "def f(a, b):\n    big = a > 2\n    for i in range(4):\n        if i * i >= a + big:\n            return i\n    return 99\n",
+}
+
+
+@pytest.mark.parametrize("name", WAITING)
+def test_loops_that_wait_do_as_python_does(spark, name):
+    space = {}
+    exec(WAITING[name], space)
+    rows = [(a, b) for a in (-3, 0, 1, 2, 5, 9, 10, 200) for b in (-2, 0, 1, 3)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint")
+    want = {r: space["f"](*r) if name != "break" or r[0] > r[1] else -5 for r in rows}
+    assert {(r["a"], r["b"]): r["out"] for r in machine.run(df, WAITING[name], "a", "b", into="out").collect()} == want
+
+
+def test_loops_that_wait_take_few_steps(spark, monkeypatch):
+    """As many as there are halvings, up to numbers whose squares do not fit."""
+    monkeypatch.setattr(machine, "MOST_ROUNDS", 1)
+    tops = (0, 1, 15, 16, 17, 10**12, 10**16 + 1, 2**62)
+    df = spark.createDataFrame([(a, 0) for a in tops], "a bigint, b bigint")
+    got = {r["a"]: r["out"] for r in machine.run(df, WAITING["root"], "a", "b", into="out").collect()}
+    assert got == {a: math.isqrt(a - 1) + 1 if a else 0 for a in tops}
+
+
+def test_what_does_not_fit_fails_where_the_loop_comes_to_it(spark, monkeypatch):
+    monkeypatch.setattr(machine, "MOST_ROUNDS", 1)
+    source = "def f(a):\n    for i in range(3000000000, 4000000000):\n        if i * i - a >= 9000000000000000009:\n            return i\n"
+    df = spark.createDataFrame([(9,), (10**18,)], "a bigint")
+    assert machine.run(df.where("a = 9"), source, "a", into="out").first()["out"] == 3 * 10**9 + 1
+    with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
+        machine.run(df, source, "a", into="out").collect()
+
+
+def test_results_of_many_arguments_are_not_broadcast(spark, monkeypatch):
+    df = spark.range(50).selectExpr("id AS a", "id AS b")
+    plan_of = lambda: machine.run(df, WAITING["root"], "a", "b", into="out")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan_of()
+    monkeypatch.setattr(machine, "MOST_TOLD", 49)
+    assert "Broadcast" not in plan_of()

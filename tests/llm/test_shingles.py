@@ -57,6 +57,38 @@ def test_stage_finds_near_copies_of_the_corpus(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(brute_groups(docs).values())
 
 
+@pytest.mark.parametrize("crowd", [2, 256])
+def test_stage_loses_nothing_that_bands_and_bits_miss(spark, monkeypatch, crowd):
+    """With bands of which no two texts share one, and with no bit that may differ, the groups are the same."""
+    monkeypatch.setattr(shingles, "CROWD", crowd)
+    monkeypatch.setattr(shingles, "CROWD_PART", 16)
+    monkeypatch.setattr(shingles, "SAMPLE", 3)
+    docs = corpus(seed=7)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    want = set(brute_groups(docs).values())
+
+    def kept():
+        return {r["doc_id"] for r in shingles.keep_one(df).collect()}
+
+    if crowd > 2:
+        missing = shingles.members(df, bits=0)
+        assert missing.select("component").distinct().count() == len(want)
+    monkeypatch.setattr(shingles, "bands", lambda grams: grams[:1] + grams.sum())
+    assert kept() == want and 10 < len(want) < len(docs)
+
+
+def test_similar_sets_share_a_first_shingle():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        both = rng.integers(0, 1 << 63, rng.integers(1, 60), dtype=np.uint64)
+        own = [rng.integers(0, 1 << 63, rng.integers(0, len(both) // 6 + 2), dtype=np.uint64) for _ in range(2)]
+        a, b = (np.unique(np.concatenate([both, x])) for x in own)
+        if shingles.similar(a, b, 0.8):
+            for frequent in (np.zeros(0, np.uint64), np.sort(both[::2]), np.unique(np.concatenate([own[0], both[::3]]))):
+                firsts = [shingles.first_shingles(x, frequent, 0.8) for x in (a, b)]
+                assert len(np.intersect1d(*firsts)) > 0
+
+
 def test_null_ids_and_empty_table(spark):
     rows = [(None, "a b c d e f", "", 0), (None, "a b c d e f", "", 0), (3, "a b c d e f", "", 0), (None, "q r", "", 0), (3, "q r s", "", 0)]
     df = spark.createDataFrame(rows, DOCS)
